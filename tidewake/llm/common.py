@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 8
     """The rows of ``batches`` in slices of at most about ``most`` text bytes (always one row at least)."""
     for batch in batches:
         start, held = 0, 0
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         for i, n in enumerate(sizes):
             if held and held + n > most:
                 yield batch.slice(start, i - start)
