@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import bpe, chat, mixing, warc
+from tidewake.llm import bpe, chat, dartminhash, mixing, warc
 from tidewake.llm.common import read_table
 from tidewake.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -26,6 +26,10 @@ def op2_chat_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_turns(chat.canonical_turns(records, "record")))
 
 
+def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -37,6 +41,7 @@ def op5_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_chat_fingerprint": op2_chat_fingerprint,
+    "op3_dart_minhash": op3_dart_minhash,
     "op4_bpe_chunks": op4_bpe_chunks,
     "op5_temperature_mix": op5_temperature_mix,
 }
