@@ -29,11 +29,21 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: it survives the loss of executors and cuts lineage."""
+    """``df`` written once to the shared folder and read back: it survives the loss of executors and cuts lineage.
+
+    The write's shuffle files go when it has ended; nothing else reads them.
+    """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
+    path, before = fresh_path(spark, name), spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

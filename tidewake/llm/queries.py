@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import bpe, chat, dartminhash, mixing, warc
+from tidewake.llm import bpe, chat, dartminhash, mixing, nndescent, warc
 from tidewake.llm.common import read_table
 from tidewake.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -38,11 +38,16 @@ def op5_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_schedule(read_table(spark, sf_dir, "documents"), max_repeats=2.0)
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.nearest(read_table(spark, sf_dir, "embeddings"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_chat_fingerprint": op2_chat_fingerprint,
     "op3_dart_minhash": op3_dart_minhash,
     "op4_bpe_chunks": op4_bpe_chunks,
     "op5_temperature_mix": op5_temperature_mix,
+    "op6_nn_descent": op6_nn_descent,
 }
 
