@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import bpe, chat, dartminhash, mixing, nndescent, warc
+from tidewake.llm import bigru, bpe, chat, dartminhash, mixing, nndescent, warc
 from tidewake.llm.common import read_table
 from tidewake.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -42,6 +42,10 @@ def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.nearest(read_table(spark, sf_dir, "embeddings"), k=20)
 
 
+def op7_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bigru.identify(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_chat_fingerprint": op2_chat_fingerprint,
@@ -49,5 +53,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_chunks": op4_bpe_chunks,
     "op5_temperature_mix": op5_temperature_mix,
     "op6_nn_descent": op6_nn_descent,
+    "op7_bigru_language": op7_bigru_language,
 }
 
