@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidewake.llm.licenses import templates
+
 OP1 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
      d AS (SELECT page_id, h, strlen(h) AS n, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS last_id FROM p)
@@ -49,4 +51,22 @@ SELECT block, row_number() OVER (PARTITION BY block ORDER BY ord, doc_id, epoch,
 FROM o
 """
 
-ORACLE_SQL = {"op1_warc_bundles": OP1, "op2_chat_fingerprint": OP2, "op5_temperature_mix": OP5}
+OP8 = r"""
+WITH tpl AS (SELECT * FROM (VALUES {values}) AS t(license, body)),
+     norm AS (SELECT row_number() OVER () AS tid, license, string_split_regex(trim(regexp_replace(lower(body), '[^0-9a-z]+', ' ', 'g')), ' ') AS w FROM tpl),
+     tg AS (SELECT tid, license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM norm),
+     d AS (SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^0-9a-z\n]+', ' ', 'g'), '(^|\n) +($|\n)', '\1\2', 'g') AS x FROM documents),
+     e AS (SELECT doc_id, regexp_replace(x, '\n +\n', chr(10) || chr(10), 'g') AS x FROM d),
+     par AS (SELECT doc_id, unnest(string_split_regex(x, '\n *(\n *)+')) AS p, x FROM e),
+     pas AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS p FROM e
+             UNION ALL SELECT doc_id, p FROM par WHERE contains(trim(p, ' ' || chr(10)), chr(10))
+             UNION ALL SELECT doc_id, x FROM e WHERE len(list_filter(string_split_regex(x, '\n *(\n *)+'), lambda y: trim(y, ' ' || chr(10)) <> '')) > 1),
+     pw AS (SELECT row_number() OVER () AS pid, doc_id, string_split_regex(trim(regexp_replace(p, '[ \n]+', ' ', 'g')), ' ') AS w FROM pas),
+     pg AS (SELECT pid, doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM pw WHERE len(w) > 1),
+     pair AS (SELECT pid, doc_id, license, tid, len(pg.g) AS a, len(tg.g) AS b, len(list_intersect(pg.g, tg.g)) AS s
+              FROM pg JOIN tg ON len(pg.g) BETWEEN len(tg.g) * 0.85 / 1.15 AND len(tg.g) * 1.15 / 0.85),
+     hit AS (SELECT pid, doc_id, license, max(2.0::DOUBLE * s / (a + b)) AS dice FROM pair WHERE 2.0::DOUBLE * s / (a + b) >= 0.85 GROUP BY pid, doc_id, license)
+SELECT doc_id, license, max(dice) AS dice, CAST(count(*) AS BIGINT) AS n_passages FROM hit GROUP BY doc_id, license
+""".replace("{values}", ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in templates()))
+
+ORACLE_SQL = {"op1_warc_bundles": OP1, "op2_chat_fingerprint": OP2, "op5_temperature_mix": OP5, "op8_license_dice": OP8}
