@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import bigru, bpe, chat, dartminhash, licenses, mixing, nndescent, warc
+from tidewake.llm import bigru, bpe, chat, contextmix, dartminhash, licenses, mixing, nndescent, warc
 from tidewake.llm.common import read_table
 from tidewake.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -50,6 +50,10 @@ def op8_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contextmix.score(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_chat_fingerprint": op2_chat_fingerprint,
@@ -59,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_nn_descent": op6_nn_descent,
     "op7_bigru_language": op7_bigru_language,
     "op8_license_dice": op8_license_dice,
+    "op9_context_mixing": op9_context_mixing,
 }
 
