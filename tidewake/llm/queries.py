@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import bigru, bpe, chat, contextmix, dartminhash, licenses, mixing, nndescent, warc
+from tidewake.llm import bigru, bpe, chat, contextmix, dartminhash, flatgraph, licenses, mixing, nndescent, warc
 from tidewake.llm.common import read_table
 from tidewake.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -54,6 +54,10 @@ def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contextmix.score(read_table(spark, sf_dir, "documents"))
 
 
+def op10_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatgraph.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_chat_fingerprint": op2_chat_fingerprint,
@@ -64,5 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bigru_language": op7_bigru_language,
     "op8_license_dice": op8_license_dice,
     "op9_context_mixing": op9_context_mixing,
+    "op10_flat_graph": op10_flat_graph,
 }
 
