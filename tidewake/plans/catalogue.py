@@ -31,8 +31,11 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from tidewake.plans import series_queries  # noqa: F401  registers
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_ORACLE)
