@@ -332,16 +332,16 @@ def a45(spark, sf):
 # --- dead reckoning ----------------------------------------------------------------------------
 
 _DT = """, q{n} AS (SELECT *, t_s - lag(t_s) OVER (""" + OVER + """) AS d FROM {t}),
-  h{n} AS (SELECT *, (SELECT quantile_cont(z.d, 0.5) FROM q{n} z WHERE z.run_id = q{n}.run_id AND z.d > 0) AS med FROM q{n}),
-  t{n} AS (SELECT *, CASE WHEN d > 0 AND (med IS NULL OR d <= {g}) THEN d ELSE 0.0 END AS dt FROM h{n})"""
+  h{n} AS (SELECT *, (SELECT quantile_cont(z.d, 0.5) FROM q{n} z WHERE z.run_id = q{n}.run_id AND z.d > 0) AS gap_med FROM q{n}),
+  t{n} AS (SELECT *, CASE WHEN d > 0 AND (gap_med IS NULL OR d <= {g}) THEN d ELSE 0.0 END AS dt FROM h{n})"""
 
 
-@register("e01_dt_guard", SQL + _DT.format(n="", t="s", g="3 * med") + " SELECT run_id, _row, round(dt, 6) AS dt FROM t")
+@register("e01_dt_guard", SQL + _DT.format(n="", t="s", g="3 * gap_med") + " SELECT run_id, _row, round(dt, 6) AS dt FROM t")
 def e01(spark, sf):
     return rounded(ts.guarded_dt(samples(spark, sf), HOUR / 1000), "run_id", "_row", "dt")
 
 
-_DR = _DT.format(n="", t="{t}", g="5 * med") + f""", p AS (SELECT *, sum(vE * dt) OVER w AS E, sum(vN * dt) OVER w AS N, sum(vU * dt) OVER w AS U,
+_DR = _DT.format(n="", t="{t}", g="5 * gap_med") + f""", p AS (SELECT *, sum(vE * dt) OVER w AS E, sum(vN * dt) OVER w AS N, sum(vU * dt) OVER w AS U,
    coalesce(last_value(CASE WHEN sqrt(vE * vE + vN * vN) > 1e-3 THEN atan2(vN, vE) END IGNORE NULLS) OVER w, 0.0) AS yaw_rad FROM t WINDOW w AS ({OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
@@ -386,7 +386,7 @@ _ROT = {
 }
 
 
-@register("e04_dead_reckon_imu", _IMU + _DT.format(n="", t="b", g="5 * med") + f""", a AS (SELECT *, sum(({_ROT["E"].format(x="lin_x", y="lin_y", z="lin_z")}) * dt) OVER w AS speed_e FROM t WINDOW w AS ({OVER} ROWS UNBOUNDED PRECEDING))
+@register("e04_dead_reckon_imu", _IMU + _DT.format(n="", t="b", g="5 * gap_med") + f""", a AS (SELECT *, sum(({_ROT["E"].format(x="lin_x", y="lin_y", z="lin_z")}) * dt) OVER w AS speed_e FROM t WINDOW w AS ({OVER} ROWS UNBOUNDED PRECEDING))
   SELECT run_id, _row, round(speed_e, 2) AS v_e, round(sum(speed_e * dt) OVER ({OVER} ROWS UNBOUNDED PRECEDING) / 1e6, 2) AS E FROM a""")
 def e04(spark, sf):
     path = deadreckon.from_acceleration(_imu(spark, sf))
@@ -397,7 +397,7 @@ def e04(spark, sf):
   f AS (SELECT l.*, r.t_s AS aft, r.roll AS ar, r.pitch AS ap, r.yaw AS ay FROM l ASOF LEFT JOIN r ON l.run_id = r.run_id AND l.t_s <= r.t_s),
   n AS (SELECT f.*, r.t_s AS bt, r.roll AS br, r.pitch AS bp, r.yaw AS by_ FROM f ASOF LEFT JOIN r ON f.run_id = r.run_id AND f.t_s >= r.t_s),
   g AS (SELECT *, aft IS NOT NULL AND (bt IS NULL OR aft - t_s < t_s - bt) AS ahead FROM n WHERE aft IS NOT NULL OR bt IS NOT NULL),
-  o AS (SELECT *, CASE WHEN ahead THEN ar ELSE br END AS roll, CASE WHEN ahead THEN ap ELSE bp END AS pitch, CASE WHEN ahead THEN ay ELSE by_ END AS yaw FROM g)""" + _DT.format(n="", t="o", g="5 * med") + f"""
+  o AS (SELECT *, CASE WHEN ahead THEN ar ELSE br END AS roll, CASE WHEN ahead THEN ap ELSE bp END AS pitch, CASE WHEN ahead THEN ay ELSE by_ END AS yaw FROM g)""" + _DT.format(n="", t="o", g="5 * gap_med") + f"""
   SELECT run_id, _row, round(sum(({_ROT["E"].format(x="vE", y="vN", z="vD")}) * dt) OVER w, 2) AS E, round(sum(({_ROT["N"].format(x="vE", y="vN", z="vD")}) * dt) OVER w, 2) AS N FROM t WINDOW w AS ({OVER} ROWS UNBOUNDED PRECEDING)""")
 def e03(spark, sf):
     path = deadreckon.from_body_velocity(samples(spark, sf, "BI"), samples(spark, sf, "IMU"))
