@@ -31,7 +31,7 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from tidewake.plans import series_queries  # noqa: F401  registers
+    from tidewake.plans import series_queries, stats_queries  # noqa: F401  they register themselves
 
     return dict(_QUERIES)
 
