@@ -91,7 +91,7 @@ def directory_rollup(sizes: DataFrame, depth: int) -> DataFrame:
 
 
 _PY_DEF = re.compile(r"^(\s*)(?:async\s+)?def\s+(\w+)")
-_CPP_DEF = re.compile(r"^[\w:<>,&*~\s]+?\b([\w:~]+)\s*\([^;]*\)\s*(?:const)?\s*(?:noexcept)?\s*\{?\s*$")
+_CPP_DEF = re.compile(r"^[\w:<>,&*~\s]+?\b([\w:~]+)\s*\([^;]*\)\s*(?:const)?\s*(?:noexcept)?\s*(?:\{.*)?$")
 
 
 def spans_of(text: str, language: str) -> list[tuple[str, int, int, int]]:
