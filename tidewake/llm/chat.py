@@ -63,7 +63,7 @@ def json_fingerprint(record: Column) -> Column:
     """
 
     def under(key: Column) -> Column:
-        inner = F.get(F.from_json(record, "map<string,string>"), key)
+        inner = F.try_element_at(F.from_json(record, "map<string,string>"), key)
         first = F.get(F.from_json(inner, "array<string>"), F.lit(0))
         keys = F.json_object_keys(first)
         listed = inner.startswith("[") & first.startswith("{")
