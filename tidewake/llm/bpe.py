@@ -2,129 +2,153 @@
 
 A text is cut at white space where a rolling hash of the bytes before it hits a fixed residue, so that
 copies and shared passages are cut alike wherever they stand. A worker encodes each chunk once and
-keeps what it made (up to a bound in bytes, across documents and tasks). The ids of a text are its
-chunks' ids joined; at every join the words around it are encoded again as one text and must give the
-ids that the two sides end and begin with. Where they don't, the two chunks are merged and encoded
-anew, until all joins agree.
+keeps what it made (up to a bound, across documents and tasks). A chunk that is new is made of its
+finest pieces, the runs without white space, which are kept in the same way. The ids of a text are
+its pieces' ids joined; a join is known by the bytes around it, and each new kind of join is repaired
+by re-encoding: the two runs around it are encoded as one text and must give the ids of both sides.
+Where they don't, that kind of join never splits a chunk: the text around it is encoded as a whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidewake.llm.common import small_batches, texts_of
 
 WINDOW = 8
+EDGE = 2  # bytes on each side of a join by which its kind is known
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 13, 32]] = True
 _STATE: dict[tuple, "ChunkEncoder"] = {}
 
 
-def cut_points(data: bytes, every: int) -> list[int]:
-    """Where chunks begin: at white space after which a hash of the ``WINDOW`` bytes before hits 0 modulo ``every``."""
-    raw = np.frombuffer(data, np.uint8)
-    spaces = np.flatnonzero((raw == 32) | (raw == 10))
-    spaces = spaces[spaces >= WINDOW]
-    if not len(spaces):
-        return []
+def cut_points(raw: np.ndarray, every: int) -> np.ndarray:
+    """Where chunks begin: at the first white space of a run, if a hash of the ``WINDOW`` bytes before hits 0 modulo ``every``."""
+    white = SPACE[raw]
+    spaces = np.flatnonzero(white[WINDOW:] & ~white[WINDOW - 1 : -1]) + WINDOW if len(raw) > WINDOW else np.empty(0, np.int64)
     value = np.zeros(len(spaces), np.uint64)
     for k in range(WINDOW, 0, -1):
         value = value * np.uint64(1099511628211) + raw[spaces - k]
     value ^= value >> np.uint64(29)
-    return spaces[(value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) < np.uint64((1 << 24) // every)].tolist()
+    return spaces[(value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) < np.uint64((1 << 24) // every)]
+
+
+def join_kinds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each run of white space between two others: its first byte's place, and the bytes around the run as one number."""
+    white = SPACE[raw].view(np.int8)
+    step = np.diff(white, prepend=np.int8(1), append=np.int8(1))
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)  # runs of white space, and where other bytes begin
+    starts = starts[:-1] if len(starts) else starts
+    ends = ends[1:]
+    padded = np.concatenate((np.full(EDGE, 32, np.uint8), raw, np.full(EDGE, 32, np.uint8)))
+    kind = np.zeros(len(starts), np.int64)
+    for k in range(EDGE):
+        kind = (kind * 256 + padded[starts + k]) * 256 + padded[ends + EDGE + k]
+    return starts, kind
+
+
+class Bounded:
+    """A cache of at most ``most`` units in two generations: what isn't asked for again goes with the older one."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.now, self.old = most // 2, 0, {}, {}
+
+    def get(self, key):
+        value = self.now.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value, weight: int = 1) -> None:
+        if self.held + weight > self.most:
+            self.old, self.now, self.held = self.now, {}, 0
+        self.now[key] = value
+        self.held += weight
 
 
 class ChunkEncoder:
-    """Encodes texts by chunks; ``most`` bounds the bytes of text whose results are kept."""
+    """Encodes texts by chunks. A result is (ids, tokens), both as text joined by spaces.
+
+    ``pieces`` bounds the runs that are kept, ``chunk_bytes`` the text of the chunks that are kept.
+    """
 
-    def __init__(self, path: str, every: int = 48, most: int = 32 << 20):
+    def __init__(self, path: str, every: int = 48, pieces: int = 600_000, chunk_bytes: int = 8 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         if self.tokenizer.decoder is not None:
             raise ValueError("a tokenizer whose decoder is other than joining tokens by spaces isn't supported")
+        self.names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.numbers = [str(i) for i in range(len(self.names))]
-        self.every, self.most, self.held = every, most, 0
-        self.kept: OrderedDict[bytes, tuple[int, str, str, tuple, tuple]] = OrderedDict()
-        self.joins: dict[bytes, list[int]] = {}
-
-    def _made(self, ids: list[int]) -> tuple[int, str, str, tuple, tuple]:
-        return len(ids), " ".join([self.numbers[i] for i in ids]), " ".join([self.names[i] for i in ids]), tuple(ids[:64]), tuple(ids[-64:])
-
-    def _chunks(self, wanted: list[bytes]) -> dict[bytes, tuple]:
-        """Results of chunks, from what is kept or encoded now, each once."""
-        out, new = {}, []
-        for c in wanted:
-            if c in out:
-                continue
-            if (r := self.kept.get(c)) is not None:
-                self.kept.move_to_end(c)
-            else:
-                new.append(c)
-            out[c] = r
-        for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)):
-            out[c] = self.kept[c] = self._made(e.ids)
-            self.held += len(c)
-        while self.held > self.most:
-            self.held -= len(self.kept.popitem(last=False)[0])
-        return out
-
-    def _join_ids(self, texts: list[bytes]) -> list[list[int]]:
-        if new := list({t for t in texts if t not in self.joins}):
-            if len(self.joins) > 200_000:
-                self.joins.clear()
-                new = list(set(texts))
-            for t, e in zip(new, self.tokenizer.encode_batch_fast([t.decode() for t in new], add_special_tokens=False)):
-                self.joins[t] = e.ids
-        return [self.joins[t] for t in texts]
-
-    def encode(self, texts: list[bytes]) -> list[list[tuple]]:
-        """For each text its chunks' results, whose joins all agree."""
-        parts = []
+        self.every = every
+        self.chunks, self.pieces, self.joins = Bounded(chunk_bytes), Bounded(pieces), {}
+
+    def _encoded(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _made(self, ids: list[int]) -> tuple[str, str]:
+        return " ".join([self.numbers[i] for i in ids]), " ".join([self.names[i] for i in ids])
+
+    def _learn_joins(self, text: bytes, starts: np.ndarray, kinds: np.ndarray) -> None:
+        """Re-encodes around joins of kinds that weren't seen before."""
+        fresh, first = np.unique(kinds, return_index=True)
+        new = [(int(k), int(starts[i])) for k, i in zip(fresh, first) if int(k) not in self.joins]
+        for kind, at in new:
+            left = text[:at][-4096:].split()[-1]
+            right = text[at : at + 8192].split(None, 1)[0]
+            gap = text[at : text.index(right, at)]
+            a, b, both = self._encoded([left, right, left + gap + right])
+            self.joins[kind] = a + b == both
+
+    def encode(self, texts: list[bytes]) -> list[list[tuple[str, str]]]:
+        """For each text the results of its parts, in order; parts without tokens are left out."""
+        parts: list[list[bytes]] = []
+        whole: set[bytes] = set()
         for text in texts:
-            at = [0, *cut_points(text, self.every), len(text)]
+            raw = np.frombuffer(text, np.uint8)
+            starts, kinds = join_kinds(raw)
+            self._learn_joins(text, starts, kinds)
+            cuts = cut_points(raw, self.every)
+            bad = [k for k, good in self.joins.items() if not good]
+            if bad and np.isin(kinds, bad).any():
+                cuts = cuts[~np.isin(cuts, starts[np.isin(kinds, bad)])]
+            at = [0, *cuts.tolist(), len(text)]
             parts.append([text[i:j] for i, j in zip(at, at[1:]) if j > i])
-        todo, out = list(range(len(texts))), [[]] * len(texts)
-        while todo:
-            made = self._chunks([c for t in todo for c in parts[t]])
-            edges = [(t, k, _around(a, b)) for t in todo for k, (a, b) in enumerate(zip(parts[t], parts[t][1:]))]
-            split: dict[int, set[int]] = {}
-            sides = [x for _, _, (left, right) in edges for x in (left, right, left + right)]
-            ids = self._join_ids(sides)
-            for n, (t, k, _) in enumerate(edges):
-                left, right, both = ids[3 * n : 3 * n + 3]
-                a, b = made[parts[t][k]], made[parts[t][k + 1]]
-                if left + right != both or tuple(left[-64:]) != a[4][-len(left) :][-64:] * bool(left) or tuple(right[:64]) != b[3][: len(right)]:
-                    split.setdefault(t, set()).add(k)
-            for t in todo:
-                if t not in split:
-                    out[t] = [made[c] for c in parts[t]]
-            for t, bad in split.items():
-                merged: list[bytes] = []
-                for k, c in enumerate(parts[t]):
-                    if k and k - 1 in bad:
-                        merged[-1] += c
-                    else:
-                        merged.append(c)
-                parts[t] = merged
-            todo = list(split)
-        return out
-
-
-def _around(a: bytes, b: bytes) -> tuple[bytes, bytes]:
-    """The last word of ``a`` and the white space and first word of ``b``."""
-    i = max(a.rfind(b" ", 0, len(a)), a.rfind(b"\n", 0, len(a))) + 1
-    ends = [x for x in (b.find(b" ", 1), b.find(b"\n", 1)) if x > 0]
-    return a[i:], b[: min(ends)] if ends else b
+            if bad:
+                for c in parts[-1]:
+                    if np.isin(join_kinds(np.frombuffer(c, np.uint8))[1], bad).any():
+                        whole.add(c)
+        made: dict[bytes, tuple[str, str] | None] = {}
+        for chunk in (c for p in parts for c in p):
+            if chunk not in made:
+                made[chunk] = self.chunks.get(chunk)
+        new = [c for c, r in made.items() if r is None]
+        runs = [[c] if c in whole else c.split() for c in new]
+        wanted = [r for x in runs for r in x]
+        got = list(map(self.pieces.now.get, wanted))
+        missing = {r: self.pieces.get(r) for r, x in zip(wanted, got) if x is None}
+        unknown = [r for r, x in missing.items() if x is None]
+        for run, ids in zip(unknown, self._encoded(unknown)):
+            missing[run] = result = self._made(ids)
+            self.pieces.put(run, result)
+        if missing:
+            got = [missing[r] if x is None else x for r, x in zip(wanted, got)]
+        at = 0
+        for c, x in zip(new, runs):
+            mine, at = got[at : at + len(x)], at + len(x)
+            made[c] = result = " ".join([a for a, _ in mine if a]), " ".join([b for _, b in mine if b])
+            self.chunks.put(c, result, len(c))
+        return [[made[c] for c in p if made[c][0]] for p in parts]
 
 
 def encoder(path: str, every: int) -> ChunkEncoder:
@@ -135,26 +159,29 @@ def encoder(path: str, every: int) -> ChunkEncoder:
     return _STATE[key]
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str, *, id_column: str = "doc_id", text_column: str = "text", every: int = 48, with_ids: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer_path: str, *, id_column: str = "doc_id", text_column: str = "text", every: int = 48, with_ids: bool = False, with_decoded: bool = False) -> DataFrame:
     """Encodes and decodes each whole text: id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded.
 
     Null and empty texts give no tokens and the digests of the empty text. A text of any length is
     held by one task as a whole, batches are cut by bytes. Repeated rows are encoded each (their chunks
-    once). Other columns are ignored. ``every`` is the mean number of white spaces in a chunk.
+    once). Other columns are ignored. ``every`` is the mean number of runs of white space in a chunk.
     """
-    schema = f"{id_column} {docs.schema[id_column].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    more = ", ids array<int>" * with_ids + ", decoded string" * with_decoded
+    schema = f"{id_column} {docs.schema[id_column].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path, every)
-        for batch in small_batches(batches, text_column, 4 << 20):
-            rows = []
-            for made in coder.encode(texts_of(batch, text_column)):
-                ids, decoded = " ".join([m[1] for m in made if m[0]]), " ".join([m[2] for m in made if m[0]])
-                row = [sum(m[0] for m in made), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
-                rows.append(row + ([[int(i) for i in ids.split()], decoded] if with_ids else []))
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
-            kinds = [pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32()), pa.string()] if with_ids else [])]
-            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(id_column), *columns], names=[id_column, *names])
+        for batch in small_batches(batches, text_column, 1 << 20):
+            made = coder.encode(texts_of(batch, text_column))
+            ids, decoded = ([" ".join([m[k] for m in x]) for x in made] for k in (0, 1))
+            n = np.array([x.count(" ") + 1 if x else 0 for x in ids], np.int64)
+            digests = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in c], pa.string()) for c in (ids, decoded)]
+            columns = {id_column: batch.column(id_column), "n_tokens": pa.array(n), "ids_sha256": digests[0], "decoded_sha256": digests[1]}
+            if with_ids:
+                flat = pa.array([" ".join([x for x in ids if x])]) if n.any() else pa.array([], pa.string())
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pc.split_pattern(flat, " ").flatten().cast(pa.int32()))
+            if with_decoded:
+                columns["decoded"] = pa.array(decoded, pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return docs.select(id_column, text_column).mapInArrow(run, schema)
