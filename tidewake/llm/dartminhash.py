@@ -8,9 +8,9 @@ dart of least rank per coordinate is kept. Two documents agree in a coordinate w
 equal to their weighted Jaccard similarity.
 
 Documents with equal shingles are one class, and classes are linked through bands of coordinates.
-Every pair of classes that share a band and aren't connected already is verified on its shingles:
-first each class with one pivot, then each with the pivots of its bands, then whatever is left
-between different components of a band. Pairs inside a component are never written out.
+Every pair of classes that share a band and could be linked, unless it is connected already, is verified:
+first classes with pivots, then the pairs of small bands; large bands are split by what their members
+have and the pivot lacks. Pairs inside a component are never written out.
 """
 
 from __future__ import annotations
@@ -116,44 +116,108 @@ def verified(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, pivot_rounds: int = 2) -> DataFrame:
+def _shared(rows: DataFrame) -> DataFrame:
+    """(key, doc, m): the rows (key, doc) of keys that several documents share."""
+    counts = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    return written(rows.join(counts, "key").select("key", "doc", "m"), "members")
+
+
+def _popular(rows: DataFrame, key: str) -> DataFrame:
+    """Per key the document with most company over all its keys: (key, pivot), as a struct of company and document."""
+    company = rows.groupBy("doc").agg(F.sum("m").alias("company"))
+    return rows.join(company, "doc").groupBy(key).agg(F.max(F.struct("company", (-F.col("doc")).alias("minus"))).alias("pivot"))
+
+
+def _refined(mixed: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+    """(key, doc): groups in which every pair of ``mixed`` (key, doc, m) that can be linked, and isn't through a pivot, meets again.
+
+    Documents connected through keys form a set with one pivot p. For x and y of a set to be linked,
+    their common units number t / (1 + t) * (|x| + |y|) at least; at most |x & p| of those are in p, so
+    at least ``need`` = t / (1 + t) * (|x| + least size) - |x & p| are not. Then the first
+    |x - p| - need + 1 units of x - p, in the order of their values, hold one that y's hold too.
+    """
+    least = mixed.groupBy("key").agg(F.min("doc").alias("b"))
+    sets = components(mixed.join(least, "key").select(F.col("doc").alias("a"), "b")).withColumnRenamed("node", "doc")
+    rows = mixed.join(sets, "doc")
+    sizes = units.select(F.col("doc_id").alias("doc"), F.floor(F.length("units") / 4).alias("size"))
+    smallest = sets.join(sizes, "doc").groupBy("component").agg(F.min("size").alias("smallest"))
+    pivots = _popular(rows, "component").select("component", (-F.col("pivot.minus")).alias("p")).join(smallest, "component")
+    mine = sets.join(pivots, "component").join(units.select(F.col("doc_id").alias("doc"), F.col("units").alias("x")), "doc")
+    both = mine.join(units.select(F.col("doc_id").alias("p"), F.col("units").alias("y")), "p").select("component", "doc", "smallest", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y, smallest in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("smallest").to_pylist()):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                own = np.setdiff1d(x, y)
+                need = math.ceil(threshold / (1 + threshold) * (len(x) + max(smallest, threshold * len(x))) - (len(x) - len(own)) - 1e-9)
+                out.append(own[: max(0, len(own) - max(need, 1) + 1)].astype(np.int64))
+            ends = pa.array(np.concatenate(([0], np.cumsum([len(o) for o in out]))).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("doc"), lists], names=["component", "doc", "firsts"])
+
+    firsts = both.mapInArrow(run, "component long, doc long, firsts array<long>")
+    return firsts.select("component", "doc", F.explode("firsts").alias("unit")).select(F.xxhash64("component", "unit").alias("key"), "doc")
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, small: int = 48) -> DataFrame:
     """(doc_id, class_id, kept) for each row of ``docs``: class_id is the smallest doc_id linked to it, directly or not.
 
     Words are lower-cased runs without ASCII white space; similarity is the weighted Jaccard
     similarity of shingle counts. Null and empty texts (no words) are classes of their own, as are
     rows with a null doc_id (class_id null). Rows that share a doc_id are one document, linked to
     what any of them is linked to. Other columns are ignored; an empty table gives an empty result.
-    At ``threshold`` a pair is missed with probability (1 - threshold ** rows) ** bands, 6e-5 for the defaults.
+    At ``threshold`` a pair is missed with probability (1 - threshold ** rows) ** bands, 6e-5 for the
+    defaults. Keys of at most ``small`` documents have their open pairs verified; larger ones are
+    refined until none is left.
     """
     base = written(sketches(docs, words=words, bands=bands, rows=rows), "sketches")
     same = ["n", "c1", "c2"]
     classes = base.filter("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
-    keyed = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("doc"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("doc").alias("pivot")).filter("m > 1")
-    members = written(keyed.join(shared.select("key", "pivot"), "key"), "members")
+    members = _shared(classes.select(F.explode("bands").alias("key"), F.col("rep").alias("doc")))
     wanted = members.select(F.col("doc").alias("doc_id")).distinct().hint("shuffle_hash")
     units = written(unit_lists(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), words), "units")
 
-    first = members.groupBy("doc").agg(F.min("pivot").alias("pivot")).filter("pivot < doc").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
-    tested = written(verified(first, units, threshold), "tested")
-    links = tested.filter("linked").select("a", "b")
-    for turn in range(pivot_rounds + 1):
-        found = components(links)
-        left = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
-        mixed = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("c", "doc")).alias("p")).filter("lo < hi")
-        if turn < pivot_rounds:
-            pairs = left.join(mixed, "key").filter("c <> lo").select(F.col("doc").alias("a"), F.col("p.doc").alias("b"))
-        else:
-            open_ = written(left.join(mixed.select("key"), "key"), "open")
-            x, y = open_.alias("x"), open_.alias("y")
-            pairs = x.join(y, "key").filter("x.c < y.c").select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b"))
-        pairs = pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        new = written(verified(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), units, threshold), "tested")
-        tested = tested.unionByName(new)
-        links = tested.filter("linked").select("a", "b")
-    found = components(links)
+    best = members.join(_popular(members, "key"), "key").groupBy("doc").agg((-F.max("pivot").getField("minus")).alias("p"))
+    tested = _tested(best.select(F.col("doc").alias("a"), F.col("p").alias("b")), None, units, threshold)
+    found = components(tested.filter("linked"))
+    while True:
+        # pivots of the keys that hold several components, for the documents outside the pivot's own
+        left = _open(members, found)
+        pivots = _popular(left, "key").select("key", (-F.col("pivot.minus")).alias("p"))
+        own = left.select(F.col("key"), F.col("doc").alias("p"), F.col("c").alias("pc"))
+        pairs = left.join(pivots.join(own, ["key", "p"]), "key").filter("c <> pc").select(F.col("doc").alias("a"), F.col("p").alias("b"))
+        tested = _tested(pairs, tested, units, threshold)
+        found = components(tested.filter("linked"))
+        left = written(_open(members, found), "open")
+        few = left.filter(F.col("m") <= small)
+        x, y = few.alias("x"), few.alias("y")
+        pairs = x.join(y, "key").filter("x.c < y.c").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+        tested = _tested(pairs, tested, units, threshold)
+        found = components(tested.filter("linked"))
+        many = left.filter(F.col("m") > small)
+        if many.isEmpty():
+            break
+        members = _shared(_refined(many, units, threshold))
     of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("class_id"))
     out = base.select("doc_id", *same).join(of_class, same, "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
     return out.select("doc_id", class_id.alias("class_id")).withColumn("kept", F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id")))
+
+
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, doc, m, c): members of the keys that hold several components, with their own."""
+    rows = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "m", F.coalesce("component", "doc").alias("c"))
+    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    return rows.join(mixed, "key")
+
+
+def _tested(pairs: DataFrame, before: DataFrame | None, units: DataFrame, threshold: float) -> DataFrame:
+    """What is verified so far, with the new ones of ``pairs`` (a, b)."""
+    pairs = pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    if before is None:
+        return written(verified(pairs, units, threshold), "tested")
+    new = verified(pairs.join(before.select("a", "b"), ["a", "b"], "left_anti"), units, threshold)
+    return before.unionByName(written(new, "tested"))
