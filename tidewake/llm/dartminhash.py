@@ -161,7 +161,7 @@ def _refined(mixed: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     return firsts.select("component", "doc", F.explode("firsts").alias("unit")).select(F.xxhash64("component", "unit").alias("key"), "doc")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, small: int = 48) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, small: int = 32) -> DataFrame:
     """(doc_id, class_id, kept) for each row of ``docs``: class_id is the smallest doc_id linked to it, directly or not.
 
     Words are lower-cased runs without ASCII white space; similarity is the weighted Jaccard
@@ -184,23 +184,20 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: float = 0.8,
     tested = _tested(best.select(F.col("doc").alias("a"), F.col("p").alias("b")), None, units, threshold)
     found = components(tested.filter("linked"))
     while True:
-        # pivots of the keys that hold several components, for the documents outside the pivot's own
-        left = _open(members, found)
-        pivots = _popular(left, "key").select("key", (-F.col("pivot.minus")).alias("p"))
-        own = left.select(F.col("key"), F.col("doc").alias("p"), F.col("c").alias("pc"))
-        pairs = left.join(pivots.join(own, ["key", "p"]), "key").filter("c <> pc").select(F.col("doc").alias("a"), F.col("p").alias("b"))
-        tested = _tested(pairs, tested, units, threshold)
-        found = components(tested.filter("linked"))
         left = written(_open(members, found), "open")
-        few = left.filter(F.col("m") <= small)
+        few, many = left.filter(F.col("m") <= small), left.filter(F.col("m") > small)
         x, y = few.alias("x"), few.alias("y")
         pairs = x.join(y, "key").filter("x.c < y.c").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+        # of large keys, the pivot with the documents outside its component
+        pivots = _popular(many, "key").select("key", (-F.col("pivot.minus")).alias("p"))
+        own = many.select(F.col("key"), F.col("doc").alias("p"), F.col("c").alias("pc"))
+        pairs = pairs.unionByName(many.join(pivots.join(own, ["key", "p"]), "key").filter("c <> pc").select(F.col("doc").alias("a"), F.col("p").alias("b")))
         tested = _tested(pairs, tested, units, threshold)
         found = components(tested.filter("linked"))
-        many = left.filter(F.col("m") > small)
+        many = written(_open(members.filter(F.col("m") > small), found), "open")
         if many.isEmpty():
             break
-        members = _shared(_refined(many, units, threshold))
+        members, small = _shared(_refined(many, units, threshold)), small * 2  # so that rounds are few
     of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("class_id"))
     out = base.select("doc_id", *same).join(of_class, same, "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
