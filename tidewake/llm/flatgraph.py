@@ -107,10 +107,11 @@ def range_search(q: np.ndarray, x: np.ndarray, lists: np.ndarray, start: int, le
         if not len(a):
             return seen, s
         expanded[a, b] = True
-        for i in range(0, len(a), 1 << 18):
-            nbrs = lists[b[i : i + (1 << 18)]]
+        many = max(1, (1 << 20) // lists.shape[1])  # lists of hubs are long
+        for i in range(0, len(a), many):
+            nbrs = lists[b[i : i + many]]
             r, c = np.nonzero(nbrs >= 0)
-            seen[a[i : i + (1 << 18)][r], nbrs[r, c]] = True
+            seen[a[i : i + many][r], nbrs[r, c]] = True
 
 
 def _roots(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -182,9 +183,9 @@ def link_counts(nodes: DataFrame, *, least: float = 0.9, overlap: int = 2, shard
             lists[i, : len(o)] = o
         start = int((x @ x.sum(axis=0)).argmax())
         out = {k: [] for k in empty.column_names}
-        for i in range(0, len(q), 1024):
-            seen, s = range_search(q[i : i + 1024], x, lists, start, least, margin, beam)
-            part = qid[i : i + 1024]
+        for i in range(0, len(q), 512):
+            seen, s = range_search(q[i : i + 512], x, lists, start, least, margin, beam)
+            part = qid[i : i + 512]
             hit = seen & (s >= least) & (part[:, None] != ids[None, :])
             links = (hit & home[None, :]).astype(np.int64) @ n
             a, b = np.nonzero(hit)
