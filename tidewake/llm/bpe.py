@@ -79,7 +79,7 @@ class ChunkEncoder:
     ``pieces`` bounds the runs that are kept, ``chunk_bytes`` the text of the chunks that are kept.
     """
 
-    def __init__(self, path: str, every: int = 48, pieces: int = 600_000, chunk_bytes: int = 8 << 20):
+    def __init__(self, path: str, every: int = 48, pieces: int = 1_500_000, chunk_bytes: int = 8 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
