@@ -331,6 +331,53 @@ def test_mixer_is_a_distribution_and_learns():
     assert np.allclose(m.bits([b"abra", b"", b"cad"]), np.concatenate([m.bits([b"abra"]), m.bits([b""]), m.bits([b"cad"])]))
 
 
+def test_contexts_do_not_share_counts_however_many():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(90_000)]
+    mixer = contextmix.Mixer()
+    for _ in range(2):
+        for i in range(0, len(words), 15_000):
+            mixer.learn([" ".join(words[i : i + 15_000]).encode()])
+    mixer.freeze()
+    known = [w.encode() for w in rng.choices(words, k=2000)]
+    assert mixer.bits([b" ".join(known)])[0] / (8 * len(known)) < 2.6
+
+
+def test_path_counts_and_probabilities_by_brute_force():
+    texts = [b"abracadabra abba", b"", b"cab \xc3\xbc cab"]
+    cases = contextmix.Distinct(texts)
+    counted = dict(zip(cases.grams.tolist(), cases.gram_times.tolist()))
+    same, other, first = contextmix.path_counts(cases.grams, cases.grams, cases.gram_times, block=5)
+    for g, at in zip(cases.grams.tolist(), first):
+        s, context = g & 511, [(t & 511, n) for t, n in counted.items() if t >> 9 == g >> 9]
+        for d in range(contextmix.SIZES[s]):
+            node, bit = contextmix.NODES[s, d], contextmix.BITS[s, d]
+            ways = [sum(n for t, n in context for e in range(contextmix.SIZES[t]) if (contextmix.NODES[t, e], contextmix.BITS[t, e]) == (node, b)) for b in (bit, 1 - bit)]
+            assert [same[at + d], other[at + d]] == ways
+    # a node's probability doesn't depend on the symbol that is asked for: those of all symbols add up to one
+    mixer = contextmix.Mixer()
+    for _ in range(3):
+        mixer.learn(texts * 9)
+    mixer.freeze()
+    cases = contextmix.Distinct([bytes([c]) for c in range(256)] + [b""])
+    mixer.look(cases, mixer.keys, mixer.counts)
+    case, node, bit, depth = next(cases.decisions())
+    final = mixer.predict(sum(mixer.weighted[mixer.first[at[case]] + depth] for at in cases.place), node, bit)[0]
+    begins = cases.contexts[0] == contextmix.Distinct([b""]).contexts[0][0]
+    probability = np.exp(np.bincount(case, np.log(np.where(bit == 1, final, 1 - final)), len(begins)))
+    assert begins.sum() == 257 and abs(probability[begins].sum() - 1) < 1e-4
+
+
+def test_asked_contexts_score_like_broadcast_ones(spark, monkeypatch):
+    rng = random.Random(4)
+    docs = docs_of(spark, [" ".join(rng.choices(["Alpha", "beta", "gamma", "ü", "delta"], k=rng.randrange(60))) for _ in range(60)] + [None, "", "unseen"])
+    got = []
+    for contexts in (1, 1 << 40):
+        monkeypatch.setattr(contextmix, "CONTEXTS", contexts)
+        got.append({r.doc_id: r.bits for r in contextmix.score(docs).collect()})
+    assert len(got[0]) == 63 and got[0].keys() == got[1].keys() and all(abs(got[0][i] - got[1][i]) < 1e-6 * max(1, got[1][i]) for i in got[0])
+
+
 # --- pipeline ----------------------------------------------------------------------------------
 
 
