@@ -185,6 +185,14 @@ def test_bpe_repairs_joins_that_disagree():
     assert coder.encode([text])[0][0][0] == " ".join(map(str, ids))
 
 
+@pytest.mark.parametrize("text", ["漢字かな" * 1500 + "\n" + "語ü" * 5000 + " end", "a" + " " * 10_000 + "b", "\x0c a b", "\x0b\x0c \x0bx\x0by \x0c", "one\x0ctwo three\x0b four"])
+def test_bpe_joins_of_long_runs_and_odd_white_space(text):
+    coder = bpe.ChunkEncoder(WORD_BPE, every=1)
+    ids = Tokenizer.from_file(WORD_BPE).encode(text, add_special_tokens=False).ids
+    for _ in range(2):
+        assert " ".join(a for a, _ in coder.encode([text.encode()])[0]) == " ".join(map(str, ids))
+
+
 # --- 5 -----------------------------------------------------------------------------------------
 
 

@@ -25,7 +25,7 @@ from tidewake.llm.common import small_batches, texts_of
 WINDOW = 8
 EDGE = 2  # bytes on each side of a join by which its kind is known
 SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 13, 32]] = True
+SPACE[[9, 10, 11, 12, 13, 32]] = True  # as bytes.split has it
 _STATE: dict[tuple, "ChunkEncoder"] = {}
 
 
@@ -40,18 +40,24 @@ def cut_points(raw: np.ndarray, every: int) -> np.ndarray:
     return spaces[(value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) < np.uint64((1 << 24) // every)]
 
 
-def join_kinds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each run of white space between two others: its first byte's place, and the bytes around the run as one number."""
+def runs_and_kinds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where runs without white space begin and stop, and of each join of two by white space the bytes around it, and if it holds 11 or 12, as one number."""
     white = SPACE[raw].view(np.int8)
     step = np.diff(white, prepend=np.int8(1), append=np.int8(1))
-    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)  # runs of white space, and where other bytes begin
-    starts = starts[:-1] if len(starts) else starts
-    ends = ends[1:]
+    begins, stops = np.flatnonzero(step == -1), np.flatnonzero(step == 1)
+    starts, ends = stops[:-1], begins[1:]
     padded = np.concatenate((np.full(EDGE, 32, np.uint8), raw, np.full(EDGE, 32, np.uint8)))
     kind = np.zeros(len(starts), np.int64)
     for k in range(EDGE):
         kind = (kind * 256 + padded[starts + k]) * 256 + padded[ends + EDGE + k]
-    return starts, kind
+    odd = np.flatnonzero((raw == 11) | (raw == 12))
+    return begins, stops, kind * 2 + (np.searchsorted(odd, ends) > np.searchsorted(odd, starts))
+
+
+def join_kinds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each run of white space between two others: its first byte's place and its kind."""
+    _, stops, kind = runs_and_kinds(raw)
+    return stops[:-1], kind
 
 
 class Bounded:
@@ -99,16 +105,14 @@ class ChunkEncoder:
     def _made(self, ids: list[int]) -> tuple[str, str]:
         return " ".join([self.numbers[i] for i in ids]), " ".join([self.names[i] for i in ids])
 
-    def _learn_joins(self, text: bytes, starts: np.ndarray, kinds: np.ndarray) -> None:
-        """Re-encodes around joins of kinds that weren't seen before."""
+    def _learn_joins(self, text: bytes, begins: np.ndarray, stops: np.ndarray, kinds: np.ndarray) -> None:
+        """Re-encodes around joins of kinds that weren't seen before, the whole runs on both sides."""
         fresh, first = np.unique(kinds, return_index=True)
-        new = [(int(k), int(starts[i])) for k, i in zip(fresh, first) if int(k) not in self.joins]
-        for kind, at in new:
-            left = text[:at][-4096:].split()[-1]
-            right = text[at : at + 8192].split(None, 1)[0]
-            gap = text[at : text.index(right, at)]
-            a, b, both = self._encoded([left, right, left + gap + right])
-            self.joins[kind] = a + b == both
+        for kind, i in zip(fresh.tolist(), first.tolist()):
+            if kind not in self.joins:
+                left, right = text[begins[i] : stops[i]], text[begins[i + 1] : stops[i + 1]]
+                a, b, both = self._encoded([left, right, text[begins[i] : stops[i + 1]]])
+                self.joins[kind] = a + b == both
 
     def encode(self, texts: list[bytes]) -> list[list[tuple[str, str]]]:
         """For each text the results of its parts, in order; parts without tokens are left out."""
@@ -116,8 +120,9 @@ class ChunkEncoder:
         whole: set[bytes] = set()
         for text in texts:
             raw = np.frombuffer(text, np.uint8)
-            starts, kinds = join_kinds(raw)
-            self._learn_joins(text, starts, kinds)
+            begins, stops, kinds = runs_and_kinds(raw)
+            starts = stops[:-1]
+            self._learn_joins(text, begins, stops, kinds)
             cuts = cut_points(raw, self.every)
             bad = [k for k, good in self.joins.items() if not good]
             if bad and np.isin(kinds, bad).any():
