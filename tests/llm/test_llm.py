@@ -126,31 +126,82 @@ def varied(seed, n, words=120, edits=8):
     return out
 
 
-def test_near_duplicates_match_brute_force(spark):
-    texts = [*varied(1, 90), *varied(2, 20), None, "", "  \n", "one two", "one two", "One  two", "a b c d e f", "unlike all the others here", "z " * 4000, "z " * 4000]
-    got = dartminhash.near_duplicates(docs_of(spark, texts).withColumn("bands", F.lit(1)), small=8).orderBy("doc_id").collect()
+@pytest.mark.parametrize("small,most", [(32, 512), (4, 6), (1, 2)])
+def test_near_duplicates_match_brute_force(spark, small, most):
+    texts = [*varied(1, 60), *varied(2, 20), None, "", "  \n", "one two", "one two", "One  two", "a b c d e f", "unlike all the others here", "z " * 4000, "z " * 4000]
+    got = dartminhash.near_duplicates(docs_of(spark, texts).withColumn("bands", F.lit(1)).withColumn("row", F.lit(1)), small=small, most=most).orderBy("doc_id").collect()
     assert [r.class_id for r in got] == grouped(texts)
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
     assert dartminhash.near_duplicates(docs_of(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small,most", [(32, 512), (4, 512), (4, 3)])
+def test_near_duplicates_inside_a_longer_text(spark, small, most):
+    """Excerpts of one text that share nothing it lacks; two bands of one row, so that all share every key."""
+    rng = random.Random(8)
+    long = [f"w{i}" for i in range(1300)]
+    texts = [" ".join(w if rng.random() > 0.001 else "y" for w in long) for _ in range(12)]
+    texts += [" ".join(long[i : i + 1000]) for i in (0, 90, 150, 210, 300)]
+    texts += [" ".join(long[i : i + 400]) for i in (0, 40, 500, 530, 880)]
+    got = dartminhash.near_duplicates(docs_of(spark, texts), small=small, most=most, bands=64, rows=1).orderBy("doc_id").collect()
+    assert [r.class_id for r in got] == grouped(texts)
+
+
+def test_groups_around_a_pivot_meet_exactly(spark):
+    """All that share a key, whatever their size: the pairs that are found cover every linked pair of different components."""
+    rng = random.Random(6)
+    base = [rng.randrange(1 << 32) for _ in range(60)]
+    sets = [sorted({*rng.sample(base, rng.randrange(30, 61)), *(rng.randrange(1 << 32) for _ in range(rng.randrange(12)))}) for _ in range(150)]
+    sets += [sorted({*s[: len(s) - 2], rng.randrange(1 << 32)}) for s in sets[100:]]
+    sets[0] = sorted(base)
+    units = spark.createDataFrame([(i, bytearray(np.array(s, np.uint32).tobytes())) for i, s in enumerate(sets)], "node long, units binary")
+    for most in (512, 5):
+        around = spark.createDataFrame([(i, 0, i) for i in range(len(sets))], "doc long, p long, c long")
+        met = dartminhash._met(around, units, 0.8, most).collect()
+        pairs = {frozenset((r.a, r.b)) for r in met if r.b is not None}
+        keys = {}
+        for r in met:
+            if r.key is not None:
+                keys.setdefault(r.key, set()).add(r.a)
+        like = lambda i, j: len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]}) >= 0.8
+        linked = [(i, j) for i in range(len(sets)) for j in range(i) if like(i, j)]
+        assert len(linked) > 60 and all(frozenset(x) in pairs or all(like(i, 0) for i in x) or any({*x} <= k for k in keys.values()) for x in linked)
+        assert all(len(k) > most for k in keys.values()) and (most > 5 or keys)
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark):
-    rows = [(None, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g")]
-    got = dartminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id is None, r.class_id, r.kept) for r in got if r.doc_id is not None) == [(False, 1, False), (False, 1, True), (False, 1, True)]
-    assert [(r.class_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
+    text = "a b c d e f g"
+    rows = [(None, text), (1, text), (1, text), (2, text), (2, "quite another text of some words"), (None, "p q r s t u"), (None, "p q r s t u"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, dartminhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(None, 1, False), (1, 1, True), (1, 1, True), (2, 1, False), (2, 2, True), (None, None, True), (None, None, True), (None, None, True)], key=str)
+    kept = dartminhash.one_of_each(docs.selectExpr("doc_id", "text", "doc_id as n", "text as bands"))
+    assert kept.columns == ["doc_id", "text", "n", "bands"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, text), (2, rows[4][1]), (None, rows[5][1]), (None, None)], key=str)
+    assert dartminhash.one_of_each(docs.limit(0)).count() == 0
 
 
 def test_dart_signatures_estimate_similarity():
     texts = [t.encode() for t in varied(7, 12, 300, 12)]
-    keys, counts = shingles.shingle_units(texts)
-    made = dartminhash.dart_signatures(keys, counts, 512)
+    made = dartminhash.dart_signatures(*shingles.shingle_counts(texts), 512)
     assert np.isfinite(made).all()
     for i in range(11):
         true = weighted_jaccard(texts[i].decode(), texts[i + 1].decode())
         assert abs((made[i] == made[i + 1]).mean() - true) < 0.1
 
 
+def test_darts_fall_on_weights_of_any_size():
+    rng = np.random.default_rng(4)
+    keys = rng.integers(1, 1 << 62, 40).astype(np.uint64)
+    sets = [rng.choice([0.0, 0.3, 1.0, 2.5, 7.0, 900.0], 40) for _ in range(6)]
+    sets.append(sets[0] * np.where(rng.random(40) < 0.3, 0.8, 1))
+    made = dartminhash.dart_signatures(np.tile(keys, len(sets)), np.concatenate(sets), np.full(len(sets), 40), 2000)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert abs((made[i] == made[j]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.05
+    assert np.isinf(dartminhash.dart_signatures(keys[:2], np.zeros(2), np.array([2, 0]), 8)).all()
+
+
 def test_components_of_paths_and_stars(spark):
     rows = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}

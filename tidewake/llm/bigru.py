@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import doc_crc_mod, small_batches, texts_of
+from tidewake.llm.common import doc_crc_mod, schema_of, small_batches, texts_of
 
 WINDOW = 64
 LETTER = np.zeros(256, bool)
@@ -161,13 +161,16 @@ def train(docs: DataFrame, *, docs_per_language: int = 512, windows_per_doc: int
     return ByteBiGRU(labels).fit(data[:, even], sizes[even], label[even], **fit)
 
 
-def predict_language(docs: DataFrame, model: ByteBiGRU | None) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to (doc_id, text, ...); the other columns are kept.
+def predict_language(docs: DataFrame, model: ByteBiGRU | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and its probability to (text, ...) as columns ``names``; the other columns are kept.
 
     ``und`` with score 0 for null texts, texts without letters and without a model. Ties go to the
-    label that sorts first. A text of any length is read as a whole.
+    label that sorts first. A text of any length is read as a whole. Raises ValueError if ``docs`` has
+    such columns already.
     """
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("lang_pred", "score")), "lang_pred string", "score double"])
+    if {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has columns {names} already")
+    schema = f"{schema_of(docs)}, `{names[0]}` string, `{names[1]}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 1 << 20):
@@ -181,8 +184,7 @@ def predict_language(docs: DataFrame, model: ByteBiGRU | None) -> DataFrame:
             best = p.argmax(axis=1)
             pred = [labels[i] if ok else "und" for i, ok in zip(best, lettered)]
             score = np.where(lettered, np.clip(p[np.arange(len(p)), best], 0.0, 1.0), 0.0)
-            names = [f for f in batch.schema.names if f not in ("lang_pred", "score")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in names), pa.array(pred, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what the session names in ``spark.checkpoint.dir``; only where that is unset (a local
-    test session) a temporary folder is made and set.
+    It is what the session names in ``spark.checkpoint.dir``; only where that is unset in a local
+    session, as in tests, a temporary folder is made and set. On a cluster an unset folder is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidewake-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -57,6 +59,22 @@ def doc_crc_mod(doc_id: str | Column, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"), F.lit(""))) % mod
 
 
+def schema_of(df: DataFrame) -> str:
+    """The columns of ``df`` as DDL."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores before them where ``df`` has such columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [b"" if x is None else x for x in batch.column(column).cast(pa.binary()).to_pylist()]

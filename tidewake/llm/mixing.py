@@ -10,7 +10,7 @@
    inside a block the order is a permutation by hash.
 
 Running sums are taken inside hash ranges of one pass of one source, on top of the sums of the ranges
-before; no task gets a whole source.
+before; ranges get narrower as the table grows, and no task gets a whole source.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import written
+from tidewake.llm.common import unused, written
 
-RANGES = 256
+RANGE_ROWS = 50_000  # rows of a hash range, about, if one source had them all
+FEW = 100_000  # sources whose plan is broadcast
 
 
 def word_count(text: str) -> Column:
@@ -80,9 +81,10 @@ def _passes(docs: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     repeated rows of one document: they begin at one place and come and go together.
     """
     n_passes = F.col("passes") + F.when(F.col("rest") > 0, 1).otherwise(0)
+    bits = max(8, (docs.count() // RANGE_ROWS).bit_length())
     rows = docs.join(plan, "source").withColumn("epoch", F.explode(F.when(n_passes > 0, F.sequence(F.lit(0), (n_passes - 1).cast("int"))).otherwise(F.array().cast("array<int>"))))
     rows = rows.withColumn("key", _key(F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("part", F.shiftright("key", 60 - RANGES.bit_length() + 1))
+    rows = rows.withColumn("part", F.shiftright("key", 60 - bits))
     sums = rows.groupBy("source", "epoch", "part").agg(F.sum("n_tokens").alias("t"))
     before = sums.withColumn("before", F.sum("t").over(W.partitionBy("source", "epoch").orderBy("part")) - F.col("t")).drop("t")
     inside = W.partitionBy("source", "epoch", "part").orderBy("key").rangeBetween(W.unboundedPreceding, W.currentRow)
@@ -112,12 +114,20 @@ def mix_schedule(docs: DataFrame, *, max_repeats: float = 2.0, target_entropy: f
 
 
 def mixed(docs: DataFrame, *, max_repeats: float = 2.0, target_entropy: float | None = None, budget_tokens: int | None = None, seed: int = 17) -> DataFrame:
-    """``docs`` itself, each row as often as the mix uses it. Texts aren't shuffled: of the last pass only a threshold per source is needed."""
+    """``docs`` itself, each row as often as the mix uses it: of the last pass only a threshold per source is needed.
+
+    Texts aren't shuffled while the sources are few enough (``FEW`` at most) to be broadcast. Null
+    texts have no tokens, null sources are the source "". Rows that share source and doc_id come and
+    go together. Other columns come back as they are; an empty table stays empty.
+    """
     base = counted(docs)
     plan = written(source_plan(base.groupBy("source").agg(F.sum("n_tokens").alias("n")), max_repeats=max_repeats, target_entropy=target_entropy, budget_tokens=budget_tokens), "mix-plan")
-    last = _passes(base, plan, seed).filter(F.col("epoch") == F.col("passes")).groupBy("source").agg(F.max("key").alias("_last"))
-    uses = plan.join(last, "source", "left").select(F.col("source").alias("_source"), F.col("passes").alias("_passes"), "_last")
-    key = _key(F.lit(str(seed)), F.col("_passes").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = docs.join(uses, F.coalesce(docs["source"], F.lit("")) == F.col("_source"))
-    n = F.col("_passes") + F.when(F.col("_last").isNotNull() & (key <= F.col("_last")), 1).otherwise(0)
-    return rows.withColumn("_use", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*docs.columns)
+    last = _passes(base, plan, seed).filter(F.col("epoch") == F.col("passes")).groupBy("source").agg(F.max("key").alias("last"))
+    source, passes, last_key, use = unused(docs, "_source", "_passes", "_last", "_use")
+    uses = written(plan.join(last, "source", "left").select(F.col("source").alias(source), F.col("passes").alias(passes), F.col("last").alias(last_key)), "mix-uses")
+    if uses.count() <= FEW:
+        uses = F.broadcast(uses)
+    key = _key(F.lit(str(seed)), F.col(passes).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rows = docs.join(uses, F.coalesce(docs["source"], F.lit("")) == F.col(source))
+    n = F.col(passes) + F.when(F.col(last_key).isNotNull() & (key <= F.col(last_key)), 1).otherwise(0)
+    return rows.withColumn(use, F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*docs.columns)

@@ -49,12 +49,10 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, counts
 
 
-def shingle_units(texts: list[bytes], words: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Unit keys of each text's shingles, and how many each text has.
+def _sorted_shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of each text's shingles in order, how many each text has, and where a key differs from the one before in its text.
 
-    The n-th occurrence of a shingle is a unit of its own, so the multiset is a set of units and the
-    weighted Jaccard similarity of two texts is the Jaccard similarity of their units. A text of
-    fewer than ``words`` words is one shingle, a text without words has none. Units of a text are sorted.
+    A text of fewer than ``words`` words is one shingle, a text without words has none.
     """
     hashes, counts = word_hashes(texts)
     firsts = np.concatenate(([0], np.cumsum(counts)[:-1])) if len(counts) else counts
@@ -76,7 +74,25 @@ def shingle_units(texts: list[bytes], words: int = 5) -> tuple[np.ndarray, np.nd
     if len(keys):
         fresh[1:] = keys[1:] != keys[:-1]
         fresh[at[:-1][made > 0]] = True
-        begun = np.flatnonzero(fresh)
-        nth = np.arange(len(keys)) - np.repeat(begun, np.diff(np.append(begun, len(keys))))
-        keys = mix(keys + nth.astype(U64) * U64(0x9E3779B97F4A7C15))
-    return keys, made
+    return keys, made, fresh
+
+
+def shingle_counts(texts: list[bytes], words: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of each text's distinct shingles, how often each occurs (float), and how many each text has."""
+    keys, made, fresh = _sorted_shingles(texts, words)
+    begun = np.flatnonzero(fresh)
+    ends = np.searchsorted(begun, np.concatenate(([0], np.cumsum(made))))
+    return keys[begun], np.diff(np.append(begun, len(keys))).astype(np.float64), np.diff(ends)
+
+
+def shingle_units(texts: list[bytes], words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Unit keys of each text's shingles, and how many each text has.
+
+    The n-th occurrence of a shingle is a unit of its own, so the multiset is a set of units and the
+    weighted Jaccard similarity of two texts is the Jaccard similarity of their units. Equal texts
+    have equal units in equal order.
+    """
+    keys, made, fresh = _sorted_shingles(texts, words)
+    begun = np.flatnonzero(fresh)
+    nth = np.arange(len(keys)) - np.repeat(begun, np.diff(np.append(begun, len(keys))))
+    return mix(keys + nth.astype(U64) * U64(0x9E3779B97F4A7C15)), made
