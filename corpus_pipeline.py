@@ -11,33 +11,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.llm import bigru, bpe, dartminhash, mixing
-from tidewake.llm.common import doc_crc_mod, written
+from tidewake.llm.common import doc_crc_mod, unused, written
 
 #: Documents with a smaller score are in none of the languages learnt. Even four labels give 0.25.
 LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised: not ``und`` and with a score of LEAST_SCORE at least."""
+    """Documents whose language is recognised: not ``und`` and with a score of LEAST_SCORE at least.
+
+    Null texts and texts without letters go; without a labelled row all go. Rows that repeat are
+    judged each; all columns come back as they are; an empty table stays empty.
+    """
     model = bigru.train(docs.filter(doc_crc_mod("doc_id", 5) != 0))
-    scored = bigru.predict_language(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    pred, score = unused(docs, "lang_pred", "score")
+    scored = bigru.predict_language(docs, model, (pred, score)).filter((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE))
     return scored.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id, and one row of it."""
-    kept = dartminhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct().hint("shuffle_hash")
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """One row of each group of near-duplicates, that of the smallest doc_id (null last).
+
+    Texts decide: rows that share a doc_id and differ in text are documents of their own. Texts
+    without words stay, null ones too; all columns come back as they are; an empty table stays empty.
+    """
+    return dartminhash.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the temperature mix of sources uses it, no source more than twice over."""
+    """Each document as often as the temperature mix of sources uses it, no source more than twice over.
+
+    Null sources are one source, null texts have no tokens and stay; all columns come back as they
+    are; an empty table stays empty.
+    """
     return mixing.mixed(docs, max_repeats=2.0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the digests of ids and of the decoded text, for each use of a document."""
+    """doc_id, n_tokens, ids and the digests of ids and of the decoded text, for each use of a document.
+
+    Null and empty texts have no tokens; repeated rows and null ids give a row each; an empty table gives none.
+    """
     made = bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
     return made.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
