@@ -43,8 +43,11 @@ def test_oracle(name, spark):
 def test_warc_round_trip(spark):
     rows = [(1, "http://a", "x"), (2, None, None), (3, "u\r\nX: y", "x"), (3, "http://c", "x"), (None, "n", "x"), (5, "e", ""), (6, "l", "é" * 300000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    manifest = warc.write_archives(pages.withColumn("payload", F.lit("clash")), frame_bytes=1000)
+    manifest = warc.write_archives(pages.withColumn("payload", F.lit("clash")).withColumn("sha", F.lit("clash")), frame_bytes=1000)
     out = warc.read_archives(manifest).collect()
+    frames = manifest.select("bundle", "frame").distinct().count()
+    assert frames > 2 and warc.read_archives(manifest, task_bytes=100).rdd.getNumPartitions() >= frames
+    assert [r.url for r in warc.read_records(manifest, spark.createDataFrame([(None,), (None,), (77,)], "page_id long")).collect()] == ["n"]
     assert len(out) == len(rows)
     for r in out:
         text = next((h or "").encode() for p, _, h in rows if p == r.page_id)
@@ -66,10 +69,33 @@ def test_chat_layouts(spark):
     record = "named_struct('instruction', 'do', 'input', cast(null as string), 'output', 'done') as r"
     assert [tuple(t) for t in chat.canonical_turns(spark.range(1).selectExpr(record), "r").first().turns] == [("system", "do"), ("user", ""), ("assistant", "done")]
     texts = ['{"messages": [{"role": "human", "content": "a"}, {"role": "gpt", "content": "b"}]}', '{"prompt": "p", "response": "q"}', '{"odd": 1}', None, "{broken"]
-    rows = chat.canonical_turns(spark.createDataFrame([(t,) for t in texts], "r string"), "r").collect()
+    rows = chat.canonical_turns(spark.createDataFrame([(t,) for t in texts], "r string"), "r", aliases=chat.ALIASES).collect()
     assert [[tuple(t) for t in r.turns] if r.turns is not None else None for r in rows] == [[("user", "a"), ("assistant", "b")], [("user", "p"), ("assistant", "q")], None, None, None]
     with pytest.raises(ValueError):
         chat.canonical_turns(spark.range(1).selectExpr("named_struct('z', 1) as r"), "r")
+    texts = [
+        '{"id": 7, "dialog": [{"speaker": "gpt", "utterance": "a"}]}', '{"messages": []}', '{"messages": [{"role": "user", "content": "a"}, {"role": "user", "value": "LOST"}]}',
+        '{"conversations": [{"from": "x", "value": null}, {"from": "y", "value": "b"}]}', '{"turns": "none"}', '{"messages": ["a"]}',
+    ]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, r string").withColumns({"_fingerprint": F.lit(1), "_parts": F.lit(2)})
+    made = chat.format_turns(chat.canonical_turns(table, "r"))
+    rows = made.orderBy("i").collect()
+    assert [[tuple(t) for t in r.turns] if r.turns is not None else None for r in rows] == [[("gpt", "a")], [], None, [("x", ""), ("y", "b")], None, None]
+    assert all(r["_fingerprint"] == 1 and r["_parts"] == 2 for r in rows) and rows[1].formatted == "" and rows[2].formatted is None
+    for again in (lambda: chat.canonical_turns(made, "r"), lambda: chat.format_turns(made)):
+        with pytest.raises(ValueError):
+            again()
+    assert chat.canonical_turns(table.limit(0), "r").count() == 0
+
+
+def test_chat_layouts_of_the_query(spark):
+    long = "x" * 3_000_000
+    rows = [(c, t, r, x) for c in range(8) for t, (r, x) in enumerate([("user", "a\\u0000\n\u2028\"é"), ("gpt", long if c == 3 else ""), ("assistant", None)])] + [(1, 1, "gpt", ""), (None, 0, None, "b")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.canonical_turns(chat.conversation_json(chat.conversation_records(table)), "record").collect()
+    for r in made:
+        assert [tuple(t) for t in r.turns] == [(b or "", x or "") for _, _, b, x in sorted((x for x in rows if x[0] == r.conv_id), key=lambda x: (x[1], x[2] or "", x[3] or ""))]
+    assert len({r.record[:6] for r in made}) == 4
 
 
 def test_chat_reads_back_what_it_wrote(spark):
@@ -312,6 +338,56 @@ def test_flat_graph_against_brute_force(spark):
     assert flatgraph.near_vectors(table.limit(0)).count() == 0
 
 
+def test_flat_graph_over_shards_and_a_group_larger_than_one(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 12))
+    x[:260] = x[0] + rng.normal(size=(260, 12)) * 0.12  # larger than a shard, and not all linked with all
+    x[300:360] = np.repeat(x[300:320], 3, axis=0) + rng.normal(size=(60, 12)) * 0.2
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(2000, [1.0, 2.0]), (7, [float(v) for v in x[400]])], "vec_id long, embedding array<double>")
+    rows = flatgraph.near_vectors(table.withColumn("shards", F.lit(1)), shard_rows=100).collect()
+    x = np.vstack([x, x[400]])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r for r in rows if r.vec_id != 7}
+    assert len(rows) == 902 and rows[0].recall >= 0.999 and got[2000].n_links == 0
+    found = sum(min(got[i].n_links, near[i].sum()) for i in range(900) if i != 7)
+    assert found >= 0.999 * near[[i for i in range(900) if i != 7]].sum() and all(got[i].n_links <= near[i].sum() for i in range(900) if i != 7)
+
+
+def test_the_search_scores_what_it_looks_at_alone():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 6))
+    x = np.vstack([x, x[:50] + 0.01])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = flatgraph.robust_prune(x, 12)
+    lists = np.full((len(x), max(map(len, near))), -1)
+    for i, o in enumerate(near):
+        lists[i, : len(o)] = o
+    s = flatgraph.range_search(x[:40], x, lists, flatgraph.medoids(x, lists), 0.9, 0.1, 16)
+    true = x[:40] @ x.T
+    looked = s > -np.inf
+    assert np.allclose(s[looked], true[looked]) and looked.mean() < 0.7
+    assert (looked & (true >= 0.9)).sum() >= 0.99 * (true >= 0.9).sum()
+
+
+def test_nearest_over_blocks_and_odd_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 10))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(40, [float(v) for v in x[40]]), (41, [float(v) for v in x[90]]), (3000, [1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("node", F.lit(0)).withColumn("rank", F.lit(0))
+    got = nndescent.nearest(table, k=10, query_divisor=100).collect()
+    all_ids, all_x = [r[0] for r in rows[:-1]], np.vstack([x, x[40], x[90]])
+    found = 0
+    for q in range(0, 1500, 100):
+        s = all_x @ x[q]
+        best = sorted(((-v, i) for v, i in zip(s, all_ids) if i != q))[:10]
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [m[0] for m in mine] == list(range(1, 11))
+        found += len({m[1] for m in mine} & {b[1] for b in best})
+    assert found >= 0.95 * 150 and got[0].recall >= 0.9
+
+
 # --- 7 -----------------------------------------------------------------------------------------
 
 
@@ -353,6 +429,9 @@ def test_license_scan(spark):
     texts = ["prose before\nReleased under the MIT License.\nprose", mit, "intro\n\n" + mit[:400] + "\n" + mit[400:] + "\n\nmore words", "nothing here", None, "word", "licensed UNDER cc-by-nc 4.0"]
     got = licenses.scan_licenses(docs_of(spark, texts).withColumn("license", F.lit("x"))).collect()
     assert {(r.doc_id, r.license) for r in got} == {(0, "MIT"), (1, "MIT"), (2, "MIT"), (6, "CC-BY-NC-4.0")}
+    more = ["Copyright 2020 X. Released under the MIT License. And more", "Title\n\n" + mit.replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS") + "\n\n" + "prose of some words " * 40, licenses.TEXTS["Zlib"].replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. "), "w " * 50_000, licenses.TEXTS["BSD-3-Clause"], None, None]
+    again = licenses.scan_licenses(docs_of(spark, more)).collect()
+    assert {(r.doc_id, r.license) for r in again if r.doc_id != 4} == {(0, "MIT"), (1, "MIT"), (2, "Zlib")} and (4, "BSD-3-Clause") in {(r.doc_id, r.license) for r in again}
     assert all(r.dice <= 1 for r in got) and next(r.dice for r in got if r.doc_id == 1) == 1.0
     assert licenses.scan_licenses(docs_of(spark, texts).limit(0)).count() == 0
 

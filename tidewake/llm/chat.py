@@ -12,9 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewake.llm.common import unused
+
 END = "</turn>"
 ROLES = {"system": "System", "user": "User", "assistant": "Assistant"}
+#: Names of roles in other data, for callers that want them rewritten.
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Top-level fields that are no part of a layout.
+METADATA = ("id", "source", "lang", "meta")
 #: Text escapes, in the order in which they are applied; read back in the opposite order.
 ESCAPES = (("\\", "\\b"), (END, "\\t"), ("###", "\\h"))
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"), ("\n", "\\n"))
@@ -25,6 +30,7 @@ LAYOUTS: dict[str, tuple[str, tuple | list]] = {
     "messages": ("messages array<struct<role:string,content:string>>", ("turns", "messages", "role", "content")),
     "turns": ("turns array<struct<role:string,text:string>>", ("turns", "turns", "role", "text")),
     "conversations": ("conversations array<struct<`from`:string,value:string>>", ("turns", "conversations", "from", "value")),
+    "dialog": ("dialog array<struct<speaker:string,utterance:string>>", ("turns", "dialog", "speaker", "utterance")),
     "instruction_input": ("instruction string, input string, output string", [("system", "instruction"), ("user", "input"), ("assistant", "output")]),
     "instruction": ("instruction string, output string", [("user", "instruction"), ("assistant", "output")]),
     "prompt": ("prompt string, response string", [("user", "prompt"), ("assistant", "response")]),
@@ -52,61 +58,69 @@ def _ddl(text: str) -> T.StructType:
 
 
 def _known() -> dict[str, str]:
-    return {fingerprint(_ddl(ddl)): name for name, (ddl, _) in LAYOUTS.items()}
+    """Layouts by fingerprint; a layout with a list of turns has one for the empty list too."""
+    known = {fingerprint(_ddl(ddl)): name for name, (ddl, _) in LAYOUTS.items()}
+    return known | {hashlib.sha256(f"{how[1]}[]".encode()).hexdigest(): name for name, (_, how) in LAYOUTS.items() if isinstance(how, tuple)}
 
 
 def json_fingerprint(record: Column) -> Column:
     """Fingerprint of each JSON record, over the paths of up to three levels of objects and arrays.
 
-    Keys are read by ``json_object_keys``; for an array the keys of its first element count. Equal to
-    ``fingerprint`` for the layouts here. Null where the text isn't a JSON object.
+    Keys are read by ``json_object_keys``; for an array the keys of all of its elements count. Equal to
+    ``fingerprint`` for the layouts here. METADATA fields at the top are left out. Null where the
+    text isn't a JSON object.
     """
+    keys = F.filter(F.json_object_keys(record), lambda k: ~k.isin(*METADATA))
 
     def under(key: Column) -> Column:
         inner = F.try_element_at(F.from_json(record, "map<string,string>"), key)
-        first = F.get(F.from_json(inner, "array<string>"), F.lit(0))
-        keys = F.json_object_keys(first)
-        listed = inner.startswith("[") & first.startswith("{")
-        return F.when(listed, F.transform(keys, lambda k: F.concat(key, F.lit("[]."), k))).otherwise(F.array(key))
+        items = F.from_json(inner, "array<string>")
+        paths = F.flatten(F.transform(items, lambda x: F.when(x.startswith("{"), F.transform(F.json_object_keys(x), lambda k: F.concat(key, F.lit("[]."), k))).otherwise(F.array(F.concat(key, F.lit("[]"))))))
+        listed = inner.startswith("[") & items.isNotNull()
+        return F.when(listed, F.when(F.size(items) == 0, F.array(F.concat(key, F.lit("[]")))).otherwise(F.array_distinct(paths))).otherwise(F.array(key))
 
-    return F.sha2(F.array_join(F.array_sort(F.flatten(F.transform(F.json_object_keys(record), under))), "\n"), 256)
+    return F.sha2(F.array_join(F.array_sort(F.flatten(F.transform(keys, under))), "\n"), 256)
 
 
-def _role(role: Column) -> Column:
-    role = F.coalesce(role, F.lit(""))
-    known = F.lower(F.trim(role))
-    out = role
-    for alias, name in ALIASES.items():
-        out = F.when(known == alias, F.lit(name)).otherwise(out)
+def _role(role: Column, aliases: dict[str, str]) -> Column:
+    out = role = F.coalesce(role, F.lit(""))
+    for alias, name in aliases.items():
+        out = F.when(F.lower(F.trim(role)) == alias, F.lit(name)).otherwise(out)
     return out
 
 
-def _turns(record: Column, how: tuple | list) -> Column:
+def _turns(record: Column, how: tuple | list, aliases: dict[str, str]) -> Column:
     """Canonical turns by one mapping: null texts are empty, unset optional fields of a flat layout are left out."""
     if isinstance(how, tuple):
         _, field, role, text = how
-        made = F.transform(record.getField(field), lambda t: F.struct(_role(t.getField(role)).alias("role"), F.coalesce(t.getField(text), F.lit("")).alias("text")))
+        made = F.transform(record.getField(field), lambda t: F.struct(_role(t.getField(role), aliases).alias("role"), F.coalesce(t.getField(text), F.lit("")).alias("text")))
         return F.coalesce(made, F.array().cast(TURNS))
     made = F.array(*(F.struct(F.lit(role).alias("role"), F.coalesce(record.getField(f), F.lit("")).alias("text"), record.getField(f).isNotNull().alias("there")) for role, f in how))
     return F.transform(F.filter(made, lambda t: t.there | (t.role != "system")), lambda t: F.struct(t.role.alias("role"), t.text.alias("text")))
 
 
-def canonical_turns(df: DataFrame, record: str, to: str = "turns") -> DataFrame:
+def canonical_turns(df: DataFrame, record: str, to: str = "turns", aliases: dict[str, str] | None = None) -> DataFrame:
     """Adds the turns of ``record``, a struct (one layout for the table) or JSON text (a layout a row).
 
     A struct of an unknown layout raises ValueError; JSON text of an unknown layout, null and
-    damaged text give null turns, which callers can route away.
+    damaged text give null turns, which callers can route away; so does a list whose elements differ
+    in their fields, as some of its texts would be lost. An empty list gives no turns. Roles stay as they stand unless
+    ``aliases`` names others for them. A column that is called ``to`` already raises ValueError;
+    others come back as they are. Rows that repeat are mapped each; an empty table stays empty.
     """
-    kind, known = df.schema[record].dataType, _known()
+    if to.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"the table has a column {to} already")
+    kind, known, aliases = df.schema[record].dataType, _known(), aliases or {}
     if isinstance(kind, T.StructType):
         name = known.get(fingerprint(kind))
         if name is None:
             raise ValueError(f"no mapping for a record with the paths {field_paths(kind)}")
-        return df.withColumn(to, _turns(F.col(record), LAYOUTS[name][1]))
-    print_of, made = json_fingerprint(F.col(record)), F.lit(None).cast(TURNS)
-    for mark, name in known.items():
-        made = F.when(F.col("_fingerprint") == mark, _turns(F.from_json(F.col(record), _ddl(LAYOUTS[name][0])), LAYOUTS[name][1])).otherwise(made)
-    return df.withColumn("_fingerprint", print_of).withColumn(to, made).drop("_fingerprint")
+        return df.withColumn(to, _turns(F.col(record), LAYOUTS[name][1], aliases))
+    (mark,) = unused(df, "_fingerprint")
+    made = F.lit(None).cast(TURNS)
+    for value, name in known.items():
+        made = F.when(F.col(mark) == value, _turns(F.from_json(F.col(record), _ddl(LAYOUTS[name][0])), LAYOUTS[name][1], aliases)).otherwise(made)
+    return df.withColumn(mark, json_fingerprint(F.col(record))).withColumn(to, made).drop(mark)
 
 
 def _replaced(text: Column, pairs) -> Column:
@@ -136,23 +150,28 @@ def format_turns(df: DataFrame, turns: str = "turns") -> DataFrame:
 
     formatted: ``### Role: text</turn>\\n`` per turn, texts escaped. loss: for each assistant text the
     ordinal of its turn, its place in the turn, its start in the whole text and its length, in code points.
+    Null turns give nulls, no turns the empty text; texts of any length are taken whole. Columns that
+    are called formatted or loss already raise ValueError, others come back as they are.
     """
-    parts = F.transform(F.col(turns), lambda t: F.struct(t.role.alias("role"), _marker(t.role).alias("marker"), escape(t.text).alias("body")))
-    df = df.withColumn("_parts", parts)
-    shown = F.transform("_parts", lambda p: F.concat(p.marker, p.body, F.lit(END + "\n")))
-    sizes = F.transform("_parts", lambda p: F.struct(p.role.alias("role"), F.length(p.marker).cast("long").alias("marker"), F.length(p.body).cast("long").alias("body")))
+    if {"formatted", "loss"} & {c.lower() for c in df.columns}:
+        raise ValueError("the table has a column formatted or loss already")
+    parts, sizes, starts = unused(df, "_parts", "_sizes", "_starts")
+    made = F.transform(F.col(turns), lambda t: F.struct(t.role.alias("role"), _marker(t.role).alias("marker"), escape(t.text).alias("body")))
+    df = df.withColumn(parts, made)
+    shown = F.transform(parts, lambda p: F.concat(p.marker, p.body, F.lit(END + "\n")))
+    lengths = F.transform(parts, lambda p: F.struct(p.role.alias("role"), F.length(p.marker).cast("long").alias("marker"), F.length(p.body).cast("long").alias("body")))
     # start of each turn: the running sum of sizes, carried with the list that it makes
     spans = "array<struct<turn:int,offset:long,start:long,length:long>>"
     walked = F.aggregate(
-        "_sizes",
+        sizes,
         F.struct(F.lit(0).alias("turn"), F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("starts")),
         lambda s, p: F.struct((s.turn + 1).alias("turn"), (s["at"] + p.marker + p.body + F.lit(len(END) + 1)).alias("at"), F.concat(s.starts, F.array(s["at"])).alias("starts")),
         lambda s: s.starts,
     )
-    df = df.withColumns({"formatted": F.array_join(shown, ""), "_sizes": sizes}).withColumn("_starts", walked)
-    picked = F.transform("_sizes", lambda p, i: F.struct(p.role.alias("role"), i.alias("turn"), p.marker.alias("offset"), (F.get("_starts", i) + p.marker).alias("start"), p.body.alias("length")))
+    df = df.withColumns({"formatted": F.array_join(shown, ""), sizes: lengths}).withColumn(starts, walked)
+    picked = F.transform(sizes, lambda p, i: F.struct(p.role.alias("role"), i.alias("turn"), p.marker.alias("offset"), (F.get(starts, i) + p.marker).alias("start"), p.body.alias("length")))
     loss = F.transform(F.filter(picked, lambda p: p.role == "assistant"), lambda p: F.struct(p.turn, p.offset, p.start, p.length)).cast(spans)
-    return df.withColumn("loss", loss).drop("_parts", "_sizes", "_starts")
+    return df.withColumn("loss", loss).drop(parts, sizes, starts)
 
 
 def parse_formatted(df: DataFrame, formatted: str = "formatted", to: str = "turns") -> DataFrame:
@@ -179,6 +198,18 @@ def conversation_records(rows: DataFrame) -> DataFrame:
     return kept.select("conv_id", F.struct(F.transform("t", lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns")).alias("record"))
 
 
+def conversation_json(records: DataFrame) -> DataFrame:
+    """(conv_id, record) of ``conversation_records`` as JSON text, dealt out to the four list layouts by conv_id."""
+    lists = [how[1:] for _, how in LAYOUTS.values() if isinstance(how, tuple)]
+    made = None
+    for i, (field, role, text) in enumerate(lists):
+        turns = F.transform("record.turns", lambda t, role=role, text=text: F.struct(t.role.alias(role), t.text.alias(text)))
+        one = F.to_json(F.struct(turns.alias(field)))
+        here = F.pmod(F.coalesce(F.col("conv_id"), F.lit(0)), F.lit(len(lists))) == i
+        made = F.when(here, one) if made is None else made.when(here, one)
+    return records.select("conv_id", made.alias("record"))
+
+
 def chat_digest(formatted: DataFrame) -> DataFrame:
     """What is read back from formatted conversations: digests of the turns and of the text under the loss mask."""
     pieces = F.split(F.col("formatted"), END + "\n")

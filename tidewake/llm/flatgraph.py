@@ -4,13 +4,15 @@
    of its ``overlap`` nearest centroids, the nearest being its home. A shard with more than
    ``shard_rows`` nodes is dealt into pieces, which all stand for it.
 2. In each piece the nodes get robust-pruned lists of neighbours; a node's lists of all pieces are united.
-3. A vector is searched for in a piece by greedy search from the piece's medoid, and from what that
-   finds by expansion: the neighbours of every node within the range, and a margin, are looked at until
-   no new one is. Hits are verified by cosine and count only at home, so no pair counts twice.
+3. A vector is searched for in a piece by greedy search from the medoids of the connected parts of the
+   piece's graph, and from what that finds by expansion: the neighbours of every node within the range,
+   and a margin, are looked at until no new one is. Cosines are computed for nodes that the search
+   looks at alone. Hits count only at home, so no pair counts twice.
 4. Shards that a hit belongs to are searched next, until there are none. Links are counted in the
    tasks; what leaves them is one row for each vector, not one for each pair.
-5. The recall is audited on a bounded sample against all vectors; below ``target`` the search is
-   widened to more shards.
+5. The recall is audited on a bounded sample against all vectors, half of it drawn from vectors with
+   links; below ``target`` the search is widened to more shards. A recall under ``worst`` after the
+   widest search is an error; the recall is returned beside the rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidewake.llm.common import written
 from tidewake.llm.components import components
-from tidewake.llm.vectors import digested, usable, vector_classes
+from tidewake.llm.vectors import digested, one_length, usable, vector_classes
 
 QUERIES = 4096  # most queries that meet a piece in one task
 
@@ -76,14 +78,40 @@ def robust_prune(x: np.ndarray, degree: int, alpha: float = 1.2, wide: int = 64)
     return out
 
 
-def range_search(q: np.ndarray, x: np.ndarray, lists: np.ndarray, start: int, least: float, margin: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of ``q`` which rows of ``x`` the search looks at, and all cosines; lists has -1 for no neighbour."""
-    s = q @ x.T
-    n, m = s.shape
-    seen, rows = np.zeros((n, m), bool), np.arange(n)
+def medoids(x: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """The row nearest to the mean of each connected part of the graph ``lists`` over ``x``."""
+    label, (a, k) = np.arange(len(x)), np.nonzero(lists >= 0)
+    b = lists[a, k]
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+        if (label == before).all():
+            break
+    parts, label = np.unique(label, return_inverse=True)
+    mean = np.zeros((len(parts), x.shape[1]))
+    np.add.at(mean, label, x)
+    order = np.lexsort((-np.einsum("nd,nd->n", x, mean[label]), label))
+    return order[np.searchsorted(label[order], np.arange(len(parts)))]
+
+
+def range_search(q: np.ndarray, x: np.ndarray, lists: np.ndarray, starts: np.ndarray, least: float, margin: float, beam: int) -> np.ndarray:
+    """For each row of ``q`` its cosines with the rows of ``x`` that the search looks at, -inf for the others; lists has -1 for no neighbour."""
+    n, m, beam = len(q), len(x), max(beam, len(starts))
+    s, rows = np.full((n, m), -np.inf), np.arange(n)
+
+    def look(r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores the places (r, c) that are new, and returns them."""
+        place = np.unique((r * m + c)[s[r, c] == -np.inf])
+        r, c = place // m, place % m
+        for i in range(0, len(r), 1 << 16):
+            s[r[i : i + (1 << 16)], c[i : i + (1 << 16)]] = np.einsum("nd,nd->n", q[r[i : i + (1 << 16)]], x[c[i : i + (1 << 16)]])
+        return r, c
+
     ids = np.full((n, beam), -1)
-    ids[:, 0] = start
-    seen[:, start] = True
+    ids[:, : len(starts)] = starts
+    look(np.repeat(rows, len(starts)), np.tile(starts, n))
     done = ids < 0
     while True:
         best = np.where(done, -np.inf, s[rows[:, None], np.maximum(ids, 0)])
@@ -93,25 +121,26 @@ def range_search(q: np.ndarray, x: np.ndarray, lists: np.ndarray, start: int, le
             break
         done[live, pick[live]] = True
         nbrs = lists[ids[live, pick[live]]]
-        fresh = (nbrs >= 0) & ~seen[live[:, None], np.maximum(nbrs, 0)]
+        fresh = (nbrs >= 0) & (s[live[:, None], np.maximum(nbrs, 0)] == -np.inf)
         r, c = np.nonzero(fresh)
-        seen[live[r], nbrs[r, c]] = True
+        look(live[r], nbrs[r, c])
         both = np.concatenate((ids[live], np.where(fresh, nbrs, -1)), axis=1)
         state = np.concatenate((done[live], ~fresh), axis=1)
         value = np.where(both >= 0, s[live[:, None], np.maximum(both, 0)], -np.inf)
         top = np.argpartition(-value, beam - 1, axis=1)[:, :beam]
         ids[live], done[live] = np.take_along_axis(both, top, 1), np.take_along_axis(state, top, 1) | (np.take_along_axis(value, top, 1) == -np.inf)
-    expanded, wide = np.zeros((n, m), bool), s >= least - margin
-    while True:
-        a, b = np.nonzero(seen & wide & ~expanded)
-        if not len(a):
-            return seen, s
-        expanded[a, b] = True
-        many = max(1, (1 << 20) // lists.shape[1])  # lists of hubs are long
+    a, b = np.nonzero(s >= least - margin)
+    many = max(1, (1 << 19) // lists.shape[1])  # lists of hubs are long
+    while len(a):
+        new = []
         for i in range(0, len(a), many):
             nbrs = lists[b[i : i + many]]
             r, c = np.nonzero(nbrs >= 0)
-            seen[a[i : i + many][r], nbrs[r, c]] = True
+            r, c = look(a[i : i + many][r], nbrs[r, c])
+            near = s[r, c] >= least - margin
+            new.append((r[near], c[near]))
+        a, b = (np.concatenate(z) for z in zip(*new))
+    return s
 
 
 def _roots(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -174,29 +203,31 @@ def link_counts(nodes: DataFrame, *, least: float = 0.9, overlap: int = 2, shard
         there, asked = there.sort_by("node"), asked.sort_by("query")
         ids, x, q, qid = there.column("node").to_numpy(), _units(_matrix(there.column("vec"))), _units(_matrix(asked.column("query_vec"))), asked.column("query").to_numpy()
         shard, n = there.column("shard")[0].as_py(), there.column("n").to_numpy()
-        within = there.column("shards").to_pylist()
-        home = np.array([w[0] == shard for w in within])
+        within = _matrix(there.column("shards"))
+        home = within[:, 0] == shard
         near = [np.array(sorted(o or ()), np.int64) for o in there.column("nbrs").to_pylist()]
         near = [np.searchsorted(ids, o[np.isin(o, ids)]) for o in near]
         lists = np.full((len(ids), max([1, *map(len, near)])), -1)
         for i, o in enumerate(near):
             lists[i, : len(o)] = o
-        start = int((x @ x.sum(axis=0)).argmax())
+        starts = medoids(x, lists)
         out = {k: [] for k in empty.column_names}
         for i in range(0, len(q), 512):
-            seen, s = range_search(q[i : i + 512], x, lists, start, least, margin, beam)
+            s = range_search(q[i : i + 512], x, lists, starts, least, margin, beam)
             part = qid[i : i + 512]
-            hit = seen & (s >= least) & (part[:, None] != ids[None, :])
+            hit = (s >= least) & (part[:, None] != ids[None, :])
             links = (hit & home[None, :]).astype(np.int64) @ n
             a, b = np.nonzero(hit)
             names = np.unique(np.concatenate((part, ids)))
             roots = _roots(names, np.searchsorted(names, part[a]), np.searchsorted(names, ids[b]))
             out["query"] += part.tolist()
             out["links"] += links.tolist()
-            others = [()] * len(part)
-            for r in np.unique(a):
-                others[r] = sorted({t for j in b[a == r] for t in within[j]} - {shard})
-            out["reached"] += [list(o) for o in others]
+            most = int(within.max()) + 1
+            pairs = np.unique((a[:, None] * most + within[b]).ravel())
+            pairs = pairs[pairs % most != shard]
+            ends = np.searchsorted(pairs // most, np.arange(len(part) + 1)).tolist()
+            others = (pairs % most).tolist()
+            out["reached"] += [others[e:f] for e, f in zip(ends, ends[1:])]
             out["node"] += part.tolist()
             out["root"] += roots[np.searchsorted(names, part)].tolist()
             extra = np.setdiff1d(ids[np.unique(b)], part)
@@ -229,12 +260,21 @@ def link_counts(nodes: DataFrame, *, least: float = 0.9, overlap: int = 2, shard
 
 
 def audit_recall(nodes: DataFrame, counts: DataFrame, *, least: float = 0.9, sample_rows: int = 256, seed: int = 23) -> float:
-    """Share of the links of at most ``sample_rows`` nodes, compared with all nodes, that ``counts`` has."""
-    total = nodes.count()
-    drawn = nodes.filter(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 30)) < min(1.0, 2.0 * sample_rows / max(1, total)) * (1 << 30)).select("rep", "vec").limit(sample_rows).toArrow()
-    if not drawn.num_rows:
+    """Share of the links of at most ``sample_rows`` nodes, compared with all nodes, that ``counts`` has.
+
+    Half of the nodes are drawn from those with links, where missed ones are most likely, half from all. Without any link it is 1.
+    """
+
+    def drawn(rows: DataFrame) -> pa.Table:
+        share = min(1.0, 2.0 * sample_rows / max(1, rows.count()))
+        return rows.filter(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)).select("rep", "vec").limit(sample_rows // 2).toArrow()
+
+    linked = nodes.join(counts.filter("links > 0").select(F.col("query").alias("rep")), "rep", "left_semi")
+    both = pa.concat_tables([drawn(nodes), drawn(linked)])
+    if not both.num_rows:
         return 1.0
-    ids, q = drawn.column("rep").to_numpy(), _units(_matrix(drawn.column("vec")))
+    ids, first = np.unique(both.column("rep").to_numpy(), return_index=True)
+    q = _units(_matrix(both.column("vec")))[first]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         true = np.zeros(len(ids), np.int64)
@@ -249,25 +289,32 @@ def audit_recall(nodes: DataFrame, counts: DataFrame, *, least: float = 0.9, sam
     return 1.0 if not row.t else row.f / row.t
 
 
-def near_vectors(vectors: DataFrame, *, least: float = 0.9, overlap: int = 3, target: float = 0.999, widest: int = 8) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of ``vectors``.
+def near_vectors(vectors: DataFrame, *, least: float = 0.9, overlap: int = 3, target: float = 0.999, worst: float = 0.9, widest: int = 12, **build) -> DataFrame:
+    """(vec_id, n_links, component_id, kept, recall) of every row of ``vectors``.
 
     Vectors that are null, zero or hold null or non-finite components, and rows with a null vec_id,
-    link with nothing (component_id is their own vec_id). Rows of equal vectors link with each other
-    and count each. Labels and other columns are ignored; rows that share a vec_id are one vertex for
-    component_id and count each for n_links. An empty table gives an empty result.
+    link with nothing (component_id is their own vec_id); so do vectors of another length than most,
+    which have no cosine with them. Rows of equal vectors
+    link with each other and count each. Labels and other columns are ignored, whatever their names;
+    rows that share a vec_id are one vertex for component_id and count each for n_links. An empty
+    table gives an empty result. ``recall`` is what the audit found, the same in all rows; RuntimeError
+    if it is below ``worst`` after a search of ``widest`` shards. ``build`` goes to ``link_counts``.
     """
+    vectors = one_length(vectors)
     ids = written(digested(vectors).select("vec_id", "digest"), "ids")
     nodes = vector_classes(vectors)
     while True:
-        counts, edges = link_counts(nodes, least=least, overlap=overlap)
+        counts, edges = link_counts(nodes, least=least, overlap=overlap, **build)
         counts = written(counts, "counts")
-        if overlap >= widest or audit_recall(nodes, counts, least=least) >= target:
+        recall = audit_recall(nodes, counts, least=least)
+        if recall >= target or overlap >= widest:
             break
         overlap *= 2
+    if recall < worst:
+        raise RuntimeError(f"the search found {recall:.3f} of the links of a sample, even in {overlap} shards")
     found = components(edges)
     per = nodes.join(counts, F.col("rep") == F.col("query"), "left").join(found, F.col("rep") == F.col("node"), "left")
     per = per.select("digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = ids.join(per, "digest").select("vec_id", "n_links", "component_id")
+    linked = ids.join(per, "digest", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     alone = vectors.filter(~(usable() & F.col("vec_id").isNotNull())).select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return linked.unionByName(alone).withColumns({"kept": F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)), "recall": F.lit(recall)})

@@ -1,13 +1,17 @@
 """Licence scan: passages against licence templates by the Dice coefficient over word bigrams.
 
-A passage is a whole text, a paragraph (between blank lines) or a line. It is normalised to
-lower-case words of ASCII letters and digits. With s = |A & B| for the sets of bigrams A and B the
-coefficient is 2 s / (|A| + |B|), so a template reaches t only if its size lies between
-t / (2 - t) and (2 - t) / t of the passage's; others are never compared.
+A passage is a line, a sentence of a line, or a span of consecutive paragraphs (between blank lines) that isn't
+much longer than the longest template: of its words divided by t / (2 - t) at most. It is normalised to lower-case words of ASCII letters and digits. With s = |A & B| for the sets of bigrams A and
+B the coefficient is 2 s / (|A| + |B|), so a template reaches t only if its size lies between
+t / (2 - t) and (2 - t) / t of the passage's; templates are ordered by size and no other is looked at. For
+the same reason a span holds a template only if s is t / (2 - t) |A| at least: a span whose
+paragraphs have too few bigrams of any template for its largest paragraph is left without being put together.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,9 +51,20 @@ TEXTS = {
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "GPL-2.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    "LGPL-2.1": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library. If not, see https://www.gnu.org/licenses/.",
+    "LGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.",
+    "CC-BY-SA-4.0": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.",
+    "WTFPL": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
 }
 
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c == 10 else 32 for c in range(256))
+SENTENCE = re.compile(rb"(?<=[.!?;]) ")
 
 
 def templates() -> list[tuple[str, str]]:
@@ -65,16 +80,16 @@ class Scanner:
     """Finds the templates whose coefficient with a passage is ``threshold`` or more."""
 
     def __init__(self, known: list[tuple[str, str]], threshold: float):
-        self.threshold = threshold
-        self.grams = [(k, bigrams(t.encode().translate(WORDS).split())) for k, t in known]
-        self.by_gram: dict[tuple[bytes, bytes], list[int]] = {}
+        self.threshold, self.share = threshold, threshold / (2 - threshold)
+        self.grams = sorted(((k, bigrams(t.encode().translate(WORDS).split())) for k, t in known), key=lambda x: len(x[1]))
+        self.sizes = [len(g) for _, g in self.grams]
+        self.by_gram: dict[tuple[bytes, bytes], list[int]] = {}  # templates from small to large
         for i, (_, g) in enumerate(self.grams):
             for x in g:
                 self.by_gram.setdefault(x, []).append(i)
-        sizes = [len(g) for _, g in self.grams] or [0]
-        self.least = min(sizes) * threshold / (2 - threshold)
-        self.most = max(sizes) * (2 - threshold) / threshold
+        self.least, self.most = min(self.sizes, default=0) * self.share, max(self.sizes, default=0) / self.share
         self.firsts = {x for x, _ in self.by_gram}
+        self.words = int(max((len(t.encode().translate(WORDS).split()) for _, t in known), default=0) / self.share)
 
     def passage(self, words: list[bytes]) -> dict[str, float]:
         """Best coefficient of each licence that reaches the threshold."""
@@ -82,38 +97,55 @@ class Scanner:
         if len(words) - 1 < self.least or self.firsts.isdisjoint(words):
             return {}
         mine = bigrams(words)
-        if not self.least <= len(mine) <= self.most:
+        low, high = bisect_left(self.sizes, self.share * len(mine) - 1e-9), bisect_right(self.sizes, len(mine) / self.share + 1e-9)
+        shared = mine & self.by_gram.keys()
+        if low >= high or len(shared) < self.share * len(mine) - 1e-9:
             return {}
         common: dict[int, int] = {}
-        for x in mine:
-            for i in self.by_gram.get(x, ()):
+        for x in shared:
+            held = self.by_gram[x]
+            for i in held[bisect_left(held, low) : bisect_left(held, high)]:
                 common[i] = common.get(i, 0) + 1
         out: dict[str, float] = {}
         for i, s in common.items():
-            name, other = self.grams[i]
-            if self.threshold / (2 - self.threshold) * len(mine) <= len(other) <= (2 - self.threshold) / self.threshold * len(mine):
-                dice = 2 * s / (len(mine) + len(other))
-                if dice >= self.threshold:
-                    out[name] = max(out.get(name, 0.0), dice)
+            dice = 2 * s / (len(mine) + self.sizes[i])
+            if dice >= self.threshold:
+                out[self.grams[i][0]] = max(out.get(self.grams[i][0], 0.0), dice)
         return out
 
+    def spans(self, blocks: list[list[bytes]], lone: set[int]) -> Iterator[list[bytes]]:
+        """The words of each run of consecutive paragraphs that can hold a template; paragraphs ``lone`` aren't runs by themselves."""
+        held = []
+        for words in blocks:
+            mine = bigrams(words)
+            held.append((len(mine), len(mine & self.by_gram.keys())))
+        for i in range(len(blocks)):
+            largest = shared = n = 0
+            for j in range(i, len(blocks)):
+                size, known = held[j]
+                largest, shared, n = max(largest, size), shared + known + (j > i), n + len(blocks[j])
+                if largest > self.most or n > self.words:
+                    break
+                if shared >= self.share * largest - 1e-9 and shared >= self.least * self.share - 1e-9 and (j > i or i not in lone):
+                    yield [w for words in blocks[i : j + 1] for w in words]
+
     def text(self, text: bytes) -> dict[str, tuple[float, int]]:
         """Per licence the best coefficient over all passages and the number of passages that reach the threshold."""
         out: dict[str, tuple[float, int]] = {}
-        plain = text.translate(WORDS)
-        lines = [line.split() for line in plain.split(b"\n")]
-        passages, block = [x for x in lines if x], []
-        blocks = 0
-        for line in [*lines, []]:
-            if line:
-                block.append(line)
-            elif block:
-                blocks += 1
-                if len(block) > 1:
-                    passages.append([w for x in block for w in x])
-                block = []
-        if blocks > 1:
-            passages.append(plain.split())
+        blocks: list[list[list[bytes]]] = [[]]
+        passages = []
+        for line in text.split(b"\n"):
+            if words := line.translate(WORDS).split():
+                blocks[-1].append(words)
+                passages.append(words)
+                if len(parts := SENTENCE.split(line)) > 1:
+                    passages += [w for p in parts if (w := p.translate(WORDS).split())]
+            elif blocks[-1]:
+                blocks.append([])
+        blocks = [b for b in blocks if b]
+        lone = {i for i, b in enumerate(blocks) if len(b) == 1}  # a paragraph of one line is that line
+        flat = [[w for line in b for w in line] for b in blocks]
+        passages += self.spans(flat, lone)
         for words in passages:
             for name, dice in self.passage(words).items():
                 best, n = out.get(name, (0.0, 0))
@@ -124,8 +156,11 @@ class Scanner:
 def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] | None = None, threshold: float = 0.85) -> DataFrame:
     """(doc_id, license, dice, n_passages): a row for each licence found in each row of ``docs``.
 
-    Null and empty texts and texts of one word hold none. Passages that are the same run of lines
-    count once. Repeated rows give their own results; other columns are ignored.
+    ``dice`` is the best over the text's passages, ``n_passages`` how many reach ``threshold`` for the
+    licence; a line, its sentences and a span of paragraphs count each. Null and empty texts and texts
+    of one word hold none. A text of any length is scanned whole. Ties don't arise: licences are rows
+    of their own. Repeated rows give their own results; other columns are ignored, whatever their
+    names; an empty table gives an empty result.
     """
     known = templates() if known is None else known
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewake.llm.common import written
-from tidewake.llm.vectors import digested, vector_classes
+from tidewake.llm.vectors import digested, one_length, vector_classes
 
 EDGES = "node long, nbr long, score double"
 
@@ -157,15 +157,50 @@ def _ranked(rows: DataFrame, width: int) -> DataFrame:
     return rows.withColumn("_rank", rank).filter(F.col("_rank") <= width).drop("_rank")
 
 
-def nearest(vectors: DataFrame, *, k: int = 20, query_divisor: int = 20, degree: int = 32, width: int = 400, **build) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows of each row whose vec_id is divisible by ``query_divisor``.
+def audit_recall(nodes: DataFrame, found: DataFrame, queries: DataFrame, k: int, *, sample_rows: int = 128, seed: int = 29) -> float:
+    """Share of the ``k`` best nodes of at most ``sample_rows`` queries (rep, vec), compared with all ``nodes``, that ``found`` (query, node) has.
+
+    A node counts if it is as near as the k-th best, so that ties don't matter.
+    """
+    share = min(1.0, 2.0 * sample_rows / max(1, queries.count()))
+    drawn = queries.filter(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)).select("rep", "vec").limit(sample_rows).toArrow()
+    if not drawn.num_rows:
+        return 1.0
+    ids, q = drawn.column("rep").to_numpy(), _matrix(drawn.column("vec"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("rep").to_numpy()
+            if len(names):
+                scores = q @ _matrix(batch.column("vec")).T
+                scores[ids[:, None] == names[None, :]] = -np.inf
+                top = np.argpartition(-scores, min(k, len(names)) - 1, axis=1)[:, :k]
+                value = np.take_along_axis(scores, top, 1)
+                good = value > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, good.sum(axis=1))), pa.array(names[top][good]), pa.array(value[good])], names=["query", "node", "score"])
+
+    true = _ranked(nodes.select("rep", "vec").mapInArrow(best, "query long, node long, score double"), k)
+    sampled = true.select("query").distinct()
+    mine = _ranked(found.join(sampled, "query", "left_semi").select("query", "node", "score"), k)
+    least = true.groupBy("query").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    good = mine.join(least, "query").filter(F.col("score") >= F.col("least") - F.abs("least") * 1e-12).groupBy("query").agg(F.count("*").alias("f"))
+    row = least.join(good, "query", "left").agg(F.sum("n").alias("n"), F.sum(F.coalesce(F.least("f", "n"), F.lit(0))).alias("f")).first()
+    return 1.0 if not row.n else row.f / row.n
+
+
+def nearest(vectors: DataFrame, *, k: int = 20, query_divisor: int = 20, degree: int = 32, width: int = 400, target: float = 0.95, worst: float = 0.9, widest: int = 1600, **build) -> DataFrame:
+    """(query_id, rank, vec_id, score, recall): the k nearest rows of each row whose vec_id is divisible by ``query_divisor``.
 
     Nearness is the inner product in double precision, ties go to the smaller vec_id, the query's own
-    row is left out. Null, zero and non-finite vectors and null ids take no part; equal vectors are
-    one node, from which the k + 1 smallest ids can be returned. Rows that share a vec_id and differ
-    in the vector are answers of their own. With fewer than k candidates all of them are returned;
-    an empty table gives an empty result. Columns besides vec_id and embedding are ignored.
+    row is left out. Null, zero and non-finite vectors, vectors of another length than most and null
+    ids take no part; equal vectors are one node, from which the k + 1 smallest ids can be returned.
+    Rows that share a vec_id and differ in the vector are answers of their own. With fewer than k
+    candidates all of them are returned; an empty table gives an empty result. Columns besides
+    vec_id and embedding are ignored, whatever their names. ``recall`` is measured on a bounded sample
+    of queries against all rows, the same in all rows of the result: below ``target`` the search is
+    done again with lists twice as wide, up to ``widest``; RuntimeError if it is below ``worst`` then.
     """
+    vectors = one_length(vectors)
     classes = vector_classes(vectors, members=k + 1)
     nodes = classes.select("rep", "vec")
     graph = neighbour_graph(nodes, degree=degree, **build)
@@ -173,10 +208,19 @@ def nearest(vectors: DataFrame, *, k: int = 20, query_divisor: int = 20, degree:
     ids = digested(rows).select(F.col("vec_id").alias("query_id"), "digest").join(classes.select("digest", F.col("rep").alias("query")), "digest").select("query_id", "query")
     ids = written(ids, "queries")
     asked = classes.join(ids.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi")  # nodes that hold a query
-    found = search(nodes, graph, asked.select("rep", "vec"), width=max(width, k))
+    width = max(width, k)
+    while True:
+        found = search(nodes, graph, asked.select("rep", "vec"), width=width)
+        recall = audit_recall(nodes, found, asked, k)
+        if recall >= target or width >= widest:
+            break
+        width *= 2
+    if recall < worst:
+        raise RuntimeError(f"the search found {recall:.3f} of the neighbours of a sample, even with lists of {width}")
     own = asked.select(F.col("rep").alias("query"), F.col("rep").alias("node"), F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x).alias("score"))
     best = _ranked(found.unionByName(own), k + 1)
     members = classes.select(F.col("rep").alias("node"), F.explode("members").alias("vec_id"))
     pairs = ids.join(best, "query").join(members, "node").filter("vec_id <> query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", F.lit(recall).alias("recall"))

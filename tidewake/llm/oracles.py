@@ -55,13 +55,20 @@ OP8 = r"""
 WITH tpl AS (SELECT * FROM (VALUES {values}) AS t(license, body)),
      norm AS (SELECT row_number() OVER () AS tid, license, string_split_regex(trim(regexp_replace(lower(body), '[^0-9a-z]+', ' ', 'g')), ' ') AS w FROM tpl),
      tg AS (SELECT tid, license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM norm),
-     d AS (SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^0-9a-z\n]+', ' ', 'g'), '(^|\n) +($|\n)', '\1\2', 'g') AS x FROM documents),
-     e AS (SELECT doc_id, regexp_replace(x, '\n +\n', chr(10) || chr(10), 'g') AS x FROM d),
-     par AS (SELECT doc_id, unnest(string_split_regex(x, '\n *(\n *)+')) AS p, x FROM e),
-     pas AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS p FROM e
-             UNION ALL SELECT doc_id, p FROM par WHERE contains(trim(p, ' ' || chr(10)), chr(10))
-             UNION ALL SELECT doc_id, x FROM e WHERE len(list_filter(string_split_regex(x, '\n *(\n *)+'), lambda y: trim(y, ' ' || chr(10)) <> '')) > 1),
-     pw AS (SELECT row_number() OVER () AS pid, doc_id, string_split_regex(trim(regexp_replace(p, '[ \n]+', ' ', 'g')), ' ') AS w FROM pas),
+     lim AS (SELECT CAST(floor(max(len(w)) / (0.85 / 1.15)) AS BIGINT) AS most FROM norm),
+     ln AS (SELECT row_number() OVER () AS did, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+     l AS (SELECT did, doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM ln),
+     lw AS (SELECT did, doc_id, i, line, trim(regexp_replace(lower(line), '[^0-9a-z]+', ' ', 'g')) AS x FROM l),
+     mk AS (SELECT *, sum(CASE WHEN x = '' THEN 1 ELSE 0 END) OVER (PARTITION BY did ORDER BY i) AS blk FROM lw),
+     b0 AS (SELECT did, doc_id, blk, string_agg(x, ' ' ORDER BY i) AS x, count(*) AS n_lines FROM mk WHERE x <> '' GROUP BY did, doc_id, blk),
+     b AS (SELECT did, doc_id, x, n_lines, len(string_split(x, ' ')) AS n, row_number() OVER (PARTITION BY did ORDER BY blk) AS k FROM b0),
+     c AS (SELECT *, sum(n) OVER (PARTITION BY did ORDER BY k) AS run FROM b),
+     sp AS (SELECT a.did, a.doc_id, a.k AS i, z.k AS j, a.n_lines FROM c a JOIN c z ON a.did = z.did AND z.k >= a.k AND z.run - a.run + a.n <= (SELECT most FROM lim)),
+     sw AS (SELECT sp.doc_id, string_agg(b.x, ' ' ORDER BY b.k) AS p FROM sp JOIN b ON b.did = sp.did AND b.k BETWEEN sp.i AND sp.j
+            WHERE sp.j > sp.i OR sp.n_lines > 1 GROUP BY sp.did, sp.doc_id, sp.i, sp.j),
+     st AS (SELECT doc_id, unnest(string_split(regexp_replace(line, '([.!?;]) ', '\1' || chr(1), 'g'), chr(1))) AS p FROM l WHERE regexp_matches(line, '[.!?;] ')),
+     pas AS (SELECT doc_id, x AS p FROM lw WHERE x <> '' UNION ALL SELECT doc_id, trim(regexp_replace(lower(p), '[^0-9a-z]+', ' ', 'g')) FROM st UNION ALL SELECT doc_id, p FROM sw),
+     pw AS (SELECT row_number() OVER () AS pid, doc_id, string_split(p, ' ') AS w FROM pas),
      pg AS (SELECT pid, doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM pw WHERE len(w) > 1),
      pair AS (SELECT pid, doc_id, license, tid, len(pg.g) AS a, len(tg.g) AS b, len(list_intersect(pg.g, tg.g)) AS s
               FROM pg JOIN tg ON len(pg.g) BETWEEN len(tg.g) * 0.85 / 1.15 AND len(tg.g) * 1.15 / 0.85),

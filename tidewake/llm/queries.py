@@ -22,7 +22,7 @@ def op2_chat_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "\\### Assistant: </turn> ok"
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    records = chat.conversation_records(rows.unionByName(planted))
+    records = chat.conversation_json(chat.conversation_records(rows.unionByName(planted)))
     return chat.chat_digest(chat.format_turns(chat.canonical_turns(records, "record")))
 
 

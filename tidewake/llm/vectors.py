@@ -15,6 +15,12 @@ def usable(embedding: str = "embedding") -> Column:
     return F.coalesce(e.isNotNull() & sound & F.exists(e, lambda x: x != 0), F.lit(False))
 
 
+def one_length(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding) with null for vectors of another length than most that take part, the longest where lengths are as frequent."""
+    row = vectors.filter(usable()).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    return vectors.select("vec_id", F.when(F.size("embedding") == (row.d if row else -1), F.col("embedding")).alias("embedding"))
+
+
 def digested(vectors: DataFrame) -> DataFrame:
     """(vec_id, vec, digest) of the rows that take part; equal digests are equal vectors, -0.0 being 0.0."""
     rows = vectors.filter(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vec"))

@@ -168,7 +168,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     ).withColumns({"sha": F.sha1("payload"), "size": F.length("payload").cast("long")})
     first = body.groupBy("sha", "size").agg(F.max("page_id").alias("last_id"), F.count("*").alias("n")).filter(F.col("n") > 1).filter(F.col("size") >= min_bytes)
     revisit = F.col("last_id").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("last_id")))
-    return body.join(first.drop("n"), ["sha", "size"], "left").withColumn("refers_to", F.when(revisit, F.col("last_id"))).select("page_id", "url", "payload", "refers_to", revisit.alias("revisit"))
+    return body.join(first.drop("n"), ["sha", "size"], "left").withColumn("refers_to", F.when(revisit, F.col("last_id"))).select("page_id", "url", "payload", "sha", "refers_to", revisit.alias("revisit"))
 
 
 def write_archives(pages: DataFrame, path: str | None = None, *, min_bytes: int = 0, frame_bytes: int = 1 << 20, bundle_bytes: int = 256 << 20, level: int = 3, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -177,8 +177,9 @@ def write_archives(pages: DataFrame, path: str | None = None, *, min_bytes: int
     Null html is an empty payload, a null url an empty target, a null page_id the id
     ``<urn:page:>`` (never a response that others refer to, unless the whole group has null ids:
     then all are responses). Repeated rows are records of their own; rows that share the largest
-    page_id of a group are all responses. Columns besides the three are ignored. An empty table
-    gives an empty manifest.
+    page_id of a group are all responses. Columns besides the three are ignored, whatever their
+    names. A page of any length is one record in a frame of its own if it is over ``frame_bytes``.
+    An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
     root = (path or fresh_path(spark, "warc")).rstrip("/")
@@ -188,13 +189,13 @@ def write_archives(pages: DataFrame, path: str | None = None, *, min_bytes: int
         writer, held = None, 0
         for part in parts:
             ids, refers = part["page_id"].astype("Int64"), part["refers_to"].astype("Int64")
-            for page_id, url, payload, to, revisit in zip(ids, part["url"], part["payload"], refers, part["revisit"]):
+            for page_id, url, payload, sha, to, revisit in zip(ids, part["url"], part["payload"], part["sha"], refers, part["revisit"]):
                 if writer is None:
                     fs, folder = _filesystem(bundles)
                     fs.create_dir(folder, recursive=True)
                     writer, held = BundleWriter(f"{bundles}/{uuid.uuid4().hex}.warc.zst", frame_bytes, level), 0
                 page_id, to, payload = None if pd.isna(page_id) else int(page_id), None if pd.isna(to) else int(to), bytes(payload)
-                record = encode_record(page_id, url if isinstance(url, str) else None, payload, sha1_base32(payload), to, bool(revisit), date)
+                record = encode_record(page_id, url if isinstance(url, str) else None, payload, base64.b32encode(bytes.fromhex(sha)).decode(), to, bool(revisit), date)
                 writer.add(page_id, record)
                 held += len(record)
                 if held >= bundle_bytes:
@@ -206,28 +207,29 @@ def write_archives(pages: DataFrame, path: str | None = None, *, min_bytes: int
     return written(with_revisits(pages, min_bytes).mapInPandas(write, MANIFEST), "warc-manifest")
 
 
-def read_archives(manifest: DataFrame) -> DataFrame:
-    """All records of the bundles in ``manifest``, frame by frame; frames are dealt out over the cluster."""
+def read_archives(manifest: DataFrame, task_bytes: int = 4 << 20) -> DataFrame:
+    """All records of the bundles in ``manifest``, each found by its offset in its frame.
+
+    Frames are dealt out to one task for each ``task_bytes`` of their compressed bytes.
+    """
+    frames = manifest.groupBy("bundle", "frame").agg(F.max("frame_bytes").alias("bytes"), F.sort_array(F.collect_list("offset")).alias("offsets"))  # of one frame
+    total = frames.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first().n
+    return _read(frames.repartition(max(1, -(-total // task_bytes)), "bundle", "frame"))
 
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for bundle, frames in part.groupby("bundle")["frame"]:
-                fs, path = _filesystem(bundle)
-                with fs.open_input_file(path) as file:
-                    table = read_seek_table(file)
-                    for frame in sorted(frames):
-                        data, at, rows = read_frame(file, frame, table), 0, []
-                        while at < len(data):
-                            row, at = decode_record(data, at)
-                            rows.append(row)
-                        out = pd.DataFrame(rows)
-                        yield out.assign(page_id=out["page_id"].astype("Int64"), refers_to=out["refers_to"].astype("Int64"))
 
-    return manifest.select("bundle", "frame").distinct().mapInPandas(read, RECORDS)
+def read_records(manifest: DataFrame, page_ids: DataFrame, task_bytes: int = 4 << 20) -> DataFrame:
+    """The records of the pages in ``page_ids`` (page_id), each by one seek to its frame and its offset there.
+
+    A null id finds the records without an id. Repeated ids count once; ids that aren't in the
+    manifest give nothing.
+    """
+    wanted = page_ids.select("page_id").distinct()
+    picked = manifest.join(wanted.withColumnRenamed("page_id", "_wanted"), F.col("page_id").eqNullSafe(F.col("_wanted")), "left_semi")
+    return read_archives(picked, task_bytes)
 
 
-def read_records(manifest: DataFrame, page_ids: DataFrame) -> DataFrame:
-    """The records of the pages in ``page_ids`` (page_id), each by one seek to its frame and its offset there."""
+def _read(frames: DataFrame) -> DataFrame:
+    """The records at ``offsets`` of each of ``frames`` (bundle, frame, offsets)."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -235,9 +237,9 @@ def read_records(manifest: DataFrame, page_ids: DataFrame) -> DataFrame:
                 fs, path = _filesystem(bundle)
                 with fs.open_input_file(path) as file:
                     table = read_seek_table(file)
-                    for frame, offsets in rows.groupby("frame")["offset"]:
+                    for frame, offsets in zip(rows["frame"], rows["offsets"]):
                         data = read_frame(file, frame, table)
-                        out = pd.DataFrame([decode_record(data, at)[0] for at in sorted(offsets)])
+                        out = pd.DataFrame([decode_record(data, int(at))[0] for at in offsets])
                         yield out.assign(page_id=out["page_id"].astype("Int64"), refers_to=out["refers_to"].astype("Int64"))
 
-    return manifest.join(page_ids.select("page_id").distinct(), "page_id", "left_semi").select("bundle", "frame", "offset").repartition("bundle", "frame").mapInPandas(read, RECORDS)
+    return frames.select("bundle", "frame", "offsets").mapInPandas(read, RECORDS)
