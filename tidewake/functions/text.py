@@ -89,12 +89,12 @@ def language_of(path: Column) -> Column:
     return F.coalesce(F.element_at(table, F.lower(F.element_at(F.split(path, r"\."), -1))), F.lit("other"))
 
 
-def frames_with_checksum(data: Column) -> Column:
-    """(valid, loose): 11-byte frames that begin with 0x55 and whose last byte is the sum of the others, and all that begin so."""
+def frames_with_checksum(data: Column, types: tuple[int, int] = (0, 255)) -> Column:
+    """(valid, loose): 11-byte frames that begin with 0x55 and a byte between ``types`` and whose last byte is the sum of the others, and all that begin so."""
     text = F.hex(data)
     byte = lambda i: F.conv(F.substring(text, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
     n = F.length(data)
-    starts = F.filter(F.when(n >= 11, F.sequence(F.lit(0), n - 11)).otherwise(F.array().cast("array<int>")), lambda i: byte(i) == 0x55)
+    starts = F.filter(F.when(n >= 11, F.sequence(F.lit(0), n - 11)).otherwise(F.array().cast("array<int>")), lambda i: (byte(i) == 0x55) & byte(i + 1).between(*types))
     total = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(9)), F.lit(0), lambda s, j: s + byte(i + j))
     valid = F.filter(starts, lambda i: total(i).bitwiseAND(F.lit(0xFF)) == byte(i + 10))
     return F.struct(F.size(valid).alias("valid"), F.size(starts).alias("loose"))

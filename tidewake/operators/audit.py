@@ -13,14 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.functions import text as tx
+from tidewake.sources.scratch import fresh_folder
 
 BRANCHES = ("if", "for", "while", "case", "catch", "except", "and", "or", "&&", "||")
-PATTERNS = {
-    "todo": r"\b(TODO|FIXME|XXX|HACK)\b",
-    "unsafe_c": r"\b(strcpy|strcat|sprintf|gets|system)\s*\(",
-    "unsafe_cpp": r"\b(reinterpret_cast|const_cast)\s*<",
-    "unsafe_py": r"\b(eval|exec|pickle\.loads|os\.system)\s*\(",
-}
+# Words and calls that a review looks at, and their weights.
+TODO = r"(?i)\b(TODO|FIXME|HACK|XXX)\b"
+C_CALLS = ("strcpy", "strcat", "sprintf", "vsprintf", "gets", "scanf", "sscanf", "fscanf", "memcpy", "memmove")
+CPP_PATTERNS = (r"\bnew\b", r"\bdelete\b", r"\breinterpret_cast<", r"\bconst_cast<")
+PY_PATTERNS = (r"except\s*:\s*\n", r"except\s+Exception\s*:\s*\n", r"subprocess\.(Popen|run)\(", r"os\.system\(")
+CRITICAL_WORDS = ("ControlGuard", "estop", "failsafe", "ttl", "armed", "set_all_mid", "setAllMid", "PWM", "thruster", "allocation", "ControlIntent", "Telemetry", "gcs")
 WEIGHTS = {"todo": 5, "unsafe_c": 8, "unsafe_cpp": 6, "unsafe_py": 6}
 INCLUDE = r'(?m)^\s*#include\s*[<"]([^>"]+)[>"]'
 
@@ -41,12 +42,21 @@ def risk_score(code: Column, longest: Column, nest: Column, branches: Column, co
     return code + 15 * longest + 40 * nest + 8 * branches + F.when(sparse, 200).otherwise(0)
 
 
+def pattern_counts(text: Column, language: Column) -> dict[str, Column]:
+    """Hits of each group of patterns: C and C++ ones in C++ files alone, Python ones in Python files, words everywhere."""
+    total = lambda patterns: sum((tx.matches(text, p) for p in patterns), F.lit(0))
+    only = lambda kind, c: F.when(language == kind, c).otherwise(0)
+    return {
+        "todo": tx.matches(text, TODO), "unsafe_c": only("cpp", tx.matches(text, rf"\b(?:{'|'.join(C_CALLS)})\b")), "unsafe_cpp": only("cpp", total(CPP_PATTERNS)),
+        "unsafe_py": only("python", total(PY_PATTERNS)), "critical": total(re.escape(w) for w in CRITICAL_WORDS),
+    }
+
+
 def pattern_hits(files: DataFrame) -> DataFrame:
-    """path, hits of each pattern and the weighted score, files without hits left out."""
-    hits = {name: tx.matches(F.col("text"), p) for name, p in PATTERNS.items()}
-    rows = files.select("path", *(c.alias(n) for n, c in hits.items()))
-    score = sum((F.col(n) * w for n, w in WEIGHTS.items()), F.lit(0))
-    return rows.withColumn("score", score).filter("score > 0")
+    """path, hits of each group and the weighted score, 1 more where any critical word is; files without text are left out."""
+    hits = pattern_counts(F.col("text"), tx.language_of(F.col("path")))
+    rows = files.filter(F.length("text") > 0).select("path", *(c.alias(n) for n, c in hits.items()))
+    return rows.withColumn("score", sum((F.col(n) * w for n, w in WEIGHTS.items()), F.when(F.col("critical") > 0, 1).otherwise(0)))
 
 
 def include_edges(files: DataFrame) -> DataFrame:
@@ -61,27 +71,38 @@ def include_matrix(edges: DataFrame, modules: Sequence[str] | None = None) -> Da
     return pivot.agg(F.sum("n")).fillna(0)
 
 
-def graph_text(edges: DataFrame) -> str:
-    """DOT text of a module graph; edges between modules are few."""
-    body = "".join(f'  "{r.module}" -> "{r.target}" [label="{r.n}"];\n' for r in edges.orderBy("module", "target").collect())
+def graph_text(edges: DataFrame, most: int = 100_000) -> str:
+    """DOT text of a module graph; ValueError if it has more than ``most`` edges, which is no picture any more."""
+    rows = edges.orderBy("module", "target").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the graph has more than {most} edges")
+    body = "".join(f'  "{r.module}" -> "{r.target}" [label="{r.n}"];\n' for r in rows)
     return f"digraph includes {{\n{body}}}\n"
 
 
-def cycles(edges: DataFrame, longest: int = 6) -> DataFrame:
+def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
     """Simple cycles of at least three modules, each once, from its least module: joins of paths with edges.
 
     Paths only grow through modules greater than their first, so their number stays that of the
-    cycles' prefixes.
+    cycles' prefixes. They grow until none is left, or to ``longest`` modules if that is given.
+    Each length is written, as the number of steps isn't known before.
     """
-    steps = edges.select("module", "target").filter("module <> target").distinct()
-    paths = steps.filter("target > module").select(F.col("module").alias("first"), F.col("target").alias("last"), F.array("module", "target").alias("path"))
-    found = None
-    for _ in range(longest - 1):
+    spark = edges.sparkSession
+
+    def kept(df: DataFrame) -> DataFrame:
+        folder = fresh_folder(spark, "cycles")
+        df.write.parquet(folder)
+        return spark.read.schema(df.schema).parquet(folder)
+
+    steps = kept(edges.select("module", "target").filter("module <> target").distinct())
+    paths = kept(steps.filter("target > module").select(F.col("module").alias("first"), F.col("target").alias("last"), F.array("module", "target").alias("path")))
+    found, length = spark.createDataFrame([], "cycle string, length int"), 2
+    while (longest is None or length <= longest) and not paths.isEmpty():
         grown = paths.join(steps, F.col("last") == F.col("module"))
-        closed = grown.filter((F.col("target") == F.col("first")) & (F.size("path") >= 3)).select(F.array_join("path", ">").alias("cycle"), F.size("path").alias("length"))
-        found = closed if found is None else found.unionByName(closed)
+        if length >= 3:
+            found = found.unionByName(grown.filter(F.col("target") == F.col("first")).select(F.array_join("path", ">").alias("cycle"), F.size("path").alias("length")))
         grown = grown.filter((F.col("target") > F.col("first")) & ~F.array_contains("path", F.col("target")))
-        paths = grown.select("first", F.col("target").alias("last"), F.concat("path", F.array("target")).alias("path"))
+        paths, length = kept(grown.select("first", F.col("target").alias("last"), F.concat("path", F.array("target")).alias("path"))), length + 1
     return found.distinct()
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewake.functions import geometry as geo
 from tidewake.operators.asof import nearest
 from tidewake.operators.timeseries import stride
 
@@ -80,6 +81,24 @@ def update(x: np.ndarray, cov: np.ndarray, r: np.ndarray, h: np.ndarray, noise:
     return out, 0.5 * (cov + cov.T), np.diag(s), float(r @ np.linalg.solve(s, r))
 
 
+def measurements(be: DataFrame, bi: DataFrame, *, use_body: bool = True) -> DataFrame:
+    """``be`` with the measurement zE, zN, zU of each row, its speeds and ``src_xy``, the source of the horizontal part.
+
+    The vertical part is always that of the earth-frame log. The horizontal part is the body-frame
+    velocity of the same ordinal, turned by the row's attitude (roll, pitch, yaw), in runs where both
+    logs have as many rows; else it is the earth-frame velocity.
+    """
+    order, whole = W.partitionBy("run_id").orderBy("t_s", "_row"), W.partitionBy("run_id")
+    numbered = lambda df: df.withColumns({"_i": F.row_number().over(order), "_n": F.count("*").over(whole)})
+    body = numbered(bi).select("run_id", "_i", F.col("_n").alias("_m"), F.col("vE").alias("_x"), F.col("vN").alias("_y"), F.col("vU").alias("_z"))
+    rows = numbered(be).join(body, ["run_id", "_i"], "left")
+    aligned = F.coalesce(F.col("_m") == F.col("_n"), F.lit(False)) & F.lit(use_body)
+    east, north, _ = geo.rotate(geo.rotation(F.col("roll"), F.col("pitch"), F.col("yaw")), (F.col("_x"), F.col("_y"), F.col("_z")))
+    rows = rows.withColumns({"src_xy": F.when(aligned, "BI").otherwise("BE"), "zE": F.when(aligned, east).otherwise(F.col("vE")), "zN": F.when(aligned, north).otherwise(F.col("vN")), "zU": F.col("vU")})
+    rows = rows.withColumns({"speed_h": F.hypot("zE", "zN"), "speed_3d": F.sqrt(F.col("zE") ** 2 + F.col("zN") ** 2 + F.col("zU") ** 2)})
+    return rows.drop("_i", "_n", "_m", "_x", "_y", "_z")
+
+
 FILTERED = "run_id long, _row long, t_s double, kind string, E double, N double, U double, yaw_rad double, vE double, vN double, vU double, nis double, r0 double, r1 double, r2 double, S0 double, S1 double, S2 double, vE_pre double, vN_pre double, vU_pre double"
 
 

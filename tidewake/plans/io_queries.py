@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewake.functions import geometry as geo
-from tidewake.operators import deadreckon, gates, ops
+from tidewake.operators import deadreckon, estimate, gates, ops
 from tidewake.plans.catalogue import register
 from tidewake.plans.samples import HOUR, SQL, samples, table
 from tidewake.plans.series_queries import OVER
@@ -34,7 +33,7 @@ def s06(spark, sf):
     log = samples(spark, sf, "BE", "BI").select(F.col("t_s").alias("EstS"), F.lit("DVL_H1000").alias("SensorID"), F.col("src").alias("Src"), (F.col("value") / 50).alias("Ve_enu(m_s)"), F.col("run_id").alias("run"), F.col("_row").alias("event"))
     other = log.limit(5).withColumn("SensorID", F.lit("OTHER"))
     path = fresh_folder(spark, "dvl")
-    sinks.write_csv(log.unionByName(other).coalesce(1), path, by=())
+    sinks.write_csv(log.unionByName(other), path, by=())
     back = readers.scan_parsed_dvl(spark, path)
     return back.select(F.col("run").cast("long").alias("run_id"), F.col("event").cast("long").alias("_row"), F.col("Src").alias("src"), F.round("t_s", 4).alias("t_s"), F.round("`Ve_enu(m_s)`", 6).alias("v"))
 
@@ -49,7 +48,7 @@ def s13(spark, sf):
 def k03(spark, sf):
     rows = samples(spark, sf, "BE").select("run_id", "t_s", F.col("vE").alias("E"), F.col("vN").alias("N"), F.col("vU").alias("U"), F.col("yaw").alias("yaw_rad"))
     path = fresh_folder(spark, "trajectory")
-    sinks.write_trajectory(rows.repartition(1, "run_id"), path)
+    sinks.write_trajectory(rows.repartition("run_id"), path)
     back = sinks.read_trajectory(spark, path).withColumn("run_id", F.col("run_id").cast("long"))
     return back.groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.sum("E"), 5).alias("e"), F.round(F.sum("yaw_rad"), 5).alias("yaw"))
 
@@ -61,11 +60,11 @@ def k02(spark, sf):
     return out.select("run_id", "_row", F.round("roll_rad", 6).alias("roll_rad"), F.round("roll_deg", 6).alias("roll_deg"))
 
 
-@register("k05_append_events", "SELECT event_type AS event, count(*) AS n FROM events WHERE user_id < 40 GROUP BY event_type")
+@register("k05_append_events", "SELECT event_type AS event, count(*) AS n FROM events GROUP BY event_type")
 def k05(spark, sf):
     rows, path = table(spark, sf, "events").select(F.col("event_type").alias("event"), F.col("user_id").alias("run_id")), fresh_folder(spark, "events")
-    for low in (0, 20):
-        sinks.append_events(rows.filter((F.col("run_id") >= low) & (F.col("run_id") < low + 20)), path)
+    for half in (0, 1):
+        sinks.append_events(rows.filter(F.pmod("run_id", F.lit(2)) == half), path)
     return spark.read.option("header", True).csv(path).groupBy("event").agg(F.count("*").alias("n"))
 
 
@@ -87,11 +86,70 @@ def e15(spark, sf):
     return rows.select("_row", F.round("roll_rate", 6).alias("roll_rate"), F.round("yaw_rate", 6).alias("yaw_rate"))
 
 
-@register("e07_measurement_columns", SQL + " SELECT _row, round(cos(yaw) * vE - sin(yaw) * vN, 6) AS east, round(vU, 6) AS up FROM s WHERE src = 'BI'")
+_ROT = ("cos(yaw) * cos(pitch)", "cos(yaw) * sin(pitch) * sin(roll) - sin(yaw) * cos(roll)", "cos(yaw) * sin(pitch) * cos(roll) + sin(yaw) * sin(roll)")
+
+
+@register("e07_measurement_columns", SQL + f""", r AS (SELECT *, row_number() OVER (PARTITION BY run_id, src ORDER BY t_s, _row) AS i, count(*) OVER (PARTITION BY run_id, src) AS n FROM s WHERE src <> 'IMU'),
+  j AS (SELECT b.run_id, b._row, b.vE, b.vN, b.vU, b.roll, b.pitch, b.yaw, o.vE AS x, o.vN AS y, o.vU AS z, coalesce(o.n = b.n, false) AS whole FROM r b LEFT JOIN r o ON o.src = 'BI' AND o.run_id = b.run_id AND o.i = b.i WHERE b.src = 'BE'),
+  m AS (SELECT *, CASE WHEN whole THEN 'BI' ELSE 'BE' END AS src_xy, CASE WHEN whole THEN {_ROT[0]} * x + ({_ROT[1]}) * y + ({_ROT[2]}) * z ELSE vE END AS e FROM j)
+  SELECT run_id, _row, src_xy, round(e, 6) AS "zE", round(vU, 6) AS "zU" FROM m""")
 def e07(spark, sf):
-    zero = F.lit(0.0)
-    east, _, _ = geo.rotate(geo.rotation(zero, zero, F.col("yaw")), (F.col("vE"), F.col("vN"), F.col("vU")))
-    return samples(spark, sf, "BI").select("_row", F.round(east, 6).alias("east"), F.round("vU", 6).alias("up"))
+    rows = estimate.measurements(samples(spark, sf, "BE"), samples(spark, sf, "BI"))
+    return rows.select("run_id", "_row", "src_xy", F.round("zE", 6).alias("zE"), F.round("zU", 6).alias("zU"))
+
+
+def _velocity_gap(spark, sf):
+    """Measured less estimated velocity of each velocity sample, on a clock of hours: the estimate is the run's velocity so far in the mean."""
+    return samples(spark, sf, "BE", "BI").select("run_id", "_row", (F.col("t_s") / HOUR).alias("t_s"), (F.col("vE") - 0.5).alias("dvE"), (F.col("vN") + 0.25).alias("dvN"))
+
+
+@register("r07_sliding_correction", SQL + " SELECT run_id, _row, round(avg(vE - 0.5) OVER w, 6) AS e, round(avg(vN + 0.25) OVER w, 6) AS n, CAST(count(*) OVER w AS BIGINT) AS held FROM s WHERE src <> 'IMU' WINDOW w AS (PARTITION BY run_id ORDER BY t_s / 3600.0 RANGE BETWEEN 100.0 PRECEDING AND CURRENT ROW)")
+def r07_stream(spark, sf):
+    rows, folder = _velocity_gap(spark, sf), fresh_folder(spark, "sliding")
+    rows.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    done = replay.run_once(replay.sliding_correction(stream, 100.0), f"{folder}/state", f"{folder}/out")
+    return done.select("run_id", "_row", F.round("correction_e", 6).alias("e"), F.round("correction_n", 6).alias("n"), F.col("held").cast("long").alias("held"))
+
+
+@register("s07_processed_imu", SQL + " SELECT run_id, _row, round(t_s, 4) AS t_s, round(ax, 6) AS ax, round(radians(gz), 6) AS gz, round(yaw, 6) AS yaw FROM s WHERE src = 'IMU'")
+def s07(spark, sf):
+    log = samples(spark, sf, "IMU").select("t_s", *(F.col(c).alias(f"Acc{a}_mps2") for c, a in zip(("ax", "ay", "az"), "XYZ")), *(F.radians(c).alias(f"Gyro{a}_in_rad_s") for c, a in zip(("gx", "gy", "gz"), "XYZ")), *(F.lit(0.0).alias(f"Gyro{a}_out_rad_s") for a in "XYZ"), F.col("yaw").alias("yaw_nav_rad"), F.col("run_id").alias("yaw_device_rad"), "_row")
+    path = fresh_folder(spark, "processed")
+    sinks.write_csv(log.drop("_row").withColumn("AccZ_mps2", F.col("AccZ_mps2")), path, by=())
+    back = readers.scan_processed_imu(spark, path)
+    # the run rides in the device's yaw; a row of the log is known by run and time
+    near = samples(spark, sf, "IMU").select("run_id", "_row", F.round("t_s", 4).alias("t_s"), F.row_number().over(W.partitionBy("run_id", F.round("t_s", 4)).orderBy("_row")).alias("i"))
+    back = back.select(F.col("yaw_device_rad").cast("long").alias("run_id"), F.round("t_s", 4).alias("t_s"), F.round("ax", 6).alias("ax"), F.round("gz", 6).alias("gz"), F.round("yaw_nav_rad", 6).alias("yaw"))
+    back = back.withColumn("i", F.row_number().over(W.partitionBy("run_id", "t_s").orderBy("ax", "gz", "yaw")))
+    return back.join(near, ["run_id", "t_s", "i"]).select("run_id", "_row", "t_s", "ax", "gz", "yaw")
+
+
+@register("s08_planar_inputs", SQL + ", q AS (SELECT CAST(floor(t_s / 7200) AS DOUBLE) AS t, run_id, min(_row) AS least FROM s WHERE src = 'BE' AND k % 6 <> 0 GROUP BY 1, 2) SELECT run_id, count(*) AS n, round(sum(t), 3) AS t FROM q GROUP BY run_id")
+def s08(spark, sf):
+    log = samples(spark, sf, "BE").select("run_id", F.floor(F.col("t_s") / 7200).cast("double").alias("t_s"), F.when(F.col("k") % 6 == 0, "bad").otherwise(F.col("vE").cast("string")).alias("Ve_enu(m_s)"), F.col("vN").alias("Vn_enu"), F.col("vU").alias("Vu_enu(m_s)"))
+    path = fresh_folder(spark, "planar")
+    sinks.write_csv(log.repartition("run_id").withColumn("run", F.col("run_id")), path)
+    back = readers.scan_planar_inputs(spark, path, "be").withColumn("run_id", F.regexp_extract("source_path", "run_id=([0-9]+)", 1).cast("long"))
+    return back.groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.sum("t_s"), 3).alias("t"))
+
+
+@register("s09_csv_sorted", SQL + " SELECT event_type AS what, count(*) AS n, CAST(min(_row) AS BIGINT) AS least FROM s GROUP BY event_type")
+def s09(spark, sf):
+    log, path = samples(spark, sf).select(F.col("t_s").alias("EstS"), F.col("event_type").alias("Src"), F.col("_row").alias("event")), fresh_folder(spark, "sorted")
+    sinks.write_csv(log, path, by=())
+    back = readers.scan_sorted(spark, path)
+    return back.groupBy(F.col("Src").alias("what")).agg(F.count("*").alias("n"), F.min("event").cast("long").alias("least"))
+
+
+@register("s10_update_diag", SQL + " SELECT _row, 'up' || (k % 3) AS name, CAST(1 + CAST(k % 2 > 0 AS INT) + CAST(k % 3 > 0 AS INT) AS BIGINT) AS r_dim, CAST(CAST(k % 5 > 0 AS INT) AS BIGINT) AS s_dim FROM s")
+def s10(spark, sf):
+    k = F.col("k")
+    log = samples(spark, sf).select("t_s", F.concat(F.lit("up"), (k % 3).cast("string")).alias("name"), F.col("value").alias("nis"), F.lit(1.0).alias(" r0"), F.when(k % 2 > 0, 1.0).alias("r1 "), F.when(k % 3 > 0, 1.0).alias("r2"), F.when(k % 5 > 0, 2.0).alias("S0"), F.col("_row").alias("event"))
+    path = fresh_folder(spark, "diag")
+    sinks.write_csv(log, path, by=())
+    back = readers.scan_update_diag(spark, path)
+    return back.select(F.col("event").cast("long").alias("_row"), "name", F.col("r_dim").cast("long").alias("r_dim"), F.col("S_dim").cast("long").alias("s_dim"))
 
 
 @register("r07_sliding_window", SQL + " SELECT run_id, _row, round(avg(vE) OVER (PARTITION BY run_id ORDER BY CAST(round(t_s * 1e6) AS BIGINT) RANGE BETWEEN 360000000000 PRECEDING AND CURRENT ROW), 6) AS correction FROM s")

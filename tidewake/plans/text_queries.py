@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewake.functions import columns as col
 from tidewake.functions import text as tx
-from tidewake.operators import audit, ops
+from tidewake.operators import audit, devices, ops
 from tidewake.plans.catalogue import register
 from tidewake.plans.samples import HOUR, SQL, samples, table
 from tidewake.plans.series_queries import OVER
@@ -132,12 +132,23 @@ def c03(spark, sf):
     return _long(rows.select("doc_id", audit.risk_score(F.col("code"), F.col("longest"), F.lit(0), F.lit(0), F.lit(0)).alias("score")), "score")
 
 
-@register("c05_pattern_scan", "WITH c AS (SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '\\b(TODO|FIXME|XXX|HACK)\\b')) AS todo, len(regexp_extract_all(coalesce(html, ''), '\\b(strcpy|strcat|sprintf|gets|system)\\s*\\(')) + 0 AS unsafe_c, len(regexp_extract_all(coalesce(html, ''), 'track\\(')) AS track FROM pages) SELECT page_id, track, 5 * todo + 8 * unsafe_c AS score FROM c")
+def _count_sql(text, patterns):
+    return " + ".join(f"len(regexp_extract_all({text}, '{p}'))" for p in patterns)
+
+
+_SOURCE = "CASE page_id % 3 WHEN 0 THEN 'cpp' WHEN 1 THEN 'py' ELSE 'md' END"
+_BODY = "replace(replace(coalesce(html, ''), '<', ' new memcpy('), '>', ' hack os.system( Telemetry ')"
+
+
+@register("c05_pattern_scan", f"""WITH f AS (SELECT page_id, {_SOURCE} AS ext, {_BODY} AS x FROM pages),
+  c AS (SELECT page_id, {_count_sql("x", [audit.TODO])} AS todo, CASE ext WHEN 'cpp' THEN {_count_sql("x", ["\\b(?:" + "|".join(audit.C_CALLS) + ")\\b"])} ELSE 0 END AS unsafe_c, CASE ext WHEN 'cpp' THEN {_count_sql("x", audit.CPP_PATTERNS)} ELSE 0 END AS unsafe_cpp,
+          CASE ext WHEN 'py' THEN {_count_sql("x", audit.PY_PATTERNS)} ELSE 0 END AS unsafe_py, {_count_sql("x", audit.CRITICAL_WORDS)} AS critical, length(x) AS n FROM f)
+  SELECT page_id, todo, unsafe_c, unsafe_cpp, unsafe_py, critical, 5 * todo + 8 * unsafe_c + 6 * unsafe_cpp + 6 * unsafe_py + CAST(critical > 0 AS INT) AS score FROM c WHERE n > 0""")
 def c05(spark, sf):
-    pages = table(spark, sf, "pages")
-    hits = {n: tx.matches(F.col("html"), audit.PATTERNS[n]) for n in ("todo", "unsafe_c")}
-    score = sum((c * audit.WEIGHTS[n] for n, c in hits.items()), F.lit(0))
-    return _long(pages.select("page_id", tx.matches(F.col("html"), r"track\(").alias("track"), score.alias("score")), "track", "score")
+    files = table(spark, sf, "pages").select("page_id", F.concat(F.lit("src/"), F.col("page_id").cast("string"), F.lit("."), F.expr(_SOURCE)).alias("path"), F.expr(_BODY).alias("text"))
+    rows = audit.pattern_hits(files).withColumn("page_id", F.regexp_extract("path", "src/([0-9]+)", 1).cast("long"))
+    names = ("todo", "unsafe_c", "unsafe_cpp", "unsafe_py", "critical", "score")
+    return _long(rows.select("page_id", *names), *names)
 
 
 _HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
@@ -150,20 +161,18 @@ def c06(spark, sf):
     return audit.include_matrix(counts, ["nav", "p", "title"])
 
 
-@register("c07_cycles", """WITH RECURSIVE n AS (SELECT DISTINCT a.c_nationkey AS module, b.s_nationkey AS target FROM customer a JOIN supplier b ON a.c_custkey % 97 = b.s_suppkey % 97 WHERE a.c_custkey < 60 AND a.c_nationkey <> b.s_nationkey),
+@register("c07_cycles", """WITH RECURSIVE n AS (SELECT DISTINCT c_nationkey % 9 AS module, (2 * c_nationkey + c_custkey % 3) % 9 AS target FROM customer),
   p AS (SELECT module AS first, target AS last, [module, target] AS path FROM n WHERE target > module
-        UNION ALL SELECT p.first, n.target, list_append(p.path, n.target) FROM p JOIN n ON p.last = n.module WHERE n.target > p.first AND NOT list_contains(p.path, n.target) AND len(p.path) < 4)
-  SELECT DISTINCT array_to_string(path, '>') AS cycle, len(path) AS length FROM p JOIN n ON p.last = n.module AND n.target = p.first WHERE len(path) >= 3""")
+        UNION ALL SELECT p.first, n.target, list_append(p.path, n.target) FROM p JOIN n ON p.last = n.module WHERE n.target > p.first AND NOT list_contains(p.path, n.target))
+  SELECT DISTINCT array_to_string(path, '>') AS cycle, CAST(len(path) AS BIGINT) AS length FROM p JOIN n ON p.last = n.module AND n.target = p.first WHERE len(path) >= 3""")
 def c07(spark, sf):
-    a, b = table(spark, sf, "customer"), table(spark, sf, "supplier")
-    edges = a.filter("c_custkey < 60").join(b, F.col("c_custkey") % 97 == F.col("s_suppkey") % 97).select(F.col("c_nationkey").alias("module"), F.col("s_nationkey").alias("target"))
-    return _long(audit.cycles(edges, 4), "length")
+    edges = table(spark, sf, "customer").select((F.col("c_nationkey") % 9).alias("module"), ((2 * F.col("c_nationkey") + F.col("c_custkey") % 3) % 9).alias("target"))
+    return _long(audit.cycles(edges), "length")
 
 
-@register("c08_git_hotspots", "SELECT 'src/' || source || '.py' AS path, count(*) AS changes FROM documents WHERE doc_id % 3 <> 0 GROUP BY source ORDER BY changes DESC, path LIMIT 10")
+@register("c08_git_hotspots", "SELECT 'src/' || source || '.py' AS path, count(*) AS changes FROM documents WHERE source IS NOT NULL GROUP BY source ORDER BY changes DESC, path LIMIT 10")
 def c08(spark, sf):
-    status = F.when(F.col("doc_id") % 3 == 0, "commit ").otherwise(F.concat(F.lit("M\t")))
-    return audit.hotspots(table(spark, sf, "documents").select(F.concat(status, F.lit("src/"), F.col("source"), F.lit(".py")).alias("value")), 10)
+    return audit.hotspots(table(spark, sf, "documents").select(F.concat(F.lit("M\tsrc/"), F.col("source"), F.lit(".py")).alias("value")), 10)
 
 
 @register("j11_merge_by_key", "SELECT d.doc_id, l.quality, length(coalesce(text, '')) AS size FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -192,6 +201,31 @@ def _scores(spark, sf):
 _RESOLVED = f"WITH {_SCORES}, rk AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS second FROM sc WINDOW w AS (PARTITION BY identity ORDER BY score DESC, type)), re AS (SELECT identity, score, CASE WHEN score < 0.6 THEN 'unknown' WHEN score - second <= 0.12 + 1e-9 AND second >= 0.6 THEN 'ambiguous' ELSE type END AS type FROM rk WHERE rank = 1)"
 
 
+# Captured samples: each event as a line or a header of one of the devices, by its k.
+_SAMPLE = r"""CASE k % 12 WHEN 0 THEN concat('Timestamp(s),SensorID,RawLine', chr(10), '1,DVL_H1000,":BE,', k, ',V"') WHEN 1 THEN concat(':TS,1', chr(10), ':BI,2', chr(10), ':bd , 3:SA,', k) WHEN 2 THEN concat(':BS,', k)
+  WHEN 3 THEN 'CS 1' WHEN 4 THEN 'MonoNS,EstNS,AccX,AccY,AccZ,AsX,AsY,AsZ,HX,HY,HZ,AngX,AngY,AngZ,TemperatureC' WHEN 5 THEN concat(chr(10), '"accx",accy,AccZ,AsX,AsY,AsZ,HX,HY,HZ,AngX,AngY,AngZ', chr(10), k)
+  WHEN 6 THEN 'ax(g)	ay(g)	az(g)	wx(deg/s)	wy(deg/s)	wz(deg/s)	AngleX(deg)	AngleY(deg)	AngleZ(deg)	magx	magy	magz'
+  WHEN 7 THEN concat('Timestamp,CH0,CH1,CH2,CH3,CH4,CH5,CH6,CH7,CH8,CH9,CH10,CH11,CH12,CH13,CH14,CH15', chr(10), 't,', k, 'V,0.000A') WHEN 8 THEN concat('CH0,CH1,CH2,CH3,CH4,CH5,CH6,CH7,CH8,CH9,CH10,CH11,CH12,CH13,CH14,CH15', chr(10), k, 'V,2')
+  WHEN 9 THEN concat('CH0: 1.5 V', chr(10), 'CH1: 2', chr(10), 'ch2:3', chr(10), 'CH3: ', k, chr(10), ':BE,1') WHEN 10 THEN 'a usbl beacon' ELSE 'heartbeat: 42' END"""
+_HEAD = "list_transform(string_split_regex(trim(string_split(ltrim(x, chr(10)), chr(10))[1]), CASE WHEN contains(string_split(ltrim(x, chr(10)), chr(10))[1], ',') THEN ',' ELSE chr(9) END), lambda y: lower(trim(trim(y), '\"')))"
+_ALL = lambda names: "list_has_all(h, [" + ", ".join(f"'{n.lower()}'" for n in names) + "])"
+
+
+@register("o02_sample_classify", SQL + f""", x0 AS (SELECT _row, {_SAMPLE} AS x FROM s), x1 AS (SELECT _row, x, {_HEAD} AS h, list_sort(list_distinct(list_transform(regexp_extract_all(x, '{devices.DVL_REPLY}', 1), lambda y: upper(y)))) AS tok,
+    list_distinct(regexp_extract_all(x, '{devices.CHANNEL_LINE}', 1)) AS ch, len(list_filter(regexp_extract_all(x, '{devices.CHANNEL_LINE}', 2), lambda y: y <> '')) > 0 AS marked,
+    list_distinct(list_filter(list_transform(string_split(replace(substr(x, strpos(x, chr(10)) + 1), chr(10), ','), ','), lambda y: upper(regexp_extract(y, '{devices.CELL_UNIT}', 1))), lambda y: y <> '' AND contains(x, chr(10)))) AS u FROM x0),
+  x2 AS (SELECT *, CASE WHEN {_ALL(devices.DVL_EXPORT)} THEN CASE WHEN regexp_matches(x, '{devices.DVL_SENSOR}') THEN 0.78 ELSE 0.74 END ELSE 0 END AS dh, CASE WHEN len(tok) >= 3 THEN least(0.94, 0.78 + 0.03 * len(tok)) WHEN len(tok) = 2 THEN 0.82 WHEN len(tok) = 1 THEN 0.68 ELSE 0 END AS dt,
+    CASE WHEN len(list_filter(h, lambda y: regexp_full_match(y, 'ch[0-9]+'))) >= 16 THEN 0.78 + CASE WHEN h[1] IN ('timestamp', 'monons') THEN 0.04 ELSE 0 END + CASE WHEN list_has_all(u, ['A', 'V']) THEN 0.05 WHEN len(u) > 0 THEN 0.02 ELSE 0 END ELSE 0 END AS vh,
+    CASE WHEN len(ch) >= 4 THEN least(0.82, 0.66 + 0.02 * least(len(ch), 8)) + CASE WHEN marked THEN 0.04 ELSE 0 END ELSE 0 END AS vl,
+    CASE WHEN {_ALL(devices.IMU_EXPORT)} THEN 0.84 + CASE WHEN {_ALL(devices.IMU_TIME)} THEN 0.03 ELSE 0 END WHEN {_ALL(devices.IMU_ARCHIVE)} THEN 0.78 ELSE 0 END AS im FROM x1),
+  r AS (SELECT _row, 'dvl' AS type, CASE WHEN greatest(dh, dt) > 0 THEN greatest(dh, dt) WHEN regexp_matches(x, '{devices.DVL_COMMAND}') THEN 0.40 ELSE 0 END AS score FROM x2
+    UNION ALL SELECT _row, 'volt32', least(0.89, greatest(vh, vl)) FROM x2 UNION ALL SELECT _row, 'imu', least(0.89, im) FROM x2 UNION ALL SELECT _row, 'usbl', CASE WHEN regexp_matches(x, '{devices.USBL}') THEN 0.6 ELSE 0 END FROM x2)
+  SELECT _row, type, round(CAST(score AS DOUBLE), 6) AS score FROM r WHERE score > 0""")
+def o02(spark, sf):
+    rows = samples(spark, sf).select(F.col("_row").alias("identity"), F.encode(F.expr(_SAMPLE.replace("\t", "\\t")), "UTF-8").alias("content"))
+    return devices.classified(rows).select(F.col("identity").alias("_row"), "type", F.round("score", 6).alias("score"))
+
+
 @register("o04_resolve", _RESOLVED + " SELECT identity, type, score FROM re")
 def o04(spark, sf):
     return ops.resolved(_scores(spark, sf))

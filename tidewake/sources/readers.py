@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewake.functions.columns import finite, resolve, seconds
+
+# The columns of the logs and of trace records.
 IMU_COLUMNS = ("MonoNS", "EstNS", "MonoS", "EstS", "AccX", "AccY", "AccZ", "GyroX", "GyroY", "GyroZ", "YawDeg", "AngX", "AngY", "AngZ")
 DVL_COLUMNS = (
     "MonoNS", "EstNS", "MonoS", "EstS", "SensorID", "Src", "Vx_body(m_s)", "Vy_body(m_s)", "Vz_body(m_s)", "Ve_enu(m_s)", "Vn_enu(m_s)", "Vu_enu(m_s)",
     "De_enu(m)", "Dn_enu(m)", "Du_enu(m)", "Depth(m)", "E(m)", "N(m)", "U(m)", "Valid", "ValidFlag", "IsWaterMass",
 )
-NUMBERS = {"SensorID", "Src", "Valid", "ValidFlag", "IsWaterMass"}
+TEXTS = {"SensorID", "Src", "Valid", "ValidFlag", "IsWaterMass"}
 
 
 def scan_csv(spark: SparkSession, paths: str | Sequence[str], required: Sequence[str], *, text: Sequence[str] = (), missing: Sequence[str] = ("", "NaN", "nan")) -> DataFrame:
@@ -44,20 +47,84 @@ def scan_imu(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def scan_dvl(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    return scan_csv(spark, paths, DVL_COLUMNS, text=sorted(NUMBERS), missing=("",))
+    return scan_csv(spark, paths, DVL_COLUMNS, text=sorted(TEXTS), missing=("",))
 
 
 def scan_parsed_dvl(spark: SparkSession, paths: str | Sequence[str], sensor: str = "DVL_H1000") -> DataFrame:
     """Parsed velocity logs of one sensor: known sources only, seconds from the run's start, outliers clamped by unit."""
     from tidewake.functions.columns import clamp_by_unit
 
-    rows = scan_csv(spark, paths, ("SensorID", "Src"), text=sorted(NUMBERS))
+    rows = scan_csv(spark, paths, ("SensorID", "Src"), text=sorted(TEXTS))
     rows = rows.filter((F.col("SensorID") == sensor) & F.col("Src").isin("SA", "TS", "BI", "BS", "BE", "BD"))
     time = next(c for c in ("EstS", "MonoS", "Timestamp(s)") if c in rows.columns)
     start = F.min(f"`{time}`").over(W.partitionBy("source_path"))
     return clamp_by_unit(rows.withColumn("t_s", F.col(f"`{time}`") - start))
 
 
+def scan_sorted(spark: SparkSession, paths: str | Sequence[str], text: Sequence[str] = ("Src",)) -> DataFrame:
+    """A log with ``t_s`` from its first time column, in order of time; ValueError if it holds no row."""
+    rows = scan_csv(spark, paths, (), text=text)
+    rows = rows.withColumn("t_s", seconds(rows))
+    if rows.isEmpty():
+        raise ValueError(f"no rows in {paths}")
+    return rows.orderBy("t_s", "_row")
+
+
+def scan_processed_imu(spark: SparkSession, paths: str | Sequence[str], *, gyro: str = "in", strict: bool = True) -> DataFrame:
+    """(source_path, _row, t_s, ax, ay, az, gx, gy, gz, yaw_nav_rad, yaw_device_rad) of processed inertial logs.
+
+    The filter needs rates that no threshold has cut, ``Gyro*_in_rad_s``: with ``strict`` a log without
+    them is a KeyError, else the output rates stand in. ``gyro="out"`` asks for those of the output
+    (``Gyro*_out_rad_s``, or ``Gyro*_rad_s`` in old logs). Yaws that aren't there are null.
+    """
+    rows = scan_csv(spark, paths, ("t_s", "AccX_mps2", "AccY_mps2", "AccZ_mps2"))
+    family = lambda form: [form.format(a) for a in "XYZ"]
+    there = {k: next((n for n in map(family, forms) if set(n) <= set(rows.columns)), None) for k, forms in {"in": ["Gyro{}_in_rad_s"], "out": ["Gyro{}_out_rad_s", "Gyro{}_rad_s"]}.items()}
+    if strict and there["in"] is None:
+        raise KeyError("Gyro*_in_rad_s is missing, and thresholded rates mustn't drive the filter")
+    names = there[gyro] or there["out"] or there["in"]
+    if names is None:
+        raise KeyError(f"no gyro columns in {rows.columns}")
+    yaw = (F.col(c).alias(c) if c in rows.columns else F.lit(None).cast("double").alias(c) for c in ("yaw_nav_rad", "yaw_device_rad"))
+    return rows.select("source_path", "_row", "t_s", *(F.col(f"Acc{a}_mps2").alias(f"a{a.lower()}") for a in "XYZ"), *(F.col(n).alias(f"g{a}") for n, a in zip(names, "xyz")), *yaw)
+
+
+# The names under which the planar filter's inputs may come, best first.
+PLANAR_INPUTS = {
+    "imu": {"ax": ("AccX_mps2", "AccX"), "ay": ("AccY_mps2", "AccY"), "az": ("AccZ_mps2", "AccZ"), "gz": ("GyroZ_in_rad_s", "GyroZ_rad_s", "GyroZ"), "roll": ("roll_rad",), "pitch": ("pitch_rad",), "yaw": ("yaw_nav_rad", "yaw_rad")},
+    "bi": {"vx": ("Vx_body(m_s)", "Vx_body"), "vy": ("Vy_body(m_s)", "Vy_body"), "vz": ("Vz_body(m_s)", "Vz_body")},
+    "be": {"vE": ("Ve_enu(m_s)", "Ve_enu"), "vN": ("Vn_enu(m_s)", "Vn_enu"), "vU": ("Vu_enu(m_s)", "Vu_enu")},
+}
+
+
+def scan_planar_inputs(spark: SparkSession, paths: str | Sequence[str], kind: str) -> DataFrame:
+    """One input of the planar filter, ``imu``, ``bi`` or ``be``: (source_path, _row, t_s, ...).
+
+    Rows with a time or value that isn't a finite number are dropped; of equal times of a file the first row stays.
+    """
+    rows = scan_csv(spark, paths, ())
+    wanted = {to: resolve(rows, names) for to, names in PLANAR_INPUTS[kind].items()}
+    rows = rows.select("source_path", "_row", finite(seconds(rows)).alias("t_s"), *(finite(F.col(f"`{c}`")).alias(to) for to, c in wanted.items())).dropna()
+    first = F.row_number().over(W.partitionBy("source_path", "t_s").orderBy("_row"))
+    return rows.withColumn("_first", first).filter("_first = 1").drop("_first")
+
+
+def scan_update_diag(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Diagnostics of filter updates: r_dim and S_dim are counted from r0..r5 and S0..S5 where the log has none.
+
+    Headers lose byte order marks and blanks, empty cells are null. KeyError without t_s, name, nis or any residual.
+    """
+    rows = scan_csv(spark, paths, ("t_s", "name", "nis"), text=("name",))
+    of = lambda p: [f"{p}{i}" for i in range(6) if f"{p}{i}" in rows.columns]
+    if not of("r"):
+        raise KeyError(f"no residuals r0..r5 in {rows.columns}")
+    for p in ("r", "S"):
+        counted = sum((F.col(c).isNotNull().cast("int") for c in of(p)), F.lit(0))
+        known = F.coalesce(F.col(f"{p}_dim").cast("int"), F.lit(0)) if f"{p}_dim" in rows.columns else counted
+        rows = rows.withColumn(f"{p}_dim", known)
+    return rows
+
+
 def run_catalog(spark: SparkSession, specs: Sequence[dict], overrides: Sequence[dict] = ()) -> DataFrame:
     """(run_id, imu, dvl, date, note) from a list of runs; overrides win where they have a value."""
     schema = "run_id string, imu string, dvl string, date string, note string"

@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    """Under ``spark.checkpoint.dir``; where a session (a local one) has none, a temporary folder is set as that."""
+    """Under ``spark.checkpoint.dir``; where a local session has none, a temporary folder is set as that. On a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidewake-")
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,6 +6,7 @@ import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TRAJECTORY = ("t_s", "E", "N", "U", "yaw_rad", "yaw_deg")
@@ -34,6 +35,25 @@ def write_trajectory(df: DataFrame, path: str, extra: Sequence[str] = ()) -> Non
     write_csv(df.select("run_id", *TRAJECTORY, *extra), path)
 
 
+EXTENDED = ("t_s", "E", "N", "U", "yaw_rad", "yaw_deg", "src", "speed", "valid")
+
+
+def write_extended_trajectory(df: DataFrame, path: str, yaw: DataFrame | None = None) -> None:
+    """Nine columns, one folder a run; yaw and src come by ordinal from ``yaw`` (run_id, yaw_rad, src, t_s, _row).
+
+    A shorter series is padded with its last values, a longer one is trimmed; missing columns are empty.
+    """
+    if yaw is not None:
+        place = F.row_number().over(W.partitionBy("run_id").orderBy("t_s", "_row"))
+        side = yaw.select("run_id", place.alias("_i"), F.col("yaw_rad").alias("_yaw"), F.col("src").alias("_src"))
+        df = df.drop("yaw_rad", "yaw_deg", "src").withColumn("_i", place).join(side, ["run_id", "_i"], "left")
+        last = W.partitionBy("run_id").orderBy("_i").rowsBetween(W.unboundedPreceding, W.currentRow)
+        df = df.withColumns({"yaw_rad": F.last("_yaw", True).over(last), "src": F.last("_src", True).over(last)})
+    if "yaw_deg" not in df.columns:
+        df = df.withColumn("yaw_deg", F.degrees("yaw_rad"))
+    write_csv(df.select("run_id", *(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in EXTENDED)), path)
+
+
 def read_trajectory(spark, path: str) -> DataFrame:
     """Yaw from radians, or from degrees where there are none."""
     df = spark.read.option("header", True).option("inferSchema", True).csv(path)
@@ -47,17 +67,26 @@ def append_events(df: DataFrame, path: str) -> None:
     df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in EVENT)).write.mode("append").option("header", True).csv(path)
 
 
-def markdown(df: DataFrame, title: str, most: int = 200) -> str:
-    """A small result as a Markdown table; ``most`` rows of it are shown."""
-    rows = df.limit(most).collect()
+def _few(df: DataFrame, most: int) -> list:
+    """All rows of a small result; ValueError if there are more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows; write the table instead")
+    return rows
+
+
+def markdown(df: DataFrame, title: str, most: int = 10_000) -> str:
+    """A small result as a Markdown table; ValueError over ``most`` rows."""
+    rows = _few(df, most)
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns) + "\n"
     return f"## {title}\n\n{head}" + "".join("| " + " | ".join("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) + " |\n" for r in rows)
 
 
-def write_report(df: DataFrame, path: str, most: int = 10_000) -> None:
-    """One small result as JSON lines by Spark's commit protocol: readers see all of it or nothing."""
-    df.limit(most).coalesce(1).write.mode("overwrite").json(path)
+def write_report(df: DataFrame, path: str) -> None:
+    """A result as JSON lines by Spark's commit protocol: readers see all of it or nothing."""
+    df.write.mode("overwrite").json(path)
 
 
 def report_json(df: DataFrame, most: int = 10_000) -> str:
-    return json.dumps([r.asDict(True) for r in df.limit(most).collect()], default=str)
+    """A small result as one JSON text; ValueError over ``most`` rows."""
+    return json.dumps([r.asDict(True) for r in _few(df, most)], default=str)
