@@ -60,7 +60,7 @@ def _ddl(text: str) -> T.StructType:
 def _known() -> dict[str, str]:
     """Layouts by fingerprint; a layout with a list of turns has one for the empty list too."""
     known = {fingerprint(_ddl(ddl)): name for name, (ddl, _) in LAYOUTS.items()}
-    return known | {hashlib.sha256(f"{how[1]}[]".encode()).hexdigest(): name for name, (_, how) in LAYOUTS.items() if isinstance(how, tuple)}
+    return known | {hashlib.sha256(f"{how[1]}[]?".encode()).hexdigest(): name for name, (_, how) in LAYOUTS.items() if isinstance(how, tuple)}
 
 
 def json_fingerprint(record: Column) -> Column:
@@ -77,7 +77,7 @@ def json_fingerprint(record: Column) -> Column:
         items = F.from_json(inner, "array<string>")
         paths = F.flatten(F.transform(items, lambda x: F.when(x.startswith("{"), F.transform(F.json_object_keys(x), lambda k: F.concat(key, F.lit("[]."), k))).otherwise(F.array(F.concat(key, F.lit("[]"))))))
         listed = inner.startswith("[") & items.isNotNull()
-        return F.when(listed, F.when(F.size(items) == 0, F.array(F.concat(key, F.lit("[]")))).otherwise(F.array_distinct(paths))).otherwise(F.array(key))
+        return F.when(listed, F.when(F.size(items) == 0, F.array(F.concat(key, F.lit("[]?")))).otherwise(F.array_distinct(paths))).otherwise(F.array(key))
 
     return F.sha2(F.array_join(F.array_sort(F.flatten(F.transform(keys, under))), "\n"), 256)
 
@@ -203,8 +203,7 @@ def conversation_json(records: DataFrame) -> DataFrame:
     lists = [how[1:] for _, how in LAYOUTS.values() if isinstance(how, tuple)]
     made = None
     for i, (field, role, text) in enumerate(lists):
-        turns = F.transform("record.turns", lambda t, role=role, text=text: F.struct(t.role.alias(role), t.text.alias(text)))
-        one = F.to_json(F.struct(turns.alias(field)))
+        one = F.to_json(F.struct(F.col("record.turns").cast(f"array<struct<`{role}`:string,`{text}`:string>>").alias(field)))
         here = F.pmod(F.coalesce(F.col("conv_id"), F.lit(0)), F.lit(len(lists))) == i
         made = F.when(here, one) if made is None else made.when(here, one)
     return records.select("conv_id", made.alias("record"))

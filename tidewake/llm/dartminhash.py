@@ -303,7 +303,8 @@ def clustered(docs: DataFrame, *, words: int, threshold: float, bands: int, rows
     classes = written(classes, "classes")
     members = _members(classes.select(F.explode("bands").alias("key"), F.col("node").alias("doc")))
     wanted = members.select(F.col("doc").alias("node")).distinct()
-    texts = base.select(F.col(row).alias("node"), F.col("text").alias("text")).join(wanted, "node", "left_semi")
+    # a merge, whatever the sizes: neither side is bounded
+    texts = base.select(F.col(row).alias("node"), F.col("text").alias("text")).join(wanted.hint("merge"), "node", "left_semi")
     found = _clusters(members, written(unit_lists(texts, words), "units"), threshold, small, most)
     return base, classes.join(found, "node", "left").select("n", "c1", "c2", F.coalesce("component", "node").alias("component")), names
 
@@ -341,4 +342,4 @@ def one_of_each(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, band
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))).alias("best")
     ids = base.groupBy(*same).agg(best).join(classes.withColumnsRenamed(dict(zip(("n", "c1", "c2"), same))), same)
     kept = ids.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
-    return base.join(kept, row, "left_semi").unionByName(base.filter(F.col(same[0]) == 0)).select(*docs.columns)
+    return base.join(kept.hint("merge"), row, "left_semi").unionByName(base.filter(F.col(same[0]) == 0)).select(*docs.columns)
