@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import math
 import random
 import re
@@ -251,25 +252,54 @@ def test_bpe_equals_the_library(spark):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
 
 
-def test_bpe_repairs_joins_that_disagree():
-    coder = bpe.ChunkEncoder(WORD_BPE, every=1)
-    text = b"one two three four"
-    starts, kinds = bpe.join_kinds(np.frombuffer(text, np.uint8))
-    for kind in kinds:
-        coder.joins[int(kind)] = False  # as if every join changed its surroundings
-    assert len(coder.encode([text])[0]) == 1
-    ids = Tokenizer.from_file(WORD_BPE).encode(text.decode(), add_special_tokens=False).ids
-    assert coder.encode([text])[0][0][0] == " ".join(map(str, ids))
+def test_bpe_repairs_joins_that_disagree(tmp_path):
+    """A tokenizer that keeps white space with the word after it and knows a token over a space: joins change their surroundings."""
+    spec = {
+        "version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None,
+        "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False,
+                  "vocab": {c: i for i, c in enumerate([" ", "a", "b", "c", "d", "b ", "b c", "ab", "d "])}, "merges": [["b", " "], ["b ", "c"], ["d", " "]]},
+    }
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(spec))
+    tok = Tokenizer.from_file(str(path))
+    rng = random.Random(5)
+    coder = bpe.ChunkEncoder(str(path), every=1)
+    assert not coder.separable
+    for _ in range(20):
+        text = " ".join("".join(rng.choices("abcd", k=rng.randrange(1, 12))) for _ in range(30))
+        for _ in range(2):
+            assert " ".join(a for a, _ in coder.encode([text.encode()])[0]) == " ".join(map(str, tok.encode(text, add_special_tokens=False).ids))
+
+
+def test_bpe_knows_when_white_space_separates():
+    spec = json.loads(open(WORD_BPE).read())
+    assert bpe.separable(spec) and bpe.lowers(spec)
+    assert not bpe.separable(spec | {"normalizer": {"type": "NFKC"}}) and not bpe.separable(spec | {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True, "trim_offsets": True}})
+    tok, rng = Tokenizer.from_file(WORD_BPE), random.Random(7)
+    letters = "aB'Σσςß́ǅİ漢ก한ع١9.,!<|>\x85\u3000\u2028\x1c_-"
+    coder = bpe.ChunkEncoder(WORD_BPE, every=2, pieces=400, chunk_bytes=5000, joins=100)
+    for _ in range(300):
+        text = "".join(rng.choices([*letters, *" \n\t\x0b", "<|endoftext|>", "<|ENDOFTEXT|>", "Word, ", "don't "], k=120))
+        got = coder.encode([text.encode(), b"", text[7:].encode()])
+        for parts, x in zip(got, (text, "", text[7:])):
+            assert " ".join(a for a, _ in parts) == " ".join(map(str, tok.encode(x, add_special_tokens=False).ids))
 
 
-@pytest.mark.parametrize("text", ["漢字かな" * 1500 + "\n" + "語ü" * 5000 + " end", "a" + " " * 10_000 + "b", "\x0c a b", "\x0b\x0c \x0bx\x0by \x0c", "one\x0ctwo three\x0b four"])
-def test_bpe_joins_of_long_runs_and_odd_white_space(text):
+@pytest.mark.parametrize("text", ["漢字かな" * 1500 + "\n" + "語ü" * 5000 + " end", "a" + " " * 10_000 + "b", "\x0c a b", "\x0b\x0c \x0bx\x0by \x0c", "one\x0ctwo three\x0b four", "漢" * 2000 + " x", "x " + "漢" * 3000, "ไทย" * 2000 + "\n한국어 " * 900 + "عربى " * 900, "AB <|EndOfText|> <|endoftext|>Cd"])
+def test_bpe_of_long_runs_and_odd_white_space(text):
     coder = bpe.ChunkEncoder(WORD_BPE, every=1)
     ids = Tokenizer.from_file(WORD_BPE).encode(text, add_special_tokens=False).ids
     for _ in range(2):
         assert " ".join(a for a, _ in coder.encode([text.encode()])[0]) == " ".join(map(str, ids))
 
 
+def test_bpe_of_empty_tables_and_clashing_names(spark):
+    docs = docs_of(spark, ["a b", "a b", None]).withColumns({"ids": F.lit(1), "n_tokens": F.lit(2)})
+    rows = bpe.encode_texts(docs, WORD_BPE).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in rows] == [2, 2, 0] and rows[0].ids_sha256 == rows[1].ids_sha256
+    assert bpe.encode_texts(docs.limit(0), WORD_BPE).count() == 0
+
+
 # --- 5 -----------------------------------------------------------------------------------------
 
 
