@@ -22,12 +22,37 @@ def test_filter_reaches_the_measured_speed(spark):
     assert abs(last.vE - 0.5) < 0.02 and abs(last.vN) < 0.02 and 2.5 < last.E < 3.2 and last.nis < 20
 
 
-def test_planar_filter_states(spark):
-    out = estimate.planar_filter(straight(spark)).orderBy("_row").collect()
-    assert abs(out[-1].vE - 0.5) < 0.05
-    assert {r.status for r in out} <= {"gap", "step", "still", "rejected", "inflated", "applied"}
-    still = estimate.planar_filter(straight(spark, speed=0.01)).filter("kind = 'BE'").select("status").distinct().collect()
-    assert [r.status for r in still] == ["still"]
+def planar(spark, speed):
+    """At rest for the filter, with body-frame velocities between the inertial samples."""
+    imu = spark.createDataFrame([(1, i, 0.1 * i, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0) for i in range(60)], "run_id long, _row long, t_s double, ax double, ay double, az double, gz double, roll double, pitch double, yaw double")
+    v = [(1, 100 + i, 0.1 * i + 0.04, speed, 0.0, 0.1 * i) for i in range(-3, 70)]
+    velocities = spark.createDataFrame(v, "run_id long, _row long, t_s double, vE double, vN double, vU double")
+    return estimate.planar_run(imu, velocities, velocities)
+
+
+def test_planar_run(spark):
+    rows = planar(spark, 0.5).orderBy("t_imu_s", "t_s").collect()
+    seen = [r for r in rows if r.kind == "BI"]
+    assert abs(rows[-1].vE - 0.5) < 0.05 and {r.status for r in rows} <= {"gap", "step", "still", "rejected", "inflated", "applied"}
+    # only velocities that the samples cover, each at the first sample after it
+    assert len(seen) == 59 and all(abs(r.t_imu_s - r.t_s - 0.06) < 1e-9 for r in seen)
+    assert {r.status for r in planar(spark, 0.01).filter("kind = 'BI'").collect()} == {"still"}
+
+
+def test_focus_record(spark):
+    rows = estimate.focus_record(planar(spark, 0.5)).orderBy("t_s").collect()
+    assert len(rows) == 59 and len(rows[0].asDict()) >= 60
+    for r in rows:
+        assert abs(r.speed_pre_h - math.hypot(r.vE_pre, r.vN_pre)) < 1e-12 and abs(r.verr_h - math.hypot(r.vE - r.vE_meas, r.vN - r.vN_meas)) < 1e-12
+        assert abs(r.rwhite_norm**2 - (r.rE**2 / r.SE + r.rN**2 / r.SN)) < 1e-6 * max(1, r.rwhite_norm**2) + 0.05 * r.rwhite_norm**2
+        assert r.triggered == bool(r.triggers) and ("nis" in r.triggers) == (r.nis > 25)
+
+
+def test_pseudo_measurements(spark):
+    rows = [(1, 2 * i, 0.1 * i, "IMU", 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, None, None, None) for i in range(60)]
+    rows += [(1, 2 * i + 1, 0.1 * i, ("YAW", "VU", "BI")[i % 3], None, None, None, None, None, None, 0.3, 0.2, 0.0, 0.4) for i in range(60)]
+    last = estimate.inertial_filter(spark.createDataFrame(rows, SCHEMA)).orderBy("_row").collect()[-1]
+    assert abs(last.yaw_rad - 0.3) < 0.02 and abs(last.vU - 0.4) < 0.05 and abs(last.vE - 0.2 * math.cos(0.3)) < 0.05 and abs(last.vN - 0.2 * math.sin(0.3)) < 0.05
 
 
 def test_quaternion_of_a_pure_yaw_rate(spark):

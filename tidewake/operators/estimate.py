@@ -17,7 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewake.functions import geometry as geo
-from tidewake.operators.asof import nearest
+from tidewake.functions.columns import above
+from tidewake.operators.asof import forward, nearest, overlap
 from tidewake.operators.timeseries import stride
 
 P, V, YAW, BA, BG = slice(0, 3), slice(3, 6), 6, slice(7, 10), 10
@@ -105,9 +106,10 @@ FILTERED = "run_id long, _row long, t_s double, kind string, E double, N double,
 def inertial_filter(timeline: DataFrame, noise: Noise = Noise()) -> DataFrame:
     """Runs the 11-state filter over each run of ``timeline``: a row out for each row in.
 
-    Rows are IMU samples (ax, ay, az, gx, gy, gz in SI units, roll, pitch, yaw) or velocities (vE, vN,
-    vU): BE in the earth frame, BI in the body frame, turned by the state's yaw. At one time IMU rows
-    come first. Steps over ``noise.most_dt`` or back advance the clock alone.
+    Rows are IMU samples (ax, ay, az, gx, gy, gz in SI units, roll, pitch, yaw), velocities (vE, vN,
+    vU) or pseudo-measurements: BE is a velocity in the earth frame, BI one in the body frame, compared
+    with the state's velocity there; YAW is a heading (``yaw``), VU a vertical velocity (``vU``). At one time IMU
+    rows come first. Steps over ``noise.most_dt`` or back advance the clock alone.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -127,12 +129,17 @@ def inertial_filter(timeline: DataFrame, noise: Noise = Noise()) -> DataFrame:
                     x, cov = propagate(x, cov, t - last, np.array([ax, ay, az]), gz, r_, p_, noise)
                 last, roll, pitch = t, r_, p_
             elif last is not None:
-                z = np.array([ve, vn, vu])
-                z = rotation(roll, pitch, x[YAW]) @ z if kind == "BI" else z
-                if np.isfinite(z).all():
-                    residual = z - x[V]
-                    x, cov, s, nis = update(x, cov, residual, pick, spread)
-                    report = [nis, *residual, *s]
+                if kind == "YAW":
+                    h, residual, wide = np.eye(11)[[YAW]], np.array([wrap(y_ - x[YAW])]), np.diag([noise.yaw**2])
+                elif kind == "VU":
+                    h, residual, wide = np.eye(11)[[5]], np.array([vu - x[5]]), np.diag([noise.velocity_z**2])
+                else:
+                    into = rotation(roll, pitch, x[YAW]).T if kind == "BI" else np.eye(3)
+                    h, residual, wide = into @ pick, np.array([ve, vn, vu]) - into @ x[V], spread
+                if np.isfinite(residual).all():
+                    x, cov, s, nis = update(x, cov, residual, h, wide)
+                    pad = [math.nan] * (3 - len(residual))
+                    report = [nis, *residual, *pad, *s, *pad]
             out.append([row, t, kind, *x[P], x[YAW], *x[V], *report, *before])
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in FILTERED.split(", ")][1:])
         return frame.assign(run_id=rows["run_id"].iloc[0])
@@ -163,14 +170,38 @@ class PlanarLimits:
     reject_after: bool = False
 
 
-PLANAR = "run_id long, _row long, t_s double, kind string, E double, N double, vE double, vN double, yaw_rad double, bgz double, status string, nis double, ratio double, inflate double, moved double, whitened double, trace double, cond double"
+#: A row of the planar run: the state after it, and of velocities what the update saw.
+PLANAR = (
+    "run_id long, _row long, kind string, t_s double, t_imu_s double, E double, N double, vE double, vN double, yaw_rad double, bgz double, prop_ok boolean, dt_prop_s double, yaw_used_rad double, vU_be double, "
+    "status string, E_pre double, N_pre double, vE_pre double, vN_pre double, vE_meas double, vN_meas double, rE double, rN double, SE double, SN double, S_cond double, nis0 double, nis1 double, R_inflate double, "
+    "R_E double, R_N double, HPHt_E double, HPHt_N double, rwhiteE double, rwhiteN double, dx_norm double, dx_v_h double, dx_yaw double, dx_bgz double, Pcond double, P_pos_tr double, P_vel_tr double, P_yaw double, P_bgz double"
+)
 
 
-def planar_filter(timeline: DataFrame, limits: PlanarLimits = PlanarLimits()) -> DataFrame:
-    """The 6-state planar filter (position, velocity, yaw, gyro bias) over each run, with one row out per row in.
+def planar_inputs(imu: DataFrame, bi: DataFrame, be: DataFrame) -> DataFrame:
+    """The planar run's rows: run_id, _row, kind, t_s, t_imu_s, roll, pitch, yaw and the inputs of each.
 
-    Status of velocities: ``still`` (speed at most ``still_speed``: the measurement is zero and always
-    applied), ``rejected``, ``inflated``, ``rejected_after`` or ``applied``; IMU rows are ``step`` or ``gap``.
+    Only the time that both logs cover counts. A body-frame velocity (vE, vN, vU of ``bi``) belongs to the
+    first inertial sample at or after it, whose attitude turns it into vE_meas, vN_meas; vU_be is the
+    vertical velocity of the nearest row of ``be``.
+    """
+    window = overlap(imu, bi)
+    inside = lambda df: df.join(window, "run_id").filter((F.col("t_s") >= F.col("t0")) & (F.col("t_s") <= F.col("t1"))).drop("t0", "t1")
+    imu, bi = inside(imu), inside(bi)
+    rows = forward(bi.select("run_id", "t_s", "_row", "vE", "vN", "vU"), imu, ["roll", "pitch", "yaw"], prefix="imu_").filter("imu_t_s is not null")
+    east, north, _ = geo.rotate(geo.rotation(F.col("roll"), F.col("pitch"), F.col("yaw")), (F.col("vE"), F.col("vN"), F.col("vU")))
+    rows = rows.select("run_id", "t_s", "_row", F.col("imu_t_s").alias("t_imu_s"), "roll", "pitch", "yaw", east.alias("vE_meas"), north.alias("vN_meas"))
+    rows = nearest(rows, be.select("run_id", "t_s", "_row", F.col("vU").alias("vU_be")), ["vU_be"], tie="earlier").withColumn("kind", F.lit("BI"))
+    samples = imu.select("run_id", "t_s", "_row", F.col("t_s").alias("t_imu_s"), "roll", "pitch", "yaw", "ax", "ay", "az", "gz", F.lit("IMU").alias("kind"))
+    return rows.drop("match_t_s", "match_row").unionByName(samples, allowMissingColumns=True)
+
+
+def planar_run(imu: DataFrame, bi: DataFrame, be: DataFrame, limits: PlanarLimits = PlanarLimits()) -> DataFrame:
+    """The 6-state planar filter (position, velocity, yaw, gyro bias) over each run: a row (PLANAR) per inertial sample and velocity.
+
+    At each inertial sample the state moves to its time, and then all velocities that belong to it are
+    applied. Status of velocities: ``still`` (speed at most ``still_speed``: the measurement is zero and
+    always applied), ``rejected``, ``inflated``, ``rejected_after`` or ``applied``; of samples ``step`` or ``gap``.
     """
 
     def step(x, cov, dt, acc, gz, roll, pitch):
@@ -197,31 +228,34 @@ def planar_filter(timeline: DataFrame, limits: PlanarLimits = PlanarLimits()) ->
         cov = move @ cov @ move.T + q
         return x, 0.5 * (cov + cov.T)
 
+    names = [c.split()[0] for c in PLANAR.split(", ")]
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(rank=(rows["kind"] != "IMU").astype(int)).sort_values(["t_s", "rank", "_row"], kind="stable")
+        rows = rows.assign(rank=(rows["kind"] != "IMU").astype(int)).sort_values(["t_imu_s", "rank", "t_s", "_row"], kind="stable")
         x, cov, last, out = np.zeros(6), np.diag([0.25, 0.25, 0.36, 0.36, math.radians(10) ** 2, 4e-4]), None, []
-        roll = pitch = 0.0
+        moved, dt = False, 0.0
         pick = np.zeros((2, 6))
         pick[:, 2:4] = np.eye(2)
-        for row, t, kind, ax, ay, az, gz, r_, p_, y_, ve, vn, vu in rows[["_row", "t_s", "kind", "ax", "ay", "az", "gz", "roll", "pitch", "yaw", "vE", "vN", "vU"]].itertuples(index=False):
-            status, nis, ratio, inflate, moved, white = "gap", math.nan, math.nan, 1.0, 0.0, math.nan
+        for row, kind, t, t_imu, ax, ay, az, gz, roll, pitch, yaw, east, north, up in rows[["_row", "kind", "t_s", "t_imu_s", "ax", "ay", "az", "gz", "roll", "pitch", "yaw", "vE_meas", "vN_meas", "vU_be"]].itertuples(index=False):
+            seen = [math.nan] * 28
             if kind == "IMU":
+                moved, dt = False, 0.0 if last is None else t - last
                 if last is None:
-                    x[4] = wrap(y_)
-                elif 0 < t - last <= limits.dt_max:
-                    x, cov = step(x, cov, t - last, np.array([ax, ay, az]), gz, r_, p_)
-                    status = "step"
-                last, roll, pitch = t, r_, p_
-            elif last is not None:
-                z = (rotation(roll, pitch, x[4]) @ np.array([ve, vn, vu]))[:2] if kind == "BI" else np.array([ve, vn])
+                    x[4] = wrap(yaw)
+                elif 0 < dt <= limits.dt_max:
+                    x, cov = step(x, cov, dt, np.array([ax, ay, az]), gz, roll, pitch)
+                    moved = True
+                last, status = t, "step" if moved else "gap"
+            else:
+                before, z = x.copy(), np.array([east, north])
                 still = math.hypot(*z) <= limits.still_speed
                 z = np.zeros(2) if still else z
                 noise = np.eye(2) * (limits.sigma_still if still else limits.sigma_velocity) ** 2
-                residual = z - x[2:4]
-                s = pick @ cov @ pick.T + noise
+                residual, spread = z - x[2:4], pick @ cov @ pick.T
+                s = spread + noise
                 nis = float(residual @ np.linalg.solve(s, residual))
-                white = float(np.linalg.norm(np.linalg.solve(np.linalg.cholesky(s), residual)))
                 ratio = math.hypot(*x[2:4]) / max(math.hypot(*z), limits.speed_floor)
+                inflate, after, used = 1.0, math.nan, noise
                 if still:
                     status = "still"
                 elif nis > limits.nis_hard or ratio > limits.ratio_hard:
@@ -230,16 +264,53 @@ def planar_filter(timeline: DataFrame, limits: PlanarLimits = PlanarLimits()) ->
                     inflate = min(limits.inflate_max, max(1.0, nis / limits.nis_target if nis > limits.nis_soft else 1.0, (ratio / limits.ratio_soft) ** 2 if ratio > limits.ratio_soft else 1.0))
                     status = "inflated" if inflate > 1 else "applied"
                 if status != "rejected":
-                    new, new_cov, _, after = update(x, cov, residual, pick, noise * inflate, yaw=4)
+                    used = noise * inflate
+                    new, new_cov, _, after = update(x, cov, residual, pick, used, yaw=4)
                     if limits.reject_after and not still and after > limits.nis_hard:
                         status = "rejected_after"
                     else:
-                        moved, x, cov = float(np.linalg.norm(new - x)), new, new_cov
-            out.append([row, t, kind, *x[:6], status, nis, ratio, inflate, moved, white, float(np.trace(cov)), float(np.linalg.cond(cov))])
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in PLANAR.split(", ")][1:])
+                        x, cov = new, new_cov
+                s = spread + used
+                white, dx = np.linalg.solve(np.linalg.cholesky(s), residual), x - before
+                dx[4] = wrap(dx[4])
+                seen = [
+                    *before[:4], *z, *residual, *np.diag(s), float(np.linalg.cond(s)), nis, after, inflate, *np.diag(used), *np.diag(spread), *white, float(np.linalg.norm(dx)), math.hypot(*dx[2:4]), dx[4], dx[5],
+                    float(np.linalg.cond(cov)), cov[0, 0] + cov[1, 1], cov[2, 2] + cov[3, 3], cov[4, 4], cov[5, 5],
+                ]
+            out.append([row, kind, t, t_imu, *x[:6], moved, dt, yaw, up, status, *seen])
+        frame = pd.DataFrame(out, columns=names[1:])
         return frame.assign(run_id=rows["run_id"].iloc[0])
 
-    return timeline.groupBy("run_id").applyInPandas(run, PLANAR)
+    return planar_inputs(imu, bi, be).groupBy("run_id").applyInPandas(run, PLANAR)
+
+
+@dataclass(frozen=True)
+class FocusLimits:
+    """What a velocity update is marked for."""
+
+    speed: float = 1.0
+    ratio: float = 2.5
+    nis: float = 25.0
+    error: float = 0.3
+    moved: float = 0.5
+    white: float = 5.0
+    inflate: float = 10.0
+
+
+def focus_record(planar: DataFrame, limits: FocusLimits = FocusLimits()) -> DataFrame:
+    """The velocity updates of ``planar_run`` with what follows from each row: speeds, errors, traces, and whether one of seven limits is passed."""
+    h = lambda a, b: F.sqrt(F.col(a) * F.col(a) + F.col(b) * F.col(b))
+    rows = planar.filter("kind = 'BI'").withColumns(
+        {
+            "used": ~F.col("status").isin("rejected", "rejected_after"), "dt_match_s": F.col("t_imu_s") - F.col("t_s"), "speed_pre_h": h("vE_pre", "vN_pre"), "speed_post_h": h("vE", "vN"), "speed_meas_h": h("vE_meas", "vN_meas"),
+            "verrE": F.col("vE") - F.col("vE_meas"), "verrN": F.col("vN") - F.col("vN_meas"), "nis": F.coalesce(F.nanvl("nis1", "nis0"), "nis0"), "rwhite_norm": h("rwhiteE", "rwhiteN"),
+            "HPHt_over_R": F.greatest(F.col("HPHt_E") / F.col("R_E"), F.col("HPHt_N") / F.col("R_N")), "P_tr": F.col("P_pos_tr") + F.col("P_vel_tr") + F.col("P_yaw") + F.col("P_bgz"), "S_tr": F.col("SE") + F.col("SN"), "R_tr": F.col("R_E") + F.col("R_N"),
+            "R_cond": F.greatest("R_E", "R_N") / F.least("R_E", "R_N"), "yaw_err_rad": geo.wrap_pi(F.col("yaw_rad") - F.col("yaw_used_rad")), "vU_ref_err": -F.col("vU_be"),
+        }
+    )
+    rows = rows.withColumns({"verr_h": h("verrE", "verrN"), "ratio_pre_over_meas": F.col("speed_pre_h") / F.greatest("speed_meas_h", F.lit(1e-9))})
+    over = {"speed_pre_h": limits.speed, "ratio_pre_over_meas": limits.ratio, "nis": limits.nis, "verr_h": limits.error, "dx_norm": limits.moved, "rwhite_norm": limits.white, "R_inflate": limits.inflate}
+    return rows.withColumn("triggers", F.array_compact(F.array(*(F.when(above(F.col(c), v), F.lit(c)) for c, v in over.items())))).withColumn("triggered", F.size("triggers") > 0)
 
 
 def quaternion_attitude(samples: DataFrame) -> DataFrame:
@@ -282,6 +353,39 @@ def factors(nodes: DataFrame, velocities: DataFrame, tolerance: float = 0.05) ->
     return seen.unionByName(yaw).unionByName(prior)
 
 
+SIGMA = {"prior": 0.1, "yaw": 0.05, "BE": 0.05, "BI": 0.05, "move": 0.1}
+
+
+def factor_residuals(states: DataFrame, factor_table: DataFrame, sigma: dict[str, float] | None = None) -> DataFrame:
+    """(run_id, kind, node, residuals, cost): whitened residuals of each factor at given states, and half of their squares.
+
+    ``states`` has a row (run_id, node, t_s, E, N, U, vE, vN, vU, yaw_rad, ax, ay, az, gz, roll, pitch) for each
+    node; biases are zero. Columns alone: a node joins its factors, and the next node for the motion.
+    """
+    s = SIGMA | (sigma or {})
+    v, next_of = (F.col("vE"), F.col("vN"), F.col("vU")), lambda c: F.lead(c).over(W.partitionBy("run_id").orderBy("node"))
+    back = geo.rotation(F.col("roll"), F.col("pitch"), F.col("yaw_rad"))
+    body = [sum((back[i][k] * v[i] for i in (1, 2)), back[0][k] * v[0]) for k in range(3)]
+    z, heading = [F.col(f"z{i}") for i in range(3)], geo.wrap_pi(F.col("yaw_rad") - F.col("z0"))
+    over = lambda values, kind: F.transform(F.array(*values), lambda r: r / s[kind])
+    rows = states.drop("t_s").join(factor_table.select("run_id", "kind", F.col("node").cast("long").alias("node"), "z0", "z1", "z2"), ["run_id", "node"])
+    made = (
+        F.when(F.col("kind") == "BE", over([a - b for a, b in zip(v, z)], "BE")).when(F.col("kind") == "BI", over([a - b for a, b in zip(body, z)], "BI"))
+        .when(F.col("kind") == "yaw", over([heading], "yaw")).otherwise(over([F.col("E"), F.col("N"), F.col("U"), *v, heading, *[F.lit(0.0)] * 4], "prior"))
+    )
+    seen = rows.select("run_id", "kind", "node", made.alias("residuals"))
+    dt, rate = next_of("t_s") - F.col("t_s"), F.col("gz")
+    acc = geo.rotate(geo.rotation(F.col("roll"), F.col("pitch"), F.col("yaw_rad") + 0.5 * rate * dt), (F.col("ax"), F.col("ay"), F.col("az")))
+    place = [next_of(p) - F.col(p) - F.col(q) * dt - 0.5 * a * dt * dt for p, q, a in zip(("E", "N", "U"), ("vE", "vN", "vU"), acc)]
+    speed = [next_of(q) - F.col(q) - a * dt for q, a in zip(("vE", "vN", "vU"), acc)]
+    turn = geo.wrap_pi(next_of("yaw_rad") - F.col("yaw_rad") - rate * dt)
+    moved = F.transform(F.array(*place, *speed, turn), lambda r: r)
+    wide = s["move"] * F.greatest(dt, F.lit(1e-3))
+    moves = states.select("run_id", F.lit("move").alias("kind"), F.col("node").cast("long").alias("node"), moved.alias("r"), F.when(dt.isNotNull(), wide).alias("w")).filter("w is not null")
+    moves = moves.select("run_id", "kind", "node", F.transform("r", lambda r: r / F.col("w")).alias("residuals"))
+    return seen.unionByName(moves).withColumn("cost", 0.5 * F.aggregate("residuals", F.lit(0.0), lambda t, r: t + r * r))
+
+
 GRAPH = "run_id long, node int, t_s double, E double, N double, U double, vE double, vN double, vU double, yaw_rad double, cost double, iterations int"
 
 
@@ -299,7 +403,7 @@ def smooth(nodes: DataFrame, factor_table: DataFrame, *, iterations: int = 10, s
     Stops when the step or the relative change of the cost is under 1e-6. The nodes of a run are few
     (``keyframes`` caps them), so a run's normal equations fit one task.
     """
-    s = {"prior": 0.1, "yaw": 0.05, "BE": 0.05, "BI": 0.05, "move": 0.1} | (sigma or {})
+    s = SIGMA | (sigma or {})
 
     def motion(a: np.ndarray, b: np.ndarray, bias: np.ndarray, u: np.ndarray) -> np.ndarray:
         dt, force, rate, roll, pitch = u[0], u[1:4] - bias[:3], u[4] - bias[3], u[5], u[6]

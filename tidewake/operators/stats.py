@@ -197,3 +197,21 @@ def tilt_error_deg(ax: Column, ay: Column, g: float = 9.78) -> Column:
     """Tilt that explains a mean horizontal acceleration."""
     horizontal = F.sqrt(F.avg(ax) * F.avg(ax) + F.avg(ay) * F.avg(ay))
     return F.degrees(F.asin(F.least(F.lit(1.0), horizontal / g)))
+
+
+def flag_source_rates(df: DataFrame, by: Sequence[str], *, ok: str = "gate_ok", reason: str = "gate_reason", speed: str = "speed", static_s: float = 20.0, most_speed: float = 0.05, top: int = 8) -> DataFrame:
+    """Per group ``by`` (a source) n, n_ok, ok_rate, the ``top`` reasons of rows that fail with their counts, and the speed at rest.
+
+    ``static_p95`` is the 95th percentile of |speed| over the group's first ``static_s`` seconds, rows
+    without a finite speed left out; ``warn`` says that it is over ``most_speed``.
+    """
+    rows = df.withColumn("_t0", F.min("t_s").over(W.partitionBy(*by)))
+    still = F.when((F.col("t_s") - F.col("_t0") <= static_s) & ~F.isnan(speed), F.abs(F.col(speed)))
+    flag = F.coalesce(F.col(ok), F.lit(False))
+    rates = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(flag).alias("n_ok"), F.avg(flag.cast("double")).alias("ok_rate"), quantile(still, 0.95).alias("static_p95"))
+    counts = df.filter(~flag).groupBy(*by, F.col(reason).cast("string").alias("_reason")).agg(F.count("*").alias("_n"))
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("_n"), "_reason"))
+    best = counts.withColumn("_rank", rank).filter(F.col("_rank") <= top).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_rank", F.col("_reason").alias("reason"), F.col("_n").alias("n")))).alias("_r"))
+    rates = rates.join(best, list(by), "left")
+    reasons = F.coalesce(F.transform("_r", lambda r: F.concat_ws(":", r.reason, r.n.cast("string"))), F.array().cast("array<string>"))
+    return rates.withColumns({"reasons": reasons, "warn": F.coalesce(F.col("static_p95") > most_speed, F.lit(False))}).drop("_r")

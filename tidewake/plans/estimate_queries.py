@@ -9,6 +9,10 @@ from tidewake.plans.catalogue import register
 from tidewake.plans.samples import HOUR, SQL, samples
 
 
+#: The most nodes of a run's graph: its normal equations must fit one task.
+MOST_NODES = 200
+
+
 def _timeline(spark, sf):
     """Samples on a clock of hours; inertial inputs in small SI units."""
     rows = samples(spark, sf).withColumns({"t_s": F.col("t_s") / HOUR, "kind": F.col("src"), "gz": F.radians("gz") / 10})
@@ -26,9 +30,26 @@ def e08_audit(spark, sf):
     return e08(spark, sf).groupBy("run_id").agg(of("IMU").alias("n_imu"), of("BE").alias("n_be"), of("BI").alias("n_bi"))
 
 
+def _planar(spark, sf):
+    """Inertial samples, body-frame and earth-frame velocities on a clock of hours."""
+    rows = samples(spark, sf).withColumns({"t_s": F.col("t_s") / HOUR, "gz": F.radians("gz") / 10})
+    return tuple(rows.filter(F.col("src") == s) for s in ("IMU", "BI", "BE"))
+
+
 @register("e11_e14_planar_filter")
 def e13(spark, sf):
-    return estimate.planar_filter(_timeline(spark, sf), estimate.PlanarLimits(dt_max=200.0))
+    return estimate.focus_record(estimate.planar_run(*_planar(spark, sf), estimate.PlanarLimits(dt_max=200.0)))
+
+
+_EAST = "cos(i.yaw) * cos(i.pitch) * b.vE + (cos(i.yaw) * sin(i.pitch) * sin(i.roll) - sin(i.yaw) * cos(i.roll)) * b.vN + (cos(i.yaw) * sin(i.pitch) * cos(i.roll) + sin(i.yaw) * sin(i.roll)) * b.vU"
+
+
+@register("e13_planar_inputs", SQL + f""", w AS (SELECT run_id, greatest(min(t_s) FILTER (WHERE src = 'IMU'), min(t_s) FILTER (WHERE src = 'BI')) AS t0, least(max(t_s) FILTER (WHERE src = 'IMU'), max(t_s) FILTER (WHERE src = 'BI')) AS t1 FROM s GROUP BY run_id),
+  x AS (SELECT s.*, (t_s / 3600.0) AS h FROM s JOIN w USING (run_id) WHERE t_s BETWEEN t0 AND t1), i AS (SELECT * FROM x WHERE src = 'IMU' QUALIFY row_number() OVER (PARTITION BY run_id, t_s ORDER BY _row) = 1), b AS (SELECT * FROM x WHERE src = 'BI'),
+  m AS (SELECT b.run_id, b._row, i.h AS t_imu, {_EAST} AS east FROM b ASOF JOIN i ON b.run_id = i.run_id AND b.t_s <= i.t_s)
+  SELECT run_id, _row, 'BI' AS kind, round(t_imu, 6) AS t_imu_s, round(east, 6) AS "vE_meas" FROM m UNION ALL SELECT run_id, _row, 'IMU', round(h, 6), NULL FROM x WHERE src = 'IMU'""")
+def e13_inputs(spark, sf):
+    return estimate.planar_inputs(*_planar(spark, sf)).select("run_id", "_row", "kind", F.round("t_imu_s", 6).alias("t_imu_s"), F.round("vE_meas", 6).alias("vE_meas"))
 
 
 @register("e15_quaternion_attitude")
@@ -39,11 +60,11 @@ def e15(spark, sf):
 
 def _graph(spark, sf):
     rows = _timeline(spark, sf)
-    nodes = estimate.keyframes(rows.filter("kind = 'IMU'"), 8, 12)
+    nodes = estimate.keyframes(rows.filter("kind = 'IMU'"), 8, MOST_NODES)
     return nodes, estimate.factors(nodes, rows.filter("kind <> 'IMU'").withColumnRenamed("kind", "src"), tolerance=12.0)
 
 
-@register("e16_graph_factors", SQL + """, i AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY t_s, _row) - 1 AS n FROM s WHERE src = 'IMU'), k AS (SELECT run_id, t_s, n // 8 AS node FROM i WHERE n % 8 = 0 AND n < 96),
+@register("e16_graph_factors", SQL + f""", i AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY t_s, _row) - 1 AS n FROM s WHERE src = 'IMU'), k AS (SELECT run_id, t_s, n // 8 AS node FROM i WHERE n % 8 = 0 AND n < 8 * {MOST_NODES}),
   v AS (SELECT run_id, _row, src, t_s FROM s WHERE src <> 'IMU' AND gate_ok), f AS (SELECT v.*, k.t_s AS aft, k.node AS an FROM v ASOF LEFT JOIN k ON v.run_id = k.run_id AND v.t_s <= k.t_s),
   b AS (SELECT f.*, k.t_s AS bef, k.node AS bn FROM f ASOF LEFT JOIN k ON f.run_id = k.run_id AND f.t_s >= k.t_s),
   p AS (SELECT *, CASE WHEN aft IS NULL THEN bn WHEN bef IS NULL OR aft - t_s <= t_s - bef THEN an ELSE bn END AS node, CASE WHEN aft IS NULL THEN t_s - bef WHEN bef IS NULL OR aft - t_s <= t_s - bef THEN aft - t_s ELSE t_s - bef END AS gap FROM b),
@@ -56,3 +77,27 @@ def e16(spark, sf):
 @register("e17_e18_gauss_newton")
 def e17(spark, sf):
     return estimate.smooth(*_graph(spark, sf))
+
+
+_R = ("cos(yaw) * cos(pitch)", "cos(yaw) * sin(pitch) * sin(roll) - sin(yaw) * cos(roll)", "cos(yaw) * sin(pitch) * cos(roll) + sin(yaw) * sin(roll)", "sin(yaw) * cos(pitch)", "sin(yaw) * sin(pitch) * sin(roll) + cos(yaw) * cos(roll)", "sin(yaw) * sin(pitch) * cos(roll) - cos(yaw) * sin(roll)", "-sin(pitch)", "cos(pitch) * sin(roll)", "cos(pitch) * cos(roll)")
+_WRAP = lambda x: f"(({x}) + pi() - 2 * pi() * floor((({x}) + pi()) / (2 * pi())) - pi())"
+_TURNED = lambda k: " + ".join(f"({_R[3 * k + i].replace('yaw', 'mid')}) * a{c}" for i, c in enumerate("xyz"))
+
+
+@register("e18_factor_residuals", SQL + f""", i AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY t_s, _row) - 1 AS n FROM s WHERE src = 'IMU'),
+  k AS (SELECT run_id, t_s / 3600 AS t, n // 8 AS node, vE, vN, vU, yaw, roll, pitch, ax, ay, az, radians(gz) / 10 AS rate FROM i WHERE n % 8 = 0 AND n < 8 * {MOST_NODES}),
+  c AS (SELECT k.run_id, v.src AS kind, k.node, CASE v.src WHEN 'BE' THEN pow(k.vE - v.vE, 2) + pow(k.vN - v.vN, 2) + pow(k.vU - v.vU, 2)
+          ELSE {" + ".join(f"pow(({_R[j].replace('yaw', 'k.yaw').replace('pitch', 'k.pitch').replace('roll', 'k.roll')}) * k.vE + ({_R[3 + j].replace('yaw', 'k.yaw').replace('pitch', 'k.pitch').replace('roll', 'k.roll')}) * k.vN + ({_R[6 + j].replace('yaw', 'k.yaw').replace('pitch', 'k.pitch').replace('roll', 'k.roll')}) * k.vU - v.{z}, 2)" for j, z in enumerate(("vE", "vN", "vU")))} END / pow(0.05, 2) / 2 AS cost
+        FROM k JOIN s v ON v.run_id = k.run_id AND v.src <> 'IMU' AND v.k % 8 = k.node),
+  d AS (SELECT *, lead(t) OVER w - t AS dt, lead(vE) OVER w AS e2, lead(vN) OVER w AS n2, lead(vU) OVER w AS u2, lead(yaw) OVER w AS y2 FROM k WINDOW w AS (PARTITION BY run_id ORDER BY node)),
+  f AS (SELECT *, yaw + 0.5 * rate * dt AS mid FROM d WHERE dt IS NOT NULL), g AS (SELECT *, {_TURNED(0)} AS a0, {_TURNED(1)} AS a1, {_TURNED(2)} AS a2 FROM f),
+  m AS (SELECT run_id, 'move' AS kind, node, ({" + ".join(f"pow(-{v} * dt - 0.5 * a{j} * dt * dt, 2) + pow({v2} - {v} - a{j} * dt, 2)" for j, (v, v2) in enumerate((("vE", "e2"), ("vN", "n2"), ("vU", "u2"))))} + pow({_WRAP("y2 - yaw - rate * dt")}, 2)) / pow(0.1 * greatest(dt, 1e-3), 2) / 2 AS cost FROM g)
+  SELECT run_id, kind, count(*) AS n, round(sum(ln(1 + cost)), 4) AS cost FROM (SELECT * FROM c UNION ALL SELECT * FROM m) GROUP BY run_id, kind""")
+def e18(spark, sf):
+    """Residuals at each node's own velocity and heading, all places being zero; velocities belong to the node of their k modulo 8."""
+    rows = samples(spark, sf).withColumns({"t_s": F.col("t_s") / HOUR, "gz": F.radians("gz") / 10})
+    nodes = estimate.keyframes(rows.filter("src = 'IMU'"), 8, MOST_NODES).withColumn("node", F.col("node").cast("long"))
+    states = nodes.select("run_id", "node", "t_s", *(F.lit(0.0).alias(c) for c in ("E", "N", "U")), "vE", "vN", "vU", F.col("yaw").alias("yaw_rad"), "ax", "ay", "az", "gz", "roll", "pitch")
+    seen = rows.filter("src <> 'IMU'").select("run_id", F.col("src").alias("kind"), (F.col("k") % 8).cast("long").alias("node"), F.col("vE").alias("z0"), F.col("vN").alias("z1"), F.col("vU").alias("z2"))
+    cost = F.round(F.sum(F.log(1 + F.col("cost"))), 4)
+    return estimate.factor_residuals(states, seen).groupBy("run_id", "kind").agg(F.count("*").alias("n"), cost.alias("cost"))

@@ -112,17 +112,14 @@ def r07_stream(spark, sf):
     return done.select("run_id", "_row", F.round("correction_e", 6).alias("e"), F.round("correction_n", 6).alias("n"), F.col("held").cast("long").alias("held"))
 
 
-@register("s07_processed_imu", SQL + " SELECT run_id, _row, round(t_s, 4) AS t_s, round(ax, 6) AS ax, round(radians(gz), 6) AS gz, round(yaw, 6) AS yaw FROM s WHERE src = 'IMU'")
+@register("s07_processed_imu", SQL + " SELECT run_id, _row, round(ax, 6) AS ax, round(radians(gz), 6) AS gz, round(yaw, 6) AS yaw FROM s WHERE src = 'IMU'")
 def s07(spark, sf):
-    log = samples(spark, sf, "IMU").select("t_s", *(F.col(c).alias(f"Acc{a}_mps2") for c, a in zip(("ax", "ay", "az"), "XYZ")), *(F.radians(c).alias(f"Gyro{a}_in_rad_s") for c, a in zip(("gx", "gy", "gz"), "XYZ")), *(F.lit(0.0).alias(f"Gyro{a}_out_rad_s") for a in "XYZ"), F.col("yaw").alias("yaw_nav_rad"), F.col("run_id").alias("yaw_device_rad"), "_row")
+    rows = samples(spark, sf, "IMU").withColumn("gz", F.radians("gz"))
+    log = rows.select("t_s", *(F.col(c).alias(f"Acc{a}_mps2") for c, a in zip(("ax", "ay", "az"), "XYZ")), *(F.col(c).alias(f"Gyro{a}_in_rad_s") for c, a in zip(("gx", "gy", "gz"), "XYZ")), *(F.lit(0.0).alias(f"Gyro{a}_out_rad_s") for a in "XYZ"), F.col("yaw").alias("yaw_nav_rad"), F.col("_row").alias("yaw_device_rad"))
     path = fresh_folder(spark, "processed")
-    sinks.write_csv(log.drop("_row").withColumn("AccZ_mps2", F.col("AccZ_mps2")), path, by=())
-    back = readers.scan_processed_imu(spark, path)
-    # the run rides in the device's yaw; a row of the log is known by run and time
-    near = samples(spark, sf, "IMU").select("run_id", "_row", F.round("t_s", 4).alias("t_s"), F.row_number().over(W.partitionBy("run_id", F.round("t_s", 4)).orderBy("_row")).alias("i"))
-    back = back.select(F.col("yaw_device_rad").cast("long").alias("run_id"), F.round("t_s", 4).alias("t_s"), F.round("ax", 6).alias("ax"), F.round("gz", 6).alias("gz"), F.round("yaw_nav_rad", 6).alias("yaw"))
-    back = back.withColumn("i", F.row_number().over(W.partitionBy("run_id", "t_s").orderBy("ax", "gz", "yaw")))
-    return back.join(near, ["run_id", "t_s", "i"]).select("run_id", "_row", "t_s", "ax", "gz", "yaw")
+    sinks.write_csv(log, path, by=())
+    back = readers.scan_processed_imu(spark, path).select(F.col("yaw_device_rad").cast("long").alias("_row"), F.round("ax", 6).alias("ax"), F.round("gz", 6).alias("gz"), F.round("yaw_nav_rad", 6).alias("yaw"))
+    return back.join(rows.select("run_id", "_row"), "_row").select("run_id", "_row", "ax", "gz", "yaw")  # the event's number rides in the device's yaw
 
 
 @register("s08_planar_inputs", SQL + ", q AS (SELECT CAST(floor(t_s / 7200) AS DOUBLE) AS t, run_id, min(_row) AS least FROM s WHERE src = 'BE' AND k % 6 <> 0 GROUP BY 1, 2) SELECT run_id, count(*) AS n, round(sum(t), 3) AS t FROM q GROUP BY run_id")

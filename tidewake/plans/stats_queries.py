@@ -308,3 +308,14 @@ def u04(spark, sf):
 def u05(spark, sf):
     a, b = (F.array((F.col("k") % n).cast("string")) for n in (3, 2))
     return samples(spark, sf).select("_row", F.array_join(F.array_distinct(F.concat(a, b)), ",").alias("evidence"))
+
+
+@register("a46_flag_source_rates", SQL + """, g AS (SELECT *, 'r' || (k % 3) AS reason, abs(value / 245) AS v, min(t_s) OVER (PARTITION BY run_id, src) AS t0 FROM s WHERE src <> 'IMU'),
+  r AS (SELECT run_id, src, reason, count(*) AS n, row_number() OVER (PARTITION BY run_id, src ORDER BY count(*) DESC, reason) AS i FROM g WHERE NOT gate_ok GROUP BY run_id, src, reason),
+  b AS (SELECT run_id, src, string_agg(reason || ':' || n, ',' ORDER BY i) AS reasons FROM r WHERE i <= 2 GROUP BY run_id, src),
+  m AS (SELECT run_id, src, count(*) AS n, count(*) FILTER (WHERE gate_ok) AS n_ok, quantile_cont(v, 0.95) FILTER (WHERE t_s - t0 <= 360000) AS p FROM g GROUP BY run_id, src)
+  SELECT run_id, src, n, n_ok, round(n_ok / n, 6) AS ok_rate, coalesce(reasons, '') AS reasons, round(p, 6) AS static_p95, p > 0.5 AS warn FROM m LEFT JOIN b USING (run_id, src)""")
+def a46(spark, sf):
+    rows = samples(spark, sf, "BE", "BI").withColumns({"gate_reason": F.concat(F.lit("r"), (F.col("k") % 3).cast("string")), "speed": F.col("value") / 245})
+    out = stats.flag_source_rates(rows, ["run_id", "src"], static_s=100 * HOUR, most_speed=0.5, top=2)
+    return out.select("run_id", "src", "n", "n_ok", F.round("ok_rate", 6).alias("ok_rate"), F.array_join("reasons", ",").alias("reasons"), F.round("static_p95", 6).alias("static_p95"), "warn")
