@@ -323,6 +323,21 @@ def test_mix_keeps_all_and_meets_the_limit(spark):
     assert abs(-sum(x * math.log2(x) for x in w) - 0.9) < 1e-3
 
 
+def test_mix_of_repeated_rows_ties_and_clashing_names(spark):
+    rows = [(i % 7, "one two three", "s" if i % 3 else "t", i) for i in range(40)] + [(None, "", None, 99), (None, None, "u", 98)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _source int").withColumns({"_last": F.lit(1), "_use": F.lit(2), "n_tokens": F.lit(3), "weight": F.lit(4)})
+    out = mixing.mix_schedule(docs, block_tokens=20).collect()
+    assert sorted((r.block, r.place) for r in out) == sorted({(r.block, r.place) for r in out})
+    want = Counter((r[0], r[2] or "") for r in rows)
+    first = Counter((r.doc_id, r.source) for r in out if r.epoch == 0)
+    assert first == want
+    back = mixing.mixed(docs)
+    assert back.columns == docs.columns
+    uses = Counter(r["_source"] for r in back.collect())
+    assert set(uses) == {r[3] for r in rows} and Counter((r.doc_id, r.source) for r in out) == Counter((r.doc_id, r.source or "") for r in back.collect())
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
 # --- 6 and 10 ----------------------------------------------------------------------------------
 
 
@@ -451,6 +466,43 @@ def test_languages_are_told_apart(spark):
     assert bigru.identify(docs.limit(0)).count() == 0
 
 
+def test_network_against_a_loop_over_bytes():
+    """Whole-text probabilities by a plain loop: windows, both directions, every position, the mean."""
+    model, texts = bigru.ByteBiGRU(["a", "b", "c"], hidden=4), [b"hello there", "é ü 漢 ".encode() * 30, b"x" * 64, b""]
+    w = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(data, side):
+        h, out = np.zeros(4), {}
+        for t in range(len(data)) if side == "f" else range(len(data) - 1, -1, -1):
+            x, u = w["x" + side][:, data[t]], w["u" + side] @ h
+            z, r = sigmoid(x[:4] + u[:4]), sigmoid(x[4:8] + u[4:8])
+            h = h + z * (np.tanh(x[8:] + r * u[8:]) - h)
+            out[t] = h
+        return out
+
+    for text, got in zip(texts, model.documents(texts)):
+        total = np.zeros(3)
+        for i in range(0, len(text), bigru.WINDOW):
+            data = text[i : i + bigru.WINDOW].ljust(bigru.WINDOW, b"\0")
+            f, b = states(data, "f"), states(data, "b")
+            for t in range(min(bigru.WINDOW, len(text) - i)):
+                p = np.exp(w["v"] @ np.concatenate((f[t], b[t])) + w["c"][:, 0])
+                total += p / p.sum()
+        assert np.allclose(got, total / max(1, len(text)), atol=1e-4)
+
+
+def test_language_of_odd_rows(spark):
+    model = bigru.ByteBiGRU(["a", "b"], hidden=2)
+    model.weights = {k: v * 0 for k, v in model.weights.items()}  # all ties
+    docs = spark.createDataFrame([(1, "abc", 5), (1, "abc", 6), (None, "ü" * 200_000, 7), (2, "", 8)], "doc_id long, text string, label int").withColumn("score2", F.lit(1))
+    rows = bigru.predict_language(docs, model).orderBy("label").collect()
+    assert [(r.lang_pred, round(r.score, 6), r.label) for r in rows] == [("a", 0.5, 5), ("a", 0.5, 6), ("a", 0.5, 7), ("und", 0.0, 8)]
+    with pytest.raises(ValueError):
+        bigru.predict_language(docs.withColumn("Score", F.lit(1)), model)
+    assert [r.lang_pred for r in bigru.predict_language(docs, None).collect()] == ["und"] * 4
+
+
 # --- 8 -----------------------------------------------------------------------------------------
 
 
@@ -483,6 +535,17 @@ def test_scores_and_base(spark):
     assert contextmix.score(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_scores_of_odd_rows(spark):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    texts = [(held[0], "alpha beta " * 30_000), (held[0], "alpha"), (held[0], "alpha"), (held[1], None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns({"kind": F.lit(1), "batch": F.lit(2)})
+    rows = contextmix.score(docs).collect()  # nothing to learn from
+    assert len(rows) == 4 and all(r.held_out and r.n_known == 0 and r.train_tokens == 0 and r.score < 0 for r in rows)
+    assert len({r.score for r in rows if r.n_tokens == 2}) == 1 and sorted(r.n_tokens for r in rows) == [1, 2, 2, 60_001]
+    more = contextmix.score(docs.unionByName(docs.selectExpr("cast(null as long) as doc_id", "text", "kind", "batch"))).collect()
+    assert len(more) == 8 and sum(r.doc_id is None for r in more) == 4 and all(r.n_known > 0 for r in more)
+
+
 def test_mixer_is_a_distribution_and_learns():
     m = contextmix.Mixer()
     for _ in range(3):
@@ -515,7 +578,7 @@ def test_path_counts_and_probabilities_by_brute_force():
     texts = [b"abracadabra abba", b"", b"cab \xc3\xbc cab"]
     cases = contextmix.Distinct(texts)
     counted = dict(zip(cases.grams.tolist(), cases.gram_times.tolist()))
-    same, other, first = contextmix.path_counts(cases.grams, cases.grams, cases.gram_times, block=5)
+    same, other, first = contextmix.path_counts(cases.grams, [(cases.grams[:0], cases.gram_times[:0]), (cases.grams, cases.gram_times)], block=5)
     for g, at in zip(cases.grams.tolist(), first):
         s, context = g & 511, [(t & 511, n) for t, n in counted.items() if t >> 9 == g >> 9]
         for d in range(contextmix.SIZES[s]):
@@ -528,7 +591,7 @@ def test_path_counts_and_probabilities_by_brute_force():
         mixer.learn(texts * 9)
     mixer.freeze()
     cases = contextmix.Distinct([bytes([c]) for c in range(256)] + [b""])
-    mixer.look(cases, mixer.keys, mixer.counts)
+    mixer.look(cases, [(mixer.keys, mixer.counts)])
     case, node, bit, depth = next(cases.decisions())
     final = mixer.predict(sum(mixer.weighted[mixer.first[at[case]] + depth] for at in cases.place), node, bit)[0]
     begins = cases.contexts[0] == contextmix.Distinct([b""]).contexts[0][0]
@@ -540,10 +603,35 @@ def test_asked_contexts_score_like_broadcast_ones(spark, monkeypatch):
     rng = random.Random(4)
     docs = docs_of(spark, [" ".join(rng.choices(["Alpha", "beta", "gamma", "ü", "delta"], k=rng.randrange(60))) for _ in range(60)] + [None, "", "unseen"])
     got = []
-    for contexts in (1, 1 << 40):
-        monkeypatch.setattr(contextmix, "CONTEXTS", contexts)
+    for grams in (0, 400, 1 << 40):
+        monkeypatch.setattr(contextmix, "GRAMS", grams)
         got.append({r.doc_id: r.bits for r in contextmix.score(docs).collect()})
-    assert len(got[0]) == 63 and got[0].keys() == got[1].keys() and all(abs(got[0][i] - got[1][i]) < 1e-6 * max(1, got[1][i]) for i in got[0])
+    assert len(got[0]) == 63 and all(x.keys() == got[0].keys() and all(abs(x[i] - got[0][i]) < 1e-6 * max(1, got[0][i]) for i in x) for x in got)
+
+
+# --- every operator on an empty table, and the stages on odd rows ---
+
+
+def test_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    words = ["th" + c + d for c in "aeiou" for d in "nrst"]
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(words, k=50)) for _ in range(12)]
+    rows = [(i, t, "en", f"s{i % 2}", i) for i, t in enumerate(texts)]
+    rows += [(3, texts[3], "en", "s1", 20), (3, "a wholly different text that shares the number of another one", "en", None, 21), (None, texts[4], None, "s0", 22), (None, "one more text without any number at all here", None, None, 23), (40, None, "en", "s0", 24), (41, "", "en", "s0", 25), (42, "99 -- 99", "en", "s1", 26), (43, "word " * 40_000, "en", "s1", 27)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"score": F.lit("mine"), "lang_pred": F.col("n_chars"), "row": F.col("n_chars"), "_use": F.lit(1), "bands": F.lit(2), "ids": F.lit(0)})
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name == "encode":
+            assert out.count() == docs.count()
+        else:
+            assert out.columns == docs.columns and all(r.score == "mine" and r.lang_pred == r.n_chars == r.row for r in out.collect())
+        assert stage(spark, empty, SF).count() == 0
+    got = {r.n_chars for r in corpus_pipeline.STAGES[1][1](spark, docs, SF).collect()}
+    assert {0, 1, 2, 4, 21, 23, 24, 25, 27} <= got and len(got & {3, 20}) == 1 and 22 not in got
+    assert {r.n_chars for r in corpus_pipeline.STAGES[0][1](spark, docs, SF).collect()}.isdisjoint({24, 25, 26})
 
 
 # --- pipeline ----------------------------------------------------------------------------------
