@@ -398,6 +398,7 @@ def test_flat_graph_over_shards_and_a_group_larger_than_one(spark):
     assert len(rows) == 902 and rows[0].recall >= 0.999 and got[2000].n_links == 0
     found = sum(min(got[i].n_links, near[i].sum()) for i in range(900) if i != 7)
     assert found >= 0.999 * near[[i for i in range(900) if i != 7]].sum() and all(got[i].n_links <= near[i].sum() for i in range(900) if i != 7)
+    assert got[400].n_links == 1 + (near[400].sum() - 1) and got[400].component_id == 7 and sorted(r.n_links for r in rows if r.vec_id == 7) == sorted([near[7].sum(), near[900].sum()])
 
 
 def test_the_search_scores_what_it_looks_at_alone():

@@ -296,7 +296,7 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.9, overlap: int = 3, ta
     link with nothing (component_id is their own vec_id); so do vectors of another length than most,
     which have no cosine with them. Rows of equal vectors
     link with each other and count each. Labels and other columns are ignored, whatever their names;
-    rows that share a vec_id are one vertex for component_id and count each for n_links. An empty
+    rows that share a vec_id are vectors of their own, each with the component of its vector. An empty
     table gives an empty result. ``recall`` is what the audit found, the same in all rows; RuntimeError
     if it is below ``worst`` after a search of ``widest`` shards. ``build`` goes to ``link_counts``.
     """
@@ -314,7 +314,8 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.9, overlap: int = 3, ta
         raise RuntimeError(f"the search found {recall:.3f} of the links of a sample, even in {overlap} shards")
     found = components(edges)
     per = nodes.join(counts, F.col("rep") == F.col("query"), "left").join(found, F.col("rep") == F.col("node"), "left")
-    per = per.select("digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    per = per.select("digest", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
+    per = per.join(per.groupBy("c").agg(F.min("least").alias("component_id")), "c")
     linked = ids.join(per, "digest", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     alone = vectors.filter(~(usable() & F.col("vec_id").isNotNull())).select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     return linked.unionByName(alone).withColumns({"kept": F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)), "recall": F.lit(recall)})

@@ -28,15 +28,15 @@ def digested(vectors: DataFrame) -> DataFrame:
 
 
 def vector_classes(vectors: DataFrame, members: int | None = None) -> DataFrame:
-    """(rep, vec, n, members): a row per distinct vector; rep is its smallest vec_id, n its rows.
+    """(rep, digest, vec, n, least, members): a row per distinct vector; rep is a number of its own, n its rows, least its smallest vec_id.
 
     ``members`` rows are kept of each class (smallest ids first), all that a search for that many
     neighbours can return; they are cut before rows of a class meet. Rows with a null vec_id take no part.
     """
     rows = digested(vectors)
-    classes = rows.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec"))
+    classes = rows.groupBy("digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("vec").alias("vec"))
     if members is None:
-        return written(classes.select("rep", "digest", "vec", "n"), "vectors")
+        return written(classes.select(F.monotonically_increasing_id().alias("rep"), "digest", "vec", "n", "least"), "vectors")
     ids = rows.select("digest", "vec_id").groupBy("digest", F.pmod("vec_id", F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, members).alias("m"))
     ids = ids.groupBy("digest").agg(F.slice(F.array_sort(F.flatten(F.collect_list("m"))), 1, members).alias("members"))
-    return written(classes.join(ids, "digest").select("rep", "digest", "vec", "n", "members"), "vectors")
+    return written(classes.join(ids, "digest").select(F.monotonically_increasing_id().alias("rep"), "digest", "vec", "n", "least", "members"), "vectors")
