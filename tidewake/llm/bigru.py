@@ -113,8 +113,8 @@ class ByteBiGRU:
         """Mean probabilities (texts, labels) over all bytes of each text; zeros for empty texts."""
         data, sizes, owner = windows_of(texts)
         out = np.zeros((len(texts), len(self.labels)))
-        for i in range(0, data.shape[1], 8192):
-            part = slice(i, i + 8192)
+        for i in range(0, data.shape[1], 4096):
+            part = slice(i, i + 4096)
             p = self.positions(data[:, part])
             p *= (np.arange(WINDOW)[:, None] < sizes[None, part])[:, None, :]
             np.add.at(out, owner[part], p.sum(axis=0).T)

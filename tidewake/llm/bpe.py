@@ -111,7 +111,7 @@ class ChunkEncoder:
     ``joins`` the pairs of runs around joins that are known to agree.
     """
 
-    def __init__(self, path: str, every: int = 96, pieces: int = 500_000, chunk_bytes: int = 8 << 20, joins: int = 200_000):
+    def __init__(self, path: str, every: int = 96, pieces: int = 300_000, chunk_bytes: int = 4 << 20, joins: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
