@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewake.functions import text as tx
-from tidewake.operators import audit
+from tidewake.operators import audit, devices
 from tidewake.sources import readers, sinks
 from tidewake.streaming import replay
 
@@ -122,3 +122,57 @@ def test_windows_of_a_stream_are_those_of_the_batch(spark, tmp_path):
     sessions = replay.sessions(spark.createDataFrame(rows, schema), "10 minutes").orderBy("start").collect()
     assert [r.n for r in sessions] == [10, 1]
     assert replay.deduplicated(spark.createDataFrame(rows + rows, schema), ["run_id", "ts"]).count() == 11
+
+
+def test_samples_of_devices(spark):
+    """Excerpts in the shape of the devices' exports; a mixture is claimed by several types."""
+    imu = "MonoNS,EstNS,MonoS,EstS,t_unix,AccX,AccY,AccZ,AsX,AsY,AsZ,HX,HY,HZ,AngX,AngY,AngZ,TemperatureC\n1,2,3,4,5,0.1,0.1,0.9,0,0,0,1,2,3,4,5,6,\n"
+    dvl = 'Timestamp(s),SensorID,RawLine,CmdOrNote\n5.1,DVL_H1000,":TS000101+88888,V",\n5.2,DVL_H1000,":BE,+88888,V",\n5.3,DVL_H1000,":BD +888:SA, +3.0",RESP\n5.4,DVL_H1000,":BI,+8",\n5.5,DVL_H1000,":BS,+8",\n'
+    volt = "Timestamp," + ",".join(f"CH{i}" for i in range(16)) + "\n2024-06-18 04:38:40," + ",".join(["1.433V", "0.000A"] * 8) + "\n"
+    lines = "\n".join(f"CH{i}: 1.{i} V" for i in range(16))
+    frame = bytes([0x55, 0x51, 1, 2, 3, 4, 5, 6, 7, 8])
+    frame += bytes([sum(frame) & 0xFF])
+    texts = {"imu": imu, "dvl": dvl, "volt": volt, "none": "serial debug\nheartbeat: 42\n", "mixed": dvl + "\n" + lines, "echo": "CS 1\nCZ\n", "usbl": "an USBL unit", "empty": ""}
+    rows = [(k, bytearray(v.encode())) for k, v in texts.items()] + [("frames", bytearray(frame * 3)), ("null", None), ("bad", bytearray(b"\xff\xfe"))]
+    got = {}
+    for r in devices.classified(spark.createDataFrame(rows, "identity string, content binary")).collect():
+        got.setdefault(r.identity, {})[r.type] = r
+    assert set(got) == {"imu", "dvl", "volt", "mixed", "echo", "usbl", "frames"}
+    assert abs(got["imu"]["imu"].score - 0.87) < 1e-9 and got["imu"]["imu"].support == "sample_backed" and set(got["imu"]) == {"imu"}
+    assert got["dvl"]["dvl"].score >= 0.85 and got["dvl"]["dvl"].detector == "dvl_reply_tokens" and set(got["dvl"]["dvl"].evidence.split(",")) <= {"TS", "BE", "SA", "BI", "BS", "BD"}
+    assert abs(got["volt"]["volt32"].score - 0.87) < 1e-9
+    assert {"dvl", "volt32"} <= set(got["mixed"]) and abs(got["mixed"]["volt32"].score - got["mixed"]["dvl"].score) < 0.12
+    assert got["echo"]["dvl"].score == 0.40 and got["echo"]["dvl"].support == "candidate_only" and got["usbl"]["usbl"].score == 0.60
+    assert got["frames"]["imu"].detector == "imu_legacy_wit_sync" and abs(got["frames"]["imu"].score - 0.59) < 1e-9
+
+
+def test_processed_loader_is_strict(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("t_s,AccX_mps2,AccY_mps2,AccZ_mps2,GyroX_rad_s,GyroY_rad_s,GyroZ_rad_s\n0,1,2,3,4,5,6\n")
+    with pytest.raises(KeyError):
+        readers.scan_processed_imu(spark, str(tmp_path / "p.csv"))
+    row = readers.scan_processed_imu(spark, str(tmp_path / "p.csv"), strict=False).first()
+    assert (row.gx, row.gz, row.yaw_nav_rad) == (4.0, 6.0, None)
+    (tmp_path / "e.csv").write_text("EstS,Src\n")
+    with pytest.raises(ValueError):
+        readers.scan_sorted(spark, str(tmp_path / "e.csv"))
+
+
+def test_extended_trajectory_and_reports(spark, tmp_path):
+    path = spark.createDataFrame([(1, float(i), i, 1.0, 2.0, 3.0) for i in range(4)], "run_id long, t_s double, _row long, E double, N double, U double")
+    yaw = spark.createDataFrame([(1, float(i), i, 0.1 * i, "BI") for i in range(2)], "run_id long, t_s double, _row long, yaw_rad double, src string")
+    sinks.write_extended_trajectory(path, str(tmp_path / "x"), yaw)
+    rows = sinks.read_trajectory(spark, str(tmp_path / "x")).orderBy("t_s").collect()
+    assert [round(r.yaw_rad, 3) for r in rows] == [0.0, 0.1, 0.1, 0.1] and {r.src for r in rows} == {"BI"}
+    sinks.write_report(path.select("E"), str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 4
+    for report in (lambda: sinks.markdown(path, "t", 3), lambda: sinks.report_json(path, 3)):
+        with pytest.raises(ValueError):
+            report()
+    with pytest.raises(ValueError):
+        audit.graph_text(spark.createDataFrame([("a", "b", 1), ("b", "c", 1)], "module string, target string, n long"), 1)
+
+
+def test_cycles_of_any_length(spark):
+    edges = spark.createDataFrame([(i, (i + 1) % 11) for i in range(11)] + [(3, 1), (1, 0)], "module long, target long")
+    got = {r.cycle: r.length for r in audit.cycles(edges).collect()}
+    assert got == {">".join(map(str, range(11))): 11, "1>2>3": 3} and audit.cycles(edges, 5).count() == 1

@@ -12,6 +12,11 @@ LANGUAGES = {"py": "python", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "h": "cpp"
 COMMENTS = {"python": ("#", '"""', '"""'), "cpp": ("//", "/*", "*/"), "shell": ("#", None, None), "yaml": ("#", None, None)}
 
 
+def readable(content: Column) -> Column:
+    """Bytes as text; what isn't UTF-8 is left out."""
+    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
+
+
 def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 

@@ -91,8 +91,8 @@ def classified(samples: DataFrame) -> DataFrame:
 
     Bytes that aren't UTF-8 are ignored in text rules. Null and empty samples give no rows.
     """
-    text = F.regexp_replace(F.decode(F.coalesce("content", F.lit(b"")), "UTF-8"), "�", "")
-    rows = samples.select("identity", F.coalesce("content", F.lit(b"")).alias("content"), text.alias("text")).withColumn("fields", header_fields(F.col("text")))
+    content = F.coalesce("content", F.lit(b""))
+    rows = samples.select("identity", content.alias("content"), tx.readable(content).alias("text")).withColumn("fields", header_fields(F.col("text")))
     t, fields = F.col("text"), F.col("fields")
     usbl = _hit("usbl", F.when(t.rlike(USBL), 0.60).otherwise(0.0), "candidate_only", "usbl_ascii_token", F.lit("USBL"))
     hits = F.array(dvl_hit(t, fields), volt_hit(t, fields), imu_hit(fields, F.col("content")), usbl).cast(FOUND)

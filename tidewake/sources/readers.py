@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewake.functions.columns import finite, resolve, seconds
+from tidewake.functions.text import readable
 
 # The columns of the logs and of trace records.
 IMU_COLUMNS = ("MonoNS", "EstNS", "MonoS", "EstS", "AccX", "AccY", "AccZ", "GyroX", "GyroY", "GyroZ", "YawDeg", "AngX", "AngY", "AngZ")
@@ -152,7 +153,7 @@ def source_tree(spark: SparkSession, root: str, extensions: Sequence[str], skip:
     inside = F.expr(f"substring(regexp_replace(path, '^[a-z]+:/*', '/'), {len(root.rstrip('/').split(':')[-1]) + 2})")
     parts = F.split(inside, "/")
     hidden = F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1))), lambda p: p.startswith(".") | p.isin(*skip)) & (F.size(parts) > 1)
-    rows = files.filter(~hidden).select(inside.alias("path"), F.decode("content", "UTF-8").alias("text"))
+    rows = files.filter(~hidden).select(inside.alias("path"), readable(F.col("content")).alias("text"))
     return rows if most is None else rows.orderBy("path").limit(most)
 
 
@@ -203,7 +204,7 @@ def checked_payloads(blobs: DataFrame, magic: int, layout: int, version: int, si
 def text_tail(spark: SparkSession, path: str, lines: int = 40, most_bytes: int = 32 << 10) -> DataFrame:
     """(line, value): the last lines of one small log within its last bytes."""
     blob = spark.read.format("binaryFile").load(path)
-    tail = F.decode(F.substring(F.col("content"), F.greatest(F.length("content") - most_bytes + 1, F.lit(1)), F.lit(most_bytes)), "UTF-8")
+    tail = readable(F.substring(F.col("content"), F.greatest(F.length("content") - most_bytes + 1, F.lit(1)), F.lit(most_bytes)))
     rows = F.filter(F.split(tail, "\n"), lambda x: x != "")
     last = F.slice(rows, F.greatest(F.size(rows) - lines + 1, F.lit(1)), F.lit(lines))
     return blob.select(F.posexplode(last).alias("line", "value"))
