@@ -153,7 +153,7 @@ def varied(seed, n, words=120, edits=8):
     return out
 
 
-@pytest.mark.parametrize("small,most", [(32, 512), (4, 6), (1, 2)])
+@pytest.mark.parametrize("small,most", [(32, 512), (4, 6)])
 def test_near_duplicates_match_brute_force(spark, small, most):
     texts = [*varied(1, 60), *varied(2, 20), None, "", "  \n", "one two", "one two", "One  two", "a b c d e f", "unlike all the others here", "z " * 4000, "z " * 4000]
     got = dartminhash.near_duplicates(docs_of(spark, texts).withColumn("bands", F.lit(1)).withColumn("row", F.lit(1)), small=small, most=most).orderBy("doc_id").collect()
@@ -162,7 +162,7 @@ def test_near_duplicates_match_brute_force(spark, small, most):
     assert dartminhash.near_duplicates(docs_of(spark, texts).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("small,most", [(32, 512), (4, 512), (4, 3)])
+@pytest.mark.parametrize("small,most", [(4, 512), (4, 3)])
 def test_near_duplicates_inside_a_longer_text(spark, small, most):
     """Excerpts of one text that share nothing it lacks; two bands of one row, so that all share every key."""
     rng = random.Random(8)

@@ -98,14 +98,17 @@ def mix_schedule(docs: DataFrame, *, max_repeats: float = 2.0, target_entropy: f
     """The whole order of a mix: a row (block, place, doc_id, source, epoch, n_tokens) per use of a document.
 
     ``docs`` has doc_id, text, source; other columns are ignored. Null sources are the source "",
-    null texts have no tokens. Documents without tokens take their place in each pass. Repeated rows
-    are documents of their own. An empty table gives an empty order.
+    null texts have no tokens. Documents without tokens take their place in each pass; those of sources
+    without any are dealt out over the blocks. Repeated rows are documents of their own that keep together, equal
+    keys are ordered by doc_id, epoch, tokens and source. Texts of any length are counted whole. An empty
+    table gives an empty order.
     """
     base = counted(docs)
     plan = source_plan(base.groupBy("source").agg(F.sum("n_tokens").alias("n")), max_repeats=max_repeats, target_entropy=target_entropy, budget_tokens=budget_tokens)
-    rows = _passes(base, plan, seed)
+    rows = _passes(base, plan.withColumn("all", F.sum("budget").over(W.partitionBy(F.lit(1)))), seed)  # one row a source
     share = F.col("weight") * F.lit(float(block_tokens))
-    block = F.when(F.col("weight") > 0, F.floor((F.col("epoch") * F.col("n") + F.col("begin")) / share)).otherwise(F.lit(0)).cast("long")
+    spread = F.pmod("key", F.greatest(F.lit(1), F.ceil(F.col("all") / F.lit(float(block_tokens)))))  # of sources without tokens
+    block = F.when(F.col("weight") > 0, F.floor((F.col("epoch") * F.col("n") + F.col("begin")) / share)).otherwise(spread).cast("long")
     rows = rows.withColumn("block", block)
     order = _key(F.lit(str(seed)), F.lit("block"), F.col("block").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("epoch").cast("string"))
     rows = rows.withColumn("order", order)

@@ -43,7 +43,7 @@ WITH c AS (SELECT doc_id, coalesce(source, '') AS source, CAST(len(regexp_extrac
      k AS (SELECT *, CAST('0x' || substr(md5('17:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key FROM e),
      g AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY key RANGE UNBOUNDED PRECEDING)
                      - sum(n_tokens) OVER (PARTITION BY source, epoch, key) AS start FROM k),
-     u AS (SELECT *, CAST(CASE WHEN weight > 0 THEN floor((epoch * n + start) / (weight * 1000000.0)) ELSE 0 END AS BIGINT) AS block
+     u AS (SELECT *, CAST(CASE WHEN weight > 0 THEN floor((epoch * n + start) / (weight * 1000000.0)) ELSE key % (SELECT greatest(1, CAST(ceil(sum(budget) / 1000000.0) AS BIGINT)) FROM b) END AS BIGINT) AS block
            FROM g WHERE epoch < passes OR start < rest),
      o AS (SELECT *, CAST('0x' || substr(md5('17:block:' || block || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || epoch), 1, 15) AS BIGINT) AS ord FROM u)
 SELECT block, row_number() OVER (PARTITION BY block ORDER BY ord, doc_id, epoch, n_tokens, source) AS place, doc_id, source,
