@@ -75,3 +75,40 @@ def test_graph_follows_velocities(spark):
     table = estimate.factors(nodes, rows.filter("kind = 'BE'").withColumnRenamed("kind", "src"))
     out = estimate.smooth(nodes, table).orderBy("node").collect()
     assert len(out) == 8 and all(abs(r.vE - 0.5) < 0.05 for r in out[2:]) and out[-1].E > 1.5
+
+
+def test_many_runs_in_step_equal_one_at_a_time(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for run in range(7):
+        for i in range(int(rng.integers(3, 60))):
+            kind = ["IMU", "BE", "BI", "YAW", "VU"][0 if i == 0 and run else rng.integers(5)]
+            rows.append((run, i, float(np.round(rng.uniform(0, 6), 2)), kind, *(float(v) for v in rng.normal(size=7) * 0.3), *(float(v) if rng.random() > 0.05 else None for v in rng.normal(size=3))))
+    table, noise = spark.createDataFrame(rows, SCHEMA), estimate.Noise(most_dt=0.8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "23")  # so that runs go on in other batches
+    try:
+        got = {(r.run_id, r._row): r for r in estimate.inertial_filter(table, noise).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    for run in range(7):
+        x, cov, last, roll, pitch = np.zeros((1, 11)), np.diag(np.square(noise.start))[None], None, 0.0, 0.0
+        for _, row, t, kind, ax, ay, az, gz, r_, p_, y_, *v in sorted((r for r in rows if r[0] == run), key=lambda r: (r[2], r[3] != "IMU", r[1])):
+            nis = math.nan
+            if kind == "IMU":
+                if last is None:
+                    x[0, 6] = estimate.wrap(y_)
+                elif 0 < t - last <= noise.most_dt:
+                    x, cov = estimate.propagate(x, cov, np.array([t - last]), np.array([[ax, ay, az]]), np.array([gz]), np.array([r_]), np.array([p_]), noise)
+                last, roll, pitch = t, r_, p_
+            elif last is not None:
+                z = np.array([math.nan if c is None else c for c in v])
+                h, res, wide = {"YAW": (np.eye(11)[[6]], np.array([estimate.wrap(y_ - x[0, 6])]), [noise.yaw]), "VU": (np.eye(11)[[5]], z[2:] - x[0, 5:6], [noise.velocity_z])}.get(kind, (None, None, [noise.velocity_xy, noise.velocity_xy, noise.velocity_z]))
+                if h is None:
+                    into = estimate.rotation(roll, pitch, x[0, 6]).T if kind == "BI" else np.eye(3)
+                    h, res = into @ np.eye(11)[3:6], z - into @ x[0, 3:6]
+                if np.isfinite(res).all():
+                    a, b, _, nis = estimate.update(x[0], cov[0], res, h, np.diag(np.square(wide)))
+                    x, cov = a[None], b[None]
+            r = got[run, row]
+            assert np.allclose([r.E, r.N, r.U, r.vE, r.vN, r.vU, r.yaw_rad], [*x[0, :6], x[0, 6]], atol=1e-9) and (np.isclose(r.nis, nis) if not math.isnan(nis) else r.nis is None or math.isnan(r.nis))

@@ -1,6 +1,7 @@
-"""Recursive estimators, one run a group: an 11-state and a planar error-state filter, and a factor graph.
+"""Recursive estimators: an 11-state and a planar error-state filter, and a factor graph.
 
-A run is sequential by nature; runs are spread over the cluster. What can be said of a row without the
+A run is sequential by nature; runs are spread over the cluster, and those of a task are stepped
+through side by side, as arrays. What can be said of a row without the
 state (matches, rotated measurements, selection) is made of columns before the grouped step. Time-ordered
 input is made here again, so shuffles can't harm it.
 """
@@ -8,6 +9,7 @@ input is made here again, so shuffles can't harm it.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +26,7 @@ from tidewake.operators.timeseries import stride
 P, V, YAW, BA, BG = slice(0, 3), slice(3, 6), 6, slice(7, 10), 10
 
 
-def wrap(a: float) -> float:
+def wrap(a):
     return (a + math.pi) % (2 * math.pi) - math.pi
 
 
@@ -49,37 +51,76 @@ class Noise:
     gravity: float = 0.0  # 0 for linear acceleration, else specific force
 
 
-def propagate(x: np.ndarray, cov: np.ndarray, dt: float, acc: np.ndarray, gz: float, roll: float, pitch: float, noise: Noise) -> tuple[np.ndarray, np.ndarray]:
-    """One inertial step: the mid-point attitude turns the acceleration; the transition is of second order in dt."""
-    force, rate = acc - x[BA], gz - x[BG]
-    turn = rotation(roll, pitch, x[YAW] + 0.5 * rate * dt)
-    a = turn @ force - np.array([0.0, 0.0, noise.gravity])
+def rotations(roll: np.ndarray, pitch: np.ndarray, yaw: np.ndarray) -> np.ndarray:
+    """``rotation`` of many attitudes: (n, 3, 3)."""
+    cr, sr, cp, sp, cy, sy = np.cos(roll), np.sin(roll), np.cos(pitch), np.sin(pitch), np.cos(yaw), np.sin(yaw)
+    rows = [[cy * cp, cy * sp * sr - sy * cr, cy * sp * cr + sy * sr], [sy * cp, sy * sp * sr + cy * cr, sy * sp * cr - cy * sr], [-sp, cp * sr, cp * cr]]
+    return np.stack([np.stack(r, -1) for r in rows], -2)
+
+
+def propagate(x: np.ndarray, cov: np.ndarray, dt: np.ndarray, acc: np.ndarray, gz: np.ndarray, roll: np.ndarray, pitch: np.ndarray, noise: Noise) -> tuple[np.ndarray, np.ndarray]:
+    """One inertial step of many states (n, 11): the mid-point attitude turns the acceleration; the transition is of second order in dt."""
+    n, force, rate, d = len(x), acc - x[:, BA], gz - x[:, BG], dt[:, None]
+    turn = rotations(roll, pitch, x[:, YAW] + 0.5 * rate * dt)
+    a = (turn @ force[:, :, None])[:, :, 0] - np.array([0.0, 0.0, noise.gravity])
     out = x.copy()
-    out[P] += x[V] * dt + 0.5 * a * dt * dt
-    out[V] += a * dt
-    out[YAW] = wrap(x[YAW] + rate * dt)
-    flow = np.zeros((11, 11))
-    flow[P, V], flow[V, BA], flow[YAW, BG] = np.eye(3), -turn, -1.0
-    flow[V, YAW] = turn @ np.array([-force[1], force[0], 0.0])
-    spread = np.zeros((11, 11))
+    out[:, P] += x[:, V] * d + 0.5 * a * d * d
+    out[:, V] += a * d
+    out[:, YAW] = wrap(x[:, YAW] + rate * dt)
+    flow = np.zeros((n, 11, 11))
+    flow[:, P, V], flow[:, V, BA], flow[:, YAW, BG] = np.eye(3), -turn, -1.0
+    flow[:, V, YAW] = (turn @ np.stack((-force[:, 1], force[:, 0], np.zeros(n)), -1)[:, :, None])[:, :, 0]
+    spread, d = np.zeros((11, 11)), dt[:, None, None]
     spread[V, V] = noise.acc**2 * np.eye(3)
     spread[YAW, YAW], spread[BA, BA], spread[BG, BG] = noise.gyro**2, noise.acc_bias**2 * np.eye(3), noise.gyro_bias**2
-    step = np.eye(11) + flow * dt + 0.5 * (flow @ flow) * dt * dt
-    grown = spread * dt + 0.5 * (flow @ spread + spread @ flow.T) * dt**2 + (flow @ spread @ flow.T) * dt**3 / 3
-    cov = step @ cov @ step.T + grown
-    return out, 0.5 * (cov + cov.T)
-
-
-def update(x: np.ndarray, cov: np.ndarray, r: np.ndarray, h: np.ndarray, noise: np.ndarray, yaw: int | None = YAW) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Linear update with residual r in Joseph form; returns state, covariance, diagonal of S, and r' S^-1 r."""
-    s = h @ cov @ h.T + noise
-    gain = np.linalg.solve(s, h @ cov).T
-    keep = np.eye(len(x)) - gain @ h
-    out = x + gain @ r
+    step, back = np.eye(11) + flow * d + 0.5 * (flow @ flow) * d * d, flow.transpose(0, 2, 1)
+    grown = spread * d + 0.5 * (flow @ spread + spread @ back) * d**2 + (flow @ spread @ back) * d**3 / 3
+    cov = step @ cov @ step.transpose(0, 2, 1) + grown
+    return out, 0.5 * (cov + cov.transpose(0, 2, 1))
+
+
+def update(x: np.ndarray, cov: np.ndarray, r: np.ndarray, h: np.ndarray, noise: np.ndarray, yaw: int | None = YAW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Linear updates with residuals r in Joseph form, of one state or of many; returns state, covariance, diagonal of S, and r' S^-1 r."""
+    t = lambda m: np.swapaxes(m, -1, -2)
+    s = h @ cov @ t(h) + noise
+    gain = t(np.linalg.solve(s, h @ cov))
+    keep = np.eye(x.shape[-1]) - gain @ h
+    out = x + (gain @ r[..., None])[..., 0]
     if yaw is not None:
-        out[yaw] = wrap(out[yaw])
-    cov = keep @ cov @ keep.T + gain @ noise @ gain.T
-    return out, 0.5 * (cov + cov.T), np.diag(s), float(r @ np.linalg.solve(s, r))
+        out[..., yaw] = wrap(out[..., yaw])
+    cov = keep @ cov @ t(keep) + gain @ noise @ t(gain)
+    return out, 0.5 * (cov + t(cov)), np.diagonal(s, axis1=-2, axis2=-1), np.einsum("...i,...i->...", r, np.linalg.solve(s, r[..., None])[..., 0])
+
+
+def in_step(runs: Iterator[pd.DataFrame], start: Callable[[int], list[np.ndarray]], advance: Callable[[list[np.ndarray], np.ndarray, np.ndarray], None]) -> Iterator[pd.DataFrame]:
+    """Steps through many runs at once, in batches of rows sorted by run and in order inside each.
+
+    ``start`` makes the states of n runs, arrays by run; ``advance(state, runs, rows)`` moves the states of
+    ``runs`` by one row of the batch each, set by ``advance.load`` before. A run that goes on in the next batch takes its state along, so a
+    batch is all that is held, however long a run is.
+    """
+    carried = None
+    for batch in runs:
+        if not len(batch):
+            continue
+        ids = batch["run_id"].to_numpy()
+        begin = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        size = np.diff(np.append(begin, len(ids)))
+        state = start(len(begin))
+        if carried is not None and carried[0] == ids[0]:
+            for mine, was in zip(state, carried[1]):
+                mine[0] = was
+        advance.load(batch)
+        for k in range(int(size.max())):
+            live = np.flatnonzero(size > k)
+            advance(state, live, begin[live] + k)
+        carried = ids[-1], [a[-1].copy() for a in state]
+        yield advance.made()
+
+
+def sorted_runs(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows of a run in one partition and in order, beside those of other runs."""
+    return rows.repartition("run_id").sortWithinPartitions("run_id", *order)
 
 
 def measurements(be: DataFrame, bi: DataFrame, *, use_body: bool = True) -> DataFrame:
@@ -112,39 +153,61 @@ def inertial_filter(timeline: DataFrame, noise: Noise = Noise()) -> DataFrame:
     rows come first. Steps over ``noise.most_dt`` or back advance the clock alone.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(rank=(rows["kind"] != "IMU").astype(int)).sort_values(["t_s", "rank", "_row"], kind="stable")
-        x, cov, last, out = np.zeros(11), np.diag(np.square(noise.start)), None, []
-        roll = pitch = 0.0
-        pick = np.zeros((3, 11))
-        pick[:, V] = np.eye(3)
-        spread = np.diag([noise.velocity_xy**2, noise.velocity_xy**2, noise.velocity_z**2])
-        names = ["_row", "t_s", "kind", "ax", "ay", "az", "gz", "roll", "pitch", "yaw", "vE", "vN", "vU"]
-        for row, t, kind, ax, ay, az, gz, r_, p_, y_, ve, vn, vu in rows[names].itertuples(index=False):
-            before, report = x[V].copy(), [math.nan] * 7
-            if kind == "IMU":
-                if last is None:
-                    x[YAW] = wrap(y_)
-                elif 0 < t - last <= noise.most_dt:
-                    x, cov = propagate(x, cov, t - last, np.array([ax, ay, az]), gz, r_, p_, noise)
-                last, roll, pitch = t, r_, p_
-            elif last is not None:
+    names = [c.split()[0] for c in FILTERED.split(", ")]
+    pick, spread = np.eye(11)[V], np.diag([noise.velocity_xy**2, noise.velocity_xy**2, noise.velocity_z**2])
+
+    class Step:
+        def load(self, batch: pd.DataFrame) -> None:
+            self.batch = batch
+            self.kind = batch["kind"].to_numpy()
+            self.t, self.gz, self.roll, self.pitch, self.yaw = (batch[c].to_numpy(np.float64) for c in ("t_s", "gz", "roll", "pitch", "yaw"))
+            self.acc, self.z = (batch[list(c)].to_numpy(np.float64) for c in (("ax", "ay", "az"), ("vE", "vN", "vU")))
+            self.out = np.full((len(batch), 17), np.nan)
+
+        def made(self) -> pd.DataFrame:
+            out = pd.DataFrame(self.out, columns=names[4:])
+            return pd.concat([self.batch[names[:4]].reset_index(drop=True), out], axis=1)
+
+        def __call__(self, state: list[np.ndarray], runs: np.ndarray, rows: np.ndarray) -> None:
+            x, cov, last, roll, pitch = state
+            self.out[rows, 14:] = x[runs][:, V]
+            inertial = self.kind[rows] == "IMU"
+            a, at = runs[inertial], rows[inertial]
+            new, dt = np.isnan(last[a]), self.t[at] - last[a]
+            x[a[new], YAW] = wrap(self.yaw[at[new]])
+            go = (dt > 0) & (dt <= noise.most_dt)
+            b, r = a[go], at[go]
+            if len(b):
+                x[b], cov[b] = propagate(x[b], cov[b], dt[go], self.acc[r], self.gz[r], self.roll[r], self.pitch[r], noise)
+            last[a], roll[a], pitch[a] = self.t[at], self.roll[at], self.pitch[at]
+            begun = ~inertial & ~np.isnan(last[runs])
+            for kind in ("YAW", "VU", "velocity"):
+                mine = begun & (self.kind[rows] == kind if kind != "velocity" else ~np.isin(self.kind[rows], ("YAW", "VU")))
+                a, at = runs[mine], rows[mine]
+                if not len(a):
+                    continue
                 if kind == "YAW":
-                    h, residual, wide = np.eye(11)[[YAW]], np.array([wrap(y_ - x[YAW])]), np.diag([noise.yaw**2])
+                    h, residual, wide = np.eye(11)[[YAW]], wrap(self.yaw[at] - x[a, YAW])[:, None], np.array([[noise.yaw**2]])
                 elif kind == "VU":
-                    h, residual, wide = np.eye(11)[[5]], np.array([vu - x[5]]), np.diag([noise.velocity_z**2])
+                    h, residual, wide = np.eye(11)[[5]], (self.z[at, 2] - x[a, 5])[:, None], np.array([[noise.velocity_z**2]])
                 else:
-                    into = rotation(roll, pitch, x[YAW]).T if kind == "BI" else np.eye(3)
-                    h, residual, wide = into @ pick, np.array([ve, vn, vu]) - into @ x[V], spread
-                if np.isfinite(residual).all():
-                    x, cov, s, nis = update(x, cov, residual, h, wide)
-                    pad = [math.nan] * (3 - len(residual))
-                    report = [nis, *residual, *pad, *s, *pad]
-            out.append([row, t, kind, *x[P], x[YAW], *x[V], *report, *before])
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in FILTERED.split(", ")][1:])
-        return frame.assign(run_id=rows["run_id"].iloc[0])
+                    turn = rotations(roll[a], pitch[a], x[a, YAW]).transpose(0, 2, 1)
+                    into = np.where((self.kind[at] == "BI")[:, None, None], turn, np.eye(3))
+                    h, wide = into @ pick, spread
+                    residual = self.z[at] - (into @ x[a][:, V, None])[:, :, 0]
+                good = np.isfinite(residual).all(axis=1)
+                a, at, residual, h = a[good], at[good], residual[good], h[good] if h.ndim == 3 else h
+                if len(a):
+                    x[a], cov[a], s, nis = update(x[a], cov[a], residual, h, wide)
+                    n = residual.shape[1]
+                    self.out[at, 7], self.out[at, 8 : 8 + n], self.out[at, 11 : 11 + n] = nis, residual, s
+            self.out[rows, 0:3], self.out[rows, 3], self.out[rows, 4:7] = x[runs][:, P], x[runs, YAW], x[runs][:, V]
+
+    def start(n: int) -> list[np.ndarray]:
+        return [np.zeros((n, 11)), np.tile(np.diag(np.square(noise.start)), (n, 1, 1)), np.full(n, np.nan), np.zeros(n), np.zeros(n)]
 
-    return timeline.groupBy("run_id").applyInPandas(run, FILTERED)
+    rows = timeline.withColumn("_rank", F.when(F.col("kind") == "IMU", 0).otherwise(1))
+    return sorted_runs(rows, "t_s", "_rank", "_row").mapInPandas(lambda batches: in_step(batches, start, Step()), FILTERED)
 
 
 @dataclass(frozen=True)
@@ -205,83 +268,102 @@ def planar_run(imu: DataFrame, bi: DataFrame, be: DataFrame, limits: PlanarLimit
     """
 
     def step(x, cov, dt, acc, gz, roll, pitch):
-        x = x.copy()
-        x[4] = wrap(x[4] + (gz - x[5]) * dt)
+        """States (n, 6) moved by ``dt``: turned, accelerated within limits, leaking, slowed to the most speed."""
+        n, x, d = len(x), x.copy(), dt[:, None]
+        x[:, 4] = wrap(x[:, 4] + (gz - x[:, 5]) * dt)
 
-        def planar(yaw: float) -> np.ndarray:
-            a = (rotation(roll, pitch, yaw) @ acc)[:2]
+        def planar(yaw: np.ndarray) -> np.ndarray:
+            a = (rotations(roll, pitch, yaw) @ acc[:, :, None])[:, :2, 0]
             return np.clip(np.where(np.abs(a) < limits.dead_acc, 0.0, a), -limits.clip_acc, limits.clip_acc)
 
-        a = planar(x[4])
-        v = (x[2:4] + a * dt) * max(0.0, 1 - limits.leak * dt)
-        speed = math.hypot(*v)
-        x[2:4] = v * (limits.most_speed / speed) if speed > limits.most_speed else v
-        x[0:2] += x[2:4] * dt
-        move = np.eye(6)
-        move[0, 2] = move[1, 3] = dt
-        move[2:4, 4] = (planar(x[4] + 1e-6) - a) / 1e-6 * dt
-        move[4, 5] = -dt
-        q = np.zeros((6, 6))
+        a = planar(x[:, 4])
+        v = (x[:, 2:4] + a * d) * np.maximum(0.0, 1 - limits.leak * d)
+        speed = np.hypot(v[:, 0], v[:, 1])
+        x[:, 2:4] = v * np.where(speed > limits.most_speed, limits.most_speed / np.maximum(speed, 1e-12), 1.0)[:, None]
+        x[:, 0:2] += x[:, 2:4] * d
+        move = np.tile(np.eye(6), (n, 1, 1))
+        move[:, 0, 2] = move[:, 1, 3] = dt
+        move[:, 2:4, 4] = (planar(x[:, 4] + 1e-6) - a) / 1e-6 * d
+        move[:, 4, 5] = -dt
+        q = np.zeros((n, 6, 6))
         for i in (0, 1):
-            q[i, i], q[i, i + 2], q[i + 2, i], q[i + 2, i + 2] = (limits.sigma_acc**2 * c for c in (dt**4 / 4, dt**3 / 2, dt**3 / 2, dt**2))
-        q[4, 4], q[5, 5] = (limits.sigma_gyro * dt) ** 2, limits.sigma_bias**2 * dt
-        cov = move @ cov @ move.T + q
-        return x, 0.5 * (cov + cov.T)
+            q[:, i, i], q[:, i, i + 2], q[:, i + 2, i], q[:, i + 2, i + 2] = (limits.sigma_acc**2 * c for c in (dt**4 / 4, dt**3 / 2, dt**3 / 2, dt**2))
+        q[:, 4, 4], q[:, 5, 5] = (limits.sigma_gyro * dt) ** 2, limits.sigma_bias**2 * dt
+        cov = move @ cov @ move.transpose(0, 2, 1) + q
+        return x, 0.5 * (cov + cov.transpose(0, 2, 1))
 
     names = [c.split()[0] for c in PLANAR.split(", ")]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(rank=(rows["kind"] != "IMU").astype(int)).sort_values(["t_imu_s", "rank", "t_s", "_row"], kind="stable")
-        x, cov, last, out = np.zeros(6), np.diag([0.25, 0.25, 0.36, 0.36, math.radians(10) ** 2, 4e-4]), None, []
-        moved, dt = False, 0.0
-        pick = np.zeros((2, 6))
-        pick[:, 2:4] = np.eye(2)
-        for row, kind, t, t_imu, ax, ay, az, gz, roll, pitch, yaw, east, north, up in rows[["_row", "kind", "t_s", "t_imu_s", "ax", "ay", "az", "gz", "roll", "pitch", "yaw", "vE_meas", "vN_meas", "vU_be"]].itertuples(index=False):
-            seen = [math.nan] * 28
-            if kind == "IMU":
-                moved, dt = False, 0.0 if last is None else t - last
-                if last is None:
-                    x[4] = wrap(yaw)
-                elif 0 < dt <= limits.dt_max:
-                    x, cov = step(x, cov, dt, np.array([ax, ay, az]), gz, roll, pitch)
-                    moved = True
-                last, status = t, "step" if moved else "gap"
-            else:
-                before, z = x.copy(), np.array([east, north])
-                still = math.hypot(*z) <= limits.still_speed
-                z = np.zeros(2) if still else z
-                noise = np.eye(2) * (limits.sigma_still if still else limits.sigma_velocity) ** 2
-                residual, spread = z - x[2:4], pick @ cov @ pick.T
-                s = spread + noise
-                nis = float(residual @ np.linalg.solve(s, residual))
-                ratio = math.hypot(*x[2:4]) / max(math.hypot(*z), limits.speed_floor)
-                inflate, after, used = 1.0, math.nan, noise
-                if still:
-                    status = "still"
-                elif nis > limits.nis_hard or ratio > limits.ratio_hard:
-                    status = "rejected"
-                else:
-                    inflate = min(limits.inflate_max, max(1.0, nis / limits.nis_target if nis > limits.nis_soft else 1.0, (ratio / limits.ratio_soft) ** 2 if ratio > limits.ratio_soft else 1.0))
-                    status = "inflated" if inflate > 1 else "applied"
-                if status != "rejected":
-                    used = noise * inflate
-                    new, new_cov, _, after = update(x, cov, residual, pick, used, yaw=4)
-                    if limits.reject_after and not still and after > limits.nis_hard:
-                        status = "rejected_after"
-                    else:
-                        x, cov = new, new_cov
-                s = spread + used
-                white, dx = np.linalg.solve(np.linalg.cholesky(s), residual), x - before
-                dx[4] = wrap(dx[4])
-                seen = [
-                    *before[:4], *z, *residual, *np.diag(s), float(np.linalg.cond(s)), nis, after, inflate, *np.diag(used), *np.diag(spread), *white, float(np.linalg.norm(dx)), math.hypot(*dx[2:4]), dx[4], dx[5],
-                    float(np.linalg.cond(cov)), cov[0, 0] + cov[1, 1], cov[2, 2] + cov[3, 3], cov[4, 4], cov[5, 5],
-                ]
-            out.append([row, kind, t, t_imu, *x[:6], moved, dt, yaw, up, status, *seen])
-        frame = pd.DataFrame(out, columns=names[1:])
-        return frame.assign(run_id=rows["run_id"].iloc[0])
-
-    return planar_inputs(imu, bi, be).groupBy("run_id").applyInPandas(run, PLANAR)
+    column = {name: i for i, name in enumerate(names)}
+    pick = np.eye(6)[2:4]
+
+    class Step:
+        def load(self, batch: pd.DataFrame) -> None:
+            self.batch = batch
+            self.inertial = (batch["kind"] == "IMU").to_numpy()
+            self.t, self.gz, self.roll, self.pitch, self.yaw, self.up = (batch[c].to_numpy(np.float64) for c in ("t_s", "gz", "roll", "pitch", "yaw", "vU_be"))
+            self.acc, self.z = (batch[list(c)].to_numpy(np.float64) for c in (("ax", "ay", "az"), ("vE_meas", "vN_meas")))
+            self.out = np.full((len(batch), len(names)), np.nan)
+            self.moved, self.status = np.zeros(len(batch), bool), np.full(len(batch), "gap", object)
+
+        def put(self, rows: np.ndarray, first: str, *values: np.ndarray) -> None:
+            """Values of neighbouring columns from ``first`` on."""
+            at = column[first]
+            for v in values:
+                wide = v.reshape(len(rows), -1)
+                self.out[rows, at : at + wide.shape[1]] = wide
+                at += wide.shape[1]
+
+        def made(self) -> pd.DataFrame:
+            out = pd.DataFrame(self.out, columns=names)
+            return out.assign(prop_ok=self.moved, status=self.status, **{c: self.batch[c].to_numpy() for c in ("run_id", "_row", "kind", "t_s", "t_imu_s")})
+
+        def __call__(self, state: list[np.ndarray], runs: np.ndarray, rows: np.ndarray) -> None:
+            x, cov, last, moved, dt = state
+            a, at = runs[self.inertial[rows]], rows[self.inertial[rows]]
+            new = np.isnan(last[a])
+            dt[a] = np.where(new, 0.0, self.t[at] - last[a])
+            x[a[new], 4] = wrap(self.yaw[at[new]])
+            moved[a] = (dt[a] > 0) & (dt[a] <= limits.dt_max)
+            b, r = a[moved[a]], at[moved[a]]
+            if len(b):
+                x[b], cov[b] = step(x[b], cov[b], dt[b], self.acc[r], self.gz[r], self.roll[r], self.pitch[r])
+            last[a] = self.t[at]
+            self.status[at] = np.where(moved[a], "step", "gap")
+            a, at = runs[~self.inertial[rows]], rows[~self.inertial[rows]]
+            if len(a):
+                self.measure(x, cov, a, at)
+            self.moved[rows] = moved[runs]
+            self.put(rows, "E", x[runs])
+            self.put(rows, "dt_prop_s", dt[runs], self.yaw[rows], self.up[rows])
+
+        def measure(self, x: np.ndarray, cov: np.ndarray, a: np.ndarray, at: np.ndarray) -> None:
+            before, p = x[a].copy(), cov[a]
+            still = np.hypot(*self.z[at].T) <= limits.still_speed
+            z = np.where(still[:, None], 0.0, self.z[at])
+            noise = np.eye(2) * (np.where(still, limits.sigma_still, limits.sigma_velocity) ** 2)[:, None, None]
+            residual, spread = z - before[:, 2:4], pick @ p @ pick.T
+            nis = np.einsum("ni,ni->n", residual, np.linalg.solve(spread + noise, residual[:, :, None])[:, :, 0])
+            ratio = np.hypot(before[:, 2], before[:, 3]) / np.maximum(np.hypot(z[:, 0], z[:, 1]), limits.speed_floor)
+            rejected = ~still & ((nis > limits.nis_hard) | (ratio > limits.ratio_hard))
+            grown = np.maximum(np.where(nis > limits.nis_soft, nis / limits.nis_target, 1.0), np.where(ratio > limits.ratio_soft, (ratio / limits.ratio_soft) ** 2, 1.0))
+            inflate = np.where(still | rejected, 1.0, np.minimum(limits.inflate_max, np.maximum(1.0, grown)))
+            used = noise * inflate[:, None, None]
+            new, new_cov, s, after = update(before, p, residual, pick, used, yaw=4)
+            late = ~still & ~rejected & (after > limits.nis_hard) if limits.reject_after else np.zeros(len(a), bool)
+            taken = ~rejected & ~late
+            x[a], cov[a] = np.where(taken[:, None], new, before), np.where(taken[:, None, None], new_cov, p)
+            self.status[at] = np.select([still, rejected, late, inflate > 1], ["still", "rejected", "rejected_after", "inflated"], "applied")
+            whole, dx, p = spread + used, x[a] - before, cov[a]
+            dx[:, 4] = wrap(dx[:, 4])
+            white = np.linalg.solve(np.linalg.cholesky(whole), residual[:, :, None])[:, :, 0]
+            diagonal = lambda m: np.diagonal(m, axis1=1, axis2=2)
+            self.put(at, "E_pre", before[:, :4], z, residual, s, np.linalg.cond(whole), nis, np.where(rejected, np.nan, after), inflate, diagonal(used), diagonal(spread), white, np.linalg.norm(dx, axis=1), np.hypot(dx[:, 2], dx[:, 3]), dx[:, 4], dx[:, 5], np.linalg.cond(p), p[:, 0, 0] + p[:, 1, 1], p[:, 2, 2] + p[:, 3, 3], p[:, 4, 4], p[:, 5, 5])
+
+    def start(n: int) -> list[np.ndarray]:
+        return [np.zeros((n, 6)), np.tile(np.diag([0.25, 0.25, 0.36, 0.36, math.radians(10) ** 2, 4e-4]), (n, 1, 1)), np.full(n, np.nan), np.zeros(n, bool), np.zeros(n)]
+
+    rows = planar_inputs(imu, bi, be).withColumn("_rank", F.when(F.col("kind") == "IMU", 0).otherwise(1))
+    return sorted_runs(rows, "t_imu_s", "_rank", "t_s", "_row").mapInPandas(lambda batches: in_step(batches, start, Step()), PLANAR)
 
 
 @dataclass(frozen=True)
