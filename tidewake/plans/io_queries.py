@@ -221,3 +221,62 @@ def r01(spark, sf):
 def d02(spark, sf):
     rows = samples(spark, sf).withColumn("seq", F.col("k"))
     return rows.withColumn("lost", ops.lost_events(rows)).groupBy("run_id").agg(F.sum("lost").cast("long").alias("lost"))
+
+
+@register("s02_dvl_csv", SQL + " SELECT run_id, _row, src, round(vE, 6) AS ve, CASE WHEN valid THEN 'true' ELSE 'false' END AS valid, CASE WHEN k % 5 > 0 THEN round(vU, 6) END AS depth FROM s WHERE src <> 'IMU'")
+def s02(spark, sf):
+    given = {"Src": F.col("src"), "SensorID": F.lit("DVL_H1000"), "Ve_enu(m_s)": F.col("vE"), "Vn_enu(m_s)": F.col("vN"), "Vu_enu(m_s)": F.col("vU"), "Valid": F.col("valid").cast("string"), "EstS": F.col("t_s"), "Depth(m)": F.when(F.col("k") % 5 > 0, F.col("vU").cast("string")).otherwise("n/a"), "E(m)": F.col("run_id"), "N(m)": F.col("_row")}
+    log = samples(spark, sf, "BE", "BI").select(*(given.get(c, F.lit("")).alias(c) for c in readers.DVL_COLUMNS))
+    path = fresh_folder(spark, "dvl-raw")
+    sinks.write_csv(log, path, by=())
+    back = readers.scan_dvl(spark, path)
+    return back.select(F.col("`E(m)`").cast("long").alias("run_id"), F.col("`N(m)`").cast("long").alias("_row"), F.col("Src").alias("src"), F.round("`Ve_enu(m_s)`", 6).alias("ve"), F.col("Valid").alias("valid"), F.round("`Depth(m)`", 6).alias("depth"))
+
+
+@register("s04_run_catalog", "SELECT * FROM (VALUES ('a', 'a.csv', 'ad.csv', '2', 'n'), ('b', NULL, NULL, NULL, 'late'), ('c', 'c.csv', NULL, '3', NULL)) AS t(run_id, imu, dvl, date, note)")
+def s04(spark, sf):
+    specs = [{"run_id": "a", "imu": "a.csv", "dvl": "ad.csv", "date": "1", "note": "n"}, {"run_id": "b"}, {"run_id": "c", "imu": "c.csv", "date": "3"}]
+    return readers.run_catalog(spark, specs, [{"run_id": "a", "date": "2"}, {"run_id": "b", "note": "late"}])
+
+
+@register("s05_latest_file", "SELECT max(CAST(n_nationkey AS VARCHAR)) AS newest FROM nation")
+def s05(spark, sf):
+    path = fresh_folder(spark, "latest")
+    sinks.write_csv(table(spark, sf, "nation"), path, by=("n_nationkey",))
+    return spark.range(1).select(F.regexp_extract(F.lit(readers.latest_file(spark, f"{path}/n_nationkey=*/part*")), "n_nationkey=([0-9]+)", 1).alias("newest"))
+
+
+@register("s11_source_tree", "SELECT n_regionkey || '/n' AS folder, count(*) AS files, CAST(sum(length(n_name) + 1) AS BIGINT) AS chars FROM nation WHERE n_nationkey % 5 > 0 GROUP BY n_regionkey")
+def s11(spark, sf):
+    path = fresh_folder(spark, "tree")
+    rows = table(spark, sf, "nation").select(F.col("n_regionkey").alias("dir"), F.col("n_nationkey").alias("n"), F.col("n_name").alias("value"))
+    rows.filter("n % 5 > 0").write.partitionBy("dir", "n").text(f"{path}/code")
+    rows.filter("n % 5 = 0").write.partitionBy("dir", "n").text(f"{path}/code/build")  # a folder that is skipped
+    files = readers.source_tree(spark, f"{path}/code", ["txt"])
+    rows = files.groupBy(F.concat(F.regexp_extract("path", "dir=([0-9]+)", 1), F.lit("/n")).alias("folder"))
+    return rows.agg(F.count("*").alias("files"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@register("s17_text_tail", "WITH l AS (SELECT event_id || ' ' || event_type AS value, event_id FROM events), r AS (SELECT value, row_number() OVER (ORDER BY event_id DESC) AS i FROM l) SELECT 40 - i AS line, value FROM r WHERE i <= 40")
+def s17(spark, sf):
+    rows, path = table(spark, sf, "events").select("event_id", F.concat_ws(" ", F.col("event_id").cast("string"), "event_type").alias("value")), fresh_folder(spark, "log")
+    rows.repartition(1).sortWithinPartitions("event_id").select("value").write.text(path)  # one log file is what a tail is of
+    return readers.text_tail(spark, f"{path}/part*", 40).select(F.col("line").cast("long").alias("line"), "value")
+
+
+@register("k04_extended_trajectory", SQL + """, a AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY t_s, _row) AS i FROM s WHERE src = 'BE'), b AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY t_s, _row) AS i FROM s WHERE src = 'BI'),
+  j AS (SELECT a.run_id, a.i, a.vE, last_value(b.yaw IGNORE NULLS) OVER (PARTITION BY a.run_id ORDER BY a.i) AS yaw FROM a LEFT JOIN b ON a.run_id = b.run_id AND a.i = b.i)
+  SELECT run_id, count(*) AS n, round(sum(vE), 5) AS e, round(sum(yaw), 5) AS yaw FROM j GROUP BY run_id""")
+def k04(spark, sf):
+    rows = samples(spark, sf, "BE").select("run_id", "t_s", "_row", F.col("vE").alias("E"), F.col("vN").alias("N"), F.col("vU").alias("U"))
+    path = fresh_folder(spark, "extended")
+    sinks.write_extended_trajectory(rows, path, samples(spark, sf, "BI").select("run_id", "t_s", "_row", F.col("yaw").alias("yaw_rad"), "src"))
+    back = sinks.read_trajectory(spark, path).withColumn("run_id", F.col("run_id").cast("long"))
+    return back.groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.sum("E"), 5).alias("e"), F.round(F.sum("yaw_rad"), 5).alias("yaw"))
+
+
+@register("k06_k07_report", SQL + " SELECT src, count(*) AS n, round(avg(value), 6) AS mean FROM s GROUP BY src")
+def k07(spark, sf):
+    path = fresh_folder(spark, "report")
+    sinks.write_report(samples(spark, sf).groupBy("src").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")), path)
+    return spark.read.schema("src string, n long, mean double").json(path)

@@ -327,3 +327,28 @@ def r08(spark, sf):
 def r11(spark, sf):
     rows = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), (F.col("event_id") % 7).alias("command"), F.col("event_type").alias("state"), F.col("ts").alias("t_s"))
     return ops.command_state(rows, ["view", "click", "signup", "purchase", "error"])
+
+
+@register("x12_checksum_frames", SQL + " SELECT _row, CASE WHEN k % 3 = 0 THEN 0 WHEN k % 2 = 0 THEN 1 ELSE 0 END AS valid, CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END AS loose FROM s")
+def x12(spark, sf):
+    k = F.col("k")
+    head = F.when(k % 3 == 0, "54").otherwise("55")
+    total = (0x55 + 0x51 + k + 7 * 2 + F.when(k % 2 == 0, 0).otherwise(1)) % 256
+    data = F.unhex(F.concat(head, F.lit("51"), F.lpad(F.hex(k), 2, "0"), F.lit("02" * 7), F.lpad(F.hex(total), 2, "0")))
+    return _long(samples(spark, sf).select("_row", tx.frames_with_checksum(data).alias("f")).select("_row", "f.valid", "f.loose"), "valid", "loose")
+
+
+def _python_files(spark, sf):
+    """A function of doc_id % 100 lines and one of two, a file a document."""
+    body = F.repeat(F.lit("\n    pass"), (F.col("doc_id") % 100).cast("int"))
+    return table(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("def f():"), body, F.lit("\nasync def g(x):\n    if x:\n        return 1")).alias("text"))
+
+
+@register("c02_function_spans", "WITH n AS (SELECT doc_id || '.py' AS path, doc_id % 100 AS n FROM documents) SELECT path, 'f' AS name, 1 AS line, n + 1 AS lines, CASE WHEN n > 0 THEN 1 ELSE 0 END AS nest FROM n UNION ALL SELECT path, 'g', n + 2, 3, 2 FROM n")
+def c02(spark, sf):
+    return audit.function_spans(_python_files(spark, sf))
+
+
+@register("c04_long_functions", "SELECT doc_id || '.py' AS path, 'f' AS name, doc_id % 100 + 1 AS lines FROM documents WHERE doc_id % 100 + 1 >= 80")
+def c04(spark, sf):
+    return audit.long_functions(audit.function_spans(_python_files(spark, sf))).select("path", "name", "lines")
