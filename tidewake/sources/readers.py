@@ -34,13 +34,16 @@ def scan_csv(spark: SparkSession, paths: str | Sequence[str], required: Sequence
     lacking = [c for c in required if c not in names]
     if lacking:
         raise KeyError(f"columns {lacking} are missing; there are {names}")
-    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    raw = raw.withColumns({"source_path": F.col("_metadata.file_path"), "_place": place})
+    raw = raw.withColumns({"source_path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
+    # lines are counted by block of a file, so that a large file isn't one task
+    blocks = raw.groupBy("source_path", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    blocks = blocks.withColumn("_before", F.sum("_n").over(W.partitionBy("source_path").orderBy("_block")) - F.col("_n")).drop("_n")
     for c in names:
         cell = F.col(f"`{c}`")
         cell = F.when(~F.trim(cell).isin(*missing), F.trim(cell))
         raw = raw.withColumn(c, cell if c in text else cell.try_cast("long" if c.endswith("NS") else "double"))
-    return raw.withColumn("_row", F.row_number().over(W.partitionBy("source_path").orderBy("_place")).cast("long")).drop("_place")
+    numbered = raw.join(blocks, ["source_path", "_block"]).withColumn("_row", (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("long"))
+    return numbered.select(*(F.col(f"`{c}`") for c in names), "source_path", "_row")
 
 
 def scan_imu(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
