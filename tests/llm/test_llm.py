@@ -593,8 +593,8 @@ def test_path_counts_and_probabilities_by_brute_force():
     mixer.freeze()
     cases = contextmix.Distinct([bytes([c]) for c in range(256)] + [b""])
     mixer.look(cases, [(mixer.keys, mixer.counts)])
-    case, node, bit, depth = next(cases.decisions())
-    final = mixer.predict(sum(mixer.weighted[mixer.first[at[case]] + depth] for at in cases.place), node, bit)[0]
+    case, node, bit, places = next(cases.decisions(mixer.first))
+    final = mixer.predict(sum(mixer.weighted[at] for at in places), node, bit)[0]
     begins = cases.contexts[0] == contextmix.Distinct([b""]).contexts[0][0]
     probability = np.exp(np.bincount(case, np.log(np.where(bit == 1, final, 1 - final)), len(begins)))
     assert begins.sum() == 257 and abs(probability[begins].sum() - 1) < 1e-4
