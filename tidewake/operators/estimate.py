@@ -398,22 +398,32 @@ def focus_record(planar: DataFrame, limits: FocusLimits = FocusLimits()) -> Data
 def quaternion_attitude(samples: DataFrame) -> DataFrame:
     """(run_id, _row, qw, qx, qy, qz): attitude by left end-point integration of body rates (rad/s), kept at length 1."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t_s", "_row"], kind="stable")
-        q, out, last, rate = np.array([1.0, 0, 0, 0]), [], None, np.zeros(3)
-        for t, x, y, z in rows[["t_s", "gx", "gy", "gz"]].itertuples(index=False):
-            if last is not None and t > last:
-                v = rate * (t - last)
-                angle = float(np.linalg.norm(v))
-                s = math.sin(angle / 2) / angle if angle > 1e-12 else 0.5
-                w, a, b, c = math.cos(angle / 2), *(v * s)
-                q = np.array([q[0] * w - q[1] * a - q[2] * b - q[3] * c, q[0] * a + q[1] * w + q[2] * c - q[3] * b, q[0] * b - q[1] * c + q[2] * w + q[3] * a, q[0] * c + q[1] * b - q[2] * a + q[3] * w])
-                q /= np.linalg.norm(q)
-            last, rate = t, np.array([x, y, z])
-            out.append(q.copy())
-        return pd.DataFrame(out, columns=["qw", "qx", "qy", "qz"]).assign(run_id=rows["run_id"].to_numpy(), _row=rows["_row"].to_numpy())
-
-    return samples.groupBy("run_id").applyInPandas(run, "run_id long, _row long, qw double, qx double, qy double, qz double")
+    class Step:
+        def load(self, batch: pd.DataFrame) -> None:
+            self.batch, self.t, self.rate = batch, batch["t_s"].to_numpy(np.float64), batch[["gx", "gy", "gz"]].to_numpy(np.float64)
+            self.out = np.empty((len(batch), 4))
+
+        def made(self) -> pd.DataFrame:
+            return self.batch[["run_id", "_row"]].reset_index(drop=True).join(pd.DataFrame(self.out, columns=["qw", "qx", "qy", "qz"]))
+
+        def __call__(self, state: list[np.ndarray], runs: np.ndarray, rows: np.ndarray) -> None:
+            q, last, rate = state
+            dt = self.t[rows] - last[runs]
+            a, v = runs[dt > 0], (rate[runs] * dt[:, None])[dt > 0]  # false for NaN, the first sample
+            angle = np.linalg.norm(v, axis=1)
+            s = np.where(angle > 1e-12, np.sin(angle / 2) / np.maximum(angle, 1e-12), 0.5)
+            w, (x, y, z) = np.cos(angle / 2), (v * s[:, None]).T
+            qw, qx, qy, qz = q[a].T
+            new = np.stack((qw * w - qx * x - qy * y - qz * z, qw * x + qx * w + qy * z - qz * y, qw * y - qx * z + qy * w + qz * x, qw * z + qx * y - qy * x + qz * w), -1)
+            q[a] = new / np.linalg.norm(new, axis=1, keepdims=True)
+            last[runs], rate[runs] = self.t[rows], self.rate[rows]
+            self.out[rows] = q[runs]
+
+    def start(n: int) -> list[np.ndarray]:
+        return [np.tile([1.0, 0.0, 0.0, 0.0], (n, 1)), np.full(n, np.nan), np.zeros((n, 3))]
+
+    schema = "run_id long, _row long, qw double, qx double, qy double, qz double"
+    return sorted_runs(samples, "t_s", "_row").mapInPandas(lambda batches: in_step(batches, start, Step()), schema)
 
 
 # --- factor graph ------------------------------------------------------------------------------

@@ -52,10 +52,15 @@ def e13_inputs(spark, sf):
     return estimate.planar_inputs(*_planar(spark, sf)).select("run_id", "_row", "kind", F.round("t_imu_s", 6).alias("t_imu_s"), F.round("vE_meas", 6).alias("vE_meas"))
 
 
-@register("e15_quaternion_attitude")
+@register("e15_quaternion_attitude", SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, i AS (SELECT run_id, _row, t_s / 3600 AS t, radians(gx) / 10 AS a, radians(gy) / 10 AS b, radians(gz) / 10 AS c, row_number() OVER (PARTITION BY run_id ORDER BY t_s, _row) AS n FROM s WHERE src = 'IMU'),
+  d AS (SELECT *, lead(_row) OVER w AS next_row, greatest(lead(t) OVER w - t, 0) AS dt FROM i WINDOW w AS (PARTITION BY run_id ORDER BY n)), m AS (SELECT *, sqrt(a * a + b * b + c * c) * dt AS angle FROM d WHERE next_row IS NOT NULL),
+  h AS (SELECT run_id, n, next_row, cos(angle / 2) AS w, a * dt * f AS x, b * dt * f AS y, c * dt * f AS z FROM (SELECT *, CASE WHEN angle > 1e-12 THEN sin(angle / 2) / angle ELSE 0.5 END AS f FROM m)),
+  q AS (SELECT run_id, n, _row, 1.0::DOUBLE AS qw, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, 0.0::DOUBLE AS qz FROM i WHERE n = 1 UNION ALL
+        SELECT q.run_id, q.n + 1, h.next_row, qw * w - qx * x - qy * y - qz * z, qw * x + qx * w + qy * z - qz * y, qw * y - qx * z + qy * w + qz * x, qw * z + qx * y - qy * x + qz * w FROM q JOIN h ON q.run_id = h.run_id AND q.n = h.n)
+  SELECT run_id, _row, round(qw, 6) AS qw, round(qx, 6) AS qx, round(qy, 6) AS qy, round(qz, 6) AS qz FROM q""")
 def e15(spark, sf):
     rows = samples(spark, sf, "IMU").withColumns({c: F.radians(c) / 10 for c in ("gx", "gy", "gz")} | {"t_s": F.col("t_s") / HOUR})
-    return estimate.quaternion_attitude(rows)
+    return estimate.quaternion_attitude(rows).select("run_id", "_row", *(F.round(c, 6).alias(c) for c in ("qw", "qx", "qy", "qz")))
 
 
 def _graph(spark, sf):
