@@ -76,4 +76,49 @@ WITH tpl AS (SELECT * FROM (VALUES {values}) AS t(license, body)),
 SELECT doc_id, license, max(dice) AS dice, CAST(count(*) AS BIGINT) AS n_passages FROM hit GROUP BY doc_id, license
 """.replace("{values}", ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in templates()))
 
-ORACLE_SQL = {"op1_warc_bundles": OP1, "op2_chat_fingerprint": OP2, "op5_temperature_mix": OP5, "op8_license_dice": OP8}
+
+
+def op12_sql(rounds: int = 4) -> str:
+    """Codebooks of four parts and 256 entries: each round a table of nearest entries and one of new entries."""
+    near = """near{k} AS MATERIALIZED (SELECT x.rid, x.part, min(CAST(list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, b.v) + list_inner_product(b.v, b.v) AS BIGINT) * 256 + b.entry) AS m
+          FROM parts x JOIN book{k} b ON b.part = x.part GROUP BY x.rid, x.part)"""
+    book = """book{n} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(u.v, b.v) AS v FROM book{k} b LEFT JOIN (
+          SELECT part, entry, list(c ORDER BY i) AS v FROM (
+              SELECT n.part, n.m % 256 AS entry, i, floor(sum(x.v[i]) / count(*)) AS c FROM near{k} n JOIN parts x ON x.rid = n.rid AND x.part = n.part, size, unnest(range(1, size.deep + 1)) AS t(i)
+              GROUP BY n.part, n.m % 256, i) GROUP BY part, entry) u ON u.part = b.part AND u.entry = b.entry)"""
+    steps = ",\n     ".join(near.format(k=k) + (",\n     " + book.format(k=k, n=k + 1) if k < rounds else "") for k in range(rounds + 1))
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, w) - 1 AS rid, vec_id, label, w FROM (
+         SELECT vec_id, label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS w FROM embeddings
+         WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+     size AS (SELECT max(len(w)) // 4 AS deep FROM kept),
+     parts AS MATERIALIZED (SELECT rid, part, w[part * deep + 1 : part * deep + deep] AS v FROM kept, size, unnest(range(4)) AS t(part)),
+     book0 AS MATERIALIZED (SELECT part, rid AS entry, v FROM parts WHERE rid < 256),
+     {steps},
+     coded AS (SELECT n.rid, string_agg(printf('%02x', n.m % 256), '' ORDER BY n.part) AS code, CAST(sum(n.m // 256) AS BIGINT) AS error FROM near{rounds} n GROUP BY n.rid),
+     digest AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, i)) AS d FROM (SELECT part, entry, i, CAST(v[i] AS BIGINT) AS c FROM book{rounds}, size, unnest(range(1, size.deep + 1)) AS t(i)))
+SELECT k.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, (SELECT d FROM digest) AS codebooks_sha256
+FROM kept k JOIN coded c USING (rid)
+"""
+
+
+OP13 = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS did, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+     t AS MATERIALIZED (SELECT did, lang, source, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+                        FROM (SELECT did, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM d)),
+     k AS MATERIALIZED (SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT did) >= 3),
+     l AS (SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY lang),
+     c AS (SELECT t.lang, t.source, t.term, count(*) AS c FROM t JOIN k USING (lang, term) GROUP BY t.lang, t.source, t.term),
+     g AS MATERIALIZED (SELECT s.lang, s.source, coalesce(sum(c.c), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) s LEFT JOIN c ON c.lang = s.lang AND c.source = s.source GROUP BY s.lang, s.source),
+     p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, CAST(1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (g.n + l.v) AS BIGINT) AS p,
+                               CAST(1 + (1000000000::HUGEINT * (k.c + 1)) // (l.n + l.v) AS BIGINT) AS q
+                        FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+     f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source),
+     r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+           FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+           UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM p WHERE c > 0 AND p > q),
+     o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLE_SQL = {"op1_warc_bundles": OP1, "op2_chat_fingerprint": OP2, "op5_temperature_mix": OP5, "op8_license_dice": OP8, "op12_kd_codebooks": op12_sql(), "op13_source_divergence": OP13}

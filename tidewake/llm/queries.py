@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import bigru, bpe, chat, contextmix, dartminhash, flatgraph, licenses, mixing, nndescent, warc
+from tidewake.llm import bigru, bpe, chat, codebooks, contextmix, dartminhash, divergence, fingerprints, flatgraph, licenses, mixing, nndescent, warc
 from tidewake.llm.common import read_table
 from tidewake.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -58,6 +58,18 @@ def op10_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatgraph.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(read_table(spark, sf_dir, "documents"))
+
+
+def op12_kd_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(read_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_chat_fingerprint": op2_chat_fingerprint,
@@ -69,5 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_dice": op8_license_dice,
     "op9_context_mixing": op9_context_mixing,
     "op10_flat_graph": op10_flat_graph,
+    "op11_improbable_features": op11_improbable_features,
+    "op12_kd_codebooks": op12_kd_codebooks,
+    "op13_source_divergence": op13_source_divergence,
 }
 
