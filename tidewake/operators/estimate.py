@@ -1,9 +1,10 @@
-"""Recursive estimators: an 11-state and a planar error-state filter, and a factor graph.
+"""Recursive estimators: an 11-state and a planar error-state filter.
 
 A run is sequential by nature; runs are spread over the cluster, and those of a task are stepped
 through side by side, as arrays. What can be said of a row without the
 state (matches, rotated measurements, selection) is made of columns before the grouped step. Time-ordered
-input is made here again, so shuffles can't harm it.
+input is made here again, so shuffles can't harm it. A row with a null or non-finite input that it needs
+changes no state: its status says so.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 from tidewake.functions import geometry as geo
 from tidewake.functions.columns import above
 from tidewake.operators.asof import forward, nearest, overlap
-from tidewake.operators.timeseries import stride
 
 P, V, YAW, BA, BG = slice(0, 3), slice(3, 6), 6, slice(7, 10), 10
 
@@ -118,6 +118,17 @@ def in_step(runs: Iterator[pd.DataFrame], start: Callable[[int], list[np.ndarray
         yield advance.made()
 
 
+def snapshot(state: list[np.ndarray], runs: np.ndarray) -> list[np.ndarray]:
+    """What all of ``state`` holds of ``runs``: states, covariances, clocks and counters."""
+    return [a[runs].copy() for a in state]
+
+
+def restore(state: list[np.ndarray], runs: np.ndarray, taken: list[np.ndarray], which: np.ndarray) -> None:
+    """Sets those of ``runs`` that ``which`` marks back to what ``snapshot`` took of them."""
+    for a, was in zip(state, taken):
+        a[runs[which]] = was[which]
+
+
 def sorted_runs(rows: DataFrame, *order: str) -> DataFrame:
     """Rows of a run in one partition and in order, beside those of other runs."""
     return rows.repartition("run_id").sortWithinPartitions("run_id", *order)
@@ -141,16 +152,33 @@ def measurements(be: DataFrame, bi: DataFrame, *, use_body: bool = True) -> Data
     return rows.drop("_i", "_n", "_m", "_x", "_y", "_z")
 
 
-FILTERED = "run_id long, _row long, t_s double, kind string, E double, N double, U double, yaw_rad double, vE double, vN double, vU double, nis double, r0 double, r1 double, r2 double, S0 double, S1 double, S2 double, vE_pre double, vN_pre double, vU_pre double"
+FILTERED = (
+    "run_id long, _row long, t_s double, kind string, E double, N double, U double, yaw_rad double, vE double, vN double, vU double, nis double, r0 double, r1 double, r2 double, S0 double, S1 double, S2 double, "
+    "E_pre double, N_pre double, U_pre double, vE_pre double, vN_pre double, vU_pre double, inflate double, status string, n_used long, n_retried long, n_rejected long"
+)
+
+
+@dataclass(frozen=True)
+class Retry:
+    """A measurement whose normalised innovation is over ``limit`` is undone and tried again with ``times`` the noise, ``attempts`` times; then it is rejected."""
+
+    limit: float = 25.0
+    times: float = 10.0
+    attempts: int = 2
 
 
-def inertial_filter(timeline: DataFrame, noise: Noise = Noise()) -> DataFrame:
+def inertial_filter(timeline: DataFrame, noise: Noise = Noise(), retry: Retry | None = None) -> DataFrame:
     """Runs the 11-state filter over each run of ``timeline``: a row out for each row in.
 
     Rows are IMU samples (ax, ay, az, gx, gy, gz in SI units, roll, pitch, yaw), velocities (vE, vN,
     vU) or pseudo-measurements: BE is a velocity in the earth frame, BI one in the body frame, compared
     with the state's velocity there; YAW is a heading (``yaw``), VU a vertical velocity (``vU``). At one time IMU
     rows come first. Steps over ``noise.most_dt`` or back advance the clock alone.
+
+    ``status`` of a sample is ``start``, ``step``, ``gap`` (the clock alone) or ``bad_input``, where an input isn't a
+    finite number (the clock alone; without a time not even that). Of a measurement it is ``waiting`` (before the first
+    sample), ``rejected_nan``, ``applied``, ``retried`` or ``rejected``; the last two need ``retry``. A
+    rejected one leaves state, covariance and counters as they were before it; its diagnostics are those of the last attempt.
     """
 
     names = [c.split()[0] for c in FILTERED.split(", ")]
@@ -162,24 +190,30 @@ def inertial_filter(timeline: DataFrame, noise: Noise = Noise()) -> DataFrame:
             self.kind = batch["kind"].to_numpy()
             self.t, self.gz, self.roll, self.pitch, self.yaw = (batch[c].to_numpy(np.float64) for c in ("t_s", "gz", "roll", "pitch", "yaw"))
             self.acc, self.z = (batch[list(c)].to_numpy(np.float64) for c in (("ax", "ay", "az"), ("vE", "vN", "vU")))
-            self.out = np.full((len(batch), 17), np.nan)
+            self.sound = np.isfinite(self.acc).all(axis=1) & np.isfinite(self.gz) & np.isfinite(self.roll) & np.isfinite(self.pitch) & np.isfinite(self.t)
+            self.out, self.status, self.counts = np.full((len(batch), 21), np.nan), np.full(len(batch), "waiting", object), np.zeros((len(batch), 3), np.int64)
 
         def made(self) -> pd.DataFrame:
-            out = pd.DataFrame(self.out, columns=names[4:])
-            return pd.concat([self.batch[names[:4]].reset_index(drop=True), out], axis=1)
+            out = pd.DataFrame(self.out, columns=names[4:25]).assign(status=self.status)
+            counts = pd.DataFrame(self.counts, columns=names[26:])
+            return pd.concat([self.batch[names[:4]].reset_index(drop=True), out, counts], axis=1)
 
         def __call__(self, state: list[np.ndarray], runs: np.ndarray, rows: np.ndarray) -> None:
-            x, cov, last, roll, pitch = state
-            self.out[rows, 14:] = x[runs][:, V]
+            x, cov, last, roll, pitch, counts = state
+            self.out[rows, 14:20] = x[runs][:, :6]
             inertial = self.kind[rows] == "IMU"
             a, at = runs[inertial], rows[inertial]
-            new, dt = np.isnan(last[a]), self.t[at] - last[a]
-            x[a[new], YAW] = wrap(self.yaw[at[new]])
-            go = (dt > 0) & (dt <= noise.most_dt)
+            new, sound, dt = np.isnan(last[a]), self.sound[at], self.t[at] - last[a]
+            begun = new & sound & np.isfinite(self.yaw[at])
+            x[a[begun], YAW] = wrap(self.yaw[at[begun]])
+            go = sound & (dt > 0) & (dt <= noise.most_dt)
             b, r = a[go], at[go]
             if len(b):
                 x[b], cov[b] = propagate(x[b], cov[b], dt[go], self.acc[r], self.gz[r], self.roll[r], self.pitch[r], noise)
-            last[a], roll[a], pitch[a] = self.t[at], self.roll[at], self.pitch[at]
+            self.status[at] = np.select([~sound, new, go], ["bad_input", "start", "step"], "gap")
+            timed = np.isfinite(self.t[at]) & (sound | ~new)  # a run begins with a sound sample
+            last[a[timed]] = self.t[at[timed]]
+            roll[a[sound]], pitch[a[sound]] = self.roll[at[sound]], self.pitch[at[sound]]
             begun = ~inertial & ~np.isnan(last[runs])
             for kind in ("YAW", "VU", "velocity"):
                 mine = begun & (self.kind[rows] == kind if kind != "velocity" else ~np.isin(self.kind[rows], ("YAW", "VU")))
@@ -196,20 +230,46 @@ def inertial_filter(timeline: DataFrame, noise: Noise = Noise()) -> DataFrame:
                     h, wide = into @ pick, spread
                     residual = self.z[at] - (into @ x[a][:, V, None])[:, :, 0]
                 good = np.isfinite(residual).all(axis=1)
-                a, at, residual, h = a[good], at[good], residual[good], h[good] if h.ndim == 3 else h
-                if len(a):
-                    x[a], cov[a], s, nis = update(x[a], cov[a], residual, h, wide)
-                    n = residual.shape[1]
-                    self.out[at, 7], self.out[at, 8 : 8 + n], self.out[at, 11 : 11 + n] = nis, residual, s
+                self.status[at] = np.where(good, "applied", "rejected_nan")
+                if good.any():
+                    self.measure(state, a[good], at[good], residual[good], h[good] if h.ndim == 3 else h, wide)
             self.out[rows, 0:3], self.out[rows, 3], self.out[rows, 4:7] = x[runs][:, P], x[runs, YAW], x[runs][:, V]
+            self.counts[rows] = counts[runs]
+
+        def measure(self, state: list[np.ndarray], a: np.ndarray, at: np.ndarray, residual: np.ndarray, h: np.ndarray, wide: np.ndarray) -> None:
+            """Updates the states of the runs ``a`` by their rows ``at``; what ``retry`` finds too far off is rolled back and tried again."""
+            x, cov, counts = state[0], state[1], state[5]
+            n, times = residual.shape[1], 1.0
+            for attempt in range(1 + (retry.attempts if retry else 0)):
+                before = snapshot(state, a)
+                x[a], cov[a], s, nis = update(x[a], cov[a], residual, h, wide * times)
+                counts[a, 0] += 1
+                counts[a, 1] += attempt > 0
+                self.out[at, 7], self.out[at, 8 : 8 + n], self.out[at, 11 : 11 + n], self.out[at, 20] = nis, residual, s, times
+                if attempt:
+                    self.status[at] = "retried"
+                over = nis > retry.limit if retry else np.zeros(len(a), bool)
+                if not over.any():
+                    return
+                restore(state, a, before, over)
+                self.status[at[over]] = "rejected"
+                a, at, residual, h, times = a[over], at[over], residual[over], h[over] if h.ndim == 3 else h, times * retry.times
+            counts[a, 2] += 1
 
     def start(n: int) -> list[np.ndarray]:
-        return [np.zeros((n, 11)), np.tile(np.diag(np.square(noise.start)), (n, 1, 1)), np.full(n, np.nan), np.zeros(n), np.zeros(n)]
+        return [np.zeros((n, 11)), np.tile(np.diag(np.square(noise.start)), (n, 1, 1)), np.full(n, np.nan), np.zeros(n), np.zeros(n), np.zeros((n, 3), np.int64)]
 
     rows = timeline.withColumn("_rank", F.when(F.col("kind") == "IMU", 0).otherwise(1))
     return sorted_runs(rows, "t_s", "_rank", "_row").mapInPandas(lambda batches: in_step(batches, start, Step()), FILTERED)
 
 
+def update_audit(filtered: DataFrame) -> DataFrame:
+    """The measurements of ``inertial_filter`` with what each changed: dvE, dvN, dvU, dpE, dpN, dpU, whether it was used, and report_ok, whether it has an innovation."""
+    rows = filtered.filter("kind <> 'IMU'")
+    after = {f"dv{a}": F.col(f"v{a}") - F.col(f"v{a}_pre") for a in "ENU"} | {f"dp{a}": F.col(a) - F.col(f"{a}_pre") for a in "ENU"}
+    return rows.withColumns(after | {"used": F.col("status").isin("applied", "retried"), "report_ok": F.col("nis").isNotNull() & ~F.isnan("nis")})
+
+
 @dataclass(frozen=True)
 class PlanarLimits:
     sigma_acc: float = 0.25
@@ -264,7 +324,9 @@ def planar_run(imu: DataFrame, bi: DataFrame, be: DataFrame, limits: PlanarLimit
 
     At each inertial sample the state moves to its time, and then all velocities that belong to it are
     applied. Status of velocities: ``still`` (speed at most ``still_speed``: the measurement is zero and
-    always applied), ``rejected``, ``inflated``, ``rejected_after`` or ``applied``; of samples ``step`` or ``gap``.
+    always applied), ``rejected``, ``inflated``, ``rejected_after``, ``applied``, or ``rejected_nan`` for one that isn't finite, which
+    leaves state and covariance alone and has no diagnostics; of samples ``step``, ``gap``, or
+    ``bad_input`` where an input isn't a finite number: the clock alone advances.
     """
 
     def step(x, cov, dt, acc, gz, roll, pitch):
@@ -302,6 +364,7 @@ def planar_run(imu: DataFrame, bi: DataFrame, be: DataFrame, limits: PlanarLimit
             self.inertial = (batch["kind"] == "IMU").to_numpy()
             self.t, self.gz, self.roll, self.pitch, self.yaw, self.up = (batch[c].to_numpy(np.float64) for c in ("t_s", "gz", "roll", "pitch", "yaw", "vU_be"))
             self.acc, self.z = (batch[list(c)].to_numpy(np.float64) for c in (("ax", "ay", "az"), ("vE_meas", "vN_meas")))
+            self.sound = np.isfinite(self.acc).all(axis=1) & np.isfinite(self.gz) & np.isfinite(self.roll) & np.isfinite(self.pitch) & np.isfinite(self.t)
             self.out = np.full((len(batch), len(names)), np.nan)
             self.moved, self.status = np.zeros(len(batch), bool), np.full(len(batch), "gap", object)
 
@@ -320,18 +383,22 @@ def planar_run(imu: DataFrame, bi: DataFrame, be: DataFrame, limits: PlanarLimit
         def __call__(self, state: list[np.ndarray], runs: np.ndarray, rows: np.ndarray) -> None:
             x, cov, last, moved, dt = state
             a, at = runs[self.inertial[rows]], rows[self.inertial[rows]]
-            new = np.isnan(last[a])
-            dt[a] = np.where(new, 0.0, self.t[at] - last[a])
-            x[a[new], 4] = wrap(self.yaw[at[new]])
-            moved[a] = (dt[a] > 0) & (dt[a] <= limits.dt_max)
+            new, sound = np.isnan(last[a]), self.sound[at]
+            dt[a] = np.where(new | ~np.isfinite(self.t[at]), 0.0, self.t[at] - last[a])
+            begun = new & sound & np.isfinite(self.yaw[at])
+            x[a[begun], 4] = wrap(self.yaw[at[begun]])
+            moved[a] = sound & (dt[a] > 0) & (dt[a] <= limits.dt_max)
             b, r = a[moved[a]], at[moved[a]]
             if len(b):
                 x[b], cov[b] = step(x[b], cov[b], dt[b], self.acc[r], self.gz[r], self.roll[r], self.pitch[r])
-            last[a] = self.t[at]
-            self.status[at] = np.where(moved[a], "step", "gap")
+            timed = np.isfinite(self.t[at]) & (sound | ~new)  # a run begins with a sound sample
+            last[a[timed]] = self.t[at[timed]]
+            self.status[at] = np.select([~sound, moved[a]], ["bad_input", "step"], "gap")
             a, at = runs[~self.inertial[rows]], rows[~self.inertial[rows]]
-            if len(a):
-                self.measure(x, cov, a, at)
+            finite = np.isfinite(self.z[at]).all(axis=1)
+            self.status[at] = "rejected_nan"
+            if finite.any():
+                self.measure(x, cov, a[finite], at[finite])
             self.moved[rows] = moved[runs]
             self.put(rows, "E", x[runs])
             self.put(rows, "dt_prop_s", dt[runs], self.yaw[rows], self.up[rows])
@@ -396,7 +463,7 @@ def focus_record(planar: DataFrame, limits: FocusLimits = FocusLimits()) -> Data
 
 
 def quaternion_attitude(samples: DataFrame) -> DataFrame:
-    """(run_id, _row, qw, qx, qy, qz): attitude by left end-point integration of body rates (rad/s), kept at length 1."""
+    """(run_id, _row, qw, qx, qy, qz): attitude by left end-point integration of body rates (rad/s), kept at length 1; rates that aren't finite turn nothing."""
 
     class Step:
         def load(self, batch: pd.DataFrame) -> None:
@@ -416,7 +483,8 @@ def quaternion_attitude(samples: DataFrame) -> DataFrame:
             qw, qx, qy, qz = q[a].T
             new = np.stack((qw * w - qx * x - qy * y - qz * z, qw * x + qx * w + qy * z - qz * y, qw * y - qx * z + qy * w + qz * x, qw * z + qx * y - qy * x + qz * w), -1)
             q[a] = new / np.linalg.norm(new, axis=1, keepdims=True)
-            last[runs], rate[runs] = self.t[rows], self.rate[rows]
+            timed = np.isfinite(self.t[rows])
+            last[runs[timed]], rate[runs[timed]] = self.t[rows[timed]], np.where(np.isfinite(self.rate[rows[timed]]).all(axis=1)[:, None], self.rate[rows[timed]], 0.0)
             self.out[rows] = q[runs]
 
     def start(n: int) -> list[np.ndarray]:
@@ -424,134 +492,3 @@ def quaternion_attitude(samples: DataFrame) -> DataFrame:
 
     schema = "run_id long, _row long, qw double, qx double, qy double, qz double"
     return sorted_runs(samples, "t_s", "_row").mapInPandas(lambda batches: in_step(batches, start, Step()), schema)
-
-
-# --- factor graph ------------------------------------------------------------------------------
-
-
-def keyframes(imu: DataFrame, every: int, most: int) -> DataFrame:
-    """Every ``every``-th sample of a run as a node, numbered from 0."""
-    nodes = stride(imu, every, most)
-    return nodes.withColumn("node", F.row_number().over(W.partitionBy("run_id").orderBy("t_s", "_row")) - 1)
-
-
-def factors(nodes: DataFrame, velocities: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """(run_id, kind, node, t_s, z0, z1, z2): a prior on the first node, yaw at each node, velocities at their nearest node."""
-    near = nearest(velocities.select("run_id", "t_s", "_row", "src", "vE", "vN", "vU"), nodes, ["node"], tie="later", tolerance=tolerance)
-    seen = near.filter("node is not null").select("run_id", F.col("src").alias("kind"), "node", "t_s", F.col("vE").alias("z0"), F.col("vN").alias("z1"), F.col("vU").alias("z2"))
-    zero = F.lit(0.0)
-    yaw = nodes.select("run_id", F.lit("yaw").alias("kind"), "node", "t_s", F.col("yaw").alias("z0"), zero.alias("z1"), zero.alias("z2"))
-    prior = nodes.filter("node = 0").select("run_id", F.lit("prior").alias("kind"), "node", "t_s", F.col("yaw").alias("z0"), zero.alias("z1"), zero.alias("z2"))
-    return seen.unionByName(yaw).unionByName(prior)
-
-
-SIGMA = {"prior": 0.1, "yaw": 0.05, "BE": 0.05, "BI": 0.05, "move": 0.1}
-
-
-def factor_residuals(states: DataFrame, factor_table: DataFrame, sigma: dict[str, float] | None = None) -> DataFrame:
-    """(run_id, kind, node, residuals, cost): whitened residuals of each factor at given states, and half of their squares.
-
-    ``states`` has a row (run_id, node, t_s, E, N, U, vE, vN, vU, yaw_rad, ax, ay, az, gz, roll, pitch) for each
-    node; biases are zero. Columns alone: a node joins its factors, and the next node for the motion.
-    """
-    s = SIGMA | (sigma or {})
-    v, next_of = (F.col("vE"), F.col("vN"), F.col("vU")), lambda c: F.lead(c).over(W.partitionBy("run_id").orderBy("node"))
-    back = geo.rotation(F.col("roll"), F.col("pitch"), F.col("yaw_rad"))
-    body = [sum((back[i][k] * v[i] for i in (1, 2)), back[0][k] * v[0]) for k in range(3)]
-    z, heading = [F.col(f"z{i}") for i in range(3)], geo.wrap_pi(F.col("yaw_rad") - F.col("z0"))
-    over = lambda values, kind: F.transform(F.array(*values), lambda r: r / s[kind])
-    rows = states.drop("t_s").join(factor_table.select("run_id", "kind", F.col("node").cast("long").alias("node"), "z0", "z1", "z2"), ["run_id", "node"])
-    made = (
-        F.when(F.col("kind") == "BE", over([a - b for a, b in zip(v, z)], "BE")).when(F.col("kind") == "BI", over([a - b for a, b in zip(body, z)], "BI"))
-        .when(F.col("kind") == "yaw", over([heading], "yaw")).otherwise(over([F.col("E"), F.col("N"), F.col("U"), *v, heading, *[F.lit(0.0)] * 4], "prior"))
-    )
-    seen = rows.select("run_id", "kind", "node", made.alias("residuals"))
-    dt, rate = next_of("t_s") - F.col("t_s"), F.col("gz")
-    acc = geo.rotate(geo.rotation(F.col("roll"), F.col("pitch"), F.col("yaw_rad") + 0.5 * rate * dt), (F.col("ax"), F.col("ay"), F.col("az")))
-    place = [next_of(p) - F.col(p) - F.col(q) * dt - 0.5 * a * dt * dt for p, q, a in zip(("E", "N", "U"), ("vE", "vN", "vU"), acc)]
-    speed = [next_of(q) - F.col(q) - a * dt for q, a in zip(("vE", "vN", "vU"), acc)]
-    turn = geo.wrap_pi(next_of("yaw_rad") - F.col("yaw_rad") - rate * dt)
-    moved = F.transform(F.array(*place, *speed, turn), lambda r: r)
-    wide = s["move"] * F.greatest(dt, F.lit(1e-3))
-    moves = states.select("run_id", F.lit("move").alias("kind"), F.col("node").cast("long").alias("node"), moved.alias("r"), F.when(dt.isNotNull(), wide).alias("w")).filter("w is not null")
-    moves = moves.select("run_id", "kind", "node", F.transform("r", lambda r: r / F.col("w")).alias("residuals"))
-    return seen.unionByName(moves).withColumn("cost", 0.5 * F.aggregate("residuals", F.lit(0.0), lambda t, r: t + r * r))
-
-
-GRAPH = "run_id long, node int, t_s double, E double, N double, U double, vE double, vN double, vU double, yaw_rad double, cost double, iterations int"
-
-
-def huber(r: np.ndarray, delta: float = 1.345) -> np.ndarray:
-    """Square roots of the weights of whitened residuals."""
-    a = np.abs(r)
-    return np.where(a <= delta, 1.0, np.sqrt(delta / np.maximum(a, 1e-12)))
-
-
-def smooth(nodes: DataFrame, factor_table: DataFrame, *, iterations: int = 10, sigma: dict[str, float] | None = None) -> DataFrame:
-    """Gauss-Newton over each run's nodes (7 unknowns each) and biases (4), robust by Huber weights.
-
-    Between nodes the state moves by the node's own acceleration and rate. A factor touches one or two
-    nodes and the biases, so its columns of the Jacobian are found by small differences of these alone.
-    Stops when the step or the relative change of the cost is under 1e-6. The nodes of a run are few
-    (``keyframes`` caps them), so a run's normal equations fit one task.
-    """
-    s = SIGMA | (sigma or {})
-
-    def motion(a: np.ndarray, b: np.ndarray, bias: np.ndarray, u: np.ndarray) -> np.ndarray:
-        dt, force, rate, roll, pitch = u[0], u[1:4] - bias[:3], u[4] - bias[3], u[5], u[6]
-        acc = rotation(roll, pitch, a[6] + 0.5 * rate * dt) @ force
-        r = np.empty(7)
-        r[:3], r[3:6], r[6] = b[:3] - a[:3] - a[3:6] * dt - 0.5 * acc * dt * dt, b[3:6] - a[3:6] - acc * dt, wrap(b[6] - a[6] - rate * dt)
-        return r / (s["move"] * max(dt, 1e-3))
-
-    def run(key, frames: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
-        frames = frames.sort_values("node")
-        n = len(frames)
-        if not n:
-            return pd.DataFrame(columns=[c.split()[0] for c in GRAPH.split(", ")])
-        t, roll, pitch = (frames[c].to_numpy() for c in ("t_s", "roll", "pitch"))
-        inputs = np.column_stack([np.diff(t, append=t[-1]), frames[["ax", "ay", "az", "gz", "roll", "pitch"]].to_numpy()])
-        x = np.zeros(7 * n + 4)
-        x[: 7 * n].reshape(n, 7)[:, 6] = frames["yaw"].to_numpy()
-        jobs = [("move", [i, i + 1], None) for i in range(n - 1)]
-        jobs += [(k, [int(i)], np.array([a, b, c])) for k, i, a, b, c in seen.sort_values(["kind", "node", "t_s"])[["kind", "node", "z0", "z1", "z2"]].itertuples(index=False)]
-
-        def residual(job, x: np.ndarray) -> np.ndarray:
-            kind, at, z = job
-            a, bias = x[7 * at[0] : 7 * at[0] + 7], x[7 * n :]
-            if kind == "move":
-                return motion(a, x[7 * at[1] : 7 * at[1] + 7], bias, inputs[at[0]])
-            if kind == "prior":
-                return np.concatenate((a[:6], [wrap(a[6] - z[0])], bias)) / s["prior"]
-            if kind == "yaw":
-                return np.array([wrap(a[6] - z[0])]) / s["yaw"]
-            v = rotation(roll[at[0]], pitch[at[0]], a[6]).T @ a[3:6] if kind == "BI" else a[3:6]
-            return (v - z) / s[kind]
-
-        cost, used = math.inf, 0
-        for used in range(1, iterations + 1):
-            h, g, now = np.zeros((len(x), len(x))), np.zeros(len(x)), 0.0
-            for job in jobs:
-                cols = np.concatenate([np.arange(7 * i, 7 * i + 7) for i in job[1]] + [np.arange(7 * n, 7 * n + 4)])
-                r = residual(job, x)
-                w = huber(r)
-                now += float(np.sum((w * r) ** 2))
-                jac = np.empty((len(r), len(cols)))
-                for c, k in enumerate(cols):
-                    moved = x.copy()
-                    moved[k] += 1e-6
-                    jac[:, c] = (residual(job, moved) - r) / 1e-6
-                jac *= w[:, None]
-                h[np.ix_(cols, cols)] += jac.T @ jac
-                g[cols] += jac.T @ (w * r)
-            step = np.linalg.solve(h + 1e-9 * np.eye(len(x)), -g)
-            x = x + step
-            done = np.linalg.norm(step) < 1e-6 or abs(cost - now) < 1e-6 * max(1.0, now)
-            cost = now
-            if done:
-                break
-        states = x[: 7 * n].reshape(n, 7)
-        out = pd.DataFrame(states, columns=["E", "N", "U", "vE", "vN", "vU", "yaw_rad"])
-        return out.assign(run_id=key[0], node=np.arange(n, dtype=np.int32), t_s=t, cost=cost, iterations=np.int32(used), yaw_rad=[wrap(a) for a in states[:, 6]])
-
-    return nodes.groupBy("run_id").cogroup(factor_table.groupBy("run_id")).applyInPandas(run, GRAPH)

@@ -32,7 +32,7 @@ def p04(spark, sf):
     return samples(spark, sf).select("run_id", "_row", ts.static_window(24 * HOUR).alias("static"))
 
 
-_GATED = f"""{SQL}, v AS (SELECT *, sqrt(vE * vE + vN * vN + vU * vU) AS speed,
+GATED = f"""{SQL}, v AS (SELECT *, sqrt(vE * vE + vN * vN + vU * vU) AS speed,
     row_number() OVER ({OVER}) AS rn, count(*) OVER (PARTITION BY run_id) AS n_rows, min(t_s) OVER (PARTITION BY run_id) AS t0,
     abs(vE - lag(vE) OVER ({OVER})) AS de, abs(vN - lag(vN) OVER ({OVER})) AS dn, abs(vU - lag(vU) OVER ({OVER})) AS du FROM s WHERE src = 'BE'),
   m AS (SELECT *, CASE WHEN count(speed) OVER w >= 5 THEN quantile_cont(speed, 0.5) OVER w END AS med FROM v WINDOW w AS ({OVER} ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING)),
@@ -44,33 +44,33 @@ _GATED = f"""{SQL}, v AS (SELECT *, sqrt(vE * vE + vN * vN + vU * vU) AS speed,
         CASE WHEN f4 THEN 'vu_abs' END, CASE WHEN f5 THEN 'outlier' END, CASE WHEN f6 THEN 'speed_range' END) END AS gate_reasons FROM f)"""
 
 
-@register("p05_p11_gate_reasons", _GATED + " SELECT run_id, _row, gate_reasons, gate_reasons = '' AS gate_pass FROM g")
+@register("p05_p11_gate_reasons", GATED + " SELECT run_id, _row, gate_reasons, gate_reasons = '' AS gate_pass FROM g")
 def p11(spark, sf):
     return gates.gated(samples(spark, sf, "BE"), LIMITS).select("run_id", "_row", "gate_reasons", "gate_pass")
 
 
-@register("p06_gate_dv_jump", _GATED + " SELECT run_id, _row, coalesce(f3, false) AS jump FROM g")
+@register("p06_gate_dv_jump", GATED + " SELECT run_id, _row, coalesce(f3, false) AS jump FROM g")
 def p06(spark, sf):
     return samples(spark, sf, "BE").select("run_id", "_row", gates.jump_gate(LIMITS).alias("jump"))
 
 
-@register("p07_gate_vu_abs", _GATED + " SELECT run_id, _row, f4 AS steep FROM g")
+@register("p07_gate_vu_abs", GATED + " SELECT run_id, _row, f4 AS steep FROM g")
 def p07(spark, sf):
     return samples(spark, sf, "BE").select("run_id", "_row", gates.vertical_gate(LIMITS).alias("steep"))
 
 
-@register("p08_gate_robust_outlier", _GATED + " SELECT run_id, _row, coalesce(f5, false) AS outlier FROM g")
+@register("p08_gate_robust_outlier", GATED + " SELECT run_id, _row, coalesce(f5, false) AS outlier FROM g")
 def p08(spark, sf):
     rows = samples(spark, sf, "BE").withColumn("speed", geo.norm(F.col("vE"), F.col("vN"), F.col("vU")))
     return gates.outlier_gate(rows, "speed", LIMITS).select("run_id", "_row", "outlier")
 
 
-@register("p09_gate_speed_range", _GATED + " SELECT run_id, _row, f6 AS out_of_range FROM g")
+@register("p09_gate_speed_range", GATED + " SELECT run_id, _row, f6 AS out_of_range FROM g")
 def p09(spark, sf):
     return samples(spark, sf, "BE").select("run_id", "_row", gates.speed_gate(geo.norm(F.col("vE"), F.col("vN"), F.col("vU")), LIMITS).alias("out_of_range"))
 
 
-@register("e20_dvl_preprocess", _GATED + f""", k AS (SELECT *, sum(vE) OVER w / 5 AS a, sum(vN) OVER w / 5 AS b, sum(vU) OVER w / 5 AS c FROM g WHERE gate_reasons = '' WINDOW w AS ({OVER} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+@register("e20_dvl_preprocess", GATED + f""", k AS (SELECT *, sum(vE) OVER w / 5 AS a, sum(vN) OVER w / 5 AS b, sum(vU) OVER w / 5 AS c FROM g WHERE gate_reasons = '' WINDOW w AS ({OVER} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
   SELECT run_id, _row, round(a, 6) AS vE_f, round(b, 6) AS vN_f, round(c, 6) AS vU_f, round(sqrt(a * a + b * b + c * c), 6) AS speed_f FROM k""")
 def e20(spark, sf):
     return rounded(gates.preprocessed_velocity(samples(spark, sf, "BE"), LIMITS), "run_id", "_row", "vE_f", "vN_f", "vU_f", "speed_f")
@@ -351,7 +351,7 @@ def e02(spark, sf):
     return path.select("run_id", "_row", *(F.round(c, 2).alias(c) for c in "ENU"), F.round("yaw_rad", 5).alias("yaw_rad"))
 
 
-@register("dead_reckon_gated_be", _GATED + ", b AS (SELECT * FROM g WHERE gate_reasons = '')" + _DR.format(t="b") + " SELECT run_id, round(max_by(E, struct_pack(t_s := t_s, r := _row)), 2) AS E, round(max_by(N, struct_pack(t_s := t_s, r := _row)), 2) AS N, count(*) AS n_used FROM p GROUP BY run_id")
+@register("dead_reckon_gated_be", GATED + ", b AS (SELECT * FROM g WHERE gate_reasons = '')" + _DR.format(t="b") + " SELECT run_id, round(max_by(E, struct_pack(t_s := t_s, r := _row)), 2) AS E, round(max_by(N, struct_pack(t_s := t_s, r := _row)), 2) AS N, count(*) AS n_used FROM p GROUP BY run_id")
 def flagship(spark, sf):
     path = deadreckon.from_earth_velocity(gates.gated(samples(spark, sf, "BE"), LIMITS).filter("gate_pass"))
     last = F.max_by(F.struct("E", "N"), F.struct("t_s", "_row"))
