@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewake.functions import text as tx
 from tidewake.operators import audit, devices
-from tidewake.sources import readers, sinks
+from tidewake.sources import ranges, readers, sinks
 from tidewake.streaming import replay
 
 
@@ -34,10 +34,10 @@ def test_catalog(spark):
 
 
 def test_trace_and_payload(spark, tmp_path):
-    rec = struct.pack(readers.TRACE, 1, 2, 3, 0, 10, 20, 30, 40, 5, 6)
+    rec = struct.pack("<BBHIqqqqII", 1, 2, 3, 0, 10, 20, 30, 40, 5, 6)
     assert len(rec) == 48
     (tmp_path / "t.bin").write_bytes(rec * 2 + b"xx")
-    rows = readers.binary_trace(spark, str(tmp_path / "t.bin")).orderBy("record").collect()
+    rows = ranges.binary_trace(spark, str(tmp_path / "t.bin")).orderBy("record").collect()
     assert [(r.record, r.kind, r.publish_mono_ns, r.age_ms) for r in rows] == [(0, 2, 40, 5), (1, 2, 40, 5)]
     good, bad = struct.pack(readers.PAYLOAD, 7, 1, 2, 4, 8) + b"abcd", struct.pack(readers.PAYLOAD, 7, 1, 3, 4, 8) + b"abcd"
     blobs = spark.createDataFrame([("g", bytearray(good)), ("b", bytearray(bad))], "path string, content binary")
@@ -85,10 +85,6 @@ def test_sinks(spark, tmp_path):
     assert sinks.processed_imu_columns(path, ["yaw_rad"]).columns[0] == "yaw_rad"
 
 
-def test_section_keys():
-    assert tx.section_keys("logging:\n  base_dir: logs  # x\n  split_by_date: true\nother:\n  a: 1\n", "logging") == {"base_dir": "logs", "split_by_date": "true"}
-
-
 def stream_of(spark, tmp_path, rows, schema):
     for i, part in enumerate(rows):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))

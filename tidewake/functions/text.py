@@ -97,9 +97,12 @@ def language_of(path: Column) -> Column:
 def frames_with_checksum(data: Column, types: tuple[int, int] = (0, 255)) -> Column:
     """(valid, loose): 11-byte frames that begin with 0x55 and a byte between ``types`` and whose last byte is the sum of the others, and all that begin so."""
     text = F.hex(data)
+    # most data hold no such start: one pattern over the hex digits spares them the search
+    least, most = (f"{t:02X}" for t in types)
+    some = text.rlike(f"^(?:[0-9A-F]{{2}})*?55(?:{least[0]}[0-9A-F]|{most[0]}[0-9A-F])") if least[0] == most[0] else text.contains("55")
     byte = lambda i: F.conv(F.substring(text, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
     n = F.length(data)
-    starts = F.filter(F.when(n >= 11, F.sequence(F.lit(0), n - 11)).otherwise(F.array().cast("array<int>")), lambda i: (byte(i) == 0x55) & byte(i + 1).between(*types))
+    starts = F.filter(F.when((n >= 11) & some, F.sequence(F.lit(0), n - 11)).otherwise(F.array().cast("array<int>")), lambda i: (byte(i) == 0x55) & byte(i + 1).between(*types))
     total = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(9)), F.lit(0), lambda s, j: s + byte(i + j))
     valid = F.filter(starts, lambda i: total(i).bitwiseAND(F.lit(0xFF)) == byte(i + 10))
     return F.struct(F.size(valid).alias("valid"), F.size(starts).alias("loose"))
@@ -119,13 +122,33 @@ def padded(values: Column, size: int) -> list[Column]:
     return [F.get(values, F.lit(i)) for i in range(size)]
 
 
-def section_keys(text: str, section: str) -> dict[str, str]:
-    """``key: value`` lines that are indented under ``section:`` in a small YAML file."""
-    out, inside = {}, False
-    for line in text.splitlines():
-        if line.strip() and not line.startswith((" ", "\t", "#")):
-            inside = line.split("#")[0].strip() == f"{section}:"
-        elif inside and ":" in line.split("#")[0]:
-            key, value = line.split("#")[0].split(":", 1)
-            out[key.strip()] = value.strip().strip("'\"")
-    return out
+def yaml_values(text: Column) -> Column:
+    """An array of (key, value) of a small YAML text: dotted paths of the keys that have a value on their line.
+
+    A fold over the lines keeps the keys that the next line may stand under, by indentation. Comments, list items and
+    lines without a colon are passed over; one pair of quotes around a value goes. A path that is set twice is there twice.
+    """
+    quoted = r"""^(["'])(.*)\1$"""
+
+    def next_line(state: Column, line: Column) -> Column:
+        bare = F.trim(F.regexp_replace(line, r"(^|\s)#.*$", ""))
+        deep = F.length(F.regexp_extract(line, "^ *", 0))
+        key = F.trim(F.regexp_replace(F.regexp_extract(bare, r"^([^:]+):(?:\s|$)", 1), r"""^["']|["']$""", ""))
+        value = F.trim(F.regexp_extract(bare, r"^[^:]+:\s+(.*)$", 1))
+        value = F.regexp_replace(value, quoted, "$2")
+        above = F.filter(state.above, lambda k: k.deep < deep)
+        path = F.array_join(F.concat(F.transform(above, lambda k: k.key), F.array(key)), ".")
+        here = F.struct(
+            F.concat(above, F.array(F.struct(deep.alias("deep"), key.alias("key")))).alias("above"),
+            F.when(F.regexp_extract(bare, r"^[^:]+:\s+(.*)$", 1) != "", F.concat(state.found, F.array(F.struct(path.alias("key"), value.alias("value"))))).otherwise(state.found).alias("found"),
+        )
+        return F.when((key == "") | bare.startswith("- "), state).otherwise(here)
+
+    start = F.struct(F.array().cast("array<struct<deep:int,key:string>>").alias("above"), F.array().cast("array<struct<key:string,value:string>>").alias("found"))
+    return F.aggregate(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r", ""), "\n"), start, next_line, lambda s: s.found)
+
+
+def yaml_value(text: Column, path: str) -> Column:
+    """The last value of a dotted path; null where there is none."""
+    mine = F.filter(yaml_values(text), lambda p: p.key == path)
+    return F.get(mine, F.size(mine) - 1).value

@@ -166,3 +166,48 @@ def hotspots(log: DataFrame, most: int = 200) -> DataFrame:
     """Changes per file from lines ``status<tab>path`` of a version log."""
     path = F.regexp_extract("value", r"^[AMDRC]\d*\t(.+)$", 1)
     return log.select(path.alias("path")).filter("path <> ''").groupBy("path").agg(F.count("*").alias("changes")).orderBy(F.desc("changes"), "path").limit(most)
+
+
+def risk_table(files: DataFrame) -> DataFrame:
+    """file_sizes with the longest function, the deepest nesting and the risk score of each file."""
+    spans = function_spans(files).groupBy("path").agg(F.max("lines").alias("longest"), F.max("nest").alias("nest"))
+    rows = file_sizes(files).join(spans, "path", "left").fillna(0, ["longest", "nest"])
+    return rows.withColumn("score", risk_score(F.col("code"), F.col("longest"), F.col("nest"), F.col("branches"), F.col("comment")))
+
+
+def directory_profile(files: DataFrame, changes: DataFrame, depth: int = 1) -> DataFrame:
+    """directory, files, code, comment, code_pct, avg_risk, max_risk, todo, hits, changes, density: what a report says of each directory.
+
+    ``changes`` (path, changes) are those of a version log. ``code_pct`` is the share of all code, ``density`` risk a line of code.
+    """
+    rows = risk_table(files).join(pattern_hits(files).select("path", "todo", F.col("score").alias("hits")), "path", "left").join(changes.select("path", "changes"), "path", "left")
+    by = rows.groupBy(tx.directory_key(F.col("path"), depth).alias("directory"))
+    out = by.agg(
+        F.count("*").alias("files"), F.sum("code").alias("code"), F.sum("comment").alias("comment"), F.avg("score").alias("avg_risk"), F.max("score").alias("max_risk"),
+        F.coalesce(F.sum("todo"), F.lit(0)).alias("todo"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"), F.coalesce(F.sum("changes"), F.lit(0)).alias("changes"), F.sum("score").alias("_risk"),
+    )
+    whole = out.agg(F.sum("code").alias("_all"))  # one row
+    share = F.when(F.col("_all") > 0, 100.0 * F.col("code") / F.col("_all")).otherwise(0.0)
+    density = F.when(F.col("code") > 0, F.col("_risk") / F.col("code")).otherwise(0.0)
+    return out.crossJoin(F.broadcast(whole)).withColumns({"code_pct": share, "density": density}).drop("_all", "_risk")
+
+
+def language_breakdown(files: DataFrame) -> DataFrame:
+    """language, files, code, comment, total, code_pct."""
+    out = file_sizes(files).groupBy("language").agg(F.count("*").alias("files"), F.sum("code").alias("code"), F.sum("comment").alias("comment"), F.sum(F.col("code") + F.col("comment") + F.col("blank")).alias("total"))
+    whole = out.agg(F.sum("code").alias("_all"))  # one row
+    return out.crossJoin(F.broadcast(whole)).withColumn("code_pct", F.when(F.col("_all") > 0, 100.0 * F.col("code") / F.col("_all")).otherwise(0.0)).drop("_all")
+
+
+def report_tables(files: DataFrame, changes: DataFrame, most: int = 20) -> dict[str, DataFrame]:
+    """The tables of the audit's report by title; of files, functions and dense directories the first ``most``."""
+    profile, risks = directory_profile(files, changes), risk_table(files)
+    return {
+        "Language Breakdown": language_breakdown(files).orderBy(F.desc("code"), "language"),
+        "LOC by Top-level Directory": profile.select("directory", "code", "code_pct").orderBy(F.desc("code"), "directory"),
+        "Directory Risk Profile": profile.select("directory", "files", "code", "comment", "code_pct", "avg_risk", "max_risk", "todo", "changes").orderBy(F.desc("code"), "directory"),
+        "High-risk Directories by Risk Density": profile.filter("code >= 200").select("directory", "code", "density", "hits", "changes").orderBy(F.desc("density"), "directory").limit(most),
+        "Top Risk Files": risks.select("path", "language", "code", "comment", "longest", "nest", "branches", "score").orderBy(F.desc("score"), "path").limit(most),
+        "Long Functions": long_functions(function_spans(files)).select("path", "name", "line", "lines", "nest").orderBy(F.desc("lines"), "path", "line").limit(most),
+        "Hotspots": changes.join(risks.select("path", "score"), "path").select("path", "changes", "score", (F.col("changes") * F.col("score")).alias("weight")).orderBy(F.desc("weight"), "path").limit(most),
+    }

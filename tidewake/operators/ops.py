@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewake.functions.columns import first_reason
+from tidewake.operators.estimate import in_step, sorted_runs
 
 FLOOR, CLOSE = 0.60, 0.12
 
@@ -122,3 +125,131 @@ def command_state(rows: DataFrame, ranks: Sequence[str]) -> DataFrame:
     """The furthest state of each command; ``ranks`` lists states from first to last."""
     table = F.create_map(*(F.lit(x) for i, s in enumerate(ranks) for x in (s, i)))
     return rows.groupBy("run_id", "command").agg(F.max_by("state", F.struct(F.element_at(table, F.col("state")), "t_s")).alias("state"))
+
+
+#: States of a supervised process and what each event makes of them; an event that isn't listed for a state changes nothing.
+LIFECYCLE: dict[tuple[str, str], str] = {
+    ("not_started", "start"): "starting",
+    ("starting", "started"): "running",
+    ("starting", "start_failed"): "failed",
+    ("starting", "exit_ok"): "stopped",
+    ("starting", "exit_failed"): "failed",
+    ("running", "exit_ok"): "stopped",
+    ("running", "exit_failed"): "failed",
+    ("running", "stop"): "stopping",
+    ("starting", "stop"): "stopping",
+    ("stopping", "exit_ok"): "stopped",
+    ("stopping", "exit_failed"): "stopped",
+    ("failed", "retry"): "retrying",
+    ("retrying", "start"): "starting",
+    ("failed", "start"): "starting",
+    ("stopped", "start"): "starting",
+}
+STATES = "run_id long, _row long, t_s double, event string, before string, state string, ignored boolean, restarts long, dwell_s double, supervisor string"
+
+
+def process_states(events: DataFrame, transitions: Mapping[tuple[str, str], str] = LIFECYCLE, first: str = "not_started", again: str = "start") -> DataFrame:
+    """STATES: the state of each process (run_id) after each of its events (run_id, _row, t_s, event), in order of time.
+
+    ``ignored`` marks events that have no transition from the state they meet. ``restarts`` counts the ``again`` events
+    that take effect after the first one, ``dwell_s`` is the time spent in the state before, null for the first event. ``supervisor`` is what
+    a supervisor of this process alone would report: failed, stopped or running.
+    """
+    names = sorted({s for k, v in transitions.items() for s in (k[0], v)} | {first})
+    kinds = sorted({k[1] for k in transitions})
+    table = np.tile(np.arange(len(names))[:, None], (1, len(kinds) + 1))
+    listed = np.zeros(table.shape, bool)
+    for (state, event), to in transitions.items():
+        table[names.index(state), kinds.index(event)], listed[names.index(state), kinds.index(event)] = names.index(to), True
+    columns = [c.split()[0] for c in STATES.split(", ")]
+    words = np.array(names, object)
+    report = np.array([{"failed": "failed", "stopped": "stopped"}.get(n, "running") for n in names], object)
+
+    class Step:
+        def load(self, batch: pd.DataFrame) -> None:
+            self.batch, self.t = batch, batch["t_s"].to_numpy(np.float64)
+            self.event = pd.Categorical(batch["event"], kinds).codes.astype(np.int64)  # -1, the last column, for others
+            self.out, self.dwell = np.zeros((len(batch), 4), np.int64), np.full(len(batch), np.nan)
+
+        def made(self) -> pd.DataFrame:
+            before, state, ignored, restarts = self.out.T
+            out = self.batch[["run_id", "_row", "t_s", "event"]].reset_index(drop=True)
+            return out.assign(before=words[before], state=words[state], ignored=ignored == 1, restarts=restarts, dwell_s=self.dwell, supervisor=report[state])[columns]
+
+        def __call__(self, state: list[np.ndarray], runs: np.ndarray, rows: np.ndarray) -> None:
+            now, since, starts = state
+            before, event = now[runs], self.event[rows]
+            now[runs] = table[before, event]
+            known = listed[before, event]
+            if again in kinds:
+                starts[runs] += known & (event == kinds.index(again))
+            self.dwell[rows] = self.t[rows] - since[runs]
+            since[runs] = np.where(now[runs] != before, self.t[rows], np.where(np.isnan(since[runs]), self.t[rows], since[runs]))
+            self.out[rows] = np.stack((before, now[runs], ~known, np.maximum(starts[runs] - 1, 0)), -1)
+
+    def start(n: int) -> list[np.ndarray]:
+        return [np.full(n, names.index(first)), np.full(n, np.nan), np.zeros(n, np.int64)]
+
+    return sorted_runs(events.select("run_id", "_row", "t_s", "event"), "t_s", "_row").mapInPandas(lambda batches: in_step(batches, start, Step()), STATES)
+
+
+def intent_checks(intents: DataFrame, default_ttl_s: float) -> DataFrame:
+    """``intents`` (run_id, source, seq, t_s, ttl_s, _row) with ``in_order`` (newer by number than all before it of its source) and ``expired_at``.
+
+    An accepted intent expires ``ttl_s`` after its time (``default_ttl_s`` where that is 0 or null), unless the source's next accepted one comes
+    by then; ``expired_at`` is null if it doesn't expire or isn't accepted.
+    """
+    source = W.partitionBy("run_id", "source").orderBy("t_s", "_row")
+    newest = F.max("seq").over(source.rowsBetween(W.unboundedPreceding, -1))
+    rows = intents.withColumn("in_order", F.coalesce(F.col("seq") > newest, F.lit(True)))
+    following = F.min(F.when(F.col("in_order"), F.col("t_s"))).over(source.rowsBetween(1, W.unboundedFollowing))
+    ttl = F.when(F.coalesce("ttl_s", F.lit(0.0)) > 0, F.col("ttl_s")).otherwise(default_ttl_s)
+    deadline = F.col("t_s") + ttl
+    return rows.withColumn("_next", following).withColumn("expired_at", F.when(F.col("in_order") & (F.col("_next").isNull() | (F.col("_next") > deadline)), deadline)).drop("_next")
+
+
+def motion_snapshot(rows: DataFrame, values: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(run_id, state, available_fields, summary): the last row of each run told as text, ``name=a,b,c`` for each of ``values`` whose columns are all finite.
+
+    ``state`` is ``unavailable`` where none is.
+    """
+    columns = sorted({c for names in values.values() for c in names})
+    last = rows.groupBy("run_id").agg(F.max_by(F.struct(*columns), F.struct("t_s", "_row")).alias("_x"))
+    told = {n: F.concat(F.lit(f"{n}="), F.concat_ws(",", *(F.format_string("%.3f", F.col(f"_x.{c}")) for c in names))) for n, names in values.items()}
+    there = {n: F.forall(F.array(*(F.col(f"_x.{c}").cast("double") for c in names)), lambda v: v.isNotNull() & ~F.isnan(v)) for n, names in values.items()}
+    fields = F.array_compact(F.array(*(F.when(there[n], F.lit(n)) for n in values)))
+    state = F.when(F.size(fields) > 0, "available").otherwise("unavailable")
+    return last.select("run_id", state.alias("state"), F.array_join(fields, ",").alias("available_fields"), F.concat_ws("; ", *(F.when(there[n], told[n]) for n in values)).alias("summary"))
+
+
+#: What each startup profile can run as, and what it asks of navigation.
+LAUNCH = {"full_stack": ("bench_safe_smoke", "required"), "nav_power": ("bench_safe_smoke", "required"), "nav": ("bench_safe_smoke", "required"), "imu_only": ("sensor_tools", "partial"), "power_only": ("preflight_only", "none"), "no_sensor": ("preflight_only", "none")}
+
+
+def preflight(scans: DataFrame) -> DataFrame:
+    """(run_id, title, ok, detail): the rows of a device scan's preflight table.
+
+    ``scans`` has a row a run: runtime (``bench`` or ``control_only``), counts (map of type to number), bindings (map of type to path), requested and
+    selected startup profiles, ambiguous (array of paths), errors and warnings (arrays of text). A control-only runtime goes on
+    where a bench would stop: what is ambiguous or lacking costs it navigation alone.
+    """
+    launch = F.create_map(*(F.lit(x) for k, v in LAUNCH.items() for x in (k, v[0])))
+    need = F.create_map(*(F.lit(x) for k, v in LAUNCH.items() for x in (k, v[1])))
+    mode, control = F.coalesce(F.element_at(launch, F.col("selected")), F.lit("-")), F.col("runtime") == "control_only"
+    pairs = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e.key, e.value.cast("string"))), ", ")
+    some = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) > 0
+    row = lambda title, ok, detail, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(title).alias("title"), ok.alias("ok"), detail.alias("detail")))
+    yes = F.lit(True)
+    rows = F.array_compact(
+        F.array(
+            row("runtime_level", yes, F.concat(F.lit("profile="), "runtime")),
+            row("device_inventory", yes, pairs(F.col("counts"))),
+            row("device_recommendations", yes, F.when(F.size("bindings") > 0, pairs(F.col("bindings"))).otherwise("no trusted binding recommended yet")),
+            row("startup_profile", yes, F.concat(F.lit("requested="), "requested", F.lit(" selected="), "selected", F.lit(" launch_mode="), mode, F.lit(" nav_requirement="), F.coalesce(F.element_at(need, F.col("selected")), F.lit("-")))),
+            row("device_binding_ambiguity", control, F.concat(F.array_join("ambiguous", ", "), F.when(control, "; navigation stays disabled").otherwise("")), some("ambiguous")),
+            row("startup_profile_requirements", control, F.concat(F.array_join("errors", "; "), F.when(control, "; navigation readiness only").otherwise("")), some("errors")),
+            row("startup_profile_gate", control | (mode == "bench_safe_smoke"), F.when(control, F.concat(F.lit("navigation is optional, selected="), "selected")).otherwise(F.concat(F.lit("selected="), "selected", F.lit(" launch_mode="), mode))),
+            row("device_scan_risks", yes, F.array_join("warnings", "; "), some("warnings")),
+        )
+    )
+    return scans.select("run_id", F.inline(rows))

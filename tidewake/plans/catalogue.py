@@ -31,7 +31,7 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from tidewake.plans import estimate_queries, io_queries, series_queries, stats_queries, text_queries  # noqa: F401  they register themselves
+    from tidewake.plans import estimate_queries, io_queries, series_queries, stats_queries, systems_queries, text_queries  # noqa: F401  they register themselves
 
     return dict(_QUERIES)
 

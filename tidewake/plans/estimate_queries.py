@@ -10,7 +10,7 @@ from tidewake.plans.samples import HOUR, SQL, samples
 from tidewake.plans.series_queries import GATED, LIMITS
 
 RECURSIVE = SQL.replace("WITH ", "WITH RECURSIVE ", 1)
-_WRAPPED = lambda x: f"(({x}) + pi() - 2 * pi() * floor((({x}) + pi()) / (2 * pi())) - pi())"
+WRAPPED = lambda x: f"(({x}) + pi() - 2 * pi() * floor((({x}) + pi()) / (2 * pi())) - pi())"
 
 
 def _timeline(spark, sf):
@@ -40,15 +40,15 @@ def _level_sql(limit: str) -> str:
                  NULL::DOUBLE AS nis, NULL::DOUBLE AS m, 0::BIGINT AS used, 0::BIGINT AS retried, 0::BIGINT AS rejected FROM o
       UNION ALL
       SELECT run_id, n, _row, kind, CASE WHEN kind = 'IMU' THEN CASE WHEN last IS NULL THEN 'start' WHEN d > 0 THEN 'step' ELSE 'gap' END WHEN last IS NULL THEN 'waiting' WHEN over THEN 'rejected' WHEN m > 1 THEN 'retried' ELSE 'applied' END,
-             CASE WHEN kind = 'IMU' THEN t ELSE last END, u + a0 * r, v + a1 * r, b + a2 * r, CASE WHEN kind = 'IMU' AND last IS NULL THEN {_WRAPPED("yaw")} ELSE {_WRAPPED("y + c0 * r")} END, g + c1 * r,
+             CASE WHEN kind = 'IMU' THEN t ELSE last END, u + a0 * r, v + a1 * r, b + a2 * r, CASE WHEN kind = 'IMU' AND last IS NULL THEN {WRAPPED("yaw")} ELSE {WRAPPED("y + c0 * r")} END, g + c1 * r,
              p00 - a0 * a0 * si, p01 - a0 * a1 * si, p02 - a0 * a2 * si, p11 - a1 * a1 * si, p12 - a1 * a2 * si, p22 - a2 * a2 * si, h00 - c0 * c0 * si, h01 - c0 * c1 * si, h11 - c1 * c1 * si,
              nis, m, used + CASE WHEN seen AND NOT over THEN 1 ELSE 0 END, retried + CASE WHEN seen AND NOT over AND m > 1 THEN 1 ELSE 0 END, rejected + CASE WHEN over THEN 1 ELSE 0 END
       FROM (SELECT *, CASE WHEN kind = 'VU' AND taken THEN p01 / si ELSE 0 END AS a0, CASE WHEN kind = 'VU' AND taken THEN p11 / si ELSE 0 END AS a1, CASE WHEN kind = 'VU' AND taken THEN p12 / si ELSE 0 END AS a2,
                    CASE WHEN kind = 'YAW' AND taken THEN h00 / si ELSE 0 END AS c0, CASE WHEN kind = 'YAW' AND taken THEN h01 / si ELSE 0 END AS c1
             FROM (SELECT *, CASE WHEN seen THEN var + 0.0025 * m ELSE 1.0 END AS si, CASE WHEN seen THEN r * r / (var + 0.0025 * m) END AS nis, seen AND r * r / (var + 0.0025 * m) > {limit} AS over, seen AND r * r / (var + 0.0025 * m) <= {limit} AS taken
                   FROM (SELECT *, CASE WHEN r * r / (var + 0.0025) <= {limit} THEN 1.0 WHEN r * r / (var + 0.025) <= {limit} THEN 10.0 ELSE 100.0 END AS m
-                        FROM (SELECT *, kind <> 'IMU' AND last IS NOT NULL AS seen, CASE kind WHEN 'VU' THEN p11 WHEN 'YAW' THEN h00 END AS var, CASE kind WHEN 'VU' THEN vU - v WHEN 'YAW' THEN {_WRAPPED("yaw - y")} ELSE 0 END AS r
-                              FROM (SELECT run_id, n, _row, kind, t, yaw, vU, last, d, used, retried, rejected, u + v * d + 0.5 * (az - b) * d * d AS u, v + (az - b) * d AS v, b, {_WRAPPED("y + (gz - g) * d")} AS y, g,
+                        FROM (SELECT *, kind <> 'IMU' AND last IS NOT NULL AS seen, CASE kind WHEN 'VU' THEN p11 WHEN 'YAW' THEN h00 END AS var, CASE kind WHEN 'VU' THEN vU - v WHEN 'YAW' THEN {WRAPPED("yaw - y")} ELSE 0 END AS r
+                              FROM (SELECT run_id, n, _row, kind, t, yaw, vU, last, d, used, retried, rejected, u + v * d + 0.5 * (az - b) * d * d AS u, v + (az - b) * d AS v, b, {WRAPPED("y + (gz - g) * d")} AS y, g,
                                            f0 + d * f1 - d * d / 2 * f2 + 0.0025 * d ** 3 / 3 AS p00, f1 - d * f2 + 0.0025 * d * d / 2 AS p01, f2 AS p02, p11 - 2 * d * p12 + d * d * p22 + 0.0025 * d + 1e-8 * d ** 3 / 3 AS p11, p12 - d * p22 - 1e-8 * d * d / 2 AS p12, p22 + 1e-8 * d AS p22,
                                            h00 - 2 * d * h01 + d * d * h11 + 2.5e-5 * d + 1e-10 * d ** 3 / 3 AS h00, h01 - d * h11 - 1e-10 * d * d / 2 AS h01, h11 + 1e-10 * d AS h11
                                     FROM (SELECT *, p00 + d * p01 - d * d / 2 * p02 AS f0, p01 + d * p11 - d * d / 2 * p12 AS f1, p02 + d * p12 - d * d / 2 * p22 AS f2
@@ -118,7 +118,7 @@ _COAST = RECURSIVE + f""", w AS (SELECT run_id, greatest(min(t_s) FILTER (WHERE
   r AS (SELECT DISTINCT run_id, 0::BIGINT AS n, NULL::BIGINT AS _row, '' AS status, NULL::DOUBLE AS last, 0.0::DOUBLE AS e, 0.0::DOUBLE AS nn, 0.0::DOUBLE AS ve, 0.0::DOUBLE AS vn, 0.0::DOUBLE AS y, 0.25::DOUBLE AS p00, 0.0::DOUBLE AS p01, 0.36::DOUBLE AS p11,
                NULL::DOUBLE AS nis0, NULL::DOUBLE AS nis1, NULL::DOUBLE AS inflate, '' AS triggers FROM o
     UNION ALL
-    SELECT run_id, n, _row, status, CASE WHEN rank = 0 THEN t ELSE last END, e2, n2, ve2, vn2, CASE WHEN rank = 0 AND last IS NULL THEN {_WRAPPED("yaw")} ELSE y END, p00 - k0 * k0 * s1, p01 - k0 * k1 * s1, p11 - k1 * k1 * s1, nis0, CASE WHEN rank = 1 AND status <> 'rejected' THEN nis1 END, inflate,
+    SELECT run_id, n, _row, status, CASE WHEN rank = 0 THEN t ELSE last END, e2, n2, ve2, vn2, CASE WHEN rank = 0 AND last IS NULL THEN {WRAPPED("yaw")} ELSE y END, p00 - k0 * k0 * s1, p01 - k0 * k1 * s1, p11 - k1 * k1 * s1, nis0, CASE WHEN rank = 1 AND status <> 'rejected' THEN nis1 END, inflate,
            CASE WHEN rank = 0 THEN '' ELSE concat_ws(',', CASE WHEN speed > 1 THEN 'speed_pre_h' END, CASE WHEN speed / greatest(sqrt(z0 * z0 + z1 * z1), 1e-9) > 2.5 THEN 'ratio_pre_over_meas' END, CASE WHEN (CASE WHEN status = 'rejected' THEN nis0 ELSE nis1 END) > 25 THEN 'nis' END,
              CASE WHEN sqrt((ve2 - z0) ** 2 + (vn2 - z1) ** 2) > 0.3 THEN 'verr_h' END, CASE WHEN sqrt(k0 * k0 + k1 * k1) * sqrt(re * re + rn * rn) > 0.5 THEN 'dx_norm' END, CASE WHEN sqrt(nis1) > 5 THEN 'rwhite_norm' END, CASE WHEN inflate > 10 THEN 'R_inflate' END) END
     FROM (SELECT *, e + k0 * re AS e2, nn + k0 * rn AS n2, ve + k1 * re AS ve2, vn + k1 * rn AS vn2
@@ -129,7 +129,7 @@ _COAST = RECURSIVE + f""", w AS (SELECT run_id, greatest(min(t_s) FILTER (WHERE
               FROM (SELECT *, CASE WHEN rank = 1 THEN (re * re + rn * rn) / (p11 + noise) END AS nis0, speed / greatest(sqrt(z0 * z0 + z1 * z1), 0.07) AS ratio
                 FROM (SELECT *, CASE WHEN rank = 1 THEN z0 - ve ELSE 0 END AS re, CASE WHEN rank = 1 THEN z1 - vn ELSE 0 END AS rn, sqrt(ve * ve + vn * vn) AS speed, CASE WHEN still THEN 0.0036 ELSE 0.000064 END AS noise
                   FROM (SELECT *, coalesce(sqrt(ze * ze + zn * zn) <= 0.04, false) AS still, CASE WHEN sqrt(ze * ze + zn * zn) <= 0.04 THEN 0.0 ELSE ze END AS z0, CASE WHEN sqrt(ze * ze + zn * zn) <= 0.04 THEN 0.0 ELSE zn END AS z1
-                    FROM (SELECT run_id, n, _row, rank, t, yaw, ze, zn, last, d, e + d * ve * f AS e, nn + d * vn * f AS nn, ve * f AS ve, vn * f AS vn, {_WRAPPED("y + gz * d")} AS y0, coalesce({_WRAPPED("y + gz * d")}, y) AS y,
+                    FROM (SELECT run_id, n, _row, rank, t, yaw, ze, zn, last, d, e + d * ve * f AS e, nn + d * vn * f AS nn, ve * f AS ve, vn * f AS vn, {WRAPPED("y + gz * d")} AS y0, coalesce({WRAPPED("y + gz * d")}, y) AS y,
                                  p00 + 2 * d * p01 + d * d * p11 + 0.0625 * d ** 4 / 4 AS p00, p01 + d * p11 + 0.0625 * d ** 3 / 2 AS p01, p11 + 0.0625 * d * d AS p11
                       FROM (SELECT *, slow * CASE WHEN d > 0 AND slow * sqrt(ve * ve + vn * vn) > 0.8 THEN 0.8 / (slow * sqrt(ve * ve + vn * vn)) ELSE 1.0 END AS f
                         FROM (SELECT *, greatest(0.0, 1 - 0.001 * d) AS slow
@@ -174,6 +174,13 @@ def _graph(spark, sf):
     return nodes, graph.factors(nodes, rows.filter("kind <> 'IMU'").withColumnRenamed("kind", "src"), tolerance=12.0)
 
 
+def level_nodes(spark, sf):
+    """Every eighth sample of a run as a node at its own velocity and heading, all places being zero."""
+    rows = samples(spark, sf, "IMU").withColumns({"t_s": F.col("t_s") / HOUR, "gz": F.radians("gz") / 10})
+    nodes = graph.keyframes(rows, 8).withColumn("node", F.col("node").cast("long"))
+    return nodes.select("run_id", "node", "t_s", *(F.lit(0.0).alias(c) for c in ("E", "N", "U")), "vE", "vN", "vU", F.col("yaw").alias("yaw_rad"), "ax", "ay", "az", "gz", "roll", "pitch", "k")
+
+
 @register("e16_graph_factors", SQL + f""", i AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY t_s, _row) - 1 AS n FROM s WHERE src = 'IMU'), k AS (SELECT run_id, t_s, n // 8 AS node FROM i WHERE n % 8 = 0),
   v AS (SELECT run_id, _row, src, t_s FROM s WHERE src <> 'IMU' AND gate_ok), f AS (SELECT v.*, k.t_s AS aft, k.node AS an FROM v ASOF LEFT JOIN k ON v.run_id = k.run_id AND v.t_s <= k.t_s),
   b AS (SELECT f.*, k.t_s AS bef, k.node AS bn FROM f ASOF LEFT JOIN k ON f.run_id = k.run_id AND f.t_s >= k.t_s),
@@ -200,13 +207,11 @@ _TURNED = lambda k: " + ".join(f"({_R[3 * k + i].replace('yaw', 'mid')}) * a{c}"
         FROM k JOIN s v ON v.run_id = k.run_id AND v.src <> 'IMU' AND v.k % 8 = k.node),
   d AS (SELECT *, lead(t) OVER w - t AS dt, lead(vE) OVER w AS e2, lead(vN) OVER w AS n2, lead(vU) OVER w AS u2, lead(yaw) OVER w AS y2 FROM k WINDOW w AS (PARTITION BY run_id ORDER BY node)),
   f AS (SELECT *, yaw + 0.5 * rate * dt AS mid FROM d WHERE dt IS NOT NULL), g AS (SELECT *, {_TURNED(0)} AS a0, {_TURNED(1)} AS a1, {_TURNED(2)} AS a2 FROM f),
-  m AS (SELECT run_id, 'move' AS kind, node, ({" + ".join(f"pow(-{v} * dt - 0.5 * a{j} * dt * dt, 2) + pow({v2} - {v} - a{j} * dt, 2)" for j, (v, v2) in enumerate((("vE", "e2"), ("vN", "n2"), ("vU", "u2"))))} + pow({_WRAPPED("y2 - yaw - rate * dt")}, 2)) / pow(0.1 * greatest(dt, 1e-3), 2) / 2 AS cost FROM g)
+  m AS (SELECT run_id, 'move' AS kind, node, ({" + ".join(f"pow(-{v} * dt - 0.5 * a{j} * dt * dt, 2) + pow({v2} - {v} - a{j} * dt, 2)" for j, (v, v2) in enumerate((("vE", "e2"), ("vN", "n2"), ("vU", "u2"))))} + pow({WRAPPED("y2 - yaw - rate * dt")}, 2)) / pow(0.1 * greatest(dt, 1e-3), 2) / 2 AS cost FROM g)
   SELECT run_id, kind, count(*) AS n, round(sum(ln(1 + cost)), 4) AS cost FROM (SELECT * FROM c UNION ALL SELECT * FROM m) GROUP BY run_id, kind""")
 def e18(spark, sf):
     """Residuals at each node's own velocity and heading, all places being zero; velocities belong to the node of their k modulo 8."""
-    rows = samples(spark, sf).withColumns({"t_s": F.col("t_s") / HOUR, "gz": F.radians("gz") / 10})
-    nodes = graph.keyframes(rows.filter("src = 'IMU'"), 8).withColumn("node", F.col("node").cast("long"))
-    states = nodes.select("run_id", "node", "t_s", *(F.lit(0.0).alias(c) for c in ("E", "N", "U")), "vE", "vN", "vU", F.col("yaw").alias("yaw_rad"), "ax", "ay", "az", "gz", "roll", "pitch")
-    seen = rows.filter("src <> 'IMU'").select("run_id", F.col("src").alias("kind"), (F.col("k") % 8).cast("long").alias("node"), F.col("vE").alias("z0"), F.col("vN").alias("z1"), F.col("vU").alias("z2"))
+    states = level_nodes(spark, sf)
+    seen = samples(spark, sf).filter("src <> 'IMU'").select("run_id", F.col("src").alias("kind"), (F.col("k") % 8).cast("long").alias("node"), F.col("vE").alias("z0"), F.col("vN").alias("z1"), F.col("vU").alias("z2"))
     cost = F.round(F.sum(F.log(1 + F.col("cost"))), 4)
     return graph.factor_residuals(states, seen).groupBy("run_id", "kind").agg(F.count("*").alias("n"), cost.alias("cost"))

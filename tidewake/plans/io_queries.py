@@ -233,10 +233,22 @@ def s02(spark, sf):
     return back.select(F.col("`E(m)`").cast("long").alias("run_id"), F.col("`N(m)`").cast("long").alias("_row"), F.col("Src").alias("src"), F.round("`Ve_enu(m_s)`", 6).alias("ve"), F.col("Valid").alias("valid"), F.round("`Depth(m)`", 6).alias("depth"))
 
 
-@register("s04_run_catalog", "SELECT * FROM (VALUES ('a', 'a.csv', 'ad.csv', '2', 'n'), ('b', NULL, NULL, NULL, 'late'), ('c', 'c.csv', NULL, '3', NULL)) AS t(run_id, imu, dvl, date, note)")
+@register("s04_run_catalog", "SELECT CAST(c_custkey AS VARCHAR) AS run_id, c_name || '.csv' AS imu, CASE WHEN c_custkey % 2 = 0 THEN 'dvl.csv' END AS dvl, CAST(CASE WHEN s_suppkey % 3 > 0 THEN s_nationkey ELSE c_nationkey END AS VARCHAR) AS date, coalesce(s_name, CASE WHEN c_custkey % 5 > 0 THEN 'n' END) AS note FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
 def s04(spark, sf):
-    specs = [{"run_id": "a", "imu": "a.csv", "dvl": "ad.csv", "date": "1", "note": "n"}, {"run_id": "b"}, {"run_id": "c", "imu": "c.csv", "date": "3"}]
-    return readers.run_catalog(spark, specs, [{"run_id": "a", "date": "2"}, {"run_id": "b", "note": "late"}])
+    """Customers as runs, suppliers of the same key as overrides; some have no date or note."""
+    key = F.col("c_custkey")
+    runs = table(spark, sf, "customer").select(key.alias("run_id"), F.concat("c_name", F.lit(".csv")).alias("imu"), F.when(key % 2 == 0, "dvl.csv").alias("dvl"), F.col("c_nationkey").alias("date"), F.when(key % 5 > 0, "n").alias("note"))
+    over = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("run_id"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_nationkey")).alias("date"), F.col("s_name").alias("note"))
+    return readers.run_catalog(spark, runs, over)
+
+
+@register("s09_csv_order", SQL + " SELECT event_type AS what, _row, row_number() OVER (PARTITION BY event_type ORDER BY t_s, _row) AS place FROM s")
+def s09_order(spark, sf):
+    """The place of each row among those of its kind, in the order in which the reader gives them."""
+    log, path = samples(spark, sf).select(F.col("t_s").alias("EstS"), F.col("event_type").alias("Src"), F.col("_row").alias("event")), fresh_folder(spark, "sorted")
+    sinks.write_csv(log.repartition(4).sortWithinPartitions(F.desc("event")), path, by=())
+    back = readers.scan_sorted(spark, path).withColumn("_at", F.monotonically_increasing_id())
+    return back.select(F.col("Src").alias("what"), F.col("event").cast("long").alias("_row"), F.row_number().over(W.partitionBy("Src").orderBy("_at")).cast("long").alias("place"))
 
 
 @register("s05_latest_file", "SELECT max(CAST(n_nationkey AS VARCHAR)) AS newest FROM nation")

@@ -146,12 +146,14 @@ _UNWRAP = """, d{n} AS (SELECT *, {c} - lag({c}) OVER (""" + OVER + """) AS d FR
   u{n} AS (SELECT *, {c} + sum(fix) OVER (""" + OVER + """ ROWS UNBOUNDED PRECEDING) AS un FROM x{n})"""
 
 
-@register("p25_yaw_candidates", SQL + """, c AS (SELECT run_id, _row, t_s, src, 'heading' AS name, heading AS rad FROM s UNION ALL SELECT run_id, _row, t_s, src, 'yaw', yaw FROM s UNION ALL SELECT run_id, _row, t_s, src, 'half', yaw / 2 FROM s)
-  SELECT run_id, _row, name, round(CASE WHEN abs(rad) > pi() THEN rad - 2 * pi() * floor((rad + pi()) / (2 * pi())) ELSE rad END, 6) AS wrapped FROM c WHERE abs(abs(rad) - pi()) > 1e-9""")
+@register("p25_yaw_candidates", SQL + """, c AS (SELECT run_id, _row, 'heading' AS name, heading AS rad FROM s UNION ALL SELECT run_id, _row, 'yaw', yaw FROM s UNION ALL SELECT run_id, _row, 'half', yaw / 2 FROM s)
+  SELECT run_id, _row, name, round(sin(rad), 6) + 0.0 AS sine, round(cos(rad), 6) + 0.0 AS cosine, true AS inside FROM c""")
 def p25(spark, sf):
+    """By sine and cosine, as a half turn may come out on either side."""
     rows = samples(spark, sf).withColumn("half", F.col("yaw") / 2).unpivot(["run_id", "_row", "t_s"], ["heading", "yaw", "half"], "name", "rad")
-    rows = ts.unwrap(rows, "rad", "unwrapped", "name").filter(F.abs(F.abs("rad") - 3.141592653589793) > 1e-9)
-    return rounded(rows.withColumn("wrapped", geo.wrap_pi(F.col("unwrapped"))), "run_id", "_row", "name", "wrapped")
+    wrapped = geo.wrap_pi(F.col("unwrapped"))
+    rows = ts.unwrap(rows, "rad", "unwrapped", "name").withColumn("wrapped", wrapped)
+    return rows.select("run_id", "_row", "name", (F.round(F.sin("wrapped"), 6) + 0.0).alias("sine"), (F.round(F.cos("wrapped"), 6) + 0.0).alias("cosine"), F.col("wrapped").between(-3.141592653589794, 3.141592653589794).alias("inside"))
 
 
 @register("w01_diff_lag", SQL + f" SELECT run_id, _row, round(t_s - lag(t_s) OVER ({OVER}), 6) AS dt, round(vE - lag(vE) OVER ({OVER}), 6) AS dv FROM s")

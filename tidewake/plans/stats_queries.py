@@ -214,10 +214,20 @@ def a43(spark, sf):
 # --- geometry ----------------------------------------------------------------------------------
 
 
-@register("m01_m02_angles", SQL + " SELECT _row, round(" + _WRAP.format(x="heading * 1.7") + ", 6) AS pi_, round(degrees(heading) * 1.7 - 360 * floor((degrees(heading) * 1.7 + 180) / 360), 5) AS half_deg, round(heading * -1.3 - 2 * pi() * floor(heading * -1.3 / (2 * pi())), 6) AS full_ FROM s WHERE k > 0 AND k <> 50")
+#: Angles are compared by sine and cosine: a half turn may come out on either side.
+_TURN = lambda x, n: f"round(sin({x}), 6) + 0.0 AS {n}_sin, round(cos({x}), 6) + 0.0 AS {n}_cos"
+
+
+def _turn(x, name):
+    return [(F.round(F.sin(x), 6) + 0.0).alias(f"{name}_sin"), (F.round(F.cos(x), 6) + 0.0).alias(f"{name}_cos")]
+
+
+@register("m01_m02_angles", SQL + f" SELECT _row, {_TURN('heading * 1.7', 'pi')}, {_TURN('heading * 1.7', 'half')}, {_TURN('heading * -1.3', 'full')}, true AS inside FROM s")
 def m01(spark, sf):
-    h = F.col("heading")
-    return samples(spark, sf).filter("k > 0 and k <> 50").select("_row", F.round(geo.wrap_pi(h * 1.7), 6).alias("pi_"), F.round(geo.wrap_180(F.degrees(h) * 1.7), 5).alias("half_deg"), F.round(geo.wrap_2pi(h * -1.3), 6).alias("full_"))
+    h, pi = F.col("heading"), 3.141592653589793
+    a, b, c = geo.wrap_pi(h * 1.7), geo.wrap_180(F.degrees(h) * 1.7), geo.wrap_2pi(h * -1.3)
+    inside = (a >= -pi) & (a < pi) & (b >= -180) & (b < 180) & (c >= 0) & (c <= 2 * pi)
+    return samples(spark, sf).select("_row", *_turn(a, "pi"), *_turn(F.radians(b), "half"), *_turn(c, "full"), inside.alias("inside"))
 
 
 @register("m03_auto_deg_to_rad", SQL + ", d AS (SELECT *, CASE WHEN run_id % 2 = 0 THEN k * 3.6 ELSE heading END AS x FROM s), q AS (SELECT run_id, count(*) >= 10 AND quantile_cont(abs(x), 0.95) > 2.4 * pi() AS deg FROM d GROUP BY run_id) SELECT _row, round(CASE WHEN deg THEN radians(x) ELSE x END, 6) AS rad FROM d JOIN q USING (run_id)")
@@ -228,12 +238,12 @@ def m03(spark, sf):
     return rows.select("_row", F.round(F.when(degrees, F.radians("x")).otherwise(F.col("x")), 6).alias("rad"))
 
 
-@register("m04_m07_rotation", SQL + " SELECT _row, round(sqrt(ax * ax + ay * ay + az * az), 6) AS norm3, round(roll, 6) AS roll_, round(pitch, 6) AS pitch_, round(" + _WRAP.format(x="yaw") + ", 6) AS yaw_, round(ay, 6) AS body_x FROM s WHERE k > 0")
+@register("m04_m07_rotation", SQL + f" SELECT _row, round(sqrt(ax * ax + ay * ay + az * az), 6) AS norm3, round(roll, 6) + 0.0 AS roll_, round(pitch, 6) + 0.0 AS pitch_, {_TURN('yaw', 'yaw')}, round(ay, 6) AS body_x FROM s")
 def m04(spark, sf):
-    rows = samples(spark, sf).filter("k > 0")
+    rows = samples(spark, sf)
     roll, pitch, yaw = geo.angles_of(geo.rotation(F.col("roll"), F.col("pitch"), F.col("yaw")))
     body = geo.axis_map((F.col("ax"), F.col("ay"), F.col("az")), "rfu_to_frd")
-    return rows.select("_row", F.round(geo.norm(F.col("ax"), F.col("ay"), F.col("az")), 6).alias("norm3"), F.round(roll, 6).alias("roll_"), F.round(pitch, 6).alias("pitch_"), F.round(yaw, 6).alias("yaw_"), F.round(body[0], 6).alias("body_x"))
+    return rows.select("_row", F.round(geo.norm(F.col("ax"), F.col("ay"), F.col("az")), 6).alias("norm3"), (F.round(roll, 6) + 0.0).alias("roll_"), (F.round(pitch, 6) + 0.0).alias("pitch_"), *_turn(yaw, "yaw"), F.round(body[0], 6).alias("body_x"))
 
 
 @register("m08_m09_gravity", SQL + " SELECT _row, round(ax * 9.78 + 9.78 * sin(pitch) - 0.1, 6) AS lin_x, round(-9.78 * cos(roll) * cos(pitch), 6) AS grav_z FROM s")
@@ -250,10 +260,10 @@ def m10(spark, sf):
     return samples(spark, sf).select("_row", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(z, 6).alias("z"))
 
 
-@register("m11_m14_course_sigma", SQL + " SELECT _row, round(atan2(vN, vE), 6) AS course, round(1.5 * sqrt(pow(0.02 * sqrt(vE * vE + vN * vN), 2) + 0.01 * 0.01), 6) AS sigma FROM s WHERE k NOT IN (0, 50)")
+@register("m11_m14_course_sigma", SQL + f" SELECT _row, {_TURN('atan2(vN, vE)', 'course')}, round(1.5 * sqrt(pow(0.02 * sqrt(vE * vE + vN * vN), 2) + 0.01 * 0.01), 6) AS sigma FROM s")
 def m11(spark, sf):
     speed = geo.norm(F.col("vE"), F.col("vN"))
-    return samples(spark, sf).filter("k not in (0, 50)").select("_row", F.round(geo.course(F.col("vE"), F.col("vN")), 6).alias("course"), F.round(geo.speed_sigma(speed, 0.02, 0.01, 1.5), 6).alias("sigma"))
+    return samples(spark, sf).select("_row", *_turn(geo.course(F.col("vE"), F.col("vN")), "course"), F.round(geo.speed_sigma(speed, 0.02, 0.01, 1.5), 6).alias("sigma"))
 
 
 @register("m13_confidence_label", SQL + " SELECT _row, CASE WHEN value >= 400 THEN 'high' WHEN value >= 200 THEN 'medium' WHEN value > 50 THEN 'low' ELSE 'none' END AS label FROM s")

@@ -202,28 +202,33 @@ _RESOLVED = f"WITH {_SCORES}, rk AS (SELECT *, row_number() OVER w AS rank, lead
 
 
 # Captured samples: each event as a line or a header of one of the devices, by its k.
-_SAMPLE = r"""CASE k % 12 WHEN 0 THEN concat('Timestamp(s),SensorID,RawLine', chr(10), '1,DVL_H1000,":BE,', k, ',V"') WHEN 1 THEN concat(':TS,1', chr(10), ':BI,2', chr(10), ':bd , 3:SA,', k) WHEN 2 THEN concat(':BS,', k)
+_SAMPLE = r"""CASE k % 13 WHEN 0 THEN concat('Timestamp(s),SensorID,RawLine', chr(10), '1,DVL_H1000,":BE,', k, ',V"') WHEN 1 THEN concat(':TS,1', chr(10), ':BI,2', chr(10), ':bd , 3:SA,', k) WHEN 2 THEN concat(':BS,', k)
   WHEN 3 THEN 'CS 1' WHEN 4 THEN 'MonoNS,EstNS,AccX,AccY,AccZ,AsX,AsY,AsZ,HX,HY,HZ,AngX,AngY,AngZ,TemperatureC' WHEN 5 THEN concat(chr(10), '"accx",accy,AccZ,AsX,AsY,AsZ,HX,HY,HZ,AngX,AngY,AngZ', chr(10), k)
   WHEN 6 THEN 'ax(g)	ay(g)	az(g)	wx(deg/s)	wy(deg/s)	wz(deg/s)	AngleX(deg)	AngleY(deg)	AngleZ(deg)	magx	magy	magz'
   WHEN 7 THEN concat('Timestamp,CH0,CH1,CH2,CH3,CH4,CH5,CH6,CH7,CH8,CH9,CH10,CH11,CH12,CH13,CH14,CH15', chr(10), 't,', k, 'V,0.000A') WHEN 8 THEN concat('CH0,CH1,CH2,CH3,CH4,CH5,CH6,CH7,CH8,CH9,CH10,CH11,CH12,CH13,CH14,CH15', chr(10), k, 'V,2')
-  WHEN 9 THEN concat('CH0: 1.5 V', chr(10), 'CH1: 2', chr(10), 'ch2:3', chr(10), 'CH3: ', k, chr(10), ':BE,1') WHEN 10 THEN 'a usbl beacon' ELSE 'heartbeat: 42' END"""
+  WHEN 9 THEN concat('CH0: 1.5 V', chr(10), 'CH1: 2', chr(10), 'ch2:3', chr(10), 'CH3: ', k, chr(10), ':BE,1') WHEN 10 THEN 'a usbl beacon'
+  WHEN 11 THEN repeat(concat('UQ', chr(k + 1), repeat(chr(16), 7), chr(k + 23)), 1 + k % 4) ELSE 'heartbeat: 42' END"""
 _HEAD = "list_transform(string_split_regex(trim(string_split(ltrim(x, chr(10)), chr(10))[1]), CASE WHEN contains(string_split(ltrim(x, chr(10)), chr(10))[1], ',') THEN ',' ELSE chr(9) END), lambda y: lower(trim(trim(y), '\"')))"
 _ALL = lambda names: "list_has_all(h, [" + ", ".join(f"'{n.lower()}'" for n in names) + "])"
 
 
-@register("o02_sample_classify", SQL + f""", x0 AS (SELECT _row, {_SAMPLE} AS x FROM s), x1 AS (SELECT _row, x, {_HEAD} AS h, list_sort(list_distinct(list_transform(regexp_extract_all(x, '{devices.DVL_REPLY}', 1), lambda y: upper(y)))) AS tok,
+@register("o02_sample_classify", SQL + f""", x0 AS (SELECT _row, {_SAMPLE} AS x, CASE WHEN k % 13 = 11 THEN 1 + k % 4 ELSE 0 END AS m FROM s), x1 AS (SELECT _row, x, m, {_HEAD} AS h, list_sort(list_distinct(list_transform(regexp_extract_all(x, '{devices.DVL_REPLY}', 1), lambda y: upper(y)))) AS tok,
     list_distinct(regexp_extract_all(x, '{devices.CHANNEL_LINE}', 1)) AS ch, len(list_filter(regexp_extract_all(x, '{devices.CHANNEL_LINE}', 2), lambda y: y <> '')) > 0 AS marked,
     list_distinct(list_filter(list_transform(string_split(replace(substr(x, strpos(x, chr(10)) + 1), chr(10), ','), ','), lambda y: upper(regexp_extract(y, '{devices.CELL_UNIT}', 1))), lambda y: y <> '' AND contains(x, chr(10)))) AS u FROM x0),
   x2 AS (SELECT *, CASE WHEN {_ALL(devices.DVL_EXPORT)} THEN CASE WHEN regexp_matches(x, '{devices.DVL_SENSOR}') THEN 0.78 ELSE 0.74 END ELSE 0 END AS dh, CASE WHEN len(tok) >= 3 THEN least(0.94, 0.78 + 0.03 * len(tok)) WHEN len(tok) = 2 THEN 0.82 WHEN len(tok) = 1 THEN 0.68 ELSE 0 END AS dt,
     CASE WHEN len(list_filter(h, lambda y: regexp_full_match(y, 'ch[0-9]+'))) >= 16 THEN 0.78 + CASE WHEN h[1] IN ('timestamp', 'monons') THEN 0.04 ELSE 0 END + CASE WHEN list_has_all(u, ['A', 'V']) THEN 0.05 WHEN len(u) > 0 THEN 0.02 ELSE 0 END ELSE 0 END AS vh,
     CASE WHEN len(ch) >= 4 THEN least(0.82, 0.66 + 0.02 * least(len(ch), 8)) + CASE WHEN marked THEN 0.04 ELSE 0 END ELSE 0 END AS vl,
-    CASE WHEN {_ALL(devices.IMU_EXPORT)} THEN 0.84 + CASE WHEN {_ALL(devices.IMU_TIME)} THEN 0.03 ELSE 0 END WHEN {_ALL(devices.IMU_ARCHIVE)} THEN 0.78 ELSE 0 END AS im FROM x1),
-  r AS (SELECT _row, 'dvl' AS type, CASE WHEN greatest(dh, dt) > 0 THEN greatest(dh, dt) WHEN regexp_matches(x, '{devices.DVL_COMMAND}') THEN 0.40 ELSE 0 END AS score FROM x2
-    UNION ALL SELECT _row, 'volt32', least(0.89, greatest(vh, vl)) FROM x2 UNION ALL SELECT _row, 'imu', least(0.89, im) FROM x2 UNION ALL SELECT _row, 'usbl', CASE WHEN regexp_matches(x, '{devices.USBL}') THEN 0.6 ELSE 0 END FROM x2)
-  SELECT _row, type, round(CAST(score AS DOUBLE), 6) AS score FROM r WHERE score > 0""")
+    CASE WHEN {_ALL(devices.IMU_EXPORT)} THEN 0.84 + CASE WHEN {_ALL(devices.IMU_TIME)} THEN 0.03 ELSE 0 END WHEN {_ALL(devices.IMU_ARCHIVE)} THEN 0.78 ELSE 0 END AS im, CASE WHEN m >= 2 THEN least(0.62, 0.50 + 0.03 * m) ELSE 0 END AS fr FROM x1),
+  r AS (SELECT _row, 'dvl' AS type, CASE WHEN greatest(dh, dt) > 0 THEN greatest(dh, dt) WHEN regexp_matches(x, '{devices.DVL_COMMAND}') THEN 0.40 ELSE 0 END AS score, CASE WHEN greatest(dh, dt) > 0 THEN 'sample_backed' ELSE 'candidate_only' END AS support,
+        CASE WHEN greatest(dh, dt) = 0 THEN 'dvl_command_echo_only' WHEN len(tok) > 0 AND dt >= dh THEN 'dvl_reply_tokens' ELSE 'dvl_export_rawline_csv' END AS detector, array_to_string(tok, ',') AS evidence FROM x2
+    UNION ALL SELECT _row, 'volt32', least(0.89, greatest(vh, vl)), CASE WHEN vl > 0 AND vl >= vh THEN 'partial' ELSE 'sample_backed' END, CASE WHEN vl > 0 AND vl >= vh THEN 'volt32_channel_lines' ELSE 'volt32_export_csv' END, array_to_string(list_sort(u), ',') FROM x2
+    UNION ALL SELECT _row, 'imu', least(0.89, greatest(im, fr)), CASE WHEN fr > 0 AND fr >= im THEN 'candidate_only' ELSE 'sample_backed' END, CASE WHEN fr > 0 AND fr >= im THEN 'imu_legacy_wit_sync' WHEN {_ALL(devices.IMU_EXPORT)} THEN 'imu_export_csv' ELSE 'imu_archive_text' END,
+        concat_ws(',', CASE WHEN {_ALL(devices.IMU_EXPORT)} THEN 'export' END, CASE WHEN {_ALL(devices.IMU_ARCHIVE)} THEN 'archive' END, CASE WHEN fr > 0 THEN 'frames' END) FROM x2
+    UNION ALL SELECT _row, 'usbl', CASE WHEN regexp_matches(x, '{devices.USBL}') THEN 0.6 ELSE 0 END, 'candidate_only', 'usbl_ascii_token', 'USBL' FROM x2)
+  SELECT _row, type, round(CAST(score AS DOUBLE), 6) AS score, support, detector, evidence FROM r WHERE score > 0""")
 def o02(spark, sf):
     rows = samples(spark, sf).select(F.col("_row").alias("identity"), F.encode(F.expr(_SAMPLE.replace("\t", "\\t")), "UTF-8").alias("content"))
-    return devices.classified(rows).select(F.col("identity").alias("_row"), "type", F.round("score", 6).alias("score"))
+    return devices.classified(rows).select(F.col("identity").alias("_row"), "type", F.round("score", 6).alias("score"), "support", "detector", "evidence")
 
 
 @register("o04_resolve", _RESOLVED + " SELECT identity, type, score FROM re")
@@ -261,10 +266,10 @@ def o05(spark, sf):
     return g.select("run_id", ops.profile(F.col("i"), F.col("d"), F.col("p"), F.col("u")).alias("profile"))
 
 
-@register("j16_incident_window", SQL + ", a AS (SELECT run_id, t_s FROM s WHERE src = 'BI' AND value > 450) SELECT run_id, _row, src = 'BI' AND value > 450 AS anchor FROM s WHERE EXISTS (SELECT 1 FROM a WHERE a.run_id = s.run_id AND s.t_s BETWEEN a.t_s - 20 * 3600.0 AND a.t_s + 10 * 3600.0)")
+@register("j16_incident_window", SQL + ", a AS (SELECT run_id, t_s FROM s WHERE src = 'BI' AND value > 150) SELECT run_id, _row, src = 'BI' AND value > 150 AS anchor FROM s WHERE EXISTS (SELECT 1 FROM a WHERE a.run_id = s.run_id AND s.t_s BETWEEN a.t_s - 20 * 3600.0 AND a.t_s + 10 * 3600.0)")
 def j16(spark, sf):
     rows = samples(spark, sf)
-    return ops.incident_window(rows.select("run_id", "_row", "t_s"), rows.filter("src = 'BI' and value > 450"), 20 * HOUR, 10 * HOUR).select("run_id", "_row", "anchor")
+    return ops.incident_window(rows.select("run_id", "_row", "t_s"), rows.filter("src = 'BI' and value > 150"), 20 * HOUR, 10 * HOUR).select("run_id", "_row", "anchor")
 
 
 @register("j12_window_vs_tables", SQL + ", w AS (SELECT run_id, CAST(floor((t_s - t0) / 360000.0) AS BIGINT) AS bin, src, value FROM (SELECT *, min(t_s) OVER (PARTITION BY run_id) AS t0 FROM s)), b AS (SELECT run_id, bin FROM w GROUP BY run_id, bin HAVING avg(value) > 120) SELECT run_id, bin, round(avg(value) FILTER (WHERE src = 'BE'), 6) AS be_mean, round(avg(value) FILTER (WHERE src = 'BI'), 6) AS bi_mean, count(*) FILTER (WHERE src = 'IMU') AS n_imu FROM w JOIN b USING (run_id, bin) GROUP BY run_id, bin")

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewake.functions.columns import finite, resolve, seconds
-from tidewake.functions.text import readable
+from tidewake.functions.text import readable, yaml_values
+from tidewake.sources import ranges, wire
 
 # The columns of the logs and of trace records.
 IMU_COLUMNS = ("MonoNS", "EstNS", "MonoS", "EstS", "AccX", "AccY", "AccZ", "GyroX", "GyroY", "GyroZ", "YawDeg", "AngX", "AngY", "AngZ")
@@ -129,12 +129,16 @@ def scan_update_diag(spark: SparkSession, paths: str | Sequence[str]) -> DataFra
     return rows
 
 
-def run_catalog(spark: SparkSession, specs: Sequence[dict], overrides: Sequence[dict] = ()) -> DataFrame:
-    """(run_id, imu, dvl, date, note) from a list of runs; overrides win where they have a value."""
-    schema = "run_id string, imu string, dvl string, date string, note string"
-    rows = spark.createDataFrame([tuple(s.get(k) for k in ("run_id", "imu", "dvl", "date", "note")) for s in specs], schema)
-    meta = spark.createDataFrame([(o["run_id"], o.get("date"), o.get("note")) for o in overrides], "run_id string, m_date string, m_note string")
-    joined = rows.join(F.broadcast(meta), "run_id", "left")  # a hand-written list
+def run_catalog(spark: SparkSession, specs: Sequence[dict] | DataFrame, overrides: Sequence[dict] | DataFrame = ()) -> DataFrame:
+    """(run_id, imu, dvl, date, note) from runs, a list or a table; overrides (run_id, date, note) win where they have a value."""
+
+    def table(rows: Sequence[dict] | DataFrame, *names: str) -> DataFrame:
+        if isinstance(rows, DataFrame):
+            return rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast("string").alias(c) for c in names))
+        return spark.createDataFrame([tuple(r.get(k) for k in names) for r in rows], ", ".join(f"{n} string" for n in names))
+
+    meta = table(overrides, "run_id", "date", "note").toDF("run_id", "m_date", "m_note")
+    joined = table(specs, "run_id", "imu", "dvl", "date", "note").join(meta, "run_id", "left")
     return joined.select("run_id", "imu", "dvl", F.coalesce("m_date", "date").alias("date"), F.coalesce("m_note", "note").alias("note"))
 
 
@@ -173,25 +177,6 @@ def serial_inventory(identities: DataFrame) -> DataFrame:
     return rows.withColumn("_rank", rank).filter("_rank = 1").select("canonical", *(F.col(f"_{c}").alias(c) for c in rest))
 
 
-#: A trace record: version, kind, flags and a pad, four times in ns, age in ms, fault code: 48 bytes, little-endian.
-TRACE = "<BBHIqqqqII"
-TRACE_SCHEMA = "path string, record long, version int, kind int, flags int, sensor_time_ns long, recv_mono_ns long, consume_mono_ns long, publish_mono_ns long, age_ms long, fault_code long"
-
-
-def binary_trace(spark: SparkSession, path: str) -> DataFrame:
-    """Fixed-size timing records of binary files; an incomplete last record is left out."""
-
-    size = struct.calcsize(TRACE)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name, data in zip(part["path"], part["content"]):
-                rows = [(name, i, v, k, f, *times, age, fault) for i, (v, k, f, _, *times, age, fault) in enumerate(struct.iter_unpack(TRACE, bytes(data[: len(data) // size * size])))]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in TRACE_SCHEMA.split(", ")])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, TRACE_SCHEMA)
-
-
 PAYLOAD = "<IHHII"  # magic, layout version, payload version, payload size, payload alignment
 
 
@@ -204,10 +189,30 @@ def checked_payloads(blobs: DataFrame, magic: int, layout: int, version: int, si
     return blobs.filter(fits).select("path", F.substring(F.col("content"), head + 1, size).alias("payload"))
 
 
+def shared_payloads(spark: SparkSession, path: str, magic: int, layout: int, version: int, shape: wire.Layout) -> DataFrame:
+    """(path, fields of ``shape``) of the saved payloads under ``path`` whose header fits the struct; others are left out."""
+    blobs = spark.read.format("binaryFile").load(path).select("path", "content")
+    return wire.decoded(checked_payloads(blobs, magic, layout, version, shape.size, shape.align), shape, keep=["path"])
+
+
 def text_tail(spark: SparkSession, path: str, lines: int = 40, most_bytes: int = 32 << 10) -> DataFrame:
-    """(line, value): the last lines of one small log within its last bytes."""
-    blob = spark.read.format("binaryFile").load(path)
-    tail = readable(F.substring(F.col("content"), F.greatest(F.length("content") - most_bytes + 1, F.lit(1)), F.lit(most_bytes)))
-    rows = F.filter(F.split(tail, "\n"), lambda x: x != "")
-    last = F.slice(rows, F.greatest(F.size(rows) - lines + 1, F.lit(1)), F.lit(lines))
-    return blob.select(F.posexplode(last).alias("line", "value"))
+    """(line, value): the last lines of a log that aren't empty, from its last ``most_bytes`` bytes."""
+    return ranges.tails(spark, path, lines, most_bytes).select("line", "value")
+
+
+def latest_csv_rows(spark: SparkSession, path: str, most_bytes: int = 32 << 10) -> DataFrame:
+    """(path, row): the last row of each CSV log under ``path`` as a map from its header, from the ends of the files alone.
+
+    Cells hold no commas or quotes, as the logs' don't. Columns beyond the row's cells are null, cells beyond the header are left out.
+    """
+    last = ranges.tails(spark, path, 1, most_bytes, header=True)
+    names, cells = F.split("header", ","), F.split("value", ",")
+    clean = lambda x: F.trim(F.regexp_replace(x, "^\ufeff", ""))
+    pairs = F.transform(names, lambda n, i: F.struct(clean(n), F.trim(F.get(cells, i))))
+    return last.select("path", F.map_from_entries(pairs).alias("row"))
+
+
+def config_values(spark: SparkSession, path: str) -> DataFrame:
+    """(path, key, value) of the small YAML files under ``path``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.inline(yaml_values(readable(F.col("content")))))
