@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.test_queries import SF
-from tidewake.llm import codebooks, divergence, fingerprints
+from tidewake.llm import codebooks, contextmix, divergence, fingerprints
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -255,3 +255,107 @@ def test_exact_shares():
     assert divergence.shares(n, of, 3).tolist() == [1 + 10**9 * (int(a) + 1) // (int(b) + 3) for a, b in zip(n, of)]
     table = divergence.counted(pa.RecordBatch.from_pydict({"lang": ["a", "a"], "source": ["s", "t"], "text": ["x x y", "x"]}))
     assert sorted(zip(*table.to_pydict().values())) == [("a", "s", "", 0, 0), ("a", "s", "x", 2, 1), ("a", "s", "y", 1, 1), ("a", "t", "", 0, 0), ("a", "t", "x", 1, 1)]
+
+
+# --- 9: learnt weights, and whole scores by brute force ----------------------------------------
+
+
+def cases_of(text: bytes):
+    """(contexts, symbol) of each symbol of a text; a context is its order and what it has seen."""
+    sym = [256] * 4 + list(text) + [256]
+    for i in range(4, len(sym)):
+        word = []
+        for x in reversed(sym[4:i]):
+            if x == 256 or x in b" \t\n\v\f\r":
+                break
+            word.append(x)
+        yield [(1, *sym[i - 1 : i]), (2, *sym[i - 2 : i]), (4, *sym[i - 4 : i]), ("word", *word[::-1])], sym[i]
+
+
+def scored(train: list[bytes], texts: list[bytes], step: int) -> tuple[np.ndarray, list[float]]:
+    """Weights and bits of each text by dictionaries, a decision at a time; ``train`` in the order in which it is drawn."""
+    counts = defaultdict(Counter)
+    for t in train:
+        for contexts, symbol in cases_of(t):
+            for c in contexts:
+                counts[c][symbol] += 1
+    paths = [list(zip(contextmix.NODES[s, :n].tolist(), contextmix.BITS[s, :n].tolist())) for s, n in enumerate(contextmix.SIZES)]
+    weights, seen = np.full((4, contextmix.GATES), 0.3), 0.0
+    ones, total = Counter(), Counter()
+
+    def decisions(text, less):
+        for contexts, symbol in cases_of(text):
+            for d, (node, bit) in enumerate(paths[symbol]):
+                pairs = []
+                for c in contexts:
+                    same = other = 0
+                    for t, n in counts[c].items():
+                        n -= less[c][t] if c in less else 0
+                        if paths[t][:d] == paths[symbol][:d] and len(paths[t]) > d:
+                            same, other = (same + n, other) if paths[t][d] == (node, bit) else (same, other + n)
+                    pairs.append((math.log((same + 0.05) / (other + 0.05)), int(min(math.log2(same + other + 1), contextmix.GATES - 1))))
+                yield node, bit, pairs
+
+    def probability(node, bit, pairs):
+        z = sum(weights[k][g] * o for k, (o, g) in enumerate(pairs)) * (2 * bit - 1)
+        z = min(14.0, max(-14.0, z))
+        p = 1 / (1 + math.exp(-z))
+        cell = node, int(min(max((z + 9) * contextmix.STEPS / 18, 0), contextmix.STEPS - 1))
+        return 0.5 * p + 0.5 * (ones[cell] + 8 * p) / (total[cell] + 8), p, cell
+
+    held: list[bytes] = []
+    for i, t in enumerate(train):
+        held.append(t)
+        if sum(map(len, held)) < step and i + 1 < len(train):
+            continue
+        less = defaultdict(Counter)
+        for x in held:
+            for contexts, symbol in cases_of(x):
+                for c in contexts:
+                    less[c][symbol] += 1
+        rows = [(*d, *probability(*d)[1:]) for x in held for d in decisions(x, less)]
+        change, times, n = np.zeros_like(weights), np.zeros_like(weights), len(rows)
+        for node, bit, pairs, p, cell in rows:
+            for k, (o, g) in enumerate(pairs):
+                change[k, g] += (bit - p) * (2 * bit - 1) * o
+                times[k, g] += 1
+            ones[cell] += bit
+            total[cell] += 1
+        weights = weights + 0.4 / (1 + seen / 2e7) ** 0.5 * change / (times + 0.01 * n)
+        seen, held = seen + n, []
+    bits_ = []
+    for t in texts:
+        bits_.append(sum(-math.log2(p if bit else 1 - p) for node, bit, pairs in decisions(t, {}) for p in [probability(node, bit, pairs)[0]]))
+    return weights, bits_
+
+
+def test_context_mixing_by_brute_force(spark):
+    random.seed(7)
+    texts = [" ".join(random.choices(["Tide", "wakes", "over", "grey", "stones", "\u00fcber", "x"], k=random.randint(0, 25))) for _ in range(16)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in contextmix.score(docs, step=150).collect()}
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    low = lambda t: (t or "").encode().lower()
+    learnt = [i for i in got if not got[i].held_out]
+    drawn = [low(texts[i]) for i in sorted(learnt, key=lambda i: (order[i], low(texts[i])))]
+    weights, want = scored(drawn, [low(t) for t in texts], 150)
+    trained = contextmix.train(docs.filter(F.col("doc_id").isin(learnt)), 8, step=150)
+    assert np.allclose(trained.learnt[0], weights, atol=1e-4) and np.abs(weights - 0.3).max() > 0.02
+    assert len(got) == len(texts) and 0 < len(learnt) < len(texts)
+    for i, bits_ in enumerate(want):
+        assert abs(got[i].bits - bits_) < 2e-3 * max(1.0, bits_) and abs(got[i].score + got[i].bits * math.log10(2)) < 1e-9 * max(1.0, bits_)
+
+
+def test_scores_do_not_depend_on_tasks(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    one, many = ({r.doc_id: r.bits for r in contextmix.score(docs.repartition(n, "doc_id")).collect()} for n in (1, 12))
+    assert one.keys() == many.keys() and all(abs(one[i] - many[i]) < 1e-5 * max(1, one[i]) for i in one) and size > 400_000
+    learnt = contextmix.train(docs, 8).learnt[0]
+    assert (np.abs(learnt - 0.3) > 0.01).mean() > 0.6
+
+
+def test_context_mixing_without_a_text_to_draw(spark):
+    long = spark.createDataFrame([(i, "tide " * 300) for i in range(20)], "doc_id long, text string")
+    rows = contextmix.score(long, draw=1000).collect()  # each text is longer than the draw: weights stay at their start
+    assert len(rows) == 20 and len({round(r.bits, 6) for r in rows}) == 1

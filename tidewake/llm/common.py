@@ -31,16 +31,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: While a step is written: its shuffle files go when it has ended, as nothing else reads them, and
-#: few rows meet in an Arrow batch, as rows can hold long texts.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "256"}
+#: While a step is written: its shuffle files go when it has ended, as nothing else reads them. Few rows
+#: meet in an Arrow batch, as rows can hold long texts.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: it survives the loss of executors and cuts lineage."""
+def written(df: DataFrame, name: str, batch_rows: int = 256) -> DataFrame:
+    """``df`` written once to the shared folder and read back: it survives the loss of executors and cuts lineage.
+
+    ``batch_rows`` rows meet in an Arrow batch of the plan that is written.
+    """
     spark = df.sparkSession
-    path, before = fresh_path(spark, name), {k: spark.conf.get(k, None) for k in WRITING}
-    for k, v in WRITING.items():
+    confs = WRITING | {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)}
+    path, before = fresh_path(spark, name), {k: spark.conf.get(k, None) for k in confs}
+    for k, v in confs.items():
         spark.conf.set(k, v)
     try:
         df.write.parquet(path)
