@@ -180,7 +180,7 @@ def compress(vectors: DataFrame, *, id_col: str = "vec_id", embedding: str = "em
                 yield pa.RecordBatch.from_arrays([*kept_columns, pa.array([text[i : i + 2 * parts] for i in range(0, len(text), 2 * parts)], pa.string()), pa.array(error)], names=[*kinds, "code", "error"])
 
     schema = rows.drop(whole).withColumns({"code": F.lit(""), "error": F.lit(0).cast("long")}).schema
-    coded = written(rows.mapInArrow(run, schema), "codes")
+    coded = written(rows.mapInArrow(run, schema), "codes", BATCH)
     # labels are as many as the data has, so their sums are joined by what they turn out to be: a hot label's rows are split
     errors = coded.groupBy(F.col(label).alias(at_label)).agg(F.try_sum("error").alias(total))
     joined = coded.join(errors, F.col(label).eqNullSafe(F.col(at_label)))
