@@ -26,7 +26,7 @@ WORD_BYTES = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >=
 #: Words hashed and compared at once.
 STRETCH = 1 << 16
 #: Counts in a block, and sources that a block compares with all others.
-BLOCK, WIDE = 1 << 18, 256
+BLOCK, WIDE = 1 << 16, 256
 ROWS = "lang string, source string, term string, n long, docs long"
 
 
