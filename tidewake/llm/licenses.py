@@ -6,6 +6,10 @@ B the coefficient is 2 s / (|A| + |B|), so a template reaches t only if its size
 t / (2 - t) and (2 - t) / t of the passage's; templates are ordered by size and no other is looked at. For
 the same reason a span holds a template only if s is t / (2 - t) |A| at least: a span whose
 paragraphs have too few bigrams of any template for its largest paragraph is left without being put together.
+
+A window is a stretch of the text's words, whatever lines and paragraphs end inside, as long as a template and placed where
+the template would begin by at least half of t / (2 - t) of its bigrams: so notices that stand in the middle of a line, or between other lines, are
+found. Windows are counted apart from passages.
 """
 
 from __future__ import annotations
@@ -90,6 +94,13 @@ class Scanner:
         self.least, self.most = min(self.sizes, default=0) * self.share, max(self.sizes, default=0) / self.share
         self.firsts = {x for x, _ in self.by_gram}
         self.words = int(max((len(t.encode().translate(WORDS).split()) for _, t in known), default=0) / self.share)
+        self.placed: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}  # where templates have a bigram
+        self.long: list[tuple[str, int, set]] = []
+        for name, text in known:
+            words = text.encode().translate(WORDS).split()
+            for k, g in enumerate(zip(words, words[1:])):
+                self.placed.setdefault(g, []).append((len(self.long), k))
+            self.long.append((name, len(words), bigrams(words)))
 
     def passage(self, words: list[bytes]) -> dict[str, float]:
         """Best coefficient of each licence that reaches the threshold."""
@@ -129,8 +140,29 @@ class Scanner:
                 if shared >= self.share * largest - 1e-9 and shared >= self.least * self.share - 1e-9 and (j > i or i not in lone):
                     yield [w for words in blocks[i : j + 1] for w in words]
 
-    def text(self, text: bytes) -> dict[str, tuple[float, int]]:
-        """Per licence the best coefficient over all passages and the number of passages that reach the threshold."""
+    def windows(self, words: list[bytes]) -> dict[str, tuple[float, int]]:
+        """Per licence the best coefficient of a window and the number of places of windows that reach the threshold."""
+        votes: dict[tuple[int, int], int] = {}
+        placed = self.placed
+        for i, g in enumerate(zip(words, words[1:])):
+            if g in placed:
+                for t, k in placed[g]:
+                    votes[t, i - k] = votes.get((t, i - k), 0) + 1
+        best: dict[str, float] = {}
+        at: dict[str, set[int]] = {}
+        for (t, start), n in votes.items():
+            name, size, grams = self.long[t]
+            if 2 * n < self.share * (size - 1) - 1e-9:
+                continue
+            mine = bigrams(words[max(0, start) : start + size])
+            dice = 2 * len(mine & grams) / (len(mine) + len(grams))
+            if dice >= self.threshold:
+                best[name] = max(best.get(name, 0.0), dice)
+                at.setdefault(name, set()).add(start)
+        return {name: (best[name], len(at[name])) for name in best}
+
+    def text(self, text: bytes) -> dict[str, tuple[float, int, int]]:
+        """Per licence the best coefficient over all passages and windows, and the numbers of either that reach the threshold."""
         out: dict[str, tuple[float, int]] = {}
         blocks: list[list[list[bytes]]] = [[]]
         passages = []
@@ -150,14 +182,15 @@ class Scanner:
             for name, dice in self.passage(words).items():
                 best, n = out.get(name, (0.0, 0))
                 out[name] = (max(best, dice), n + 1)
-        return out
+        found = self.windows(text.translate(WORDS).split())
+        return {name: (max(out.get(name, (0.0, 0))[0], found.get(name, (0.0, 0))[0]), out.get(name, (0.0, 0))[1], found.get(name, (0.0, 0))[1]) for name in out.keys() | found.keys()}
 
 
 def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] | None = None, threshold: float = 0.85) -> DataFrame:
-    """(doc_id, license, dice, n_passages): a row for each licence found in each row of ``docs``.
+    """(doc_id, license, dice, n_passages, n_windows): a row for each licence found in each row of ``docs``.
 
-    ``dice`` is the best over the text's passages, ``n_passages`` how many reach ``threshold`` for the
-    licence; a line, its sentences and a span of paragraphs count each. Null and empty texts and texts
+    ``dice`` is the best over the text's passages and windows, ``n_passages`` and ``n_windows`` how many reach ``threshold`` for the
+    licence; a line, its sentences and a span of paragraphs count each, windows by their place. Null and empty texts and texts
     of one word hold none. A text of any length is scanned whole. Ties don't arise: licences are rows
     of their own. Repeated rows give their own results; other columns are ignored, whatever their
     names; an empty table gives an empty result.
@@ -170,11 +203,11 @@ def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] | None = None, t
         for batch in small_batches(batches, "text"):
             rows, found = [], []
             for i, text in enumerate(texts_of(batch, "text")):
-                for name, (dice, n) in sorted(scanner.text(text).items()):
+                for name, hit in sorted(scanner.text(text).items()):
                     rows.append(i)
-                    found.append((name, dice, n))
+                    found.append((name, *hit))
             ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
-            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "license", "dice", "n_passages"])
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "license", "dice", "n_passages", "n_windows"])
 
-    return docs.select(F.col("doc_id"), "text").mapInArrow(run, f"doc_id {kind}, license string, dice double, n_passages long")
+    return docs.select(F.col("doc_id"), "text").mapInArrow(run, f"doc_id {kind}, license string, dice double, n_passages long, n_windows long")

@@ -72,8 +72,17 @@ WITH tpl AS (SELECT * FROM (VALUES {values}) AS t(license, body)),
      pg AS (SELECT pid, doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM pw WHERE len(w) > 1),
      pair AS (SELECT pid, doc_id, license, tid, len(pg.g) AS a, len(tg.g) AS b, len(list_intersect(pg.g, tg.g)) AS s
               FROM pg JOIN tg ON len(pg.g) BETWEEN len(tg.g) * 0.85 / 1.15 AND len(tg.g) * 1.15 / 0.85),
-     hit AS (SELECT pid, doc_id, license, max(2.0::DOUBLE * s / (a + b)) AS dice FROM pair WHERE 2.0::DOUBLE * s / (a + b) >= 0.85 GROUP BY pid, doc_id, license)
-SELECT doc_id, license, max(dice) AS dice, CAST(count(*) AS BIGINT) AS n_passages FROM hit GROUP BY doc_id, license
+     hit AS (SELECT pid, doc_id, license, max(2.0::DOUBLE * s / (a + b)) AS dice FROM pair WHERE 2.0::DOUBLE * s / (a + b) >= 0.85 GROUP BY pid, doc_id, license),
+     tb AS (SELECT tid, i - 1 AS k, w[i] || ' ' || w[i + 1] AS gram FROM norm, unnest(range(1, len(w))) AS t(i)),
+     dw AS MATERIALIZED (SELECT row_number() OVER () AS did, doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^0-9a-z]+', ' ', 'g')), ' ') AS w FROM documents),
+     db AS (SELECT did, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS gram FROM dw, unnest(range(1, len(w))) AS t(i)),
+     al AS (SELECT db.did, tb.tid, db.pos - tb.k AS start, count(*) AS votes FROM db JOIN tb USING (gram) GROUP BY db.did, tb.tid, db.pos - tb.k),
+     wn AS (SELECT dw.doc_id, n.license, al.start, tg.g AS tgrams, dw.w[greatest(al.start, 0) + 1 : al.start + len(n.w)] AS w FROM al JOIN norm n USING (tid) JOIN tg ON tg.tid = al.tid JOIN dw ON dw.did = al.did WHERE 2 * al.votes >= 0.85 / 1.15 * (len(n.w) - 1) - 1e-9),
+     wg AS (SELECT doc_id, license, start, tgrams, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM wn),
+     wh AS (SELECT doc_id, license, start, 2.0::DOUBLE * len(list_intersect(g, tgrams)) / (len(g) + len(tgrams)) AS dice FROM wg),
+     a AS (SELECT doc_id, license, max(dice) AS dice, CAST(count(*) AS BIGINT) AS n FROM hit GROUP BY doc_id, license),
+     z AS (SELECT doc_id, license, max(dice) AS dice, CAST(count(DISTINCT start) AS BIGINT) AS n FROM wh WHERE dice >= 0.85 GROUP BY doc_id, license)
+SELECT doc_id, license, greatest(coalesce(a.dice, 0), coalesce(z.dice, 0)) AS dice, coalesce(a.n, 0) AS n_passages, coalesce(z.n, 0) AS n_windows FROM a FULL JOIN z USING (doc_id, license)
 """.replace("{values}", ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in templates()))
 
 
