@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.test_queries import SF
-from tidewake.llm import codebooks, contextmix, divergence, fingerprints
+from tidewake.llm import codebooks, contextmix, divergence, fingerprints, flatgraph, licenses
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -359,3 +359,73 @@ def test_context_mixing_without_a_text_to_draw(spark):
     long = spark.createDataFrame([(i, "tide " * 300) for i in range(20)], "doc_id long, text string")
     rows = contextmix.score(long, draw=1000).collect()  # each text is longer than the draw: weights stay at their start
     assert len(rows) == 20 and len({round(r.bits, 6) for r in rows}) == 1
+
+
+# --- 8: licences inside lines and between them --------------------------------------------------
+
+
+def test_licences_whatever_line_ends_lie_inside(spark):
+    prose = "some words of prose that have nothing to do with any of it, over and over again "
+    names = ["MIT", "ISC", "Zlib", "BSD-2-Clause", "BSL-1.0"]
+    texts = {k: t for k, t in licenses.templates() if k in names and len(t) > 300}
+    gpl = licenses.NOTICES[0].format("the GNU General Public License, version 3")
+    rows, want = [], set()
+    for i, (k, t) in enumerate([*texts.items(), ("GPL-3.0", gpl)]):
+        words = t.split(" ")
+        for j, made in enumerate([prose * 9 + t + " " + prose * 9, "/* " + t + " */\nint main(void) {\n" + prose, "\n".join(" ".join(words[a : a + 9]) for a in range(0, len(words), 9)) + "\ncode();\n" + prose, "\n\n".join([prose + " ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :]) + " " + prose])]):
+            rows.append((10 * i + j, made))
+            want.add((10 * i + j, k))
+    rows += [(1000, prose * 50), (1001, "permission is hereby granted, free of charge"), (1002, "mit " * 40_000)]
+    got = {(r.doc_id, r.license): r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= got.keys() and not [k for k in got if k[0] >= 1000]
+    assert all(r.dice >= 0.85 and r.n_passages + r.n_windows > 0 for r in got.values()) and any(r.n_windows and not r.n_passages for r in got.values())
+
+
+def test_windows_by_brute_force():
+    random.seed(6)
+    words = [w.encode() for w in "this software is provided as is under the mit license in any event".split()]
+    known = [(f"L{i}", b" ".join(random.choices(words, k=random.randint(3, 25))).decode()) for i in range(12)]
+    scanner = licenses.Scanner(known, 0.85)
+    for _ in range(60):
+        name, text = random.choice(known)
+        inner = text.encode().split()
+        for _ in range(random.randint(0, 2)):
+            inner[random.randrange(len(inner))] = b"other"
+        held = random.choices(words, k=random.randint(0, 9)) + inner + random.choices(words, k=random.randint(0, 9))
+        want: dict[str, list] = {}
+        for k, t in known:
+            w = t.encode().split()
+            for start in range(-len(w), len(held) + 1):
+                votes = sum(held[start + j : start + j + 2] == w[j : j + 2] for j in range(len(w) - 1) if 0 <= start + j < len(held) - 1)
+                mine, grams = set(zip(held[max(0, start) : start + len(w)], held[max(0, start) + 1 : start + len(w)])) if start + len(w) > 0 else set(), set(zip(w, w[1:]))
+                if votes and 2 * votes >= scanner.share * (len(w) - 1) - 1e-9 and 2 * len(mine & grams) / (len(mine) + len(grams)) >= 0.85:
+                    want.setdefault(k, []).append((2 * len(mine & grams) / (len(mine) + len(grams)), start))
+        assert scanner.windows(held) == {k: (max(d for d, _ in v), len({s for _, s in v})) for k, v in want.items()}
+
+
+# --- 10: the audit of recall --------------------------------------------------------------------
+
+
+def test_audit_tells_the_recall_of_isolated_pairs(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4500, 48))
+    y = x[:1500] / np.linalg.norm(x[:1500], axis=1, keepdims=True)
+    away = rng.normal(size=y.shape)
+    away -= (away * y).sum(axis=1, keepdims=True) * y
+    cosine = rng.uniform(0.901, 0.93, (1500, 1))
+    pairs = cosine * y + np.sqrt(1 - cosine**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    v = np.concatenate((x, pairs)).astype(np.float32)
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.9).sum() - len(v)
+    table = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(v)], "vec_id long, embedding array<float>")
+    rows = flatgraph.near_vectors(table, shard_rows=256, overlap=1, target=0.5, sure=0.3, worst=0.1).collect()
+    assert len(rows) == 6000 and true >= 2900
+    found = sum(r.n_links for r in rows)
+    assert found <= true and abs(rows[0].recall - found / true) < 0.03
+    better = flatgraph.near_vectors(table, shard_rows=256, overlap=1, target=0.98).collect()
+    assert found <= sum(r.n_links for r in better) <= true and abs(better[0].recall - sum(r.n_links for r in better) / true) < 0.02
+
+
+def test_lower_bounds():
+    assert flatgraph.lower_bound(0, 0) == 0.0 and 0.99 < flatgraph.lower_bound(1000, 1000) < 1.0 and flatgraph.lower_bound(5, 5) < 0.6
+    assert flatgraph.lower_bound(95, 100) < 0.95 < flatgraph.lower_bound(9800, 10000)

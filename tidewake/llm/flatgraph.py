@@ -18,7 +18,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -158,13 +158,21 @@ def _roots(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 FOUND = "query long, shard int, links long, reached array<int>, node long, root long"
 
 
-def link_counts(nodes: DataFrame, *, least: float = 0.9, overlap: int = 2, shard_rows: int = 2048, degree: int = 24, beam: int = 24, margin: float = 0.1, sample_rows: int = 20_000, most_shards: int = 4096, seed: int = 11) -> tuple[DataFrame, DataFrame]:
-    """(query, links) and edges (a, b) between nodes of one component, for ``nodes`` (rep, vec, n)."""
+class Index:
+    """What ``build_index`` has made of nodes, and the shards that its nodes have been searched in so far."""
+
+    def __init__(self, placed: DataFrame, pieces: DataFrame, stored: DataFrame, overlap: int, search: Callable[[pa.Table, pa.Table], pa.Table]):
+        self.placed, self.pieces, self.stored, self.overlap, self.search = placed, pieces, stored, overlap, search
+        self.visited: DataFrame | None = None
+        self.found: DataFrame | None = None
+
+
+def build_index(nodes: DataFrame, *, least: float = 0.9, overlap: int = 2, widest: int = 12, shard_rows: int = 2048, degree: int = 24, beam: int = 24, margin: float = 0.1, sample_rows: int = 20_000, most_shards: int = 4096, seed: int = 11) -> Index | None:
+    """The shards of ``nodes`` (rep, vec, n), each node in its ``overlap`` nearest ones, with their graphs; None without nodes."""
     spark = nodes.sparkSession
     total = nodes.count()
-    none = spark.createDataFrame([], "query long, links long"), spark.createDataFrame([], "a long, b long")
     if not total:
-        return none
+        return None
     share = min(1.0, 1.2 * sample_rows / total)
     drawn = nodes.filter(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)).select("vec").limit(sample_rows).toArrow()
     if not drawn.num_rows:
@@ -177,13 +185,14 @@ def link_counts(nodes: DataFrame, *, least: float = 0.9, overlap: int = 2, shard
         for batch in batches:
             if batch.num_rows:
                 s = _units(_matrix(batch.column("vec"))) @ c.T
-                k = min(overlap, c.shape[0])
+                k = min(max(overlap, widest), c.shape[0])
                 near = np.argsort(-s, axis=1, kind="stable")[:, :k].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * k), pa.array(near.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("vec"), batch.column("n"), lists], names=["node", "vec", "n", "shards"])
 
+    # ``shards`` has more shards than a node is stored in: a search can be widened to them
     placed = written(nodes.select("rep", "vec", "n").mapInArrow(assign, "node long, vec array<double>, n long, shards array<int>"), "placed")
-    member = placed.select("node", "vec", "n", "shards", F.explode("shards").alias("shard"))
+    member = placed.select("node", "vec", "n", F.slice("shards", 1, overlap).alias("shards")).withColumn("shard", F.explode("shards"))
     pieces = member.groupBy("shard").count().select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("pieces"))
     member = written(member.join(pieces, "shard").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")), "members")
 
@@ -239,57 +248,85 @@ def link_counts(nodes: DataFrame, *, least: float = 0.9, overlap: int = 2, shard
         out["shard"] = [shard] * len(out["node"])
         return pa.table({k: pa.array(v, empty.schema.field(k).type) for k, v in out.items()})
 
+    return Index(placed, pieces, stored, overlap, search)
+
+
+def search_links(index: Index, visit: int) -> tuple[DataFrame, DataFrame]:
+    """(query, links) and edges (a, b) between nodes of one component: every node in its ``visit`` nearest shards, and in those that what it finds lies in.
+
+    What earlier calls have found stays; only new visits are searched.
+    """
+    placed, pieces, stored = index.placed, index.pieces, index.stored
     vectors = placed.select(F.col("node").alias("query"), F.col("vec").alias("query_vec"))
-    todo = placed.select(F.col("node").alias("query"), F.explode("shards").alias("shard"))
-    visited, found = None, None
+    todo = placed.select(F.col("node").alias("query"), F.explode(F.slice("shards", 1, visit)).alias("shard"))
+    if index.visited is not None:
+        todo = todo.join(index.visited, ["query", "shard"], "left_anti")
     while True:
         todo = written(todo, "visits")
         if todo.isEmpty():
             break
-        visited = todo if visited is None else visited.unionByName(todo)
+        index.visited = todo if index.visited is None else index.visited.unionByName(todo)
         meet = todo.join(pieces, "shard").join(vectors, "query").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
         many = todo.groupBy("shard").count().select("shard", F.ceil(F.col("count") / QUERIES).cast("int").alias("turns"))
         meet = meet.join(many, "shard").withColumn("turn", F.pmod(F.xxhash64("query"), F.col("turns")).cast("int")).select("shard", "piece", "turn", "query", "query_vec")
         there = stored.join(many, "shard").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("turns")
         keys = ["shard", "piece", "turn"]
-        new = written(meet.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(search, FOUND), "found")
-        found = new if found is None else found.unionByName(new)
-        todo = new.filter("query is not null").select("query", F.explode("reached").alias("shard")).distinct().join(visited, ["query", "shard"], "left_anti")
-    counts = found.filter("query is not null").groupBy("query").agg(F.sum("links").alias("links"))
-    return counts, found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
+        new = written(meet.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(index.search, FOUND), "found")
+        index.found = new if index.found is None else index.found.unionByName(new)
+        todo = new.filter("query is not null").select("query", F.explode("reached").alias("shard")).distinct().join(index.visited, ["query", "shard"], "left_anti")
+    counts = index.found.filter("query is not null").groupBy("query").agg(F.sum("links").alias("links"))
+    return counts, index.found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
 
 
-def audit_recall(nodes: DataFrame, counts: DataFrame, *, least: float = 0.9, sample_rows: int = 256, seed: int = 23) -> float:
-    """Share of the links of at most ``sample_rows`` nodes, compared with all nodes, that ``counts`` has.
+def link_counts(nodes: DataFrame, *, overlap: int = 2, **build) -> tuple[DataFrame, DataFrame]:
+    """(query, links) and edges (a, b) between nodes of one component, for ``nodes`` (rep, vec, n), searched in as many shards as they are stored in."""
+    index = build_index(nodes, overlap=overlap, **build)
+    if index is None:
+        return nodes.sparkSession.createDataFrame([], "query long, links long"), nodes.sparkSession.createDataFrame([], "a long, b long")
+    return search_links(index, overlap)
 
-    Half of the nodes are drawn from those with links, where missed ones are most likely, half from all. Without any link it is 1.
-    """
 
-    def drawn(rows: DataFrame) -> pa.Table:
-        share = min(1.0, 2.0 * sample_rows / max(1, rows.count()))
-        return rows.filter(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)).select("rep", "vec").limit(sample_rows // 2).toArrow()
+def lower_bound(hits: int, of: int, z: float = 1.96) -> float:
+    """Wilson's lower bound of a share of which ``hits`` of ``of`` were seen; 0 without any."""
+    if not of:
+        return 0.0
+    p = hits / of
+    return (p + z * z / (2 * of) - z * math.sqrt(p * (1 - p) / of + z * z / (4 * of * of))) / (1 + z * z / of)
 
-    linked = nodes.join(counts.filter("links > 0").select(F.col("query").alias("rep")), "rep", "left_semi")
-    both = pa.concat_tables([drawn(nodes), drawn(linked)])
-    if not both.num_rows:
-        return 1.0
-    ids, first = np.unique(both.column("rep").to_numpy(), return_index=True)
-    q = _units(_matrix(both.column("vec")))[first]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        true = np.zeros(len(ids), np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                hit = (q @ _units(_matrix(batch.column("vec"))).T >= least) & (ids[:, None] != batch.column("rep").to_numpy()[None, :])
-                true += hit.astype(np.int64) @ batch.column("n").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(true)], names=["query", "true"])
-
-    true = nodes.select("rep", "vec", "n").mapInArrow(count, "query long, true long").groupBy("query").agg(F.sum("true").alias("true"))
-    row = true.join(counts, "query", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("f")).first()
-    return 1.0 if not row.t else row.f / row.t
 
+def audit_recall(nodes: DataFrame, counts: DataFrame, *, least: float = 0.9, sample_rows: int = 512, most_rows: int = 8192, links: int = 4000, seed: int = 23) -> tuple[int, int, bool]:
+    """(found, true) links of a uniform draw of nodes, compared with all nodes, and whether that were all nodes.
 
-def near_vectors(vectors: DataFrame, *, least: float = 0.9, overlap: int = 3, target: float = 0.999, worst: float = 0.9, widest: int = 12, **build) -> DataFrame:
+    ``sample_rows`` nodes are drawn whatever the search has found for them, and twice as many again until they have ``links`` true links or
+    are ``most_rows``. Found links are true ones (the search compares the same cosines) and each counts once, so their number says which part was found.
+    """
+    total, rows = nodes.count(), sample_rows
+    while True:
+        share = min(1.0, 1.2 * rows / max(1, total))
+        drawn = nodes.filter(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)).select("rep", "vec").limit(rows).toArrow()
+        if not drawn.num_rows:
+            return 0, 0, not total
+        ids, q = drawn.column("rep").to_numpy(), _units(_matrix(drawn.column("vec")))
+
+        def count(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+            true = np.zeros(len(ids), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    x, names, n = _units(_matrix(batch.column("vec"))), batch.column("rep").to_numpy(), batch.column("n").to_numpy()
+                    for i in range(0, len(ids), 1024):
+                        hit = (q[i : i + 1024] @ x.T >= least) & (ids[i : i + 1024, None] != names[None, :])
+                        true[i : i + 1024] += hit.astype(np.int64) @ n
+            some = np.flatnonzero(true)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(true[some])], names=["query", "true"])
+
+        true = nodes.select("rep", "vec", "n").mapInArrow(count, "query long, true long").groupBy("query").agg(F.sum("true").alias("true"))
+        row = true.join(counts, "query", "left").agg(F.sum("true").alias("t"), F.sum(F.coalesce("links", F.lit(0))).alias("f")).first()
+        if (row.t or 0) >= links or rows >= most_rows or share >= 1.0:
+            return row.f or 0, row.t or 0, len(ids) == total
+        rows *= 2
+
+
+def near_vectors(vectors: DataFrame, *, least: float = 0.9, overlap: int = 3, target: float = 0.999, sure: float = 0.99, worst: float = 0.9, widest: int = 12, **build) -> DataFrame:
     """(vec_id, n_links, component_id, kept, recall) of every row of ``vectors``.
 
     Vectors that are null, zero or hold null or non-finite components, and rows with a null vec_id,
@@ -297,21 +334,25 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.9, overlap: int = 3, ta
     which have no cosine with them. Rows of equal vectors
     link with each other and count each. Labels and other columns are ignored, whatever their names;
     rows that share a vec_id are vectors of their own, each with the component of its vector. An empty
-    table gives an empty result. ``recall`` is what the audit found, the same in all rows; RuntimeError
-    if it is below ``worst`` after a search of ``widest`` shards. ``build`` goes to ``link_counts``.
+    table gives an empty result. ``recall`` is what the audit found, the same in all rows. The search is widened, up to ``widest``
+    shards, while that is below ``target`` or its lower bound (95 % on each side) below ``sure``, unless all nodes were drawn; RuntimeError
+    if it is below ``worst`` then. ``build`` goes to ``build_index``.
     """
     vectors = one_length(vectors)
     ids = written(digested(vectors).select("vec_id", "digest"), "ids")
     nodes = vector_classes(vectors)
-    while True:
-        counts, edges = link_counts(nodes, least=least, overlap=overlap, **build)
+    index, visit, recall = build_index(nodes, least=least, overlap=overlap, widest=widest, **build), overlap, 1.0
+    counts, edges = link_counts(nodes.limit(0))
+    while index is not None:
+        counts, edges = search_links(index, visit)
         counts = written(counts, "counts")
-        recall = audit_recall(nodes, counts, least=least)
-        if recall >= target or overlap >= widest:
+        hits, of, whole = audit_recall(nodes, counts, least=least)
+        recall = 1.0 if not of else hits / of
+        if visit >= widest or (recall >= target and (whole or lower_bound(hits, of) >= sure)):
             break
-        overlap *= 2
+        visit = min(2 * visit, widest)
     if recall < worst:
-        raise RuntimeError(f"the search found {recall:.3f} of the links of a sample, even in {overlap} shards")
+        raise RuntimeError(f"the search found {recall:.3f} of the links of a sample, even in {visit} shards")
     found = components(edges)
     per = nodes.join(counts, F.col("rep") == F.col("query"), "left").join(found, F.col("rep") == F.col("node"), "left")
     per = per.select("digest", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
