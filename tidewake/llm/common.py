@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,7 +52,35 @@ def written(df: DataFrame, name: str, batch_rows: int = 256) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.step_path = path
+    return out
+
+
+def forget(*steps: DataFrame) -> None:
+    """Deletes the files of ``steps``, which ``written`` returned and nothing reads any more; others are left alone."""
+    for df in steps:
+        path = getattr(df, "step_path", None)
+        if path:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+@contextmanager
+def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """``df`` in a table in the shared folder, bucketed by ``key``: joins and groups by it don't shuffle it. Dropped at the end."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"tidewake_{uuid.uuid4().hex}", fresh_path(spark, "buckets")
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.step_path = path
+    try:
+        yield out
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        forget(out)
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

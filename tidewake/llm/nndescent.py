@@ -7,7 +7,7 @@
    neighbour of either is offered to that one. The best ``degree`` stay. Rounds end when few
    neighbours change.
 3. A query starts at its own node and expands the best unexpanded nodes of its list of ``width`` until
-   all of them are expanded. Candidates are scored in blocks of nodes.
+   all of them are expanded. Candidates are scored where their vectors are stored, place by place.
 
 Every round is a set of joins, written to the shared folder.
 """
@@ -18,20 +18,22 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import written
+from tidewake.llm.common import bucketed, forget, written
 from tidewake.llm.vectors import digested, one_length, vector_classes
 
 EDGES = "node long, nbr long, score double"
 
 
-def _matrix(column) -> np.ndarray:
-    return np.array(column.to_list() if isinstance(column, pd.Series) else column.to_pylist(), np.float64)
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of a column of arrays of one length."""
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = np.concatenate([c.flatten().to_numpy() for c in values.chunks]) if isinstance(values, pa.ChunkedArray) else values.flatten().to_numpy()
+    return flat.reshape(len(values), -1) if len(values) else np.empty((0, 0))
 
 
 def _top_edges(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,76 +82,145 @@ def _sampled(edges: DataFrame, by: str, other: str, sample: int, turn: int) -> D
     return edges.withColumn("_rank", rank).filter(F.col("_rank") <= sample).select(F.col(by).alias("at"), F.col(other).alias("of"), "new")
 
 
+def _placed(nodes: DataFrame, n: int, sizes: dict[str, int], seed: int) -> DataFrame:
+    """(node, vec) and for each name of ``sizes`` the number of a place of at most about so many nodes, near vectors together.
+
+    A place is a code of random projections; where too many nodes share one, they are dealt out by hash.
+    """
+    most = {c: max(0, int(math.log2(max(1, n / size * 2)))) for c, size in sizes.items()}
+    bits = max(1, *most.values())
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("vec"))
+            planes = np.random.default_rng(seed).normal(size=(x.shape[1], bits))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("vec"), pa.array((x @ planes > 0) @ (1 << np.arange(bits)))], names=["node", "vec", "code"])
+
+    out = written(nodes.select("rep", "vec").mapInArrow(code, "node long, vec array<double>, code long"), "coded")
+    for c, size in sizes.items():
+        out = out.withColumn("_key", F.col("code").bitwiseAND((1 << most[c]) - 1))
+        pieces = out.groupBy("_key").agg(F.ceil(F.count("*") / size).alias("_pieces"))
+        dealt = F.col("_key") * (1 << 24) + F.pmod(F.xxhash64("node", "_key"), F.col("_pieces"))
+        out = out.join(pieces, "_key").withColumn(c, dealt).drop("_key", "_pieces")
+    return written(out.drop("code"), "places")
+
+
+def _squares(lists: pa.Table, vectors: pa.Table, degree: int, at_once: int = 256) -> pa.Table:
+    """For every node of ``lists`` (at, of, new) the pairs of its list that are new and nearer than the worst neighbour of their first.
+
+    ``vectors`` has (listed, vec, worst) of all that is listed. Of each first at most ``degree`` pairs come back, the nearest.
+    """
+    empty = pa.table({"node": pa.array([], pa.int64()), "nbr": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    if not lists.num_rows or not vectors.num_rows:
+        return empty
+    ids, worst = vectors.column("listed").to_numpy(), vectors.column("worst").to_numpy()
+    order = np.argsort(ids)
+    ids, worst, x = ids[order], worst[order], _matrix(vectors.column("vec"))[order]
+    at, new = lists.column("at").to_numpy(), lists.column("new").to_numpy()
+    by = np.argsort(at, kind="stable")
+    at, of, new = at[by], np.searchsorted(ids, lists.column("of").to_numpy()[by]), new[by]
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    ends = np.r_[starts[1:], len(at)]
+    made = []
+    for lo in range(0, len(starts), at_once):
+        s, e = starts[lo : lo + at_once], ends[lo : lo + at_once]
+        slots = s[:, None] + np.arange((e - s).max())
+        there = slots < e[:, None]
+        slots = np.where(there, slots, 0)
+        who, fresh = of[slots], new[slots]
+        g = x[who]
+        scores = g @ g.transpose(0, 2, 1)
+        good = there[:, :, None] & there[:, None, :] & (fresh[:, :, None] | fresh[:, None, :]) & (who[:, :, None] != who[:, None, :]) & (scores > worst[who][:, :, None])
+        k, i, j = np.nonzero(good)
+        pair, first = np.unique(who[k, i] * len(ids) + who[k, j], return_index=True)
+        made.append((pair, scores[k, i, j][first]))
+    pair, score = (np.concatenate(c) for c in zip(*made))
+    pair, first = np.unique(pair, return_index=True)
+    node, nbr, score = pair // len(ids), pair % len(ids), score[first]
+    best = np.lexsort((nbr, -score, node))
+    node, nbr, score = node[best], nbr[best], score[best]
+    rank = np.arange(len(node)) - np.searchsorted(node, node)
+    kept = rank < degree
+    return pa.table({"node": ids[node[kept]], "nbr": ids[nbr[kept]], "score": score[kept]})
+
+
 def neighbour_graph(nodes: DataFrame, *, degree: int = 32, sample: int = 14, trees: int = 6, block: int = 512, rounds: int = 6, stop: float = 0.02, seed: int = 7) -> DataFrame:
-    """(node, nbr, score): about the ``degree`` nearest nodes of each node of ``nodes`` (rep, vec)."""
+    """(node, nbr, score): about the ``degree`` nearest nodes of each node of ``nodes`` (rep, vec).
+
+    The lists of nodes that lie near each other are compared in one task, as they share most of what
+    they list: a vector moves once to each such place in a round, not once for each list it is in.
+    """
     n = nodes.count()
     graph = written(_first_graph(nodes, n, degree, trees, block, seed), "graph")
+    placed = _placed(nodes, n, {"cell": block}, seed + 1)
+    cells = placed.select(F.col("node").alias("at"), "cell")
 
-    def compare(table: pa.Table) -> pa.Table:
-        ids, worst, new = (table.column(c).to_numpy() for c in ("of", "worst", "new"))
-        x = _matrix(table.column("vec"))
-        scores = x @ x.T
-        good = (new[:, None] | new[None, :]) & (ids[:, None] != ids[None, :]) & (scores > worst[:, None])
-        a, b = np.nonzero(good)
-        return pa.table({"node": ids[a], "nbr": ids[b], "score": scores[a, b]})
+    def compare(lists: pa.Table, vectors: pa.Table) -> pa.Table:
+        return _squares(lists, vectors, degree)
 
     for turn in range(rounds):
         forward = _sampled(graph, "node", "nbr", sample, turn)
         backward = _sampled(graph, "nbr", "node", sample, turn)
         around = forward.union(backward).groupBy("at", "of").agg(F.max("new").alias("new"))
-        worst = graph.groupBy("node").agg(F.count("*").alias("m"), F.min("score").alias("w")).select(F.col("node").alias("of"), F.when(F.col("m") < degree, F.lit(-math.inf)).otherwise(F.col("w")).alias("worst"))
-        held = nodes.select(F.col("rep").alias("of"), "vec").join(worst, "of", "left").fillna(-math.inf, ["worst"])
         busy = around.groupBy("at").agg(F.max("new").alias("any")).filter("any").select("at")
-        offers = around.join(busy, "at", "left_semi").join(held, "of").groupBy("at").applyInArrow(compare, EDGES).distinct()
+        lists = written(around.join(busy, "at", "left_semi").join(cells, "at"), "lists")
+        worst = graph.groupBy("node").agg(F.count("*").alias("m"), F.min("score").alias("w")).select(F.col("node").alias("of"), F.when(F.col("m") < degree, F.lit(-math.inf)).otherwise(F.col("w")).alias("worst"))
+        held = placed.select(F.col("node").alias("of"), "vec").join(worst, "of", "left").fillna(-math.inf, ["worst"])
+        wanted = lists.select(F.col("cell").alias("place"), "of").distinct().join(held, "of").select("place", F.col("of").alias("listed"), "vec", "worst")
+        offers = lists.groupBy("cell").cogroup(wanted.groupBy("place")).applyInArrow(compare, EDGES)
         old = graph.join(forward.filter("new").select(F.col("at").alias("node"), F.col("of").alias("nbr"), F.lit(True).alias("used")), ["node", "nbr"], "left")
         old = old.select("node", "nbr", "score", (F.col("new") & F.col("used").isNull()).alias("new"), F.lit(0).alias("add"))
         merged = old.unionByName(offers.withColumns({"new": F.lit(True), "add": F.lit(1)})).groupBy("node", "nbr").agg(F.max("score").alias("score"), F.min("new").alias("new"), F.min("add").alias("add"))
-        graph = written(_best(merged, degree), "graph")
+        before, graph = graph, written(_best(merged, degree), "graph")
+        forget(before, lists)
         if graph.filter("add = 1").count() <= stop * degree * n:
             break
         graph = graph.drop("add")
     return graph.select("node", "nbr", "score")
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, width: int = 400, expand: int = 100, block: int = 4096) -> DataFrame:
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, width: int = 400, expand: int = 100, block: int = 4096, seed: int = 7) -> DataFrame:
     """(query, node, score): the best ``width`` nodes that greedy search finds for each of ``queries`` (rep), itself left out.
 
-    Lists only get better and a node is expanded once, so the search ends.
+    Lists only get better and a node is expanded once, so the search ends. Vectors and lists of
+    neighbours are dealt out once, into bucketed tables; a hop moves the queries to places where
+    unseen candidates lie, which are few, as near vectors share a place.
     """
-    blocks = max(1, math.ceil(nodes.count() / block))
-    place = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
-    stored = nodes.select(F.col("rep").alias("node"), "vec").withColumn("block", place)
+    spark = nodes.sparkSession
+    placed = _placed(nodes, nodes.count(), {"area": block}, seed + 2)
     asked = queries.select(F.col("rep").alias("query"), F.col("vec").alias("query_vec"))
-    adjacency = graph.select("node", "nbr")
+    links = graph.join(placed.select(F.col("node").alias("nbr"), "area"), "nbr").groupBy("node", "area").agg(F.collect_list("nbr").alias("nbrs"))
     state = written(_ranked(queries.select(F.col("rep").alias("query")).join(graph, F.col("query") == F.col("node")).select("query", F.col("nbr").alias("node"), "score", F.lit(False).alias("expanded")), width), "search")
 
-    def score(rows: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(vectors):
-            return pd.DataFrame({"query": [], "node": [], "score": []}).astype({"query": "int64", "node": "int64"})
-        vectors = vectors.sort_values("node")
-        ids, x = vectors["node"].to_numpy(), _matrix(vectors["vec"])
-        out = []
-        for query, vec, least, nodes_ in zip(rows["query"], rows["query_vec"], rows["least"], rows["nodes"]):
-            picked = np.searchsorted(ids, np.asarray(nodes_))
-            got = x[picked] @ np.asarray(vec)
-            good = got > least
-            out.append((np.full(int(good.sum()), query), ids[picked][good], got[good]))
+    def score(rows: pa.Table, vectors: pa.Table) -> pa.Table:
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if rows.num_rows and vectors.num_rows:
+            ids = vectors.column("node").to_numpy()
+            order = np.argsort(ids)
+            ids, x, q = ids[order], _matrix(vectors.column("vec")), _matrix(rows.column("query_vec"))
+            for query, vec, least, near in zip(rows.column("query").to_pylist(), q, rows.column("least").to_pylist(), rows.column("nodes")):
+                picked = order[np.searchsorted(ids, near.values.to_numpy())]
+                got = x[picked] @ vec
+                good = got > least
+                out.append((np.full(int(good.sum()), query), near.values.to_numpy()[good], got[good]))
         query, node, value = (np.concatenate(c) for c in zip(*out))
-        return pd.DataFrame({"query": query, "node": node, "score": value})
-
-    while True:
-        order = W.partitionBy("query").orderBy(F.desc("score"), "node")
-        open_ = state.filter(~F.col("expanded")).withColumn("_turn", F.row_number().over(order)).filter(F.col("_turn") <= expand).select("query", "node")
-        open_ = written(open_, "open")
-        if open_.isEmpty():
-            return state.select("query", "node", "score")
-        least = state.groupBy("query").agg(F.count("*").alias("m"), F.min("score").alias("w")).select("query", F.when(F.col("m") < width, F.lit(-math.inf)).otherwise(F.col("w")).alias("least"))
-        near = open_.join(adjacency, "node").select("query", F.col("nbr").alias("node")).filter("node <> query").distinct().withColumn("block", place)
-        wanted = near.groupBy("query", "block").agg(F.collect_list("node").alias("nodes")).join(asked.join(least, "query"), "query")
-        found = wanted.groupBy("block").cogroup(stored.groupBy("block")).applyInPandas(score, "query long, node long, score double")
-        kept = state.join(open_.withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "score", (F.col("expanded") | F.col("now").isNotNull()).alias("expanded"))
-        both = kept.unionByName(found.withColumn("expanded", F.lit(False))).groupBy("query", "node").agg(F.max("score").alias("score"), F.max("expanded").alias("expanded"))
-        state = written(_ranked(both, width), "search")
+        return pa.table({"query": query, "node": node, "score": value})
+
+    with bucketed(placed.select("area", "node", "vec"), "area") as stored, bucketed(links, "node") as adjacency:
+        while True:
+            order = W.partitionBy("query").orderBy(F.desc("score"), "node")
+            open_ = state.filter(~F.col("expanded")).withColumn("_turn", F.row_number().over(order)).filter(F.col("_turn") <= expand).select("query", "node")
+            open_ = written(open_, "open")
+            if open_.isEmpty():
+                return state.select("query", "node", "score")
+            known = state.groupBy("query").agg(F.count("*").alias("m"), F.min("score").alias("w"), F.collect_list("node").alias("known"))
+            known = known.select("query", F.when(F.col("m") < width, F.lit(-math.inf)).otherwise(F.col("w")).alias("least"), F.concat("known", F.array("query")).alias("known"))
+            near = open_.join(adjacency, "node").select("query", "area", "nbrs").repartition("query").groupBy("query", "area").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nodes"))
+            unseen = near.join(asked.join(known, "query"), "query").withColumn("nodes", F.array_except("nodes", "known")).filter(F.size("nodes") > 0)
+            found = unseen.select("area", "query", "query_vec", "least", "nodes").groupBy("area").cogroup(stored.groupBy("area")).applyInArrow(score, "query long, node long, score double")
+            kept = state.join(open_.withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "score", (F.col("expanded") | F.col("now").isNotNull()).alias("expanded"))
+            before, state = state, written(_ranked(kept.unionByName(found.withColumn("expanded", F.lit(False))), width), "search")
+            forget(before, open_)
 
 
 def _ranked(rows: DataFrame, width: int) -> DataFrame:
