@@ -220,3 +220,18 @@ def test_preflight_and_snapshot(spark):
     table = spark.createDataFrame([(1, 0.0, 0, 1.0, None), (1, 1.0, 1, 2.0, float("nan")), (2, 0.0, 0, None, None)], "run_id long, t_s double, _row long, v double, d double")
     got = {r.run_id: (r.state, r.available_fields, r.summary) for r in ops.motion_snapshot(table, {"velocity": ["v"], "depth": ["d"]}).collect()}
     assert got == {1: ("available", "velocity", "velocity=2.000"), 2: ("unavailable", "", "")}
+
+
+def test_bundle_summary(spark):
+    runs = spark.createDataFrame([(1, "failed", "preflight_failed"), (2, "stopped", None), (3, None, None), (4, "running", None), (5, "failed", "preflight_failed")], "bundle long, supervisor_state string, last_fault_event string")
+    every = [(1, key, False, True) for key in ops.MERGE_INPUTS.values()]
+    rows = [*every, (1, "supervisor.run_manifest", True, True), (2, "supervisor.run_manifest", True, None), (2, "nav.nav_state", None, True), (2, "nav.nav_state", False, False), (2, "child_logs.b", False, False), (2, "child_logs.a", False, False)]
+    artifacts = spark.createDataFrame(rows, "bundle long, key string, required boolean, copied boolean")
+    processes = spark.createDataFrame([(1, "p", "not_started"), (1, "q", "not_started"), (2, "p", "failed"), (2, "q", None), (5, "p", "not_started"), (5, "q", None)], "bundle long, process string, state string")
+    got = {r.bundle: r for r in ops.bundle_summary(runs, artifacts, processes).collect()}
+    assert [got[i].run_stage for i in range(1, 6)] == ["preflight_failed_before_spawn", "child_process_stopped_after_start", "run_created_without_child_start", "child_process_running", "run_created_without_child_start"]
+    assert (got[1].bundle_status, got[1].merge_ready, got[1].merge_missing, got[1].required_ok) == ("complete", True, "", True)
+    assert (got[2].bundle_status, got[2].required_ok, got[2].missing_required, got[2].missing_optional) == ("incomplete", False, "supervisor.run_manifest", "child_logs.a,child_logs.b")
+    assert got[2].merge_missing == "nav_timing,control_log,telemetry_timeline,telemetry_events" and got[2].hints[1].startswith("required")
+    assert got[3].bundle_status == "complete" and not got[3].merge_ready and got[3].hints[0] == ops.STAGE_HINTS["run_created_without_child_start"]
+    assert ops.bundle_summary(runs.limit(0), artifacts, processes).count() == 0

@@ -95,6 +95,49 @@ def completeness(artifacts: DataFrame, required: Sequence[str], optional: Sequen
     return rows.select("bundle", F.array_join("missing_required", ",").alias("missing_required"), F.array_join("missing_optional", ",").alias("missing_optional"), status.alias("status"))
 
 
+#: What the merging of a run's logs into one timeline reads, and the artifact that each input is. Fixed values.
+MERGE_INPUTS = {"nav_timing": "nav.nav_timing", "nav_state": "nav.nav_state", "control_log": "control.control_loop", "telemetry_timeline": "telemetry.telemetry_timeline", "telemetry_events": "telemetry.telemetry_events"}
+#: How far a run got, and where to look first.
+STAGE_HINTS = {
+    "preflight_failed_before_spawn": "preflight failed: mend what blocks it; empty child logs are expected",
+    "child_process_running": "a process is live: read child logs and events together",
+    "child_process_stopped_after_start": "processes ran and have stopped: review child logs and events",
+    "run_created_without_child_start": "no process was started: read the fault summary and supervisor events",
+}
+
+
+def bundle_summary(runs: DataFrame, artifacts: DataFrame, processes: DataFrame) -> DataFrame:
+    """The summary of each run's incident bundle: its stage, what its artifacts lack, and whether its logs can be merged.
+
+    ``runs`` has (bundle, supervisor_state, last_fault_event), ``artifacts`` (bundle, key, required, copied) and
+    ``processes`` (bundle, process, state). Returns bundle, run_stage, bundle_status (complete or incomplete),
+    required_ok, missing_required and missing_optional (keys in order, joined by commas), merge_ready,
+    merge_missing (names of inputs) and hints (array of text). A key that any row reports as copied isn't missing;
+    null flags are false, null states and faults empty. A run without rows of artifacts lacks none but can't be
+    merged; without processes, or with none that left ``not_started``, its stage is that of a run without a start.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    keys = artifacts.groupBy("bundle", "key").agg(F.bool_or(yes("required")).alias("required"), F.bool_or(yes("copied")).alias("copied"))
+    named = lambda when: F.array_sort(F.collect_list(F.when(when, F.col("key"))))
+    held = keys.groupBy("bundle").agg(named(F.col("required") & ~F.col("copied")).alias("_required"), named(~F.col("required") & ~F.col("copied")).alias("_optional"), named(F.col("copied")).alias("_copied"))
+    state = F.coalesce("state", F.lit(""))
+    began = processes.groupBy("bundle").agg(F.bool_and(state == "not_started").alias("_idle"), F.bool_or(~state.isin("", "not_started")).alias("_started"), F.bool_or(state.isin("starting", "running", "stopping")).alias("_live"))
+    rows = runs.join(held, "bundle", "left").join(began, "bundle", "left")
+    live = yes("_live") | F.coalesce(F.col("supervisor_state").isin("starting", "running", "stopping"), F.lit(False))
+    early = yes("_idle") & F.coalesce(F.col("last_fault_event") == "preflight_failed", F.lit(False))
+    stage = first_reason([("preflight_failed_before_spawn", early), ("child_process_running", live), ("child_process_stopped_after_start", yes("_started"))], "run_created_without_child_start")
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    lacks = F.array_compact(F.array(*(F.when(~F.array_contains(listed("_copied"), key), F.lit(name)) for name, key in MERGE_INPUTS.items())))
+    told = F.create_map(*(F.lit(x) for pair in STAGE_HINTS.items() for x in pair))
+    rows = rows.withColumns({"run_stage": stage, "_required": listed("_required"), "_optional": listed("_optional"), "_lacks": lacks})
+    whole = first_reason([("required artifacts are missing: the bundle is too small for a review", F.size("_required") > 0), ("optional artifacts are missing: the export itself is sound", F.size("_optional") > 0)], "all artifacts are there")
+    return rows.select(
+        "bundle", "run_stage", F.when(F.size("_required") + F.size("_optional") > 0, "incomplete").otherwise("complete").alias("bundle_status"), (F.size("_required") == 0).alias("required_ok"),
+        F.array_join("_required", ",").alias("missing_required"), F.array_join("_optional", ",").alias("missing_optional"),
+        (F.size("_lacks") == 0).alias("merge_ready"), F.array_join("_lacks", ",").alias("merge_missing"), F.array(F.element_at(told, F.col("run_stage")), whole).alias("hints"),
+    )
+
+
 def newest_after(files: DataFrame, starts: DataFrame, slack_s: float = 5.0) -> DataFrame:
     """Per run the newest file that isn't older than its start, less some slack: (run_id, path)."""
     rows = files.join(starts, "run_id").filter(F.col("mtime") >= F.col("start") - slack_s)

@@ -189,6 +189,35 @@ def o08(spark, sf):
 _NEED = {"full_stack": "required", "nav_power": "required", "nav": "required", "imu_only": "partial", "power_only": "none", "no_sensor": "none"}
 
 
+#: Artifacts of a bundle, the required ones first, and by which k a run has them.
+_ARTIFACTS = ["supervisor.run_manifest", "supervisor.process_status", *ops.MERGE_INPUTS.values()]
+_FIELD = "unnest([" + ", ".join(f"{{'i': {i}, 'key': '{key}'}}" for i, key in enumerate(_ARTIFACTS)) + "])"
+_SUPERVISED = ["", "not_started", "running", "stopped", "failed"]
+
+
+@register("o06_bundle_summary", SQL + f""", f AS (SELECT run_id, k, event_type, t_s, _row FROM s), r AS (SELECT run_id AS bundle, list(DISTINCT k) AS ks, max_by(k, struct_pack(t := t_s, r := _row)) AS k FROM f GROUP BY run_id),
+  a AS (SELECT bundle, u.i AS i, u.key AS key, len(list_filter(ks, lambda x: x % 14 = u.i OR x % 7 = u.i AND x > 60)) > 0 AS copied FROM (SELECT bundle, ks, {_FIELD} AS u FROM r)),
+  h AS (SELECT bundle, coalesce(string_agg(key, ',' ORDER BY key) FILTER (WHERE NOT copied AND i < 2), '') AS missing_required, coalesce(string_agg(key, ',' ORDER BY key) FILTER (WHERE NOT copied AND i >= 2), '') AS missing_optional,
+          coalesce(string_agg(CASE key {" ".join(f"WHEN '{v}' THEN '{n}'" for n, v in ops.MERGE_INPUTS.items())} END, ',' ORDER BY i) FILTER (WHERE NOT copied AND i >= 2), '') AS merge_missing FROM a GROUP BY bundle),
+  p AS (SELECT run_id AS bundle, event_type, CASE WHEN max(run_id) % 3 = 0 THEN 'not_started' ELSE [{", ".join(f"'{x}'" for x in _SUPERVISED)}][CAST(max_by(k, struct_pack(t := t_s, r := _row)) % 5 AS BIGINT) + 1] END AS state FROM f GROUP BY run_id, event_type),
+  b AS (SELECT bundle, bool_and(state = 'not_started') AS idle, bool_or(state NOT IN ('', 'not_started')) AS started, bool_or(state = 'running') AS live FROM p GROUP BY bundle)
+  SELECT bundle, CASE WHEN idle AND k % 2 = 0 THEN 'preflight_failed_before_spawn' WHEN live OR k % 5 = 2 THEN 'child_process_running' WHEN started THEN 'child_process_stopped_after_start' ELSE 'run_created_without_child_start' END AS run_stage,
+    CASE WHEN missing_required || missing_optional = '' THEN 'complete' ELSE 'incomplete' END AS bundle_status, missing_required = '' AS required_ok, missing_required, missing_optional, merge_missing = '' AS merge_ready, merge_missing
+  FROM r JOIN h USING (bundle) JOIN b USING (bundle)""")
+def o06_bundle(spark, sf):
+    """Every run as a bundle: artifacts by the k that its rows have, a process for each type of event, the supervisor by the last row."""
+    rows = samples(spark, sf).withColumn("bundle", F.col("run_id"))
+    last = F.max_by("k", F.struct("t_s", "_row"))
+    states = F.array(*map(F.lit, _SUPERVISED))
+    pick = F.element_at(states, (F.col("k") % 5 + 1).cast("int"))
+    runs = rows.groupBy("bundle").agg(last.alias("k")).select("bundle", pick.alias("supervisor_state"), F.when(F.col("k") % 2 == 0, "preflight_failed").alias("last_fault_event"))
+    has = lambda i: F.bool_or((F.col("k") % 14 == i) | ((F.col("k") % 7 == i) & (F.col("k") > 60)))
+    found = [F.struct(F.lit(key).alias("key"), F.lit(i < 2).alias("required"), has(i).alias("copied")) for i, key in enumerate(_ARTIFACTS)]
+    artifacts = rows.groupBy("bundle").agg(F.array(*found).alias("a")).select("bundle", F.inline("a"))
+    processes = rows.groupBy("bundle", F.col("event_type").alias("process")).agg(last.alias("k")).select("bundle", "process", F.when(F.col("bundle") % 3 == 0, "not_started").otherwise(pick).alias("state"))
+    return ops.bundle_summary(runs, artifacts, processes).drop("hints")
+
+
 @register("o09_preflight_rows", SQL + f""", g AS (SELECT run_id, CAST(count(*) FILTER (WHERE src = 'IMU') AS VARCHAR) AS i, CAST(count(*) FILTER (WHERE src = 'BE') AS VARCHAR) AS d, max_by(k, struct_pack(t := t_s, r := _row)) AS k FROM s GROUP BY run_id),
   p AS (SELECT *, CASE WHEN run_id % 3 = 0 THEN 'control_only' ELSE 'bench' END AS runtime, CASE k % 6 {" ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_NEED))} END AS sel FROM g),
   q AS (SELECT *, CASE WHEN sel IN ('full_stack', 'nav_power', 'nav') THEN 'bench_safe_smoke' WHEN sel = 'imu_only' THEN 'sensor_tools' ELSE 'preflight_only' END AS mode, CASE sel {" ".join(f"WHEN '{n}' THEN '{v}'" for n, v in _NEED.items())} END AS need, runtime = 'control_only' AS c FROM p)
