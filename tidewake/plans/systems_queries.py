@@ -196,7 +196,7 @@ _SUPERVISED = ["", "not_started", "running", "stopped", "failed"]
 
 
 @register("o06_bundle_summary", SQL + f""", f AS (SELECT run_id, k, event_type, t_s, _row FROM s), r AS (SELECT run_id AS bundle, list(DISTINCT k) AS ks, max_by(k, struct_pack(t := t_s, r := _row)) AS k FROM f GROUP BY run_id),
-  a AS (SELECT bundle, u.i AS i, u.key AS key, len(list_filter(ks, lambda x: x % 14 = u.i OR x % 7 = u.i AND x > 60)) > 0 AS copied FROM (SELECT bundle, ks, {_FIELD} AS u FROM r)),
+  a AS (SELECT bundle, u.i AS i, u.key AS key, len(list_filter(ks, lambda x: x = 13 * u.i)) > 0 AS copied FROM (SELECT bundle, ks, {_FIELD} AS u FROM r)),
   h AS (SELECT bundle, coalesce(string_agg(key, ',' ORDER BY key) FILTER (WHERE NOT copied AND i < 2), '') AS missing_required, coalesce(string_agg(key, ',' ORDER BY key) FILTER (WHERE NOT copied AND i >= 2), '') AS missing_optional,
           coalesce(string_agg(CASE key {" ".join(f"WHEN '{v}' THEN '{n}'" for n, v in ops.MERGE_INPUTS.items())} END, ',' ORDER BY i) FILTER (WHERE NOT copied AND i >= 2), '') AS merge_missing FROM a GROUP BY bundle),
   p AS (SELECT run_id AS bundle, event_type, CASE WHEN max(run_id) % 3 = 0 THEN 'not_started' ELSE [{", ".join(f"'{x}'" for x in _SUPERVISED)}][CAST(max_by(k, struct_pack(t := t_s, r := _row)) % 5 AS BIGINT) + 1] END AS state FROM f GROUP BY run_id, event_type),
@@ -211,7 +211,7 @@ def o06_bundle(spark, sf):
     states = F.array(*map(F.lit, _SUPERVISED))
     pick = F.element_at(states, (F.col("k") % 5 + 1).cast("int"))
     runs = rows.groupBy("bundle").agg(last.alias("k")).select("bundle", pick.alias("supervisor_state"), F.when(F.col("k") % 2 == 0, "preflight_failed").alias("last_fault_event"))
-    has = lambda i: F.bool_or((F.col("k") % 14 == i) | ((F.col("k") % 7 == i) & (F.col("k") > 60)))
+    has = lambda i: F.bool_or(F.col("k") == 13 * i)
     found = [F.struct(F.lit(key).alias("key"), F.lit(i < 2).alias("required"), has(i).alias("copied")) for i, key in enumerate(_ARTIFACTS)]
     artifacts = rows.groupBy("bundle").agg(F.array(*found).alias("a")).select("bundle", F.inline("a"))
     processes = rows.groupBy("bundle", F.col("event_type").alias("process")).agg(last.alias("k")).select("bundle", "process", F.when(F.col("bundle") % 3 == 0, "not_started").otherwise(pick).alias("state"))
