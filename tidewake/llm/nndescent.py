@@ -9,7 +9,8 @@
 3. A query starts at its own node and expands the best unexpanded nodes of its list of ``width`` until
    all of them are expanded. Candidates are scored where their vectors are stored, place by place.
 
-Every round is a set of joins, written to the shared folder.
+Every round is a set of joins, written to the shared folder. A node's neighbours and a query's list are
+arrays of bounded length in one row, nearest first, so that what concerns one list alone moves nothing.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -68,7 +69,8 @@ def _first_graph(nodes: DataFrame, n: int, degree: int, trees: int, block: int,
     coded = written(nodes.select("rep", "vec").mapInArrow(code, "rep long, vec array<double>, key long"), "codes")
     sizes = coded.groupBy("key").count().withColumn("pieces", F.ceil(F.col("count") / block))
     dealt = coded.join(sizes.select("key", "pieces"), "key").withColumn("piece", F.pmod(F.xxhash64("rep", "key"), F.col("pieces")))
-    return _best(dealt.groupBy("key", "piece").applyInArrow(link, EDGES).distinct(), degree).withColumn("new", F.lit(True))
+    linked = dealt.groupBy("key", "piece").applyInArrow(link, EDGES).groupBy("node", "nbr").agg(F.max("score").alias("score"))
+    return _best(linked, degree)
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
@@ -76,10 +78,23 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def _sampled(edges: DataFrame, by: str, other: str, sample: int, turn: int) -> DataFrame:
-    """At most ``sample`` new and old partners of each node; the draw differs by round, so all get their turn."""
-    rank = F.row_number().over(W.partitionBy(by, "new").orderBy(F.xxhash64("node", "nbr", F.lit(turn))))
-    return edges.withColumn("_rank", rank).filter(F.col("_rank") <= sample).select(F.col(by).alias("at"), F.col(other).alias("of"), "new")
+def _lists(edges: DataFrame, key: str, other: str, name: str) -> DataFrame:
+    """(key, name): the partners of each key as structs (away, ``other``), nearest first; ``away`` is the score with its sign turned."""
+    return edges.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("away"), F.col(other).alias(other)))).alias(name))
+
+
+def _drawn(new: bool, sample: int, turn: int) -> Column:
+    """At most ``sample`` new or old neighbours of a node; the draw differs by round, so all get their turn."""
+    fit = F.filter("near", lambda x: x["new"] == F.lit(new))
+    dealt = F.sort_array(F.transform(fit, lambda x: F.struct(F.xxhash64("node", x["nbr"], F.lit(turn)).alias("turn"), x["nbr"].alias("nbr"))))
+    return F.transform(F.slice(dealt, 1, sample), lambda x: x["nbr"])
+
+
+def _backward(graph: DataFrame, sample: int, turn: int) -> DataFrame:
+    """(node, back): structs (of, new) of at most ``sample`` new and as many old nodes that have ``node`` as a neighbour."""
+    edges = graph.select(F.col("node").alias("of"), F.explode("near").alias("x")).select(F.col("x.nbr").alias("node"), "of", F.col("x.new").alias("new"))
+    rank = F.row_number().over(W.partitionBy("node", "new").orderBy(F.xxhash64("of", "node", F.lit(turn))))
+    return edges.withColumn("_rank", rank).filter(F.col("_rank") <= sample).groupBy("node").agg(F.collect_list(F.struct("of", "new")).alias("back"))
 
 
 def _placed(nodes: DataFrame, n: int, sizes: dict[str, int], seed: int) -> DataFrame:
@@ -151,46 +166,57 @@ def neighbour_graph(nodes: DataFrame, *, degree: int = 32, sample: int = 14, tre
     they list: a vector moves once to each such place in a round, not once for each list it is in.
     """
     n = nodes.count()
-    graph = written(_first_graph(nodes, n, degree, trees, block, seed), "graph")
     placed = _placed(nodes, n, {"cell": block}, seed + 1)
-    cells = placed.select(F.col("node").alias("at"), "cell")
+    first = _lists(_first_graph(nodes, n, degree, trees, block, seed), "node", "nbr", "first")
+    near = F.coalesce(F.transform("first", lambda x: F.struct(x["away"].alias("away"), x["nbr"].alias("nbr"), F.lit(True).alias("new"))), F.expr("array()").cast("array<struct<away:double,nbr:bigint,new:boolean>>"))
+    graph = written(placed.select("node", "cell").join(first, "node", "left").select("node", "cell", near.alias("near"), F.lit(0).alias("added")), "graph")
 
     def compare(lists: pa.Table, vectors: pa.Table) -> pa.Table:
-        return _squares(lists, vectors, degree)
+        mates = lists.column("mates").combine_chunks()
+        flat = mates.flatten() if isinstance(mates, pa.ListArray) else pa.concat_arrays([c.flatten() for c in mates.chunks])
+        at = np.repeat(lists.column("at").to_numpy(), lists.column("m").to_numpy())
+        return _squares(pa.table({"at": at, "of": flat.field("of"), "new": flat.field("new")}), vectors, degree)
 
     for turn in range(rounds):
-        forward = _sampled(graph, "node", "nbr", sample, turn)
-        backward = _sampled(graph, "nbr", "node", sample, turn)
-        around = forward.union(backward).groupBy("at", "of").agg(F.max("new").alias("new"))
-        busy = around.groupBy("at").agg(F.max("new").alias("any")).filter("any").select("at")
-        lists = written(around.join(busy, "at", "left_semi").join(cells, "at"), "lists")
-        worst = graph.groupBy("node").agg(F.count("*").alias("m"), F.min("score").alias("w")).select(F.col("node").alias("of"), F.when(F.col("m") < degree, F.lit(-math.inf)).otherwise(F.col("w")).alias("worst"))
-        held = placed.select(F.col("node").alias("of"), "vec").join(worst, "of", "left").fillna(-math.inf, ["worst"])
-        wanted = lists.select(F.col("cell").alias("place"), "of").distinct().join(held, "of").select("place", F.col("of").alias("listed"), "vec", "worst")
+        drawn = {new: _drawn(new, sample, turn) for new in (True, False)}
+        forward = F.concat(F.transform(drawn[True], lambda v: F.struct(v.alias("of"), F.lit(True).alias("new"))), F.transform(drawn[False], lambda v: F.struct(v.alias("of"), F.lit(False).alias("new"))))
+        mates = F.array_distinct(F.when(F.col("back").isNull(), forward).otherwise(F.concat(forward, F.col("back"))))
+        lists = graph.join(_backward(graph, sample, turn), "node", "left").select(F.col("node").alias("at"), "cell", mates.alias("mates"))
+        lists = written(lists.filter(F.exists("mates", lambda x: x["new"])).withColumn("m", F.size("mates")), "lists")
+        worst = F.when(F.size("near") < degree, F.lit(-math.inf)).otherwise(-F.element_at("near", -1)["away"])
+        held = placed.select("node", "vec").join(graph.select("node", worst.alias("worst")), "node").withColumnRenamed("node", "listed")
+        wanted = lists.select(F.col("cell").alias("place"), F.explode("mates.of").alias("listed")).distinct().join(held, "listed").select("place", "listed", "vec", "worst")
         offers = lists.groupBy("cell").cogroup(wanted.groupBy("place")).applyInArrow(compare, EDGES)
-        old = graph.join(forward.filter("new").select(F.col("at").alias("node"), F.col("of").alias("nbr"), F.lit(True).alias("used")), ["node", "nbr"], "left")
-        old = old.select("node", "nbr", "score", (F.col("new") & F.col("used").isNull()).alias("new"), F.lit(0).alias("add"))
-        merged = old.unionByName(offers.withColumns({"new": F.lit(True), "add": F.lit(1)})).groupBy("node", "nbr").agg(F.max("score").alias("score"), F.min("new").alias("new"), F.min("add").alias("add"))
-        before, graph = graph, written(_best(merged, degree), "graph")
+        offered = _lists(_best(offers.groupBy("node", "nbr").agg(F.max("score").alias("score")), degree), "node", "nbr", "offered")
+        used = graph.withColumn("used", drawn[True]).withColumn("near", F.transform("near", lambda x: F.struct(x["away"].alias("away"), x["nbr"].alias("nbr"), (x["new"] & ~F.array_contains("used", x["nbr"])).alias("new"))))
+        fresh = F.transform(F.filter("offered", lambda x: ~F.array_contains("near.nbr", x["nbr"])), lambda x: F.struct(x["away"].alias("away"), x["nbr"].alias("nbr"), F.lit(True).alias("new")))
+        merged = used.join(offered, "node", "left").withColumn("fresh", fresh)
+        best = F.when(F.col("offered").isNull(), F.col("near")).otherwise(F.slice(F.sort_array(F.concat("near", "fresh")), 1, degree))
+        merged = merged.select("node", "cell", best.alias("near"), F.coalesce("fresh.nbr", F.array().cast("array<bigint>")).alias("came"))
+        merged = merged.select("node", "cell", "near", F.size(F.array_intersect("near.nbr", "came")).alias("added"))
+        before, graph = graph, written(merged, "graph")
         forget(before, lists)
-        if graph.filter("add = 1").count() <= stop * degree * n:
+        if (graph.agg(F.sum("added")).first()[0] or 0) <= stop * degree * n:
             break
-        graph = graph.drop("add")
-    return graph.select("node", "nbr", "score")
+    return graph.select("node", F.explode("near").alias("x")).select("node", F.col("x.nbr").alias("nbr"), (-F.col("x.away")).alias("score"))
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, width: int = 400, expand: int = 100, block: int = 4096, seed: int = 7) -> DataFrame:
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, start: DataFrame | None = None, width: int = 400, expand: int = 400, block: int = 4096, seed: int = 7) -> DataFrame:
     """(query, node, score): the best ``width`` nodes that greedy search finds for each of ``queries`` (rep), itself left out.
 
     Lists only get better and a node is expanded once, so the search ends. Vectors and lists of
     neighbours are dealt out once, into bucketed tables; a hop moves the queries to places where
-    unseen candidates lie, which are few, as near vectors share a place.
+    unseen candidates lie, which are few, as near vectors share a place. ``start`` is the result of a
+    narrower search to go on from; without it a query begins with the neighbours of its own node.
     """
-    spark = nodes.sparkSession
     placed = _placed(nodes, nodes.count(), {"area": block}, seed + 2)
-    asked = queries.select(F.col("rep").alias("query"), F.col("vec").alias("query_vec"))
     links = graph.join(placed.select(F.col("node").alias("nbr"), "area"), "nbr").groupBy("node", "area").agg(F.collect_list("nbr").alias("nbrs"))
-    state = written(_ranked(queries.select(F.col("rep").alias("query")).join(graph, F.col("query") == F.col("node")).select("query", F.col("nbr").alias("node"), "score", F.lit(False).alias("expanded")), width), "search")
+    begun = start if start is not None else graph.select(F.col("node").alias("query"), F.col("nbr").alias("node"), "score")
+    listed = lambda rows, done: F.transform(rows, lambda x: F.struct(x["away"].alias("away"), x["node"].alias("node"), F.lit(done).alias("done")))
+    best = lambda rows: F.slice(F.sort_array(rows), 1, width)
+    asked = queries.select(F.col("rep").alias("query"), F.col("vec").alias("query_vec"))
+    state = asked.join(_lists(begun, "query", "node", "begun"), "query").select("query", "query_vec", best(listed("begun", False)).alias("list"))
+    state = written(state, "search")
 
     def score(rows: pa.Table, vectors: pa.Table) -> pa.Table:
         out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
@@ -199,28 +225,32 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, width: int
             order = np.argsort(ids)
             ids, x, q = ids[order], _matrix(vectors.column("vec")), _matrix(rows.column("query_vec"))
             for query, vec, least, near in zip(rows.column("query").to_pylist(), q, rows.column("least").to_pylist(), rows.column("nodes")):
-                picked = order[np.searchsorted(ids, near.values.to_numpy())]
-                got = x[picked] @ vec
-                good = got > least
-                out.append((np.full(int(good.sum()), query), near.values.to_numpy()[good], got[good]))
+                names = near.values.to_numpy()
+                got = x[order[np.searchsorted(ids, names)]] @ vec
+                good = np.flatnonzero(got > least)
+                good = good[np.lexsort((names[good], -got[good]))[:width]]
+                out.append((np.full(len(good), query), names[good], got[good]))
         query, node, value = (np.concatenate(c) for c in zip(*out))
         return pa.table({"query": query, "node": node, "score": value})
 
     with bucketed(placed.select("area", "node", "vec"), "area") as stored, bucketed(links, "node") as adjacency:
-        while True:
-            order = W.partitionBy("query").orderBy(F.desc("score"), "node")
-            open_ = state.filter(~F.col("expanded")).withColumn("_turn", F.row_number().over(order)).filter(F.col("_turn") <= expand).select("query", "node")
-            open_ = written(open_, "open")
-            if open_.isEmpty():
-                return state.select("query", "node", "score")
-            known = state.groupBy("query").agg(F.count("*").alias("m"), F.min("score").alias("w"), F.collect_list("node").alias("known"))
-            known = known.select("query", F.when(F.col("m") < width, F.lit(-math.inf)).otherwise(F.col("w")).alias("least"), F.concat("known", F.array("query")).alias("known"))
-            near = open_.join(adjacency, "node").select("query", "area", "nbrs").repartition("query").groupBy("query", "area").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nodes"))
-            unseen = near.join(asked.join(known, "query"), "query").withColumn("nodes", F.array_except("nodes", "known")).filter(F.size("nodes") > 0)
-            found = unseen.select("area", "query", "query_vec", "least", "nodes").groupBy("area").cogroup(stored.groupBy("area")).applyInArrow(score, "query long, node long, score double")
-            kept = state.join(open_.withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "score", (F.col("expanded") | F.col("now").isNotNull()).alias("expanded"))
-            before, state = state, written(_ranked(kept.unionByName(found.withColumn("expanded", F.lit(False))), width), "search")
-            forget(before, open_)
+        while not state.filter(F.exists("list", lambda x: ~x["done"])).isEmpty():
+            # of the open nodes of a list the first are expanded; all before the last of them are done then
+            step = state.withColumn("open", F.slice(F.filter("list", lambda x: ~x["done"]), 1, expand))
+            least = F.when(F.size("list") < width, F.lit(-math.inf)).otherwise(-F.element_at("list", -1)["away"])
+            near = step.select("query", F.explode("open.node").alias("node")).join(adjacency, "node").select("query", "area", "nbrs")
+            near = near.repartition("query").groupBy("query", "area").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nodes"))
+            unseen = near.join(state.select("query", "query_vec", least.alias("least"), F.concat("list.node", F.array("query")).alias("known")), "query")
+            unseen = unseen.withColumn("nodes", F.array_except("nodes", "known")).filter(F.size("nodes") > 0).select("area", "query", "query_vec", "least", "nodes")
+            found = unseen.groupBy("area").cogroup(stored.groupBy("area")).applyInArrow(score, "query long, node long, score double")
+            last = F.when(F.size("open") > 0, F.element_at("open", -1))
+            mark = lambda x: x["done"] | F.coalesce(F.struct(x["away"], x["node"]) <= F.struct(F.col("last.away"), F.col("last.node")), F.lit(False))
+            kept = step.withColumn("last", last).select("query", "query_vec", F.transform("list", lambda x: F.struct(x["away"].alias("away"), x["node"].alias("node"), mark(x).alias("done"))).alias("list"))
+            both = kept.join(_lists(found, "query", "node", "found"), "query", "left")
+            merged = F.when(F.col("found").isNull(), F.col("list")).otherwise(best(F.concat("list", listed("found", False))))
+            before, state = state, written(both.select("query", "query_vec", merged.alias("list")), "search")
+            forget(before)
+    return state.select("query", F.explode("list").alias("x")).select("query", F.col("x.node").alias("node"), (-F.col("x.away")).alias("score"))
 
 
 def _ranked(rows: DataFrame, width: int) -> DataFrame:
@@ -279,9 +309,9 @@ def nearest(vectors: DataFrame, *, k: int = 20, query_divisor: int = 20, degree:
     ids = digested(rows).select(F.col("vec_id").alias("query_id"), "digest").join(classes.select("digest", F.col("rep").alias("query")), "digest").select("query_id", "query")
     ids = written(ids, "queries")
     asked = classes.join(ids.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi")  # nodes that hold a query
-    width = max(width, k)
+    width, found = max(width, k), None
     while True:
-        found = search(nodes, graph, asked.select("rep", "vec"), width=width)
+        found = search(nodes, graph, asked.select("rep", "vec"), start=found, width=width)
         recall = audit_recall(nodes, found, asked, k)
         if recall >= target or width >= widest:
             break
