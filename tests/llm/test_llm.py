@@ -368,6 +368,25 @@ def test_nearest_against_brute_force(spark):
     assert nndescent.nearest(table.limit(0)).count() == 0
 
 
+def test_search_by_parts_of_a_list_and_from_a_narrower_search(spark):
+    """Lists expanded a few nodes at a time and lists that go on from narrower ones find what brute force does."""
+    x = np.random.default_rng(8).normal(size=(200, 12))
+    nodes = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "rep long, vec array<double>")
+    edges = [(i, int(j), float(x[i] @ x[j])) for i in range(200) for j in np.argsort(-(x @ x[i]))[:13].tolist() if i != j]
+    graph = spark.createDataFrame(edges, nndescent.EDGES)
+    queries = nodes.filter("rep % 40 = 0")
+    true = {q: sorted((i for i in range(200) if i != q), key=lambda i: -(x[q] @ x[i]))[:10] for q in range(0, 200, 40)}
+    narrow = nndescent.search(nodes, graph, queries, width=15, expand=4)
+    wide = nndescent.search(nodes, graph, queries, start=narrow, width=60, expand=7)
+    for found, width, least in ((narrow, 15, 0.7), (wide, 60, 0.95)):
+        rows = found.collect()
+        assert all(abs(r.score - x[r.query] @ x[r.node]) < 1e-9 and r.query != r.node for r in rows)
+        assert len({(r.query, r.node) for r in rows}) == len(rows)
+        mine = {q: {r.node for r in rows if r.query == q} for q in true}
+        assert all(len(m) <= width for m in mine.values())
+        assert np.mean([len(mine[q] & set(t)) / 10 for q, t in true.items()]) >= least
+
+
 def test_flat_graph_against_brute_force(spark):
     table, x = vectors_of(spark)
     got = {r.vec_id: r for r in flatgraph.near_vectors(table.withColumn("node", F.lit(1))).collect()}
