@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from tidewake.operators import estimate
 
@@ -216,3 +218,10 @@ def test_planar_run_with_odd_inputs(spark):
     assert {i for i, r in by.items() if r.status == "rejected_nan"} >= {107, 112, 113} and by[107].nis0 is None or math.isnan(by[107].nis0)
     assert all(math.isfinite(r.E) and math.isfinite(r.vE) for r in rows) and abs(rows[-1].vE - 0.5) < 0.05
     assert len(estimate.focus_record(estimate.planar_run(spark.createDataFrame(imu, schema), velocities, velocities)).collect()) == len([r for r in rows if r.kind == "BI"])
+
+
+def test_runs_are_dealt_out_after_a_union(spark):
+    """Both sides are partitioned by run already; they are read in parts of their own once sizes differ, so an exchange has to be over the union."""
+    rows = lambda n: spark.range(n).select((F.col("id") % 50).alias("run_id"), F.col("id").cast("double").alias("t_s")).withColumn("least", F.min("t_s").over(W.partitionBy("run_id")))
+    plan = estimate.sorted_runs(rows(20_000).unionByName(rows(200)), "t_s")._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.find("Exchange") < plan.find("Union")

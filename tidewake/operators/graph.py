@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewake.functions import geometry as geo
 from tidewake.operators.asof import nearest
-from tidewake.operators.estimate import rotations, wrap
+from tidewake.operators.estimate import rotations, sorted_runs, wrap
 from tidewake.operators.timeseries import stride
 
 
@@ -299,4 +299,4 @@ def smooth(nodes: DataFrame, factor_table: DataFrame, *, iterations: int = 10, s
 
     rows = nodes.select("run_id", F.lit("node").alias("kind"), F.col("node").cast("int").alias("node"), "t_s", "yaw", *INPUTS)
     rows = rows.unionByName(factor_table.select("run_id", "kind", F.col("node").cast("int").alias("node"), "t_s", "z0", "z1", "z2"), allowMissingColumns=True)
-    return rows.repartition("run_id").sortWithinPartitions("run_id").mapInPandas(run, GRAPH)
+    return sorted_runs(rows).mapInPandas(run, GRAPH)
