@@ -63,8 +63,9 @@ def pearson(x: Column, y: Column, least: int) -> Column:
     x, y = finite(x), finite(y)
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
-    flat = (F.stddev_pop(x) == 0) | (F.stddev_pop(y) == 0)
-    return F.when((F.count(x) >= least) & ~flat, F.corr(x, y))
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    # corr itself divides by zero, which is an error, whatever a condition around it says: aggregates come first
+    return F.when((F.count(x) >= least) & (sx > 0) & (sy > 0), F.covar_pop(x, y) / sx / sy)
 
 
 def zero_ratio(c: Column) -> Column:
