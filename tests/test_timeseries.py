@@ -1,5 +1,6 @@
 """Windows and alignment against numpy and pandas on small series with ties, gaps and repeated times."""
 
+import datetime
 import math
 
 import numpy as np
@@ -7,8 +8,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewake.operators import asof, deadreckon, gates
+from tidewake.functions import geometry as geo
+from tidewake.operators import asof, deadreckon, gates, stats
 from tidewake.operators import timeseries as ts
+from tidewake.plans import catalogue
+
+KS = [12, 72, 28, 96, 27, 11, 15]
 
 
 def series(spark, values, times=None, run=1):
@@ -102,3 +107,29 @@ def test_order_of_rows_is_immaterial(spark):
     a = gates.preprocessed_velocity(rows).orderBy("_row").collect()
     b = gates.preprocessed_velocity(rows.orderBy(F.rand(3)).repartition(3)).orderBy("_row").collect()
     assert a == b
+
+
+def test_course_keeps_the_sign_of_zeros(spark):
+    v = [(0.0, 0.0), (-0.0, 0.0), (-0.0, -0.0), (-1.0, -0.0), (-1.0, 0.0), (0.0, -2.0), (1.0, -0.0)]
+    rows = spark.createDataFrame(v, "e double, n double").select("e", "n", geo.course(F.col("e"), F.col("n")).alias("c")).collect()
+    assert all(r.c == math.atan2(r.n, r.e) for r in rows)
+
+
+def test_heading_of_no_velocity_is_unwrapped_from_the_half_turn(spark):
+    rows = spark.createDataFrame([(1, 0, 0.0, -1.0, -0.1), (1, 1, 1.0, -0.0, 0.0)], "run_id long, _row long, t_s double, e double, n double")
+    made = ts.unwrap(rows.withColumn("h", geo.course(F.col("e"), F.col("n")) * 0.97), "h", "un")
+    assert np.allclose(column(made, "un"), np.unwrap([0.97 * math.atan2(-0.1, -1.0), 0.97 * math.pi]))
+
+
+def test_correlation_with_a_constant_is_null(spark):
+    rows = spark.createDataFrame([(0, 1.0, 2.0), (0, 1.0, 3.0), (0, 1.0, 5.0), (1, 1.0, 2.0), (1, 2.0, 4.0), (1, 3.0, 6.0), (2, 1e-170, 1e-170), (2, 0.0, 0.0)], "g long, x double, y double")
+    got = {r.g: r.c for r in rows.groupBy("g").agg(stats.pearson(F.col("x"), F.col("y"), 2).alias("c")).collect()}
+    assert got[0] is None and abs(got[1] - 1) < 1e-12
+
+
+def test_the_first_of_equal_axes_dominates(spark, tmp_path):
+    """The mean squares of gx and gz are 13.5 / 7 each, but for the last digits of their sums."""
+    when = datetime.datetime(2024, 1, 1)
+    rows = [(i, when, 1, "view", 5.0, f'{{"k": {k}}}') for i, k in enumerate(KS * 6)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert [r.axis for r in catalogue.queries()["a15_residual_dominance"](spark, str(tmp_path)).collect()] == ["x"]
