@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_sources import stream_of
+from tidewake.functions import columns as col
 from tidewake.functions import text as tx
 from tidewake.operators import audit, ops
 from tidewake.sources import ranges, readers, sinks, wire
@@ -235,3 +236,9 @@ def test_bundle_summary(spark):
     assert got[2].merge_missing == "nav_timing,control_log,telemetry_timeline,telemetry_events" and got[2].hints[1].startswith("required")
     assert got[3].bundle_status == "complete" and not got[3].merge_ready and got[3].hints[0] == ops.STAGE_HINTS["run_created_without_child_start"]
     assert ops.bundle_summary(runs.limit(0), artifacts, processes).count() == 0
+
+
+def test_fixed_texts_are_those_of_c(spark):
+    values = [0.0625, 0.1875, 1.0005, 2.0015, -0.0625, -0.0, -0.0001, 12345.6785, 1e6, float("nan"), float("inf"), float("-inf")]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate([*values, None])], "i int, v double").select("i", col.fixed(F.col("v"), 3).alias("t")).orderBy("i").collect()
+    assert [r.t for r in rows] == ["%.3f" % v for v in values] + [None]

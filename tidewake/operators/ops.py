@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewake.functions.columns import first_reason
+from tidewake.functions.columns import first_reason, fixed
 from tidewake.operators.estimate import in_step, sorted_runs
 
 FLOOR, CLOSE = 0.60, 0.12
@@ -258,7 +258,7 @@ def motion_snapshot(rows: DataFrame, values: Mapping[str, Sequence[str]]) -> Dat
     """
     columns = sorted({c for names in values.values() for c in names})
     last = rows.groupBy("run_id").agg(F.max_by(F.struct(*columns), F.struct("t_s", "_row")).alias("_x"))
-    told = {n: F.concat(F.lit(f"{n}="), F.concat_ws(",", *(F.format_string("%.3f", F.col(f"_x.{c}")) for c in names))) for n, names in values.items()}
+    told = {n: F.concat(F.lit(f"{n}="), F.concat_ws(",", *(fixed(F.col(f"_x.{c}"), 3) for c in names))) for n, names in values.items()}
     there = {n: F.forall(F.array(*(F.col(f"_x.{c}").cast("double") for c in names)), lambda v: v.isNotNull() & ~F.isnan(v)) for n, names in values.items()}
     fields = F.array_compact(F.array(*(F.when(there[n], F.lit(n)) for n in values)))
     state = F.when(F.size(fields) > 0, "available").otherwise("unavailable")
