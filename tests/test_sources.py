@@ -172,3 +172,15 @@ def test_cycles_of_any_length(spark):
     edges = spark.createDataFrame([(i, (i + 1) % 11) for i in range(11)] + [(3, 1), (1, 0)], "module long, target long")
     got = {r.cycle: r.length for r in audit.cycles(edges).collect()}
     assert got == {">".join(map(str, range(11))): 11, "1>2>3": 3} and audit.cycles(edges, 5).count() == 1
+
+
+def test_parts_of_a_folder_are_one_log(spark, tmp_path):
+    for name, rows in (("part-0.csv", "10,DVL_H1000,BE,1\n"), ("part-1.csv", "12,DVL_H1000,BE,1\n"), ("other.csv", "13,DVL_H1000,BE,1\n")):
+        (tmp_path / name).write_text("EstS,SensorID,Src,Ve_enu(m_s)\n" + rows)
+    assert [r.t_s for r in readers.scan_parsed_dvl(spark, str(tmp_path)).orderBy("EstS").collect()] == [0.0, 2.0, 0.0]
+
+
+def test_equal_times_come_in_the_order_asked_for(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("EstS,Src,event\n1,a,3\n1,a,2\n0,b,4\n1,a,1\n")
+    assert [r.event for r in readers.scan_sorted(spark, str(tmp_path / "s.csv"), then=("event",)).collect()] == [4.0, 1.0, 2.0, 3.0]
+    assert [r.event for r in readers.scan_sorted(spark, str(tmp_path / "s.csv")).collect()] == [4.0, 3.0, 2.0, 1.0]

@@ -55,23 +55,31 @@ def scan_dvl(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def scan_parsed_dvl(spark: SparkSession, paths: str | Sequence[str], sensor: str = "DVL_H1000") -> DataFrame:
-    """Parsed velocity logs of one sensor: known sources only, seconds from the run's start, outliers clamped by unit."""
+    """Parsed velocity logs of one sensor: known sources only, seconds from the log's start, outliers clamped by unit.
+
+    Part files that Spark wrote into a folder are one log; other files are a log each.
+    """
     from tidewake.functions.columns import clamp_by_unit
 
     rows = scan_csv(spark, paths, ("SensorID", "Src"), text=sorted(TEXTS))
     rows = rows.filter((F.col("SensorID") == sensor) & F.col("Src").isin("SA", "TS", "BI", "BS", "BE", "BD"))
     time = next(c for c in ("EstS", "MonoS", "Timestamp(s)") if c in rows.columns)
-    start = F.min(f"`{time}`").over(W.partitionBy("source_path"))
-    return clamp_by_unit(rows.withColumn("t_s", F.col(f"`{time}`") - start))
+    rows = rows.withColumn("_log", F.regexp_replace("source_path", "/part-[^/]*$", ""))
+    starts = rows.groupBy("_log").agg(F.min(f"`{time}`").alias("_start"))  # not a window, so that a long log isn't one task
+    rows = rows.join(starts, "_log").withColumn("t_s", F.col(f"`{time}`") - F.col("_start"))
+    return clamp_by_unit(rows.drop("_log", "_start"))
 
 
-def scan_sorted(spark: SparkSession, paths: str | Sequence[str], text: Sequence[str] = ("Src",)) -> DataFrame:
-    """A log with ``t_s`` from its first time column, in order of time; ValueError if it holds no row."""
+def scan_sorted(spark: SparkSession, paths: str | Sequence[str], text: Sequence[str] = ("Src",), then: Sequence[str] = ()) -> DataFrame:
+    """A log with ``t_s`` from its first time column, in order of time; ValueError if it holds no row.
+
+    Equal times come in order of the columns ``then``, and then as files and lines come.
+    """
     rows = scan_csv(spark, paths, (), text=text)
     rows = rows.withColumn("t_s", seconds(rows))
     if rows.isEmpty():
         raise ValueError(f"no rows in {paths}")
-    return rows.orderBy("t_s", "_row")
+    return rows.orderBy("t_s", *(f"`{c}`" for c in then), "source_path", "_row")
 
 
 def scan_processed_imu(spark: SparkSession, paths: str | Sequence[str], *, gyro: str = "in", strict: bool = True) -> DataFrame:
