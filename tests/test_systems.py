@@ -242,3 +242,10 @@ def test_fixed_texts_are_those_of_c(spark):
     values = [0.0625, 0.1875, 1.0005, 2.0015, -0.0625, -0.0, -0.0001, 12345.6785, 1e6, float("nan"), float("inf"), float("-inf")]
     rows = spark.createDataFrame([(i, v) for i, v in enumerate([*values, None])], "i int, v double").select("i", col.fixed(F.col("v"), 3).alias("t")).orderBy("i").collect()
     assert [r.t for r in rows] == ["%.3f" % v for v in values] + [None]
+
+
+def test_digits_of_a_number_are_read_once(spark):
+    """Inside lambdas Spark computes an expression as often as it is written: two readings for a double, one for each type of whole numbers."""
+    blobs = spark.createDataFrame([(bytes(wire.NAV_STATE.size),)], "payload binary")
+    plan = wire.decoded(blobs, wire.NAV_STATE)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("conv(") <= 6

@@ -65,7 +65,8 @@ def s15(spark, sf):
             out["age_ms"], out["valid"], out["nav_state"], out["fault_code"], out["status_flags"] = of("k"), of("k") % 2, of("k") % 5, of("k") * 600, 65535 - of("k")
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array([x.tobytes() for x in out], pa.binary())], names=["_row", "payload"])
 
-    blobs = rows.mapInArrow(packed, "_row long, payload binary")
+    # decoding is much work for few bytes, so that the scan's own parts would be too few
+    blobs = rows.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(packed, "_row long, payload binary")
     made = wire.decoded(blobs, wire.NAV_STATE, keep=["_row"])
     part = lambda c, i: F.round(F.get(c, F.lit(i)), 6) + 0.0
     return made.select("_row", F.col("t_ns").cast("long").alias("t_ns"), part("vel", 0).alias("east"), part("vel", 1).alias("north"), part("rpy", 2).alias("yaw"), F.round("depth", 6).alias("depth"), "age_ms", "valid", "nav_state", "fault_code", "status_flags")

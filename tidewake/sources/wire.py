@@ -8,7 +8,7 @@ code in the tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +37,11 @@ def layout(*members: tuple) -> Layout:
     return Layout(tuple(out), -(-at // widest) * widest, widest)
 
 
+def _let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``c``, which is computed once however often ``body`` uses it: Spark doesn't share what is inside lambdas."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def _digits(text: Column, at: Column, size: int) -> Column:
     """Hex digits of ``size`` bytes at byte ``at``, the highest byte first."""
     pairs = [F.substring(text, 2 * at + (2 * i + 1), F.lit(2)) for i in reversed(range(size))]
@@ -48,13 +53,13 @@ def _number(text: Column, at: Column, kind: str) -> Column:
     size = SIZES[kind]
     digits = _digits(text, at, size)
     if kind.startswith("f"):
-        return _float(digits, 8 if kind == "f32" else 11, 23 if kind == "f32" else 52)
+        return _let(digits, lambda d: _float(d, 8 if kind == "f32" else 11, 23 if kind == "f32" else 52))
     value = F.conv(digits, 16, 10).cast("decimal(20,0)")
     if kind == "u64":
         return value
     if kind.startswith("i"):
         whole = lambda n: F.lit(str(n)).cast("decimal(20,0)")
-        value = F.when(value >= whole(1 << (8 * size - 1)), value - whole(1 << 8 * size)).otherwise(value)
+        value = _let(value, lambda v: F.when(v >= whole(1 << (8 * size - 1)), v - whole(1 << 8 * size)).otherwise(v))
     return value.cast("long")
 
 
@@ -66,14 +71,22 @@ def _float(digits: Column, exponent_bits: int, fraction_bits: int) -> Column:
     rest = exponent_bits + fraction_bits + 1 - 12
     shift = 11 - exponent_bits
     head, low = F.conv(F.substring(digits, 1, 3), 16, 10).cast("long"), F.conv(F.substring(digits, 4, rest // 4), 16, 10).cast("double")
-    part = ((head % (1 << shift)).cast("double") * float(1 << rest) + low) / float(1 << fraction_bits)
-    exponent, bias = F.shiftright(head, shift) % (1 << exponent_bits), (1 << (exponent_bits - 1)) - 1
-    sign = F.when(head >= 1 << 11, -1.0).otherwise(1.0)
-    # two factors, as not all powers of two that take part are doubles themselves
-    power = F.greatest(exponent, F.lit(1)) - bias
-    half = F.floor(power / 2)
-    size = (F.when(exponent > 0, 1.0).otherwise(0.0) + part) * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half)
-    return F.when(exponent < (1 << exponent_bits) - 1, sign * size).when(part == 0, sign * float("inf")).otherwise(F.lit(float("nan")))
+    bias = (1 << (exponent_bits - 1)) - 1
+
+    def number(x: Column) -> Column:
+        head, exponent, part = x["head"], x["exponent"], x["part"]
+        sign = F.when(head >= 1 << 11, -1.0).otherwise(1.0)
+        # two factors, as not all powers of two that take part are doubles themselves
+        power = F.greatest(exponent, F.lit(1)) - bias
+        half = F.floor(power / 2)
+        size = (F.when(exponent > 0, 1.0).otherwise(0.0) + part) * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half)
+        return F.when(exponent < (1 << exponent_bits) - 1, sign * size).when(part == 0, sign * float("inf")).otherwise(F.lit(float("nan")))
+
+    def split(x: Column) -> Column:
+        part = ((x["head"] % (1 << shift)).cast("double") * float(1 << rest) + x["low"]) / float(1 << fraction_bits)
+        return _let(F.struct(x["head"].alias("head"), (F.shiftright(x["head"], shift) % (1 << exponent_bits)).alias("exponent"), part.alias("part")), number)
+
+    return _let(F.struct(head.alias("head"), low.alias("low")), split)
 
 
 def _leaves(shape: Layout, at: int = 0) -> list[tuple[str, int]]:
@@ -103,25 +116,29 @@ def decoded(blobs: DataFrame, shape: Layout, column: str = "payload", keep: Sequ
     leaves = _leaves(shape)
     places = {k: sorted({o for t, o in leaves if t == k}) for k in dict.fromkeys(t for t, _ in leaves)}
     text, whole = "_hex", "_numbers"
-    rows = blobs.withColumn(text, F.when(F.length(column) >= shape.size, F.hex(column)))
 
-    def numbers(kind: str) -> Column:
-        return F.transform(F.array(*map(F.lit, places[kind])), lambda o: _number(F.col(text), o, kind)).alias(kind)
+    def reader(digits: Column, kind: str) -> Callable[[Column], Column]:
+        return lambda o: _number(digits, o, kind)
 
-    rows = rows.withColumn(whole, F.when(F.col(text).isNotNull(), F.struct(*map(numbers, places))))
+    def read(digits: Column) -> Column:
+        numbers = (F.transform(F.array(*map(F.lit, at)), reader(digits, k)).alias(k) for k, at in places.items())
+        return F.struct(digits.alias(text), F.when(digits.isNotNull(), F.struct(*numbers)).alias(whole))
 
-    def value(kind: str | Layout, count: int | None, at: int) -> Column:
+    def value(of: Column, kind: str | Layout, count: int | None, at: int) -> Column:
         if kind == "char":
-            return F.substring_index(F.make_valid_utf8(F.unhex(F.substring(text, 2 * at + 1, 2 * (count or 1))).cast("string")), "\0", 1)
+            return F.substring_index(F.make_valid_utf8(F.unhex(F.substring(of[text], 2 * at + 1, 2 * (count or 1))).cast("string")), "\0", 1)
         if count is not None:
             size = kind.size if isinstance(kind, Layout) else SIZES[kind]
-            return F.array(*(value(kind, None, at + i * size) for i in range(count)))
+            return F.array(*(value(of, kind, None, at + i * size) for i in range(count)))
         if isinstance(kind, Layout):
-            return F.struct(*(value(k, n, at + o).alias(name) for name, k, n, o in kind.fields if not _filler(name)))
-        return F.get(F.col(whole)[kind], F.lit(places[kind].index(at)))
+            return F.struct(*(value(of, k, n, at + o).alias(name) for name, k, n, o in kind.fields if not _filler(name)))
+        return F.get(of[whole][kind], F.lit(places[kind].index(at)))
+
+    def fields(of: Column) -> Column:
+        return F.struct(*(F.when(of[text].isNotNull(), value(of, kind, count, at)).alias(name) for name, kind, count, at in shape.fields if not _filler(name)))
 
-    made = [F.when(F.col(text).isNotNull(), value(kind, count, at)).alias(name) for name, kind, count, at in shape.fields if not _filler(name)]
-    return rows.select(*keep, *made)
+    digits = F.when(F.length(column) >= shape.size, F.hex(column))
+    return blobs.select(*keep, F.inline(F.transform(F.transform(F.array(digits), read), fields)))
 
 
 # The layouts of the messages on the bus and of trace records, and the names of their states.
