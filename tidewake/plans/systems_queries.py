@@ -88,8 +88,10 @@ def s16(spark, sf):
 def s12(spark, sf):
     path, key = fresh_folder(spark, "documents"), F.col("c_custkey")
     one = F.struct("c_custkey", F.struct(F.col("c_nationkey").alias("nation"), F.when(key % 3 > 0, F.round("c_acctbal", 2)).alias("balance")).alias("account"), F.array(F.col("c_acctbal") > 0).alias("flags"))
-    files = table(spark, sf, "customer").groupBy(F.floor(key / 100).alias("file")).agg(F.collect_list(F.to_json(one)).alias("docs"))  # a hundred documents a file
-    files.select("file", F.concat(F.lit("[\n"), F.array_join("docs", ",\n"), F.lit("\n]")).alias("value")).write.partitionBy("file").text(path)
+    files = table(spark, sf, "customer").groupBy(F.floor(key / 2000).alias("file")).agg(F.collect_list(F.to_json(one)).alias("docs"))  # two thousand documents a file
+    texts = files.select("file", F.concat(F.lit("[\n"), F.array_join("docs", ",\n"), F.lit("\n]")).alias("value"))
+    # texts are small, so that Spark would join the parts and one task write all files
+    texts.repartition(4 * spark.sparkContext.defaultParallelism, "file").write.partitionBy("file").text(path)
     docs = readers.json_documents(spark, path)
     return docs.select(F.col("c_custkey").cast("long").alias("c_custkey"), F.col("account.nation").cast("int").alias("nation"), F.get("flags", F.lit(0)).alias("funded"), F.col("account.balance").alias("balance"))
 
