@@ -168,18 +168,32 @@ def write_trace(df: DataFrame, path: str) -> None:
     df.write.format("tidewake_trace").option("path", path).mode("append").save()
 
 
+@dataclass
+class Ranges(InputPartition):
+    parts: list[Range]
+
+
+#: Ends of files that one task reads, one after the other, at most, and the tasks that there are before any reads more than one.
+ENDS_A_TASK, LEAST_TASKS = 512, 64
+
+
 class TailReader(DataSourceReader):
-    """The last lines of each file, from at most its last ``most_bytes`` bytes; with ``header`` its first line, too."""
+    """The last lines of each file, from at most its last ``most_bytes`` bytes; with ``header`` its first line, too. A task takes many files where there are many."""
 
     def __init__(self, options: dict) -> None:
         self.path, self.lines, self.most, self.header = options["path"], int(options["lines"]), int(options["most_bytes"]), options["header"] == "true"
 
     def partitions(self) -> Sequence[Range]:
-        return [Range(path, max(0, size - self.most), size) for path, size in files_of(self.path)]
+        ends = [Range(path, max(0, size - self.most), size) for path, size in files_of(self.path)]
+        each = max(1, min(ENDS_A_TASK, len(ends) // LEAST_TASKS))
+        return [Ranges(ends[i : i + each]) for i in range(0, len(ends), each)]
 
-    def read(self, part: Range | None) -> Iterator[tuple]:
-        if not isinstance(part, Range):
-            return
+    def read(self, parts: Ranges | None) -> Iterator[tuple]:
+        if isinstance(parts, Ranges):
+            for part in parts.parts:
+                yield from self.ends(part)
+
+    def ends(self, part: Range) -> Iterator[tuple]:
         store, inside = opened(part.path)
         with store.open_input_file(inside) as f:
             head = f.read(min(part.end, self.most)).split(b"\n", 1)[0] if self.header else b""
@@ -209,7 +223,7 @@ class TailSource(DataSource):
 
 
 def tails(spark: SparkSession, path: str, lines: int = 40, most_bytes: int = 32 << 10, *, header: bool = False) -> DataFrame:
-    """(path, line, value, header, bytes_read): the last ``lines`` lines of each file under ``path`` that aren't empty, a task a file.
+    """(path, line, value, header, bytes_read): the last ``lines`` lines of each file under ``path`` that aren't empty.
 
     Only the last ``most_bytes`` bytes of a file are read (and as many of its beginning for ``header``), so the first of its lines may be cut; bytes
     that aren't UTF-8 are left out.
