@@ -184,3 +184,24 @@ def test_equal_times_come_in_the_order_asked_for(spark, tmp_path):
     (tmp_path / "s.csv").write_text("EstS,Src,event\n1,a,3\n1,a,2\n0,b,4\n1,a,1\n")
     assert [r.event for r in readers.scan_sorted(spark, str(tmp_path / "s.csv"), then=("event",)).collect()] == [4.0, 1.0, 2.0, 3.0]
     assert [r.event for r in readers.scan_sorted(spark, str(tmp_path / "s.csv")).collect()] == [4.0, 3.0, 2.0, 1.0]
+
+
+def test_planar_inputs_of_many_runs_in_a_file(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("run_id,t_s,Ve_enu(m_s),Vn_enu,Vu_enu(m_s)\na,1,0.1,0,0\nb,1,0.2,0,0\na,1,0.3,0,0\nb,2,bad,0,0\n")
+    rows = readers.scan_planar_inputs(spark, str(tmp_path / "b.csv"), "be", run="run_id").orderBy("run_id").collect()
+    assert [(r.run_id, r.t_s, r.vE) for r in rows] == [("a", 1.0, 0.1), ("b", 1.0, 0.2)]
+
+
+def test_trajectories_of_many_runs_share_files(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id as run_id", "1.0D as t_s", "id * 0.5D as E", "0.0D as N", "0.0D as U", "0.5D as yaw_rad")
+    sinks.write_trajectory(rows.coalesce(2), str(tmp_path / "t"), by=())
+    assert len(list((tmp_path / "t").rglob("*.csv"))) == 2
+    assert sinks.read_trajectory(spark, str(tmp_path / "t")).selectExpr("count(distinct run_id)", "sum(E)").first()[:] == (200, 9950.0)
+
+
+def test_ends_of_many_files_share_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.csv").write_text(f"a\n0\n{i}\n")
+    made = ranges.tails(spark, str(tmp_path), 1, 100, header=True)
+    assert made.rdd.getNumPartitions() <= 75
+    assert sorted(int(r.value) for r in made.collect()) == list(range(300))

@@ -109,15 +109,18 @@ PLANAR_INPUTS = {
 }
 
 
-def scan_planar_inputs(spark: SparkSession, paths: str | Sequence[str], kind: str) -> DataFrame:
+def scan_planar_inputs(spark: SparkSession, paths: str | Sequence[str], kind: str, run: str | None = None) -> DataFrame:
     """One input of the planar filter, ``imu``, ``bi`` or ``be``: (source_path, _row, t_s, ...).
 
-    Rows with a time or value that isn't a finite number are dropped; of equal times of a file the first row stays.
+    Rows with a time or value that isn't a finite number are dropped; of equal times of a file the first row stays. Where files hold many
+    runs, ``run`` is the column that tells them apart; it is kept, and of equal times of a run the first row stays.
     """
-    rows = scan_csv(spark, paths, ())
+    rows = scan_csv(spark, paths, (run,) if run else (), text=(run,) if run else ())
     wanted = {to: resolve(rows, names) for to, names in PLANAR_INPUTS[kind].items()}
-    rows = rows.select("source_path", "_row", finite(seconds(rows)).alias("t_s"), *(finite(F.col(f"`{c}`")).alias(to) for to, c in wanted.items())).dropna()
-    first = F.row_number().over(W.partitionBy("source_path", "t_s").orderBy("_row"))
+    own = ["source_path"] if run is None else [run]
+    kept = [finite(seconds(rows)).alias("t_s"), *(finite(F.col(f"`{c}`")).alias(to) for to, c in wanted.items())]
+    rows = rows.select("source_path", *own[: run is not None], "_row", *kept).dropna()
+    first = F.row_number().over(W.partitionBy(*own, "t_s").orderBy("source_path", "_row"))
     return rows.withColumn("_first", first).filter("_first = 1").drop("_first")
 
 

@@ -16,7 +16,8 @@ EVENT = ("mono_ns", "wall_time", "component", "event", "level", "run_id", "messa
 def write_csv(df: DataFrame, path: str, *, by: Sequence[str] = ("run_id",), mode: str = "errorifexists") -> None:
     """CSV with a header, one folder per value of ``by``."""
     there = [c for c in by if c in df.columns]
-    writer = df.write.mode(mode).option("header", True)
+    # files of tasks get their places as tasks end: thousands of folders aren't moved one by one by the driver
+    writer = df.write.mode(mode).option("header", True).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
     (writer.partitionBy(*there) if there else writer).csv(path)
 
 
@@ -28,18 +29,21 @@ def processed_imu_columns(df: DataFrame, preferred: Sequence[str]) -> DataFrame:
     return df.select(*first, *(c for c in df.columns if c not in first))
 
 
-def write_trajectory(df: DataFrame, path: str, extra: Sequence[str] = ()) -> None:
-    """The six trajectory columns and ``extra`` ones, degrees filled from radians where they are missing."""
+def write_trajectory(df: DataFrame, path: str, extra: Sequence[str] = (), *, by: Sequence[str] = ("run_id",)) -> None:
+    """The six trajectory columns and ``extra`` ones, degrees filled from radians where they are missing.
+
+    A folder a run; with ``by=()`` the run is a column instead, so that files grow with the rows and not with the runs.
+    """
     if "yaw_deg" not in df.columns:
         df = df.withColumn("yaw_deg", F.degrees("yaw_rad"))
-    write_csv(df.select("run_id", *TRAJECTORY, *extra), path)
+    write_csv(df.select("run_id", *TRAJECTORY, *extra), path, by=by)
 
 
 EXTENDED = ("t_s", "E", "N", "U", "yaw_rad", "yaw_deg", "src", "speed", "valid")
 
 
-def write_extended_trajectory(df: DataFrame, path: str, yaw: DataFrame | None = None) -> None:
-    """Nine columns, one folder a run; yaw and src come by ordinal from ``yaw`` (run_id, yaw_rad, src, t_s, _row).
+def write_extended_trajectory(df: DataFrame, path: str, yaw: DataFrame | None = None, *, by: Sequence[str] = ("run_id",)) -> None:
+    """Nine columns, one folder a run (none with ``by=()``, see ``write_trajectory``); yaw and src come by ordinal from ``yaw`` (run_id, yaw_rad, src, t_s, _row).
 
     A shorter series is padded with its last values, a longer one is trimmed; missing columns are empty.
     """
@@ -51,7 +55,7 @@ def write_extended_trajectory(df: DataFrame, path: str, yaw: DataFrame | None =
         df = df.withColumns({"yaw_rad": F.last("_yaw", True).over(last), "src": F.last("_src", True).over(last)})
     if "yaw_deg" not in df.columns:
         df = df.withColumn("yaw_deg", F.degrees("yaw_rad"))
-    write_csv(df.select("run_id", *(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in EXTENDED)), path)
+    write_csv(df.select("run_id", *(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in EXTENDED)), path, by=by)
 
 
 def read_trajectory(spark, path: str) -> DataFrame:
