@@ -6,8 +6,10 @@ import math
 import os
 import random
 import struct
+import types
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +204,58 @@ def test_intents_expire_without_a_later_row(spark, tmp_path):
     assert got == [(1, 4, "out_of_order", 1), (1, 5, "accepted", 0), (1, 5, "expired", 3), (1, 6, "accepted", 10), (1, 6, "expired", 70), (2, 1, "accepted", 0), (2, 1, "expired", 30), (3, 1, "accepted", 100), (3, 1, "expired", 101), (3, 2, "accepted", 400)]
 
 
+def test_intents_of_a_shard_take_few_calls(spark, tmp_path):
+    """Random intents of 300 sources in four batches, against a plain loop: the calls to the state don't grow with the sources."""
+    rng = random.Random(3)
+    rows = [(rng.randrange(60), f"s{rng.randrange(5)}", i, 0 if rng.random() < 0.2 else i + rng.randrange(40), 10 * i + rng.randrange(3), rng.choice((0, 50, 900, 20_000))) for i in range(3000)]
+    calls, state = [], {}
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return types.SimpleNamespace(exists=lambda: name in state, get=lambda: state[name], update=lambda v: (calls.append(name), state.update({name: v})))
+
+        def registerTimer(self, at):
+            calls.append("register")
+            state["timer"] = at
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+            assert state.pop("timer") == at
+
+    intents, out, mark = stateful.Intents(700), [], 0
+    intents.init(Handle())
+    for i in range(0, 3000, 750):
+        values = types.SimpleNamespace(getCurrentWatermarkInMs=lambda mark=mark: mark)
+        part = pd.DataFrame(rows[i : i + 750], columns=["run_id", "source", "nth", "seq", "stamp_ms", "ttl_ms"]).sample(frac=1, random_state=i)
+        out += intents.handleInputRows((0,), iter([part[:100], part[100:]]), values)
+        if state.get("timer", mark + 1) <= mark:
+            info = types.SimpleNamespace(getExpiryTimeInMs=lambda at=state.pop("timer"): at)
+            out += intents.handleExpiredTimer((0,), values, info)
+        mark = int(part["stamp_ms"].max()) - 1
+    got, want, newest, live = sorted(tuple(r) for t in out for r in t.itertuples(index=False)), [], {}, {}
+    for run, source, _, seq, stamp, ttl in sorted(rows, key=lambda r: (r[4], r[2])):
+        key = run, source
+        if key in newest and seq <= newest[key]:
+            want.append((*key, seq, stamp, "out_of_order", stamp))
+            continue
+        if key in live and stamp > live[key][2]:
+            want.append((*key, *live[key][:2], "expired", live[key][2]))
+        newest[key], live[key] = seq, (seq, stamp, stamp + (ttl or 700))
+        want.append((*key, seq, stamp, "accepted", stamp))
+    last = int(max(r[4] for r in rows[2250 - 750 : 2250])) - 1  # the last batch's watermark
+    want += [(*key, *x[:2], "expired", x[2]) for key, x in live.items() if x[2] <= last]
+    assert got == sorted(want) and len(calls) < 40
+
+
+def test_slices_are_batches(spark, tmp_path):
+    from tidewake.plans.systems_queries import _slices
+
+    stream, folder = _slices(spark, spark.range(4000).repartition(12), "id")
+    query = stream.writeStream.format("noop").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [p.numInputRows for p in query.recentProgress if p.numInputRows] == [1000] * 4
+
+
 def test_report_of_all_tables(spark, tmp_path):
     files = spark.createDataFrame([("nav/a.py", "# TODO x\ndef f():\n    if x:\n        return 1\n" + "    pass\n" * 90), ("nav/b.cpp", "int add(int a) {\n  return a;\n}\n"), ("c.sh", "# s\necho\n"), ("empty.py", None)], "path string, text string")
     changes = spark.createDataFrame([("nav/a.py", 4), ("gone.py", 9)], "path string, changes long")

@@ -111,14 +111,19 @@ def x15(spark, sf):
 # --- streams with typed state ------------------------------------------------------------------
 
 
-def _slices(spark, rows, by: str, n: int = 4):
-    """``rows`` written in ``n`` slices of ``by``, one after the other, as files that a stream finds in that order."""
+def _slices(spark, rows, by: str, n: int = 4, files: int = 16):
+    """``rows`` written in ``n`` slices of ``by``, one after the other, as files that a stream finds in that order, a slice a batch.
+
+    Files of a slice aren't in order among themselves, so no batch may end inside one: where slices differ in files, all are one batch.
+    """
     folder = fresh_folder(spark, "slices")
     ends = rows.agg(F.min(by).alias("a"), F.max(by).alias("b")).first()
     place = F.least(F.floor((F.col(by) - ends.a) * n / max(ends.b - ends.a, 1e-9)), F.lit(n - 1)) if ends.a is not None else F.lit(0)
     for i in range(n):
-        rows.filter(place == i).write.parquet(f"{folder}/in/{i}")
-    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in"), folder
+        rows.filter(place == i).repartition(files).write.parquet(f"{folder}/in/{i}")
+    counts = [len(spark.read.schema(rows.schema).parquet(f"{folder}/in/{i}").inputFiles()) for i in range(n)]
+    batch = counts[0] if len(set(counts)) == 1 else sum(counts)
+    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", batch).parquet(f"{folder}/in"), folder
 
 
 _QUATERNION = RECURSIVE + """, i AS (SELECT run_id, _row, t_s / 3600 AS t, radians(gx) / 10 AS a, radians(gy) / 10 AS b, radians(gz) / 10 AS c, row_number() OVER (PARTITION BY run_id ORDER BY t_s, _row) AS n FROM s WHERE src = 'IMU'),
