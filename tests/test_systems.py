@@ -256,6 +256,20 @@ def test_slices_are_batches(spark, tmp_path):
     assert [p.numInputRows for p in query.recentProgress if p.numInputRows] == [1000] * 4
 
 
+def test_lines_are_counted_as_their_kinds(spark):
+    rng = random.Random(5)
+    bits = ["", " ", "  ", "#", " # x", '"""', ' """ a', 'b """ c', '"""d"""', "x", "  y", "//", " // z", "/*", "*/", "/* e */", "f */", "\r", "\t", "\u00a0"]
+    texts = [None, "", "\n", *("\n".join(rng.choice(bits) for _ in range(rng.randrange(1, 12))) for _ in range(400))]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for language in ("python", "cpp", "shell", "yaml", "other"):
+        kinds, counts = tx.line_kinds(F.col("text"), language), tx.line_counts(F.col("text"), language)
+        got = rows.select(*(tx.count_of(kinds, k) for k in ("code", "comment", "blank")), counts.n - counts.comment - counts.blank, counts.comment, counts.blank).collect()
+        assert [r[:3] for r in got] == [r[3:] for r in got]
+    sizes = audit.file_sizes(spark.createDataFrame([("a.py", '"""\n' + "x\n" * 60_000)], "path string, text string"))
+    plan = sizes._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat(lambda" not in plan and sizes.first()[2:5] == (0, 60_001, 1)  # no array grows with each line
+
+
 def test_report_of_all_tables(spark, tmp_path):
     files = spark.createDataFrame([("nav/a.py", "# TODO x\ndef f():\n    if x:\n        return 1\n" + "    pass\n" * 90), ("nav/b.cpp", "int add(int a) {\n  return a;\n}\n"), ("c.sh", "# s\necho\n"), ("empty.py", None)], "path string, text string")
     changes = spark.createDataFrame([("nav/a.py", 4), ("gone.py", 9)], "path string, changes long")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def line_kinds(text: Column, language: str) -> Column:
-    """An array with blank, comment or code for each line; a fold carries whether a block comment is open."""
+def _line_fold(text: Column, language: str, start: Column, add: Callable[[Column, Column], Column], done: Callable[[Column], Column]) -> Column:
+    """A fold of ``add`` over the lines' kinds, blank, comment or code; it carries whether a block comment is open."""
     mark, begin, end = COMMENTS.get(language, (None, None, None))
 
     def next_line(state: Column, line: Column) -> Column:
@@ -39,10 +40,31 @@ def line_kinds(text: Column, language: str) -> Column:
         whole_block = bare.startswith(begin) if begin else F.lit(False)
         kind = F.when(blank, "blank").when(state.open | single | whole_block, "comment").otherwise("code")
         still = F.when(blank, state.open).when(state.open, ~closes).otherwise(opens)
-        return F.struct(still.alias("open"), F.concat(state.kinds, F.array(kind)).alias("kinds"))
+        return F.struct(still.alias("open"), add(state.made, kind).alias("made"))
+
+    return F.aggregate(lines(text), F.struct(F.lit(False).alias("open"), start.alias("made")), next_line, lambda s: done(s.made))
+
+
+def line_kinds(text: Column, language: str) -> Column:
+    """An array with blank, comment or code for each line."""
+    return _line_fold(text, language, F.array().cast("array<string>"), lambda made, kind: F.concat(made, F.array(kind)), lambda made: made)
 
-    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<string>").alias("kinds"))
-    return F.aggregate(lines(text), start, next_line, lambda s: s.kinds)
+
+def line_counts(text: Column, language: str) -> Column:
+    """How many lines a text has, and how many of them are comment and blank, as a struct (n, comment, blank); all others are code.
+
+    Where no block comment begins, patterns over the whole text count; else a fold does, in one number, where ``line_kinds`` copies an array for each line.
+    """
+    mark, begin, _ = COMMENTS.get(language, (None, None, None))
+    whole, most = F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), 1 << 31  # each line follows its own line feed
+    n = F.size(lines(text))
+    comment = F.regexp_count(whole, F.lit(rf"\n *{re.escape(mark)}")) if mark else F.lit(0)
+    plain = F.struct(n.alias("n"), comment.alias("comment"), F.regexp_count(whole, F.lit(r"\n(?= *(?:\n|\z))")).alias("blank"))
+    if begin is None:
+        return plain
+    unpacked = lambda made: F.struct(n.alias("n"), F.floor(made / most).cast("int").alias("comment"), (made % most).cast("int").alias("blank"))
+    fold = _line_fold(text, language, F.lit(0).cast("long"), lambda made, kind: made + F.when(kind == "code", 0).when(kind == "comment", F.lit(most)).otherwise(1), unpacked)
+    return F.when(whole.contains(begin), fold).otherwise(plain)
 
 
 def count_of(values: Column, what: str) -> Column:
@@ -51,12 +73,7 @@ def count_of(values: Column, what: str) -> Column:
 
 def branch_tokens(text: Column, tokens: Sequence[str]) -> Column:
     """Lines that hold each token anywhere, summed over the tokens: one hit a token and line."""
-    rows = lines(text)
-
-    def hits(token: str) -> Column:
-        return F.size(F.filter(rows, lambda x: x.contains(token)))
-
-    return sum((hits(t) for t in tokens), F.lit(0))
+    return F.aggregate(lines(text), F.lit(0), lambda n, line: n + sum((line.contains(t).cast("int") for t in tokens), F.lit(0)))
 
 
 def matches(text: Column, pattern: str) -> Column:

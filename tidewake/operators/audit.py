@@ -29,11 +29,11 @@ INCLUDE = r'(?m)^\s*#include\s*[<"]([^>"]+)[>"]'
 def file_sizes(files: DataFrame) -> DataFrame:
     """path, language, code, comment, blank, branches per file."""
     rows = files.withColumn("language", tx.language_of(F.col("path")))
-    kinds = F.when(F.col("language") == "python", tx.line_kinds(F.col("text"), "python"))
+    counts = F.when(F.col("language") == "python", tx.line_counts(F.col("text"), "python"))
     for language in ("cpp", "shell", "yaml"):
-        kinds = kinds.when(F.col("language") == language, tx.line_kinds(F.col("text"), language))
-    rows = rows.withColumn("kinds", kinds.otherwise(tx.line_kinds(F.col("text"), "other")))
-    return rows.select("path", "language", *(tx.count_of(F.col("kinds"), k).alias(k) for k in ("code", "comment", "blank")), tx.branch_tokens(F.col("text"), BRANCHES).alias("branches"))
+        counts = counts.when(F.col("language") == language, tx.line_counts(F.col("text"), language))
+    rows = rows.withColumn("lines", counts.otherwise(tx.line_counts(F.col("text"), "other")))
+    return rows.select("path", "language", (F.col("lines.n") - F.col("lines.comment") - F.col("lines.blank")).alias("code"), "lines.comment", "lines.blank", tx.branch_tokens(F.col("text"), BRANCHES).alias("branches"))
 
 
 def risk_score(code: Column, longest: Column, nest: Column, branches: Column, comment: Column) -> Column:
@@ -119,10 +119,10 @@ def spans_of(text: str, language: str) -> list[tuple[str, int, int, int]]:
     """(name, first line, lines, deepest nesting) of the functions of one file."""
     rows, out = text.split("\n"), []
     if language == "python":
-        heads = [(i, m) for i, line in enumerate(rows) if (m := _PY_DEF.match(line))]
+        heads = [(i, m) for i, line in enumerate(rows) if "def" in line and (m := _PY_DEF.match(line))]
         for n, (i, m) in enumerate(heads):
             end = heads[n + 1][0] if n + 1 < len(heads) else len(rows)
-            body = [line for line in rows[i + 1 : end] if line.strip()]
+            body = [line for line in set(rows[i + 1 : end]) if line.strip()]
             deep = max([(len(x) - len(x.lstrip())) // 4 for x in body] or [0]) - len(m[1]) // 4
             out.append((m[2], i + 1, end - i, max(0, deep)))
     elif language == "cpp":
