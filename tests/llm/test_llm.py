@@ -196,6 +196,18 @@ def test_groups_around_a_pivot_meet_exactly(spark):
         assert all(len(k) > most for k in keys.values()) and (most > 5 or keys)
 
 
+def test_members_around_a_pivot_that_are_unlike_make_no_pairs(spark):
+    """Each lacks other 40 of the pivot's 100 units: all meet on a prefix, none is linked to another, so few pairs may be written, not all 19,900."""
+    rng = random.Random(7)
+    base = sorted(rng.sample(range(1 << 32), 100))
+    sets = [base, *(sorted(rng.sample(base, 60)) for _ in range(200))]
+    sets.append(sorted(sets[1][:-1] + [rng.randrange(1 << 32)]))  # like one of them
+    units = spark.createDataFrame([(i, bytearray(np.array(sorted(s), np.uint32).tobytes())) for i, s in enumerate(sets)], "node long, units binary")
+    around = spark.createDataFrame([(i, 0, i) for i in range(len(sets))], "doc long, p long, c long")
+    pairs = {frozenset((r.a, r.b)) for r in dartminhash._met(around, units, 0.8, 512).collect()}
+    assert frozenset((1, 201)) in pairs and len(pairs) < 200
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark):
     text = "a b c d e f g"
     rows = [(None, text), (1, text), (1, text), (2, text), (2, "quite another text of some words"), (None, "p q r s t u"), (None, "p q r s t u"), (None, None)]

@@ -16,7 +16,8 @@ the symmetric difference of D(x) and D(y), so that a linked pair shares
 (|D(x)| - s |x| + |D(y)| - s |y|) / 2 of D at least, with s = (1 - t) / (1 + t). Pairs of which that
 isn't positive are linked to p both. For the others it bounds from below how far into D(x), in an order
 that all share, the first common element lies, and only those prefixes are joined. The order begins with
-what p lacks, where edits differ most. Pairs inside a component are never written out.
+what p lacks, where edits differ most. Of what meets there, pairs are only written out if counts of D by
+hash, which bound from above what two of them share, allow for as much. Pairs inside a component never are.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from tidewake.llm.shingles import U64, mix, shingle_counts, shingle_units
 
 GAP, COORDINATE, GOLDEN, WEIGHT = U64(0xD1B54A32D192ED03), U64(0x8CB92BA72F3D8DD7), U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 UNITS = 1.0 / 2**64
+CELLS = 256  # counts by hash of a set D
 PART = 1 << 17  # units of the sets that meet around a pivot in one task
 
 
@@ -181,7 +183,7 @@ def _open(members: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(mixed, "key").select("doc", "p", "c").distinct()
 
 
-DEALT = "p long, part int, doc long, c long, near boolean, slack double, units array<long>, left array<int>"
+DEALT = "p long, part int, doc long, c long, near boolean, slack double, counts binary, units array<long>, left array<int>"
 
 
 def _met(around: DataFrame, units: DataFrame, threshold: float, most: int) -> DataFrame:
@@ -206,11 +208,13 @@ def _met(around: DataFrame, units: DataFrame, threshold: float, most: int) -> Da
                 first = apart[: max(0, len(apart) - need + 1)]
                 left = len(apart) - np.arange(len(first), dtype=np.int32)
                 part = (mix(first.astype(np.uint64)) % U64(parts)).astype(np.int32)
+                cells = np.bincount((mix(apart.astype(np.uint64)) >> U64(56)).astype(np.int64), minlength=CELLS)
+                counts = np.minimum(cells, 65535).astype(np.uint16).tobytes()
                 for k in np.unique(part).tolist():
                     mine = part == k
-                    for name, value in zip(rows, (p, k, doc, c, near, slack, first[mine], left[mine])):
+                    for name, value in zip(rows, (p, k, doc, c, near, slack, counts, first[mine], left[mine])):
                         rows[name].append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], names=list(rows))
 
     def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +230,7 @@ def _met(around: DataFrame, units: DataFrame, threshold: float, most: int) -> Da
 
         for batch in batches:
             members, keys = [], []
-            for doc, c, near, slack, units_, left in zip(*(batch.column(k).to_pylist() for k in ("doc", "c", "near", "slack", "units", "left"))):
+            for doc, c, near, slack, counts, units_, left in zip(*(batch.column(k).to_pylist() for k in ("doc", "c", "near", "slack", "counts", "units", "left"))):
                 number = None
                 for unit, rest in zip(units_, left):
                     if unit in hot:
@@ -235,7 +239,7 @@ def _met(around: DataFrame, units: DataFrame, threshold: float, most: int) -> Da
                         continue
                     if number is None:
                         number = len(rows)
-                        rows.append((doc, c, near, slack))
+                        rows.append((doc, c, near, slack, counts))
                     holders = at.setdefault(unit, [])
                     holders.append((number, rest))
                     if len(holders) > most:
@@ -247,8 +251,17 @@ def _met(around: DataFrame, units: DataFrame, threshold: float, most: int) -> Da
                 yield out(members, None, keys)
         if not rows:
             return
-        doc, c, near, slack = (np.array(x) for x in zip(*rows))
-        seen: list[np.ndarray] = []
+        doc, c, near, slack, counts = zip(*rows)
+        doc, c, near, slack, counts = np.array(doc), np.array(c), np.array(near), np.array(slack), np.frombuffer(b"".join(counts), np.uint16).reshape(-1, CELLS)
+        full = counts.max(axis=1) == 65535  # its counts are no bound
+        seen = [np.zeros(0, np.int64)]
+
+        def alike(pairs: np.ndarray) -> np.ndarray:
+            """Of the pairs those whose counts allow for as many common elements of D as linked ones have."""
+            x, y = pairs // len(rows), pairs % len(rows)
+            common = [np.minimum(counts[x[i : i + 8192]], counts[y[i : i + 8192]]).sum(axis=1, dtype=np.int64) for i in range(0, len(pairs), 8192)]
+            return pairs[(np.concatenate([np.zeros(0, np.int64), *common]) + 1e-6 >= (slack[x] + slack[y]) / 2) | full[x] & full[y]]
+
         for holders in at.values():
             if len(holders) > 1:
                 i, rest = (np.array(x) for x in zip(*holders))
@@ -257,10 +270,10 @@ def _met(around: DataFrame, units: DataFrame, threshold: float, most: int) -> Da
                 x, y = np.nonzero(good)
                 if len(x):
                     seen.append(i[x] * len(rows) + i[y])
-                    if sum(map(len, seen)) > 1 << 20:
-                        seen = [np.unique(np.concatenate(seen))]
-        if seen:
-            pairs = np.unique(np.concatenate(seen))
+                    if sum(map(len, seen[1:])) > 1 << 20:  # the first ones have been looked at
+                        seen = [np.union1d(seen[0], alike(np.setdiff1d(np.concatenate(seen[1:]), seen[0])))]
+        pairs = np.union1d(seen[0], alike(np.setdiff1d(np.concatenate(seen[1:]), seen[0]))) if len(seen) > 1 else seen[0]
+        if len(pairs):
             yield out(doc[pairs // len(rows)], doc[pairs % len(rows)], None)
 
     both = _with_units(around.join(parts, "p"), units, "doc", "p").select("p", "doc", "c", "pc", "parts", "x", "y")
