@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from contextlib import contextmanager
 
 import duckdb
 import numpy as np
@@ -399,6 +400,26 @@ def test_search_by_parts_of_a_list_and_from_a_narrower_search(spark):
         assert np.mean([len(mine[q] & set(t)) / 10 for q, t in true.items()]) >= least
 
 
+def test_a_hop_joins_a_row_for_each_open_node(spark, monkeypatch):
+    """However many places a node's neighbours lie in, it has one row of links; what is found doesn't depend on places."""
+    x = np.random.default_rng(9).normal(size=(200, 12))
+    nodes = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "rep long, vec array<double>")
+    edges = [(i, int(j), float(x[i] @ x[j])) for i in range(200) for j in np.argsort(-(x @ x[i]))[:13].tolist() if i != j]
+    graph, queries, rows, kept = spark.createDataFrame(edges, nndescent.EDGES), nodes.filter("rep % 40 = 0"), [], nndescent.bucketed
+
+    @contextmanager
+    def counted(df, key):
+        with kept(df, key) as out:
+            rows.append((key, out.count(), out.select(key).distinct().count()))
+            yield out
+
+    monkeypatch.setattr(nndescent, "bucketed", counted)
+    few, many = ({(r.query, r.node): r.score for r in nndescent.search(nodes, graph, queries, width=30, block=b).collect()} for b in (4096, 8))
+    assert few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-12 for k in few)
+    assert [n == distinct for key, n, distinct in rows if key == "node"] == [True, True]
+    assert [distinct for key, _, distinct in rows if key == "area"][1] > 8
+
+
 def test_flat_graph_against_brute_force(spark):
     table, x = vectors_of(spark)
     got = {r.vec_id: r for r in flatgraph.near_vectors(table.withColumn("node", F.lit(1))).collect()}

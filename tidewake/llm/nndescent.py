@@ -16,7 +16,7 @@ arrays of bounded length in one row, nearest first, so that what concerns one li
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +83,11 @@ def _lists(edges: DataFrame, key: str, other: str, name: str) -> DataFrame:
     return edges.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("away"), F.col(other).alias(other)))).alias(name))
 
 
+def _bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """The array ``made`` of ``value``, which is computed once a row even where it is used inside another lambda."""
+    return F.flatten(F.transform(F.array(value), made))
+
+
 def _drawn(new: bool, sample: int, turn: int) -> Column:
     """At most ``sample`` new or old neighbours of a node; the draw differs by round, so all get their turn."""
     fit = F.filter("near", lambda x: x["new"] == F.lit(new))
@@ -188,8 +193,9 @@ def neighbour_graph(nodes: DataFrame, *, degree: int = 32, sample: int = 14, tre
         wanted = lists.select(F.col("cell").alias("place"), F.explode("mates.of").alias("listed")).distinct().join(held, "listed").select("place", "listed", "vec", "worst")
         offers = lists.groupBy("cell").cogroup(wanted.groupBy("place")).applyInArrow(compare, EDGES)
         offered = _lists(_best(offers.groupBy("node", "nbr").agg(F.max("score").alias("score")), degree), "node", "nbr", "offered")
-        used = graph.withColumn("used", drawn[True]).withColumn("near", F.transform("near", lambda x: F.struct(x["away"].alias("away"), x["nbr"].alias("nbr"), (x["new"] & ~F.array_contains("used", x["nbr"])).alias("new"))))
-        fresh = F.transform(F.filter("offered", lambda x: ~F.array_contains("near.nbr", x["nbr"])), lambda x: F.struct(x["away"].alias("away"), x["nbr"].alias("nbr"), F.lit(True).alias("new")))
+        used = graph.withColumn("near", _bound(drawn[True], lambda used: F.transform("near", lambda x: F.struct(x["away"].alias("away"), x["nbr"].alias("nbr"), (x["new"] & ~F.array_contains(used, x["nbr"])).alias("new")))))
+        unlisted = _bound(F.col("near.nbr"), lambda known: F.filter("offered", lambda x: ~F.array_contains(known, x["nbr"])))
+        fresh = F.transform(unlisted, lambda x: F.struct(x["away"].alias("away"), x["nbr"].alias("nbr"), F.lit(True).alias("new")))
         merged = used.join(offered, "node", "left").withColumn("fresh", fresh)
         best = F.when(F.col("offered").isNull(), F.col("near")).otherwise(F.slice(F.sort_array(F.concat("near", "fresh")), 1, degree))
         merged = merged.select("node", "cell", best.alias("near"), F.coalesce("fresh.nbr", F.array().cast("array<bigint>")).alias("came"))
@@ -201,6 +207,25 @@ def neighbour_graph(nodes: DataFrame, *, degree: int = 32, sample: int = 14, tre
     return graph.select("node", F.explode("near").alias("x")).select("node", F.col("x.nbr").alias("nbr"), (-F.col("x.away")).alias("score"))
 
 
+def _unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each query and place with the candidates ``nbrs`` that lie there (their ``areas``) and aren't ``known`` yet, each once."""
+    for batch in batches:
+        of, places, nodes = [], [], []
+        for i, (known, areas, nbrs) in enumerate(zip(*(batch.column(c) for c in ("known", "areas", "nbrs")))):
+            names, first = np.unique(nbrs.values.to_numpy(), return_index=True)
+            where = areas.values.to_numpy()[first]
+            fresh = np.isin(names, known.values.to_numpy(), invert=True)
+            names, where = names[fresh], where[fresh]
+            by = np.argsort(where, kind="stable")
+            begin = np.flatnonzero(np.diff(where[by], prepend=-1))
+            of += [i] * len(begin)
+            places.append(where[by][begin])
+            nodes += np.split(names[by], begin[1:]) if len(begin) else []
+        if of:
+            rows = batch.take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places)), *(rows.column(c) for c in ("query", "query_vec", "least")), pa.array(nodes, pa.list_(pa.int64()))], names=["area", "query", "query_vec", "least", "nodes"])
+
+
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, start: DataFrame | None = None, width: int = 400, expand: int = 400, block: int = 4096, seed: int = 7) -> DataFrame:
     """(query, node, score): the best ``width`` nodes that greedy search finds for each of ``queries`` (rep), itself left out.
 
@@ -210,7 +235,8 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, start: Dat
     narrower search to go on from; without it a query begins with the neighbours of its own node.
     """
     placed = _placed(nodes, nodes.count(), {"area": block}, seed + 2)
-    links = graph.join(placed.select(F.col("node").alias("nbr"), "area"), "nbr").groupBy("node", "area").agg(F.collect_list("nbr").alias("nbrs"))
+    # a row a node, wherever its neighbours lie: else a hop would make a row for each place of each open node
+    links = graph.join(placed.select(F.col("node").alias("nbr"), "area"), "nbr").groupBy("node").agg(F.collect_list(F.struct("area", "nbr")).alias("ends")).select("node", F.col("ends.area").alias("areas"), F.col("ends.nbr").alias("nbrs"))
     begun = start if start is not None else graph.select(F.col("node").alias("query"), F.col("nbr").alias("node"), "score")
     listed = lambda rows, done: F.transform(rows, lambda x: F.struct(x["away"].alias("away"), x["node"].alias("node"), F.lit(done).alias("done")))
     best = lambda rows: F.slice(F.sort_array(rows), 1, width)
@@ -238,10 +264,10 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, start: Dat
             # of the open nodes of a list the first are expanded; all before the last of them are done then
             step = state.withColumn("open", F.slice(F.filter("list", lambda x: ~x["done"]), 1, expand))
             least = F.when(F.size("list") < width, F.lit(-math.inf)).otherwise(-F.element_at("list", -1)["away"])
-            near = step.select("query", F.explode("open.node").alias("node")).join(adjacency, "node").select("query", "area", "nbrs")
-            near = near.repartition("query").groupBy("query", "area").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nodes"))
-            unseen = near.join(state.select("query", "query_vec", least.alias("least"), F.concat("list.node", F.array("query")).alias("known")), "query")
-            unseen = unseen.withColumn("nodes", F.array_except("nodes", "known")).filter(F.size("nodes") > 0).select("area", "query", "query_vec", "least", "nodes")
+            near = step.select("query", F.explode("open.node").alias("node")).join(adjacency, "node").select("query", "areas", "nbrs")
+            near = near.repartition("query").groupBy("query").agg(F.flatten(F.collect_list("areas")).alias("areas"), F.flatten(F.collect_list("nbrs")).alias("nbrs"))
+            asking = near.join(state.select("query", "query_vec", least.alias("least"), F.concat("list.node", F.array("query")).alias("known")), "query")
+            unseen = asking.select("query", "query_vec", "least", "known", "areas", "nbrs").mapInArrow(_unseen, "area long, query long, query_vec array<double>, least double, nodes array<long>")
             found = unseen.groupBy("area").cogroup(stored.groupBy("area")).applyInArrow(score, "query long, node long, score double")
             last = F.when(F.size("open") > 0, F.element_at("open", -1))
             mark = lambda x: x["done"] | F.coalesce(F.struct(x["away"], x["node"]) <= F.struct(F.col("last.away"), F.col("last.node")), F.lit(False))
