@@ -355,6 +355,35 @@ def test_scores_do_not_depend_on_tasks(spark):
     assert (np.abs(learnt - 0.3) > 0.01).mean() > 0.6
 
 
+def test_weights_are_learnt_from_all_texts(spark):
+    """Beyond the draw, too: the table has each decision of all texts once, weights depend on all of them and not on tasks."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices(["Tide", "wakes", "over", "grey", "stones", "\u00fcber"], k=rng.randint(0, 30))) for _ in range(60)] + ["", None, "tide " * 90]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    low = [(t or "").encode().lower() for t in texts]
+    decisions = sum(int(contextmix.SIZES[list(t) + [contextmix.END]].sum()) for t in low)
+    assert sum(map(len, low)) > 16 * 300
+    one, many = (contextmix.train(docs.repartition(n), 8, draw=300, step=100).learnt for n in (1, 7))
+    assert one[1][1].sum() == many[1][1].sum() == decisions
+    assert np.allclose(one[0], many[0], atol=1e-9) and np.allclose(one[1], many[1])
+    less = contextmix.train(docs.filter("doc_id <> 62"), 8, draw=300, step=100).learnt
+    assert one[1][1].sum() - less[1][1].sum() == contextmix.SIZES[list(low[62]) + [contextmix.END]].sum()
+    assert np.abs(one[0] - less[0]).max() > 1e-4
+
+
+def test_counts_less_the_occurrence_itself():
+    mixer = contextmix.Mixer()
+    mixer.count([b"abracadabra abba", b"cab", b"abra"])
+    mixer.freeze()
+    cases = contextmix.Distinct([b"abra", b"cab"])
+    mixer.look(cases, [(mixer.keys, mixer.counts)], weigh=False, own=1)
+    for i, (gram, first) in enumerate(zip(cases.grams, mixer.first)):
+        counts = mixer.counts - (mixer.keys == gram)
+        same, other, _ = contextmix.path_counts(cases.grams[i : i + 1], [(mixer.keys, counts)])
+        n = contextmix.SIZES[int(gram) & 511]
+        assert np.allclose(mixer.odds[first : first + n], np.log((same[:n] + 0.05) / (other[:n] + 0.05)), atol=1e-5)
+
+
 def test_context_mixing_without_a_text_to_draw(spark):
     long = spark.createDataFrame([(i, "tide " * 300) for i in range(20)], "doc_id long, text string")
     rows = contextmix.score(long, draw=1000).collect()  # each text is longer than the draw: weights stay at their start

@@ -9,9 +9,11 @@ sum per node of the tree. The table is used for half of the final probability.
 
 Grams are counted over all texts to learn from, in parts by hash that grow with the corpus; only those of frequent contexts
 are broadcast. For the others a batch of texts asks each part, and is scored where the answers meet. The
-weights (48 numbers) and the table are learnt online, step by step over a draw of at most DRAW bytes of these texts: each
-step is predicted with all counts less its own, and then corrects the weights. So they depend neither on tasks nor on
-the order of rows.
+weights (48 numbers) and the table are learnt online over all these texts, each once, in the order of their hashes. The first
+about DRAW bytes are learnt in small steps: each is predicted with all counts less its own, and then corrects the weights. Then
+steps grow to rounds, each GROWTH times all before it: their batches are predicted in parallel with all counts less the
+predicted occurrence's own, and what they would correct is added up before it is applied. So weights and table depend
+neither on tasks nor on the order of rows.
 
 Equal decisions in equal contexts are computed once a batch.
 """
@@ -27,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.llm.common import doc_crc_mod, small_batches, texts_of, written
@@ -35,8 +37,9 @@ from tidewake.llm.shingles import U64, WHITE, _powers, mix, word_hashes
 
 END, PAD, ORDERS = 256, 4, 4  # contexts: 1, 2 and 4 symbols, the word so far
 GATES, STEPS = 12, 24
-BATCH = 1 << 21  # bytes of text that are counted, or scored, at once
-DRAW, STEP_BYTES = 1 << 21, 1 << 14  # bytes of texts that weights are learnt from, and those of a step
+BATCH = 15 << 18  # bytes of text that are counted, or scored, at once
+DRAW, STEP_BYTES = 1 << 21, 1 << 14  # bytes of texts that weights are learnt from in small steps, and those of a step
+GROWTH = 16  # all texts of a round and before it are so many times those before it
 PART_BYTES = 24 << 20  # bytes of text for each part of the counts
 SYMBOL = U64(511)  # a gram is 55 bits of its context's hash and 9 of its symbol
 KEPT = 4_000_000  # grams that a task holds before it hands them on
@@ -75,6 +78,21 @@ STEP = NODES * 2 + BITS  # node and bit of each decision as one number
 GATE = np.minimum(np.log2(np.arange(1 << 12) + 1), GATES - 1).astype(np.uint8)
 
 
+def _last_four(sym: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The four symbols before each of ``at``, nine bits each, the last lowest."""
+    out = sym[at - 4].astype(U64)
+    for k in (3, 2, 1):
+        out <<= U64(9)
+        out |= sym[at - k]
+    return out
+
+
+def _word_so_far(summed: np.ndarray, begun: np.ndarray, back: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+    """Hashes of the symbols from the last gap (``begun``) to each of ``at``."""
+    start = begun[at]
+    return (summed[at] - summed[start]) * back[start]
+
+
 class Distinct:
     """The distinct (context, symbol) cases of a batch: context hashes, symbols, how often each occurs, and where."""
 
@@ -87,40 +105,61 @@ class Distinct:
         sym[pads] = sym[starts + sizes] = END
         text = np.ones(len(sym), bool)
         text[pads] = False
-        wide = sym.astype(U64)
-        last = np.zeros((ORDERS, len(sym)), U64)
-        packed = np.zeros(len(sym), U64)
-        for k in range(1, 5):
-            packed[k:] |= wide[:-k] << U64(9 * (k - 1))
-            if k in (1, 2, 4):
-                last[k // 2] = packed
         gap = np.ones(END + 1, bool)
         gap[:END] = WHITE
+        base, inverse = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
         # the word so far: from the last gap to here, by differences of one running sum
         summed = np.zeros(len(sym) + 1, U64)
-        np.cumsum((wide + U64(1)) * _powers(0x5851F42D4C957F2D, len(sym)), out=summed[1:])
-        begun = np.where(gap[sym], np.arange(len(sym)) + 1, 0)
-        begun = np.concatenate(([0], np.maximum.accumulate(begun)[:-1]))
-        last[3] = (summed[:-1] - summed[begun]) * _powers(pow(0x5851F42D4C957F2D, -1, 1 << 64), len(sym))[begun]
+        np.multiply(sym + U64(1), _powers(base, len(sym)), out=summed[1:])
+        np.cumsum(summed[1:], out=summed[1:])
+        begun = np.zeros(len(sym) + 1, np.int32)
+        np.multiply(gap[sym], np.arange(1, len(sym) + 1, dtype=np.int32), out=begun[1:])
+        np.maximum.accumulate(begun, out=begun)
+        back, key = _powers(inverse, len(sym)), np.empty(len(sym), U64)
+        for lo in range(PAD, len(sym), 1 << 15):  # blocks that stay in the processor's cache
+            at = slice(lo, min(lo + (1 << 15), len(sym)))
+            k = _last_four(sym, np.arange(at.start, at.stop)) * ODD
+            k += sym[at]
+            k = mix(k)
+            k += _word_so_far(summed, begun, back, at)
+            key[at] = mix(k)
         scored = np.flatnonzero(text)
-        key = mix(mix(last[2] * ODD + wide) + last[3])[scored]
         bits = max(1, len(scored).bit_length())
-        order = (key >> U64(bits) << U64(bits)) | np.arange(len(scored), dtype=U64)
+        order = key[scored] >> U64(bits) << U64(bits)
+        del key
+        order |= np.arange(len(scored), dtype=U64)
         order.sort()
-        self.where = (order & U64((1 << bits) - 1)).astype(np.int64)
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (order[1:] >> U64(bits)) != (order[:-1] >> U64(bits))
-        first = np.flatnonzero(fresh)
+        self.where = (order & U64((1 << bits) - 1)).astype(np.int32)
+        order >>= U64(bits)
+        first = np.flatnonzero(np.append(True, order[1:] != order[:-1]))[: len(order)]
         self.times = np.diff(np.append(first, len(order)))
         here = scored[self.where[first]]
         self.symbols = sym[here].astype(np.int64)
-        self.contexts = [mix(last[k][here] + np.uint64((k + 1) * int(ODD) & (2**64 - 1))) for k in range(ORDERS)]
+        four = _last_four(sym, here)
+        last = [four & U64(511), four & U64((1 << 18) - 1), four, _word_so_far(summed, begun, back, here)]
+        self.contexts = [mix(x + np.uint64((k + 1) * int(ODD) & (2**64 - 1))) for k, x in enumerate(last)]
         self.ends = np.cumsum(sizes + 1)
 
     @cached_property
     def _unique(self) -> tuple[np.ndarray, np.ndarray]:
-        grams, place = np.unique(np.concatenate([c & ~SYMBOL | self.symbols.astype(U64) for c in self.contexts]), return_inverse=True)
-        return grams, place.reshape(ORDERS, -1)
+        # orders have no grams in common: each is sorted by hash with its cases' numbers in the low bits
+        n, bits = len(self.symbols), U64(max(1, len(self.symbols).bit_length()))
+        firsts, places, met = [], np.empty((ORDERS, n), np.int64), 0
+        for k, c in enumerate(self.contexts):
+            gram = c & ~SYMBOL | self.symbols.astype(U64)
+            order = mix(gram) >> bits << bits | np.arange(n, dtype=U64)
+            order.sort()
+            case = (order & ((U64(1) << bits) - U64(1))).astype(np.int64)
+            order >>= bits
+            fresh = np.append(True, order[1:] != order[:-1])[:n]
+            places[k, case] = np.cumsum(fresh) + (met - 1)
+            firsts.append(gram[case[fresh]])
+            met += len(firsts[-1])
+        grams = np.concatenate(firsts)
+        order = np.argsort(grams)
+        rank = np.empty(len(grams), np.int64)
+        rank[order] = np.arange(len(grams))
+        return grams[order], rank[places]
 
     @property
     def grams(self) -> np.ndarray:
@@ -183,7 +222,10 @@ def path_counts(grams: np.ndarray, counted: list[Counted], block: int = 1 << 15)
         for i in range(0, len(todo), block):
             which = todo[i : i + block]
             g = grams[which]
-            lo, hi = np.searchsorted(keys, g & ~SYMBOL), np.searchsorted(keys, g | SYMBOL, side="right")
+            context = g & ~SYMBOL
+            begin = np.flatnonzero(np.append(True, context[1:] != context[:-1]))  # grams that meet share their context
+            run = np.diff(np.append(begin, len(g)))
+            lo, hi = np.repeat(np.searchsorted(keys, context[begin]), run), np.repeat(np.searchsorted(keys, context[begin] | SYMBOL, side="right"), run)
             here[i : i + block] = hi > lo
             at, base = _ranges(lo, hi - lo), first[which[0]]
             cell = np.repeat(first[which] - base, hi - lo) + SHARED[np.repeat((g & SYMBOL).astype(np.int64), hi - lo), (keys[at] & SYMBOL).astype(np.int64)]
@@ -220,13 +262,18 @@ class Mixer:
         got, self.keys, self.counts = (self.keys, self.counts), np.empty(0, U64), np.empty(0, np.int64)
         return got
 
-    def look(self, cases: Distinct, counted: list[Counted], weigh: bool = True) -> None:
-        """Log odds of the ways that the symbols take, gates, and weighted odds if asked for, of all places of the cases' grams."""
+    def look(self, cases: Distinct, counted: list[Counted], weigh: bool = True, own: int = 0) -> None:
+        """Log odds of the ways that the symbols take, gates, and weighted odds if asked for, of all places of the cases' grams.
+
+        ``own`` occurrences of each gram are left out of its counts.
+        """
         same, other, self.first = path_counts(cases.grams, counted)
+        if own:
+            np.maximum(np.subtract(same, own, out=same), 0, out=same)
         self.gates = GATE[np.minimum(same + other, len(GATE) - 1).astype(np.int16)]
         self.odds = np.log((same + 0.05).astype(np.float32) / (other + 0.05).astype(np.float32))
         if weigh:
-            order = np.repeat(cases.order_of.astype(np.int64) * GATES, np.diff(np.append(self.first, len(same))))
+            order = np.repeat(cases.order_of.astype(np.int16) * np.int16(GATES), np.diff(np.append(self.first, len(same))))
             order += self.gates
             self.weighted = self.weights.astype(np.float32).ravel()[order] * self.odds
 
@@ -253,16 +300,24 @@ class Mixer:
     def adapt(self, cases: Distinct, counted: list[Counted]) -> None:
         """Corrects weights and table by how ``counted`` predicts the cases."""
         self.look(cases, counted, weigh=False)
+        for found in self.errors(cases):
+            self.correct(*found)
+
+    def errors(self, cases: Distinct) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For pieces of the cases: sums of the errors' slopes and numbers of decisions by order and gate, and ones and all by cell of the table."""
         for case, node, bit, places in cases.decisions(self.first):
             times = cases.times[case]
             odds, gates = [self.odds[at] for at in places], [self.gates[at] for at in places]
             _, p, cell = self.predict(sum(w.astype(np.float32)[g] * o for w, g, o in zip(self.weights, gates, odds)), node, bit)
-            error, n = (bit - p) * times, times.sum()
-            toward = error * (2 * bit - 1)
-            pace = 0.4 / (1 + self.seen / 2e7) ** 0.5
-            for k, gate in enumerate(gates):
-                self.weights[k] += pace * np.bincount(gate, toward * odds[k], GATES) / (np.bincount(gate, times, GATES) + 0.01 * n)
-            self.refined += [np.bincount(cell, times * bit, END * STEPS), np.bincount(cell, times, END * STEPS)]
+            toward = (bit - p) * times * (2 * bit - 1)
+            slopes = np.array([np.bincount(gate, toward * o, GATES) for gate, o in zip(gates, odds)])
+            yield slopes, np.array([np.bincount(gate, times, GATES) for gate in gates]), np.array([np.bincount(cell, times * bit, END * STEPS), np.bincount(cell, times, END * STEPS)])
+
+    def correct(self, slopes: np.ndarray, met: np.ndarray, cells: np.ndarray) -> None:
+        n = met[0].sum()
+        if n:
+            self.weights = self.weights + 0.4 / (1 + self.seen / 2e7) ** 0.5 * slopes / (met + 0.01 * n)
+            self.refined += cells
             self.seen += float(n)
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
@@ -298,19 +353,23 @@ def unpacked_keys(x: bytes) -> np.ndarray:
     return np.cumsum(unpacked(x), dtype=U64)
 
 
-def filled(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in batches of nearly ``most`` text bytes, where rows are small enough."""
-    held, size = [], 0
-    for batch in small_batches(batches, column, most):
-        n = int(pc.sum(pc.binary_length(batch.column(column))).as_py() or 0)
-        if held and size + n > most:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-        if batch.num_rows:
-            held.append(batch)
-            size += n
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+def filled(batches: Iterator[pa.RecordBatch], column: str, most: int, by: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of nearly ``most`` text bytes, where rows are small enough, and of one value of ``by``."""
+    held: dict[int | None, list[pa.RecordBatch]] = {}
+    size: dict[int | None, int] = {}
+    whole = lambda key: pa.Table.from_batches(held.pop(key)).combine_chunks().to_batches()[0]
+    for some in small_batches(batches, column, most):
+        keys = pc.unique(some.column(by)).to_pylist() if by else [None]
+        for key in keys:
+            batch = some.filter(pc.equal(some.column(by), key)) if len(keys) > 1 else some
+            n = int(pc.sum(pc.binary_length(batch.column(column))).as_py() or 0)
+            if key in held and size[key] + n > most:
+                yield whole(key)
+            if batch.num_rows:
+                size[key] = size[key] + n if key in held else n
+                held.setdefault(key, []).append(batch)
+    for key in list(held):
+        yield whole(key)
 
 
 def _merged(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -426,14 +485,14 @@ class Model:
 
 
 class Trained:
-    """What ``train`` has made of some texts: the broadcast model, the learnt weights and table, totals, and the counts of all words (part, a, b, n) and grams (part, a, b), packed by part."""
+    """What ``train`` has made of some texts: the broadcast model, the learnt weights and table, totals, the counts of all words (part, a, b, n) and grams (part, a, b), packed by part, and what the texts ask (SCORED)."""
 
-    def __init__(self, shared: Broadcast, learnt: tuple[np.ndarray, np.ndarray], tokens: int, types: int, words: DataFrame, grams: DataFrame):
-        self.shared, self.learnt, self.tokens, self.types, self.words, self.grams = shared, learnt, tokens, types, words, grams
+    def __init__(self, shared: Broadcast, learnt: tuple[np.ndarray, np.ndarray], tokens: int, types: int, words: DataFrame, grams: DataFrame, asked: DataFrame):
+        self.shared, self.learnt, self.tokens, self.types, self.words, self.grams, self.asked = shared, learnt, tokens, types, words, grams, asked
 
 
 def train(docs: DataFrame, parts: int, draw: int = DRAW, step: int = STEP_BYTES) -> Trained:
-    """The model of the texts of ``docs`` in ``parts`` parts; its weights are learnt from ``draw`` bytes, ``step`` at a time."""
+    """The model of the texts of ``docs`` in ``parts`` parts; its weights are learnt from about ``draw`` bytes, ``step`` at a time, then from all others in rounds."""
     got = written(_gather(docs, parts).groupBy("kind", "part").applyInArrow(_summed, GATHERED + ", n array<long>"), "gathered")
     totals = [np.frombuffer(r.a, np.int64) for r in got.filter("kind = 'totals'").select("a").collect()]  # 64 short rows at most
     texts, tokens, symbols = (int(sum(t[i] for t in totals)) for i in (0, 1, 2))
@@ -474,13 +533,29 @@ def train(docs: DataFrame, parts: int, draw: int = DRAW, step: int = STEP_BYTES)
         mixer.keys, mixer.counts = _merged([unpacked_keys(r.a) for r in rows], [unpacked(r.b) for r in rows])
 
     types = int(words.agg(F.coalesce(F.sum(F.get("n", F.lit(0))), F.lit(0)).alias("n")).first().n) + (texts > 0)
-    learnt = mixer.weights, mixer.refined
     # sent once: the weights, which are learnt with it, follow by themselves
     shared = docs.sparkSession.sparkContext.broadcast(Model(mixer, head[order], counts[order], texts, tokens, types))
     del mixer, head, counts, rows
-    if symbols:
-        learnt = _learn_weights(docs, shared, grams, parts, symbols, draw, step) or learnt
-    return Trained(shared, learnt, tokens, types, words, grams)
+    rounds = 0
+    while symbols > draw * GROWTH**rounds:
+        rounds += 1
+    dealt = docs.withColumn("_round", _round(draw / max(1, symbols), rounds, draw))
+    asked = written(_asked(dealt.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(False).alias("held_out"), "_round"), shared, parts), "asked")
+    learnt = _opening(dealt.filter("_round = 0"), shared, grams, parts, step)
+    for r in range(1, rounds + 1):
+        _learn_round(asked.filter(F.col("place") == r), shared, grams, learnt)
+    return Trained(shared, (learnt.weights, learnt.refined), tokens, types, words, grams, asked)
+
+
+def _round(share: float, rounds: int, longest: int) -> Column:
+    """The round that learns a text: 0 for ``share`` of the hashes and texts of at most ``longest`` bytes, then the shares grow."""
+    hashed = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
+    if not rounds:
+        return F.lit(0)
+    out = F.when((hashed < share) & (F.coalesce(F.octet_length("text"), F.lit(0)) <= longest), 0)
+    for r in range(1, rounds):
+        out = out.when(hashed < share * GROWTH**r, r)
+    return out.otherwise(rounds)
 
 
 def _less(counted: Counted, own: Counted) -> Counted:
@@ -548,17 +623,14 @@ def _answered(cases: Distinct, broad: np.ndarray, answers: pa.Table) -> Counted:
     return np.repeat(rare, n.astype(np.int64)) | symbols, times.astype(np.int64)
 
 
-def _learn_weights(docs: DataFrame, shared: Broadcast, grams: DataFrame, parts: int, symbols: int, draw: int, step: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Weights and table learnt from texts of ``draw`` bytes at most, drawn by hash, in the order of their hashes; longer texts aren't drawn. None without a text."""
-    share = min(1.0, 1.25 * draw / symbols)
+def _opening(docs: DataFrame, shared: Broadcast, grams: DataFrame, parts: int, step: int) -> Mixer:
+    """A mixer whose weights and table are learnt from the texts of ``docs``, few as round 0 has, in the order of their hashes."""
     text = F.coalesce("text", F.lit(""))
-    hashed = docs.select(text.alias("text"), F.xxhash64("doc_id", "text").alias("order")).filter(F.octet_length(text) <= draw)
-    drawn = hashed.filter(F.pmod("order", F.lit(1 << 30)) < F.lit(share * (1 << 30)))
+    hashed = docs.select(text.alias("text"), F.xxhash64("doc_id", "text").alias("order"))
 
     def pack(rows: pa.Table) -> pa.Table:
         rows = sorted(zip(rows.column("order").to_pylist(), (t.lower() for t in texts_of(rows.combine_chunks().to_batches()[0], "text"))))
-        ends = np.cumsum([len(t) for _, t in rows])
-        made = _ask_rows([t for (_, t), end in zip(rows, ends) if end <= draw] or [rows[0][1]], shared.value.broad, parts)
+        made = _ask_rows([t for _, t in rows], shared.value.broad, parts)
         kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary())
         kind, part, a, b = (pa.array([r[i] for r in made], t) for i, t in enumerate(kinds))
         return pa.table({"kind": kind, "batch": pa.array(np.zeros(len(made), np.int64)), "part": part, "a": a, "b": b})
@@ -570,12 +642,48 @@ def _learn_weights(docs: DataFrame, shared: Broadcast, grams: DataFrame, parts:
             cases = Distinct(some)
             own = cases.grams, cases.gram_times
             mixer.adapt(cases, [_less((model.mixer.keys, model.mixer.counts), own), _less(rare, own)])
-        return pa.table({"batch": pa.array([0], pa.int64()), "weights": pa.array([mixer.weights.tobytes()], pa.binary()), "refined": pa.array([mixer.refined.tobytes()], pa.binary())})
+        return pa.table({"batch": pa.array([0], pa.int64()), "weights": pa.array([mixer.weights.tobytes()], pa.binary()), "refined": pa.array([mixer.refined.tobytes()], pa.binary()), "seen": pa.array([mixer.seen])})
 
-    rows = written(drawn.groupBy(F.lit(0).alias("one")).applyInArrow(pack, ASKED), "draw")  # DRAW bytes, so one task
+    rows = written(hashed.groupBy(F.lit(0).alias("one")).applyInArrow(pack, ASKED), "draw")  # about DRAW bytes, so one task
     answers = _answers(rows.filter("kind = 'ask'"), grams)
-    got = rows.filter("kind = 'texts'").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(learn, "batch long, weights binary, refined binary").collect()
-    return next(((np.frombuffer(r.weights).reshape(ORDERS, GATES), np.frombuffer(r.refined).reshape(2, -1)) for r in got), None)  # one row at most
+    got = rows.filter("kind = 'texts'").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(learn, "batch long, weights binary, refined binary, seen double").collect()
+    out = Mixer()
+    for r in got:  # one row at most
+        out.weights, out.refined, out.seen = np.frombuffer(r.weights).reshape(ORDERS, GATES), np.frombuffer(r.refined).reshape(2, -1).copy(), r.seen
+    return out
+
+
+SUMS = ((ORDERS, GATES), (ORDERS, GATES), (2, END * STEPS))
+
+
+def _learn_round(asked: DataFrame, shared: Broadcast, grams: DataFrame, mixer: Mixer) -> None:
+    """Corrects ``mixer`` once by all texts of ``asked``; an occurrence is predicted with all counts less its own, whatever else is in its batch."""
+    weights = mixer.weights
+
+    def errors(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        model, mixer = shared.value, Mixer()
+        mixer.weights, cases = weights, Distinct(_asked_texts(texts))
+        mixer.look(cases, [(model.mixer.keys, model.mixer.counts), _answered(cases, model.broad, answers)], weigh=False, own=1)
+        total = [np.zeros(shape) for shape in SUMS]
+        for found in mixer.errors(cases):
+            for x, y in zip(total, found):
+                x += y
+        return pa.table({"some": pa.array([texts.column("batch")[0].as_py() % 61], pa.int64()), "sums": pa.array([np.concatenate([x.ravel() for x in total]).tobytes()], pa.binary())})
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, total = None, 0.0
+        for batch in batches:
+            for n, x in zip(*(batch.column(c) for c in ("some", "sums"))):
+                some, total = n.as_py(), total + np.frombuffer(x.as_py())
+        if some is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([some], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["some", "sums"])
+
+    answers = _answers(asked.filter("kind = 'ask'"), grams)
+    found = asked.filter("kind = 'texts'").select("batch", "a", "b").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(errors, "some long, sums binary")
+    total = np.zeros(sum(a * b for a, b in SUMS))
+    for r in written(found.groupBy("some").applyInArrow(added, "some long, sums binary"), "errors").orderBy("some").collect():  # 61 rows at most
+        total += np.frombuffer(r.sums)
+    mixer.correct(*(x.reshape(shape) for x, shape in zip(np.split(total, np.cumsum([a * b for a, b in SUMS])[:-1]), SUMS)))
 
 
 def _rare_contexts(cases: Distinct, broad: np.ndarray) -> np.ndarray:
@@ -591,27 +699,14 @@ def _rare_contexts(cases: Distinct, broad: np.ndarray) -> np.ndarray:
 SCORED = "kind string, batch long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, part long, a binary, b binary"
 
 
-def score(docs: DataFrame, *, folds: int = 7, held_out: int = 2, draw: int = DRAW, step: int = STEP_BYTES) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits) of every row of ``docs``.
-
-    Learns from the rows whose crc32(doc_id) modulo ``folds`` isn't ``held_out``; the score of such a row's text has its own
-    counts in it. Weights are learnt from texts of ``draw`` bytes in all, in steps of about ``step`` bytes. A null text is the
-    empty text, one end token. Words are known by 64 bits of hash. ``bits`` is
-    the whole text's code length; divide by its bytes for bits per byte. Rows that share a doc_id are
-    scored each, equal texts alike. Without rows to learn from all counts are zero. A text of any
-    length is scored whole, in a batch of its own. Other columns are ignored, whatever their names;
-    an empty table gives an empty result.
-    """
-    out_of = doc_crc_mod("doc_id", folds) == held_out
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first().n
-    parts = max(8, -(-size // PART_BYTES))
-    trained = train(docs.filter(~out_of), parts, draw, step)
-    shared, learnt, words, grams = trained.shared, trained.learnt, trained.words, trained.grams
+def _asked(docs: DataFrame, shared: Broadcast, parts: int, sign: int = 1) -> DataFrame:
+    """What the texts of ``docs`` (doc_id, text, held_out, _round) ask, in batches of one round; the round is the place of rows that aren't texts' own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, number = shared.value, TaskContext.get().partitionId() << 24
+        model, number = shared.value, (TaskContext.get().partitionId() + 1) << 24
         end = np.log10(model.texts + 1.0)
-        for batch in filled(batches, "text", BATCH):
+        for batch in filled(batches, "text", BATCH, by="_round"):
+            turn = batch.column("_round")[0].as_py()
             texts = [t.lower() for t in texts_of(batch, "text")]
             h, n = word_hashes(texts)
             place = np.repeat(np.arange(len(texts)), n)
@@ -628,19 +723,41 @@ def score(docs: DataFrame, *, folds: int = 7, held_out: int = 2, draw: int = DRA
             tails = [(p, h[i:j].tobytes(), place[i:j].tobytes()) for p, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
             none, k = pa.nulls, len(texts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(["doc"] * k, pa.string()), pa.array(np.full(k, number)), pa.array(np.arange(k, dtype=np.int32)), batch.column("doc_id"), batch.column("held_out"), pa.array(n + 1), pa.array(known), pa.array(base), none(k, pa.int64()), none(k, pa.binary()), none(k, pa.binary())],
+                [pa.array(["doc"] * k, pa.string()), pa.array(np.full(k, sign * number)), pa.array(np.arange(k, dtype=np.int32)), batch.column("doc_id"), batch.column("held_out"), pa.array(n + 1), pa.array(known), pa.array(base), none(k, pa.int64()), none(k, pa.binary()), none(k, pa.binary())],
                 names=[c.split()[0] for c in SCORED.split(", ")],
             )
             asked = _ask_rows(texts, model.broad, parts)
             kinds, tails = ["tail"] * len(tails) + [kind for kind, *_ in asked], [*tails, *(row for _, *row in asked)]
             k = len(tails)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds, pa.string()), pa.array(np.full(k, number)), none(k, pa.int32()), none(k, pa.int64()), none(k, pa.bool_()), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.float64()), *(pa.array([t[i] for t in tails], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary())))],
+                [pa.array(kinds, pa.string()), pa.array(np.full(k, sign * number)), pa.array(np.full(k, turn, np.int32)), none(k, pa.int64()), none(k, pa.bool_()), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.float64()), *(pa.array([t[i] for t in tails], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary())))],
                 names=[c.split()[0] for c in SCORED.split(", ")],
             )
             number += 1
 
-    scored = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", out_of.alias("held_out")).mapInArrow(run, SCORED), "scored")
+    return docs.mapInArrow(run, SCORED)
+
+
+def score(docs: DataFrame, *, folds: int = 7, held_out: int = 2, draw: int = DRAW, step: int = STEP_BYTES) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits) of every row of ``docs``.
+
+    Learns from the rows whose crc32(doc_id) modulo ``folds`` isn't ``held_out``; the score of such a row's text has its own
+    counts in it. Weights are learnt from all these texts: from about ``draw`` bytes in steps of about ``step`` bytes, from the others in rounds. A null text is the
+    empty text, one end token. Words are known by 64 bits of hash. ``bits`` is
+    the whole text's code length; divide by its bytes for bits per byte. Rows that share a doc_id are
+    scored each, equal texts alike. Without rows to learn from all counts are zero. A text of any
+    length is scored whole, in a batch of its own. Other columns are ignored, whatever their names;
+    an empty table gives an empty result.
+    """
+    out_of = doc_crc_mod("doc_id", folds) == held_out
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first().n
+    parts = max(8, -(-size // PART_BYTES))
+    trained = train(docs.filter(~out_of), parts, draw, step)
+    shared, learnt, words, grams = trained.shared, trained.learnt, trained.words, trained.grams
+
+    # texts that weren't learnt from; their batches are told apart from those of the others by their signs
+    held = docs.filter(out_of).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(True).alias("held_out"), F.lit(-1).alias("_round"))
+    scored = trained.asked.unionByName(written(_asked(held, shared, parts, sign=-1), "asked"))
 
     def look_up(tails: pa.Table, counts: pa.Table) -> pa.Table:
         """Counts of one part's words, for every batch that asked: sums per place."""
