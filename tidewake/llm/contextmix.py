@@ -37,7 +37,7 @@ from tidewake.llm.shingles import U64, WHITE, _powers, mix, word_hashes
 
 END, PAD, ORDERS = 256, 4, 4  # contexts: 1, 2 and 4 symbols, the word so far
 GATES, STEPS = 12, 24
-BATCH = 15 << 18  # bytes of text that are counted, or scored, at once
+BATCH = 31 << 16  # bytes of text that are counted, or scored, at once
 DRAW, STEP_BYTES = 1 << 21, 1 << 14  # bytes of texts that weights are learnt from in small steps, and those of a step
 GROWTH = 16  # all texts of a round and before it are so many times those before it
 PART_BYTES = 24 << 20  # bytes of text for each part of the counts
