@@ -420,6 +420,25 @@ def test_a_hop_joins_a_row_for_each_open_node(spark, monkeypatch):
     assert [distinct for key, _, distinct in rows if key == "area"][1] > 8
 
 
+def test_a_hop_takes_the_links_of_one_query_at_a_time(spark, monkeypatch):
+    """Links of a query's open nodes are never collected into one row: rows of thousands of links, 256 of them in a batch, took an executor's memory."""
+    x = np.random.default_rng(5).normal(size=(120, 8))
+    nodes = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "rep long, vec array<double>")
+    edges = [(i, int(j), float(x[i] @ x[j])) for i in range(120) for j in np.argsort(-(x @ x[i]))[:9].tolist() if i != j]
+    plans, kept = [], nndescent.written
+
+    def seen(df, name, *rest):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df, name, *rest)
+
+    monkeypatch.setattr(nndescent, "written", seen)
+    got = nndescent.search(nodes, spark.createDataFrame(edges, nndescent.EDGES), nodes.filter("rep % 40 = 0"), width=119, block=16).collect()
+    hops = [p for p in plans if "areas" in p]
+    assert hops and not any(re.search(r"collect_list\((areas|nbrs)", p) for p in hops)
+    assert all(abs(r.score - float(x[r.query] @ x[r.node])) < 1e-12 for r in got)
+    assert len({(r.query, r.node) for r in got}) == len(got) > 3 * 60
+
+
 def test_flat_graph_against_brute_force(spark):
     table, x = vectors_of(spark)
     got = {r.vec_id: r for r in flatgraph.near_vectors(table.withColumn("node", F.lit(1))).collect()}

@@ -207,23 +207,19 @@ def neighbour_graph(nodes: DataFrame, *, degree: int = 32, sample: int = 14, tre
     return graph.select("node", F.explode("near").alias("x")).select("node", F.col("x.nbr").alias("nbr"), (-F.col("x.away")).alias("score"))
 
 
-def _unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each query and place with the candidates ``nbrs`` that lie there (their ``areas``) and aren't ``known`` yet, each once."""
-    for batch in batches:
-        of, places, nodes = [], [], []
-        for i, (known, areas, nbrs) in enumerate(zip(*(batch.column(c) for c in ("known", "areas", "nbrs")))):
-            names, first = np.unique(nbrs.values.to_numpy(), return_index=True)
-            where = areas.values.to_numpy()[first]
-            fresh = np.isin(names, known.values.to_numpy(), invert=True)
-            names, where = names[fresh], where[fresh]
-            by = np.argsort(where, kind="stable")
-            begin = np.flatnonzero(np.diff(where[by], prepend=-1))
-            of += [i] * len(begin)
-            places.append(where[by][begin])
-            nodes += np.split(names[by], begin[1:]) if len(begin) else []
-        if of:
-            rows = batch.take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places)), *(rows.column(c) for c in ("query", "query_vec", "least")), pa.array(nodes, pa.list_(pa.int64()))], names=["area", "query", "query_vec", "least", "nodes"])
+def _unseen(near: pa.Table, asking: pa.Table) -> pa.Table:
+    """A row for each place with the candidates ``nbrs`` of one query that lie there (their ``areas``) and aren't ``known`` yet, each once."""
+    places, nodes, begin = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    if near.num_rows and asking.num_rows:
+        names, first = np.unique(near.column("nbrs").combine_chunks().flatten().to_numpy(), return_index=True)
+        where = near.column("areas").combine_chunks().flatten().to_numpy()[first]
+        fresh = np.isin(names, asking.column("known").combine_chunks().flatten().to_numpy(), invert=True)
+        by = np.argsort(where[fresh], kind="stable")
+        places, nodes = where[fresh][by], names[fresh][by]
+        begin = np.flatnonzero(np.append(True, places[1:] != places[:-1]))[: len(places)]
+    same = asking.take(pa.array(np.zeros(len(begin), np.int64)))
+    there = pa.ListArray.from_arrays(pa.array(np.append(begin, len(nodes)).astype(np.int32)), pa.array(nodes))
+    return pa.table({"area": pa.array(places[begin]), **{c: same.column(c) for c in ("query", "query_vec", "least")}, "nodes": there})
 
 
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, start: DataFrame | None = None, width: int = 400, expand: int = 400, block: int = 4096, seed: int = 7) -> DataFrame:
@@ -264,10 +260,10 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, start: Dat
             # of the open nodes of a list the first are expanded; all before the last of them are done then
             step = state.withColumn("open", F.slice(F.filter("list", lambda x: ~x["done"]), 1, expand))
             least = F.when(F.size("list") < width, F.lit(-math.inf)).otherwise(-F.element_at("list", -1)["away"])
-            near = step.select("query", F.explode("open.node").alias("node")).join(adjacency, "node").select("query", "areas", "nbrs")
-            near = near.repartition("query").groupBy("query").agg(F.flatten(F.collect_list("areas")).alias("areas"), F.flatten(F.collect_list("nbrs")).alias("nbrs"))
-            asking = near.join(state.select("query", "query_vec", least.alias("least"), F.concat("list.node", F.array("query")).alias("known")), "query")
-            unseen = asking.select("query", "query_vec", "least", "known", "areas", "nbrs").mapInArrow(_unseen, "area long, query long, query_vec array<double>, least double, nodes array<long>")
+            near = step.select(F.col("query").alias("of"), F.explode("open.node").alias("node")).join(adjacency, "node").select("of", "areas", "nbrs")
+            # a query's links meet one query at a time: collected into rows they would be large, and many of them in a batch
+            asking = step.filter(F.size("open") > 0).select("query", "query_vec", least.alias("least"), F.concat("list.node", F.array("query")).alias("known"))
+            unseen = near.groupBy("of").cogroup(asking.groupBy("query")).applyInArrow(_unseen, "area long, query long, query_vec array<double>, least double, nodes array<long>")
             found = unseen.groupBy("area").cogroup(stored.groupBy("area")).applyInArrow(score, "query long, node long, score double")
             last = F.when(F.size("open") > 0, F.element_at("open", -1))
             mark = lambda x: x["done"] | F.coalesce(F.struct(x["away"], x["node"]) <= F.struct(F.col("last.away"), F.col("last.node")), F.lit(False))
