@@ -731,3 +731,22 @@ def test_pipeline_against_brute_force(spark):
     for r in steps["encode"].collect():
         assert r.ids == tok.encode(texts[r.doc_id], add_special_tokens=False).ids
     assert Counter(r.doc_id for r in steps["encode"].collect()) == uses
+
+
+def test_costs_are_those_of_the_predicted_ways():
+    """The folded table of ``cost`` gives what ``predict`` gives decision by decision, and a run of places has the symbols that single places have."""
+    texts, rng = [b"the ship keeps its course", b"a course the ship kept", b"", b"zzz"], np.random.default_rng(4)
+    mixer = contextmix.Mixer()
+    mixer.count(texts[:2])
+    mixer.freeze()
+    mixer.refined[1] += rng.integers(0, 300, mixer.refined.shape[1])
+    mixer.refined[0] += np.floor(mixer.refined[1] * rng.random(mixer.refined.shape[1]))
+    cases = contextmix.Distinct(texts)
+    got = mixer.cost(cases, [(mixer.keys, mixer.counts)])
+    bits = np.zeros(len(cases.symbols))
+    for case, node, bit, places in cases.decisions(mixer.first):
+        final = mixer.predict(sum(mixer.weighted[at] for at in places), node, bit)[0]
+        np.add.at(bits, case, -np.log2(np.where(bit == 1, final, 1 - final)))
+    assert np.allclose(got, cases.per_text(bits), rtol=1e-5)
+    sym = rng.integers(0, 257, 40).astype(np.uint16)
+    assert (contextmix._last_four(sym, slice(5, 40)) == contextmix._last_four(sym, np.arange(5, 40))).all()

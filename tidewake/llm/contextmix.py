@@ -78,12 +78,13 @@ STEP = NODES * 2 + BITS  # node and bit of each decision as one number
 GATE = np.minimum(np.log2(np.arange(1 << 12) + 1), GATES - 1).astype(np.uint8)
 
 
-def _last_four(sym: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _last_four(sym: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
     """The four symbols before each of ``at``, nine bits each, the last lowest."""
-    out = sym[at - 4].astype(U64)
+    back = (lambda k: sym[at.start - k : at.stop - k]) if isinstance(at, slice) else (lambda k: sym[at - k])
+    out = back(4).astype(U64)
     for k in (3, 2, 1):
         out <<= U64(9)
-        out |= sym[at - k]
+        out |= back(k)
     return out
 
 
@@ -112,13 +113,12 @@ class Distinct:
         summed = np.zeros(len(sym) + 1, U64)
         np.multiply(sym + U64(1), _powers(base, len(sym)), out=summed[1:])
         np.cumsum(summed[1:], out=summed[1:])
-        begun = np.zeros(len(sym) + 1, np.int32)
-        np.multiply(gap[sym], np.arange(1, len(sym) + 1, dtype=np.int32), out=begun[1:])
-        np.maximum.accumulate(begun, out=begun)
+        gaps = np.append(0, np.flatnonzero(gap[sym]) + 1)
+        begun = np.repeat(gaps.astype(np.int32), np.diff(np.append(gaps, len(sym) + 1)))
         back, key = _powers(inverse, len(sym)), np.empty(len(sym), U64)
         for lo in range(PAD, len(sym), 1 << 15):  # blocks that stay in the processor's cache
             at = slice(lo, min(lo + (1 << 15), len(sym)))
-            k = _last_four(sym, np.arange(at.start, at.stop)) * ODD
+            k = _last_four(sym, at) * ODD
             k += sym[at]
             k = mix(k)
             k += _word_so_far(summed, begun, back, at)
@@ -190,7 +190,10 @@ class Distinct:
             n = SIZES[s]
             nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             step = steps[np.repeat(s * wide, n) + nth]
-            yield np.repeat(np.arange(i, i + len(s)), n), step >> 1, step & 1, [np.repeat(first[at[i : i + len(s)]], n) + nth for at in self.place]
+            places = [np.repeat(first[at[i : i + len(s)]], n) for at in self.place]
+            for at in places:
+                at += nth
+            yield np.repeat(np.arange(i, i + len(s)), n), step >> 1, step & 1, places
 
     def per_text(self, cost: np.ndarray) -> np.ndarray:
         """Sums of the cases' costs over each text."""
@@ -277,11 +280,16 @@ class Mixer:
             order += self.gates
             self.weighted = self.weights.astype(np.float32).ravel()[order] * self.odds
 
+    @staticmethod
+    def cells(total: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Cells of the adaptive table by the log odds of a one."""
+        return node * STEPS + np.clip((total + 9) * (STEPS / 18), 0, STEPS - 1).astype(np.int64)
+
     def predict(self, total: np.ndarray, node: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Final probability of a one, the mixed one, and the cells of the adaptive table, by the weighted odds of ``bit``."""
         total = np.clip(total * (2 * bit - 1).astype(np.float32), -14, 14)
         p = 1 / (1 + np.exp(-total))
-        cell = node * STEPS + np.clip((total + 9) * (STEPS / 18), 0, STEPS - 1).astype(np.int64)
+        cell = self.cells(total, node)
         return (0.5 * p + 0.5 * (self.refined[0][cell] + 8 * p) / (self.refined[1][cell] + 8)), p, cell
 
     def count(self, texts: list[bytes]) -> None:
@@ -329,9 +337,21 @@ class Mixer:
         """Bits of each text by the counted grams."""
         self.look(cases, counted)
         cost = np.zeros(len(cases.symbols))
+        # the final probability of a way is a factor by cell of the mixed one and a rest by cell and way
+        ones, seen = self.refined
+        factor = (0.5 + 4 / (seen + 8)).astype(np.float32)
+        rest = (0.5 * np.array([seen - ones, ones]) / (seen + 8)).astype(np.float32).ravel()
         for case, node, bit, places in cases.decisions(self.first):
-            final = self.predict(sum(self.weighted[at] for at in places), node, bit)[0]
-            cost[case[0] : case[-1] + 1] = np.bincount(case - case[0], -np.log2(np.where(bit == 1, final, 1 - final)))
+            total = self.weighted[places[0]]
+            for at in places[1:]:
+                total += self.weighted[at]
+            np.clip(total, -14, 14, out=total)
+            cell = self.cells(total * (2 * bit - 1).astype(np.float32), node)
+            np.exp(np.negative(total, out=total), out=total)
+            total += 1
+            final = np.divide(factor[cell], total, out=total)
+            final += rest[cell + bit * (END * STEPS)]
+            cost[case[0] : case[-1] + 1] = -np.add.reduceat(np.log2(final, out=final), np.flatnonzero(np.diff(case, prepend=-1)))
         return cases.per_text(cost)
 
 
