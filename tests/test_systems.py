@@ -324,7 +324,7 @@ def _still(folder):
     return con
 
 
-@pytest.mark.parametrize("name, column", [("o08_motion_snapshot", "velocity")])
+@pytest.mark.parametrize("name, column", [("o08_motion_snapshot", "velocity"), ("o08_motion_summary", "summary")])
 def test_a_last_velocity_of_zero_has_no_sign(spark, tmp_path, name, column):
     con = _still(tmp_path)
     got = {r.run_id: r[column] for r in catalogue.queries()[name](spark, str(tmp_path)).collect()}

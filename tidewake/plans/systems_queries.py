@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewake.functions.columns import above, below
+from tidewake.functions.columns import above, below, unsigned_zero
 from tidewake.operators import audit, graph, ops
 from tidewake.plans.catalogue import register
 from tidewake.plans.estimate_queries import RECURSIVE, WRAPPED, level_nodes
@@ -191,6 +191,7 @@ def r12_machine(spark, sf):
   SELECT run_id, 'available' AS state, CASE WHEN x.d IS NULL THEN 'velocity' ELSE 'velocity,depth' END AS available_fields, concat_ws('; ', 'velocity=' || printf('%.3f,%.3f,%.3f', x.e, x.n, x.u), 'depth=' || printf('%.3f', x.d)) AS summary FROM l""")
 def o08(spark, sf):
     rows = samples(spark, sf).withColumn("depth", F.when(F.col("k") % 3 > 0, F.col("value")))
+    rows = rows.withColumns({c: unsigned_zero(F.col(c)) for c in ("vE", "vN", "vU", "depth")})
     return ops.motion_snapshot(rows, {"velocity": ["vE", "vN", "vU"], "depth": ["depth"]})
 
 
