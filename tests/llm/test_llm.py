@@ -12,6 +12,7 @@ from contextlib import contextmanager
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -439,6 +440,66 @@ def test_a_hop_takes_the_links_of_one_query_at_a_time(spark, monkeypatch):
     assert len({(r.query, r.node) for r in got}) == len(got) > 3 * 60
 
 
+def test_first_lists_and_offers_are_arrays(spark):
+    """A tree makes a row for each node, however many neighbours it has; nodes alone in their block have none."""
+    x = np.random.default_rng(3).normal(size=(300, 6))
+    nodes = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "rep long, vec array<double>")
+    rows = nndescent._first_graph(nodes, 300, 8, 3, 64, 7).collect()
+    assert len(rows) == 3 * 300 and max(len(r.nbrs) for r in rows) == 8
+    assert all(r.node not in r.nbrs and np.allclose(x[r.nbrs] @ x[r.node], r.scores) for r in rows if r.nbrs)
+    alone = nndescent._first_graph(nodes.limit(1), 1, 8, 2, 64, 7).collect()
+    assert [(r.nbrs, r.scores) for r in alone] == [([], []), ([], [])]
+    assert np.array_equal(nndescent._unpacked(nndescent._packed(x).slice(7, 20)), x[7:27]) and nndescent._unpacked(nndescent._packed(x[:0])).shape[0] == 0
+
+
+def test_lists_merged_and_drawn_many_at_once():
+    rng = np.random.default_rng(4)
+    n, degree, sample = 40, 6, 2
+    held = pa.table({"node": rng.permutation(n) * 10, "cell": np.arange(n), "nbrs": [[] for _ in range(n)], "scores": [[] for _ in range(n)], "new": [[] for _ in range(n)]})
+    held = held.cast(pa.schema({"node": pa.int64(), "cell": pa.int64(), "nbrs": pa.list_(pa.int64()), "scores": pa.list_(pa.float64()), "new": pa.list_(pa.bool_())}))
+    score, known = rng.normal(size=(n, n)), {i: {} for i in range(n)}
+    for turn in range(4):
+        node = rng.integers(0, n, 60)
+        nbrs = [rng.choice(np.flatnonzero(np.arange(n) != i), 5, replace=False) for i in node]
+        offers = pa.table({"node": node * 10, "nbrs": [(j * 10).tolist() for j in nbrs], "scores": [score[i, j].tolist() for i, j in zip(node, nbrs)]})
+        before = {r["node"]: dict(zip(r["nbrs"], r["new"])) for r in held.to_pylist()}
+        cells = dict(zip(held.column("node").to_pylist(), held.column("cell").to_pylist()))
+        held = nndescent._merged(held, offers, degree, sample, turn)
+        for i, j in zip(node, nbrs):
+            known[i] |= {int(o) * 10: score[i, o] for o in j}
+        for r in held.to_pylist():
+            want = sorted(known[r["node"] // 10], key=lambda o: -known[r["node"] // 10][o])[:degree]
+            was = before[r["node"]]
+            assert r["nbrs"] == want and r["cell"] == cells[r["node"]] and r["added"] == len(set(want) - set(was))
+            new = [o for o in want if was.get(o, True)]
+            assert r["fresh"] == min(sample, len(new)) == len(set(r["drawn"][: r["fresh"]]) & set(new)) and len(r["drawn"]) - r["fresh"] == min(sample, len(want) - len(new))
+            assert {o for o, f in zip(r["nbrs"], r["new"]) if f} == set(new) - set(r["drawn"])
+    edges = [(j, r["node"], i < r["fresh"]) for r in held.to_pylist() for i, j in enumerate(r["drawn"])]
+    drew = {}
+    for j, i, new in edges:
+        drew.setdefault((j, new), set()).add(i)
+    mates = nndescent._mates(pa.table({c: [e[k] for e in edges] for k, c in enumerate(("node", "of", "new"))}), held, sample, 9).to_pylist()
+    own = {r["node"]: (set(r["drawn"][: r["fresh"]]), set(r["drawn"])) for r in held.to_pylist()}
+    for r in mates:
+        new, every = {o for o, f in zip(r["of"], r["new"]) if f}, set(r["of"])
+        assert own[r["at"]][0] <= new and own[r["at"]][1] <= every and len(r["of"]) == len(every) <= 4 * sample
+        back = drew.get((r["at"], True), set())
+        assert new - own[r["at"]][0] <= back and len(new & back) >= min(sample, len(back))
+    assert {r["at"] for r in mates} == {i for i in own if own[i][0] or drew.get((i, True))}
+
+
+def test_shards_of_queries_give_what_single_queries_give(spark, monkeypatch):
+    """The lists of many queries meet in one task; what is found doesn't depend on how many do."""
+    x = np.random.default_rng(6).normal(size=(150, 8))
+    nodes = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "rep long, vec array<double>")
+    edges = [(i, int(j), float(x[i] @ x[j])) for i in range(150) for j in np.argsort(-(x @ x[i]))[:7].tolist() if i != j]
+    graph, found = spark.createDataFrame(edges, nndescent.EDGES), []
+    for many in (1, 1000):
+        monkeypatch.setattr(nndescent, "QUERIES_AT_ONCE", many)
+        found.append({(r.query, r.node): r.score for r in nndescent.search(nodes, graph, nodes.filter("rep % 10 = 0"), width=25, block=32).collect()})
+    assert found[0].keys() == found[1].keys() and len(found[0]) == 15 * 25 and all(abs(s - found[1][k]) < 1e-12 for k, s in found[0].items())
+
+
 def test_flat_graph_against_brute_force(spark):
     table, x = vectors_of(spark)
     got = {r.vec_id: r for r in flatgraph.near_vectors(table.withColumn("node", F.lit(1))).collect()}

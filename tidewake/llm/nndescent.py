@@ -10,17 +10,18 @@
    all of them are expanded. Candidates are scored where their vectors are stored, place by place.
 
 Every round is a set of joins, written to the shared folder. A node's neighbours and a query's list are
-arrays of bounded length in one row, nearest first, so that what concerns one list alone moves nothing.
+arrays of bounded length in one row, nearest first; offers to a list are arrays, too. A task merges the
+lists of many nodes, or of many queries, as arrays at once.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,82 +29,162 @@ from tidewake.llm.common import bucketed, forget, written
 from tidewake.llm.vectors import digested, one_length, vector_classes
 
 EDGES = "node long, nbr long, score double"
+OFFERS = "node long, nbrs array<long>, scores array<double>"
+GRAPH = "node long, cell long, nbrs array<long>, scores array<double>, new array<boolean>, drawn array<long>, fresh int, added int"
+FOUND = "query long, nodes array<long>, scores array<double>"
+NODES_AT_ONCE = 2048  # whose lists meet in one task's arrays
+QUERIES_AT_ONCE = 64
+
+
+def _whole(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of a column of arrays of one length."""
-    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = np.concatenate([c.flatten().to_numpy() for c in values.chunks]) if isinstance(values, pa.ChunkedArray) else values.flatten().to_numpy()
-    return flat.reshape(len(values), -1) if len(values) else np.empty((0, 0))
+    values = _whole(column)
+    return values.flatten().to_numpy().reshape(len(values), -1) if len(values) else np.empty((0, 0))
+
+
+def _packed(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as the bytes of their doubles, which move faster than arrays."""
+    x = np.ascontiguousarray(x, np.float64)
+    ends = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * 8)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x)])
+
+
+def _unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    values = _whole(column)
+    if not len(values):
+        return np.empty((0, 0))
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2], np.float64, (ends[-1] - ends[0]) // 8, int(ends[0])).reshape(len(values), -1)
+
+
+def _ragged(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of a column of arrays, and how many each row has."""
+    values = _whole(column)
+    return values.flatten().to_numpy(zero_copy_only=False), np.diff(values.offsets.to_numpy()) if len(values) else np.empty(0, np.int64)
+
+
+def _arrays(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(flat))
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """True where a run of equal keys begins."""
+    out = np.ones(len(keys[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return out
+
 
+def _ranks(*keys: np.ndarray) -> np.ndarray:
+    """The place of each row in its run of equal keys, from 0."""
+    begin = np.flatnonzero(_starts(*keys))
+    return np.arange(len(keys[0])) - np.repeat(begin, np.diff(np.append(begin, len(keys[0]))))
 
-def _top_edges(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best partners of each row of a square of scores, its own column left out."""
-    np.fill_diagonal(scores, -np.inf)
-    k = min(k, len(ids) - 1)
-    best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    return np.repeat(ids, k), ids[best].ravel(), np.take_along_axis(scores, best, 1).ravel()
+
+def _lot(a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
+    """A number for each pair by which it is drawn; it differs by round, so that all get their turn."""
+    with np.errstate(over="ignore"):
+        h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(turn + 1) * np.uint64(0x165667B19E3779F9)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
 
 
 def _first_graph(nodes: DataFrame, n: int, degree: int, trees: int, block: int, seed: int) -> DataFrame:
-    """Edges inside random blocks; a block with more than ``block`` nodes is dealt into several by hash."""
+    """Offers of edges inside random blocks, a row for each node and tree; a block with more than ``block`` nodes is dealt into several by hash."""
     bits = max(0, int(math.log2(max(1, n / block * 2))))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = _matrix(batch.column("vec"))
             planes = np.random.default_rng(seed).normal(size=(trees, x.shape[1], max(bits, 1)))
             codes = np.einsum("nd,tdb->tnb", x, planes, optimize=True) > 0
             keys = codes[:, :, :bits] @ (1 << np.arange(bits)) if bits else np.zeros(codes.shape[:2], np.int64)
             for t in range(trees):
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("vec"), pa.array(keys[t] * trees + t)], names=["rep", "vec", "key"])
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), _packed(x), pa.array(keys[t] * trees + t)], names=["rep", "vec", "key"])
 
     def link(table: pa.Table) -> pa.Table:
-        ids = table.column("rep").to_numpy()
-        if len(ids) < 2:
-            return pa.table({"node": pa.array([], pa.int64()), "nbr": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        x = _matrix(table.column("vec"))
-        node, nbr, score = _top_edges(ids, x @ x.T, degree)
-        return pa.table({"node": node, "nbr": nbr, "score": score})
-
-    coded = written(nodes.select("rep", "vec").mapInArrow(code, "rep long, vec array<double>, key long"), "codes")
+        ids, x = table.column("rep").to_numpy(), _unpacked(table.column("vec"))
+        k = min(degree, len(ids) - 1)
+        near, scores = np.empty((len(ids), k), np.int64), np.empty((len(ids), k))
+        for lo in range(0, len(ids) if k else 0, 256):
+            s = x[lo : lo + 256] @ x.T
+            s[np.arange(len(s)), lo + np.arange(len(s))] = -np.inf
+            best = np.argpartition(s, len(ids) - k, axis=1)[:, len(ids) - k :]
+            near[lo : lo + 256], scores[lo : lo + 256] = ids[best], np.take_along_axis(s, best, 1)
+        counts = np.full(len(ids), k)
+        return pa.table({"node": ids, "nbrs": _arrays(near.ravel(), counts), "scores": _arrays(scores.ravel(), counts)})
+
+    coded = written(nodes.select("rep", "vec").mapInArrow(code, "rep long, vec binary, key long"), "codes", NODES_AT_ONCE)
     sizes = coded.groupBy("key").count().withColumn("pieces", F.ceil(F.col("count") / block))
     dealt = coded.join(sizes.select("key", "pieces"), "key").withColumn("piece", F.pmod(F.xxhash64("rep", "key"), F.col("pieces")))
-    linked = dealt.groupBy("key", "piece").applyInArrow(link, EDGES).groupBy("node", "nbr").agg(F.max("score").alias("score"))
-    return _best(linked, degree)
-
-
-def _best(edges: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("score"), "nbr"))
-    return edges.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
-
-
-def _lists(edges: DataFrame, key: str, other: str, name: str) -> DataFrame:
-    """(key, name): the partners of each key as structs (away, ``other``), nearest first; ``away`` is the score with its sign turned."""
-    return edges.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("away"), F.col(other).alias(other)))).alias(name))
-
+    return dealt.groupBy("key", "piece").applyInArrow(link, OFFERS)
 
-def _bound(value: Column, made: Callable[[Column], Column]) -> Column:
-    """The array ``made`` of ``value``, which is computed once a row even where it is used inside another lambda."""
-    return F.flatten(F.transform(F.array(value), made))
 
+def _merged(held: pa.Table, offers: pa.Table, degree: int, sample: int, turn: int) -> pa.Table:
+    """The rows of ``GRAPH`` of the nodes ``held`` with the best of what they have and are offered.
 
-def _drawn(new: bool, sample: int, turn: int) -> Column:
-    """At most ``sample`` new or old neighbours of a node; the draw differs by round, so all get their turn."""
-    fit = F.filter("near", lambda x: x["new"] == F.lit(new))
-    dealt = F.sort_array(F.transform(fit, lambda x: F.struct(F.xxhash64("node", x["nbr"], F.lit(turn)).alias("turn"), x["nbr"].alias("nbr"))))
-    return F.transform(F.slice(dealt, 1, sample), lambda x: x["nbr"])
-
-
-def _backward(graph: DataFrame, sample: int, turn: int) -> DataFrame:
-    """(node, back): structs (of, new) of at most ``sample`` new and as many old nodes that have ``node`` as a neighbour."""
-    edges = graph.select(F.col("node").alias("of"), F.explode("near").alias("x")).select(F.col("x.nbr").alias("node"), "of", F.col("x.new").alias("new"))
-    rank = F.row_number().over(W.partitionBy("node", "new").orderBy(F.xxhash64("of", "node", F.lit(turn))))
-    return edges.withColumn("_rank", rank).filter(F.col("_rank") <= sample).groupBy("node").agg(F.collect_list(F.struct("of", "new")).alias("back"))
+    Of each list at most ``sample`` new and as many old neighbours are drawn for the round ``turn``, the new ones (``fresh``
+    of them) first; what is drawn isn't new any more.
+    """
+    held = held.take(pa.array(np.argsort(held.column("node").to_numpy())))
+    names = held.column("node").to_numpy()
+    (nbr, counts), score, new = _ragged(held.column("nbrs")), _ragged(held.column("scores"))[0], _ragged(held.column("new"))[0].astype(bool)
+    at, kind = np.repeat(np.arange(len(names)), counts), new.astype(np.int8)
+    if offers.num_rows:
+        offered, many = _ragged(offers.column("nbrs"))
+        at = np.append(at, np.repeat(np.searchsorted(names, offers.column("node").to_numpy()), many))
+        nbr, score = np.append(nbr, offered), np.append(score, _ragged(offers.column("scores"))[0])
+        kind = np.append(kind, np.full(len(offered), 2, np.int8))
+    by = np.lexsort((kind, nbr, at))
+    by = by[_starts(at[by], nbr[by])]  # what a node has goes before what it is offered again
+    by = by[np.lexsort((nbr[by], -score[by], at[by]))]
+    by = by[_ranks(at[by]) < degree]
+    at, nbr, score, came, new = at[by], nbr[by], score[by], kind[by] == 2, kind[by] > 0
+    by = np.lexsort((_lot(names[at], nbr, turn), ~new, at))
+    drawn = by[_ranks(at[by], new[by]) < sample]
+    fresh = np.bincount(at[drawn[new[drawn]]], minlength=len(names))
+    left = new.copy()
+    left[drawn] = False
+    sizes, of = np.bincount(at, minlength=len(names)), np.bincount(at[drawn], minlength=len(names))
+    added = np.bincount(at[came], minlength=len(names))
+    return pa.table({"node": names, "cell": held.column("cell"), "nbrs": _arrays(nbr, sizes), "scores": _arrays(score, sizes), "new": _arrays(left, sizes), "drawn": _arrays(nbr[drawn], of), "fresh": fresh.astype(np.int32), "added": added.astype(np.int32)})
+
+
+def _mates(edges: pa.Table, held: pa.Table, sample: int, turn: int) -> pa.Table:
+    """(at, cell, of, new): for each node ``held`` the neighbours it drew and at most ``sample`` new and as many old nodes of ``edges`` (node, of, new) that drew it.
+
+    Nodes with nothing new have no row.
+    """
+    held = held.take(pa.array(np.argsort(held.column("node").to_numpy())))
+    names, (of, counts) = held.column("node").to_numpy(), _ragged(held.column("drawn"))
+    at = np.repeat(np.arange(len(names)), counts)
+    new = _ranks(at) < np.repeat(held.column("fresh").to_numpy(), counts)
+    if edges.num_rows:
+        there, back, fresh = np.searchsorted(names, edges.column("node").to_numpy()), edges.column("of").to_numpy(), edges.column("new").to_numpy(zero_copy_only=False).astype(bool)
+        by = np.lexsort((_lot(back, names[there], turn), fresh, there))
+        by = by[_ranks(there[by], fresh[by]) < sample]
+        at, of, new = np.append(at, there[by]), np.append(of, back[by]), np.append(new, fresh[by])
+    by = np.lexsort((~new, of, at))
+    by = by[_starts(at[by], of[by])]
+    at, of, new = at[by], of[by], new[by]
+    some = np.bincount(at[new], minlength=len(names)) > 0
+    kept = some[at]
+    return pa.table({"at": names[some], "cell": held.column("cell").filter(pa.array(some)), "of": _arrays(of[kept], np.bincount(at, minlength=len(names))[some]), "new": _arrays(new[kept], np.bincount(at, minlength=len(names))[some])})
+
+
+def _lists(edges: DataFrame, key: str, other: str) -> DataFrame:
+    """(key, begun): the partners of each key as structs (away, ``other``), nearest first; ``away`` is the score with its sign turned."""
+    return edges.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("away"), F.col(other).alias(other)))).alias("begun"))
 
 
 def _placed(nodes: DataFrame, n: int, sizes: dict[str, int], seed: int) -> DataFrame:
-    """(node, vec) and for each name of ``sizes`` the number of a place of at most about so many nodes, near vectors together.
+    """(node, vec), vectors as bytes, and for each name of ``sizes`` the number of a place of at most about so many nodes, near vectors together.
 
     A place is a code of random projections; where too many nodes share one, they are dealt out by hash.
     """
@@ -112,11 +193,13 @@ def _placed(nodes: DataFrame, n: int, sizes: dict[str, int], seed: int) -> DataF
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = _matrix(batch.column("vec"))
             planes = np.random.default_rng(seed).normal(size=(x.shape[1], bits))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("vec"), pa.array((x @ planes > 0) @ (1 << np.arange(bits)))], names=["node", "vec", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), _packed(x), pa.array((x @ planes > 0) @ (1 << np.arange(bits)))], names=["node", "vec", "code"])
 
-    out = written(nodes.select("rep", "vec").mapInArrow(code, "node long, vec array<double>, code long"), "coded")
+    out = written(nodes.select("rep", "vec").mapInArrow(code, "node long, vec binary, code long"), "coded")
     for c, size in sizes.items():
         out = out.withColumn("_key", F.col("code").bitwiseAND((1 << most[c]) - 1))
         pieces = out.groupBy("_key").agg(F.ceil(F.count("*") / size).alias("_pieces"))
@@ -130,96 +213,134 @@ def _squares(lists: pa.Table, vectors: pa.Table, degree: int, at_once: int = 256
 
     ``vectors`` has (listed, vec, worst) of all that is listed. Of each first at most ``degree`` pairs come back, the nearest.
     """
-    empty = pa.table({"node": pa.array([], pa.int64()), "nbr": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     if not lists.num_rows or not vectors.num_rows:
-        return empty
-    ids, worst = vectors.column("listed").to_numpy(), vectors.column("worst").to_numpy()
+        return pa.table({"node": np.empty(0, np.int64), "nbrs": _arrays(np.empty(0, np.int64), np.empty(0, np.int64)), "scores": _arrays(np.empty(0), np.empty(0, np.int64))})
+    ids, worst, x = vectors.column("listed").to_numpy(), vectors.column("worst").to_numpy(), _unpacked(vectors.column("vec"))
     order = np.argsort(ids)
-    ids, worst, x = ids[order], worst[order], _matrix(vectors.column("vec"))[order]
-    at, new = lists.column("at").to_numpy(), lists.column("new").to_numpy()
-    by = np.argsort(at, kind="stable")
-    at, of, new = at[by], np.searchsorted(ids, lists.column("of").to_numpy()[by]), new[by]
-    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    ends = np.r_[starts[1:], len(at)]
+    (of, counts), new = _ragged(lists.column("of")), _ragged(lists.column("new"))[0].astype(bool)
+    of = order[np.searchsorted(ids[order], of)]
+    ends = np.cumsum(counts)
     made = []
-    for lo in range(0, len(starts), at_once):
-        s, e = starts[lo : lo + at_once], ends[lo : lo + at_once]
-        slots = s[:, None] + np.arange((e - s).max())
+    for lo in range(0, len(ends), at_once):
+        e, m = ends[lo : lo + at_once], counts[lo : lo + at_once]
+        slots = (e - m)[:, None] + np.arange(m.max())
         there = slots < e[:, None]
         slots = np.where(there, slots, 0)
         who, fresh = of[slots], new[slots]
         g = x[who]
         scores = g @ g.transpose(0, 2, 1)
-        good = there[:, :, None] & there[:, None, :] & (fresh[:, :, None] | fresh[:, None, :]) & (who[:, :, None] != who[:, None, :]) & (scores > worst[who][:, :, None])
-        k, i, j = np.nonzero(good)
+        k, i, j = np.nonzero(scores > np.where(there, worst[who], np.inf)[:, :, None])
+        good = there[k, j] & (fresh[k, i] | fresh[k, j]) & (who[k, i] != who[k, j])
+        k, i, j = k[good], i[good], j[good]
         pair, first = np.unique(who[k, i] * len(ids) + who[k, j], return_index=True)
         made.append((pair, scores[k, i, j][first]))
     pair, score = (np.concatenate(c) for c in zip(*made))
     pair, first = np.unique(pair, return_index=True)
     node, nbr, score = pair // len(ids), pair % len(ids), score[first]
     best = np.lexsort((nbr, -score, node))
+    best = best[_ranks(node[best]) < degree]
     node, nbr, score = node[best], nbr[best], score[best]
-    rank = np.arange(len(node)) - np.searchsorted(node, node)
-    kept = rank < degree
-    return pa.table({"node": ids[node[kept]], "nbr": ids[nbr[kept]], "score": score[kept]})
+    begin = np.flatnonzero(_starts(node))
+    counts = np.diff(np.append(begin, len(node)))
+    return pa.table({"node": ids[node[begin]], "nbrs": _arrays(ids[nbr], counts), "scores": _arrays(score, counts)})
 
 
-def neighbour_graph(nodes: DataFrame, *, degree: int = 32, sample: int = 14, trees: int = 6, block: int = 512, rounds: int = 6, stop: float = 0.02, seed: int = 7) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, *, degree: int = 32, sample: int = 14, trees: int = 6, block: int = 2048, rounds: int = 6, stop: float = 0.02, seed: int = 7) -> DataFrame:
     """(node, nbr, score): about the ``degree`` nearest nodes of each node of ``nodes`` (rep, vec).
 
     The lists of nodes that lie near each other are compared in one task, as they share most of what
     they list: a vector moves once to each such place in a round, not once for each list it is in.
+    Places grow with the table up to ``block`` nodes, so that the copies of a vector don't.
+    Lists and offers move as arrays, to tasks that each merge those of many nodes.
     """
     n = nodes.count()
-    placed = _placed(nodes, n, {"cell": block}, seed + 1)
-    first = _lists(_first_graph(nodes, n, degree, trees, block, seed), "node", "nbr", "first")
-    near = F.coalesce(F.transform("first", lambda x: F.struct(x["away"].alias("away"), x["nbr"].alias("nbr"), F.lit(True).alias("new"))), F.expr("array()").cast("array<struct<away:double,nbr:bigint,new:boolean>>"))
-    graph = written(placed.select("node", "cell").join(first, "node", "left").select("node", "cell", near.alias("near"), F.lit(0).alias("added")), "graph")
+    placed = _placed(nodes, n, {"cell": min(block, max(64, n // 32))}, seed + 1)
+    buckets = max(1, math.ceil(n / NODES_AT_ONCE))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
 
-    def compare(lists: pa.Table, vectors: pa.Table) -> pa.Table:
-        mates = lists.column("mates").combine_chunks()
-        flat = mates.flatten() if isinstance(mates, pa.ListArray) else pa.concat_arrays([c.flatten() for c in mates.chunks])
-        at = np.repeat(lists.column("at").to_numpy(), lists.column("m").to_numpy())
-        return _squares(pa.table({"at": at, "of": flat.field("of"), "new": flat.field("new")}), vectors, degree)
+    def merged(held: DataFrame, offers: DataFrame, turn: int) -> DataFrame:
+        return written(held.groupBy(bucket("node")).cogroup(offers.groupBy(bucket("node"))).applyInArrow(lambda h, o: _merged(h, o, degree, sample, turn), GRAPH), "graph", NODES_AT_ONCE)
 
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+    held = placed.select("node", "cell", empty("long").alias("nbrs"), empty("double").alias("scores"), empty("boolean").alias("new"))
+    graph = merged(held, _first_graph(nodes, n, degree, trees, block, seed), 0)
     for turn in range(rounds):
-        drawn = {new: _drawn(new, sample, turn) for new in (True, False)}
-        forward = F.concat(F.transform(drawn[True], lambda v: F.struct(v.alias("of"), F.lit(True).alias("new"))), F.transform(drawn[False], lambda v: F.struct(v.alias("of"), F.lit(False).alias("new"))))
-        mates = F.array_distinct(F.when(F.col("back").isNull(), forward).otherwise(F.concat(forward, F.col("back"))))
-        lists = graph.join(_backward(graph, sample, turn), "node", "left").select(F.col("node").alias("at"), "cell", mates.alias("mates"))
-        lists = written(lists.filter(F.exists("mates", lambda x: x["new"])).withColumn("m", F.size("mates")), "lists")
-        worst = F.when(F.size("near") < degree, F.lit(-math.inf)).otherwise(-F.element_at("near", -1)["away"])
-        held = placed.select("node", "vec").join(graph.select("node", worst.alias("worst")), "node").withColumnRenamed("node", "listed")
-        wanted = lists.select(F.col("cell").alias("place"), F.explode("mates.of").alias("listed")).distinct().join(held, "listed").select("place", "listed", "vec", "worst")
-        offers = lists.groupBy("cell").cogroup(wanted.groupBy("place")).applyInArrow(compare, EDGES)
-        offered = _lists(_best(offers.groupBy("node", "nbr").agg(F.max("score").alias("score")), degree), "node", "nbr", "offered")
-        used = graph.withColumn("near", _bound(drawn[True], lambda used: F.transform("near", lambda x: F.struct(x["away"].alias("away"), x["nbr"].alias("nbr"), (x["new"] & ~F.array_contains(used, x["nbr"])).alias("new")))))
-        unlisted = _bound(F.col("near.nbr"), lambda known: F.filter("offered", lambda x: ~F.array_contains(known, x["nbr"])))
-        fresh = F.transform(unlisted, lambda x: F.struct(x["away"].alias("away"), x["nbr"].alias("nbr"), F.lit(True).alias("new")))
-        merged = used.join(offered, "node", "left").withColumn("fresh", fresh)
-        best = F.when(F.col("offered").isNull(), F.col("near")).otherwise(F.slice(F.sort_array(F.concat("near", "fresh")), 1, degree))
-        merged = merged.select("node", "cell", best.alias("near"), F.coalesce("fresh.nbr", F.array().cast("array<bigint>")).alias("came"))
-        merged = merged.select("node", "cell", "near", F.size(F.array_intersect("near.nbr", "came")).alias("added"))
-        before, graph = graph, written(merged, "graph")
+        edges = graph.select(F.col("node").alias("of"), "fresh", F.posexplode("drawn").alias("i", "node")).select("node", "of", (F.col("i") < F.col("fresh")).alias("new"))
+        held = graph.select("node", "cell", "drawn", "fresh")
+        lists = edges.groupBy(bucket("node")).cogroup(held.groupBy(bucket("node"))).applyInArrow(lambda e, h: _mates(e, h, sample, turn), "at long, cell long, of array<long>, new array<boolean>")
+        lists = written(lists, "lists", NODES_AT_ONCE)
+        worst = F.when(F.size("scores") < degree, F.lit(-math.inf)).otherwise(F.element_at("scores", -1))
+        near = placed.select("node", "vec").join(graph.select("node", worst.alias("worst")), "node").withColumnRenamed("node", "listed")
+        wanted = lists.select(F.col("cell").alias("place"), F.explode("of").alias("listed")).distinct().join(near, "listed").select("place", "listed", "vec", "worst")
+        offers = lists.groupBy("cell").cogroup(wanted.groupBy("place")).applyInArrow(lambda a, v: _squares(a, v, degree), OFFERS)
+        before, graph = graph, merged(graph.select("node", "cell", "nbrs", "scores", "new"), offers, turn + 1)
         forget(before, lists)
         if (graph.agg(F.sum("added")).first()[0] or 0) <= stop * degree * n:
             break
-    return graph.select("node", F.explode("near").alias("x")).select("node", F.col("x.nbr").alias("nbr"), (-F.col("x.away")).alias("score"))
+    return graph.select("node", F.explode(F.arrays_zip("nbrs", "scores")).alias("x")).select("node", F.col("x.nbrs").alias("nbr"), F.col("x.scores").alias("score"))
 
 
 def _unseen(near: pa.Table, asking: pa.Table) -> pa.Table:
-    """A row for each place with the candidates ``nbrs`` of one query that lie there (their ``areas``) and aren't ``known`` yet, each once."""
-    places, nodes, begin = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    if near.num_rows and asking.num_rows:
-        names, first = np.unique(near.column("nbrs").combine_chunks().flatten().to_numpy(), return_index=True)
-        where = near.column("areas").combine_chunks().flatten().to_numpy()[first]
-        fresh = np.isin(names, asking.column("known").combine_chunks().flatten().to_numpy(), invert=True)
-        by = np.argsort(where[fresh], kind="stable")
-        places, nodes = where[fresh][by], names[fresh][by]
-        begin = np.flatnonzero(np.append(True, places[1:] != places[:-1]))[: len(places)]
-    same = asking.take(pa.array(np.zeros(len(begin), np.int64)))
-    there = pa.ListArray.from_arrays(pa.array(np.append(begin, len(nodes)).astype(np.int32)), pa.array(nodes))
-    return pa.table({"area": pa.array(places[begin]), **{c: same.column(c) for c in ("query", "query_vec", "least")}, "nodes": there})
+    """A row for each query and place with the candidates ``nbrs`` of the query (``of``) that lie there (their ``areas``) and aren't in its list yet, each once."""
+    asking = asking.take(pa.array(np.argsort(asking.column("query").to_numpy())))
+    asks = asking.column("query").to_numpy()
+    names, counts = _ragged(near.column("nbrs"))
+    names, first, name = np.unique(names, return_index=True, return_inverse=True)
+    where = _ragged(near.column("areas"))[0][first]
+    who = np.repeat(np.searchsorted(asks, near.column("of").to_numpy()), counts)
+    pair = np.sort(who * len(names) + name)
+    pair = pair[_starts(pair)]
+    known, counts = _ragged(asking.column("nodes"))
+    known, holds = np.append(known, asks), np.append(np.repeat(np.arange(len(asks)), counts), np.arange(len(asks)))
+    if len(names):
+        spot = np.minimum(np.searchsorted(names, known), len(names) - 1)
+        there = names[spot] == known
+        pair = pair[np.isin(pair, holds[there] * len(names) + spot[there], invert=True)]
+    who, name = pair // max(1, len(names)), pair % max(1, len(names))
+    by = np.lexsort((where[name], who))
+    who, name = who[by], name[by]
+    begin = np.flatnonzero(_starts(who, where[name]))
+    same = asking.take(pa.array(who[begin]))
+    there = _arrays(names[name], np.diff(np.append(begin, len(name))))
+    return pa.table({"area": where[name][begin], **{c: same.column(c) for c in ("query", "query_vec", "least")}, "nodes": there})
+
+
+def _scored(rows: pa.Table, vectors: pa.Table, at_once: int = 8192) -> pa.Table:
+    """(query, nodes, scores): of each row (query, query_vec, least, nodes) the nodes nearer than ``least``; ``vectors`` has (node, vec)."""
+    query, least, q = rows.column("query").to_numpy(), rows.column("least").to_numpy(), _unpacked(rows.column("query_vec"))
+    names, counts = _ragged(rows.column("nodes"))
+    row, score = np.repeat(np.arange(len(query)), counts), np.empty(len(names))
+    if len(names):
+        ids, x = vectors.column("node").to_numpy(), _unpacked(vectors.column("vec"))
+        order = np.argsort(ids)
+        spot = order[np.searchsorted(ids[order], names)]
+        for lo in range(0, len(names), at_once):
+            part = slice(lo, lo + at_once)
+            score[part] = np.einsum("nd,nd->n", x[spot[part]], q[row[part]])
+    good = score > least[row]
+    many = np.bincount(row[good], minlength=len(query))
+    return pa.table({"query": query[many > 0], "nodes": _arrays(names[good], many[many > 0]), "scores": _arrays(score[good], many[many > 0])})
+
+
+def _better(held: pa.Table, found: pa.Table, width: int, expand: int) -> pa.Table:
+    """The lists ``held`` with what was ``found``: the best ``width``, of which the first ``expand`` that aren't done are ``open`` next. What was open is done."""
+    held = held.take(pa.array(np.argsort(held.column("query").to_numpy())))
+    asks = held.column("query").to_numpy()
+    (node, counts), score, done = _ragged(held.column("nodes")), _ragged(held.column("scores"))[0], _ragged(held.column("done"))[0].astype(bool)
+    at = np.repeat(np.arange(len(asks)), counts)
+    if found.num_rows:
+        names, counts = _ragged(found.column("nodes"))
+        at = np.append(at, np.repeat(np.searchsorted(asks, found.column("query").to_numpy()), counts))
+        node, score, done = np.append(node, names), np.append(score, _ragged(found.column("scores"))[0]), np.append(done, np.zeros(len(names), bool))
+    by = np.lexsort((node, -score, at))
+    by = by[_ranks(at[by]) < width]
+    at, node, score, done = at[by], node[by], score[by], done[by]
+    opened = np.flatnonzero(~done)
+    opened = opened[_ranks(at[opened]) < expand]
+    done[opened] = True
+    sizes = np.bincount(at, minlength=len(asks))
+    lists = {"nodes": _arrays(node, sizes), "scores": _arrays(score, sizes), "done": _arrays(done, sizes), "open": _arrays(node[opened], np.bincount(at[opened], minlength=len(asks)))}
+    return pa.table({"query": asks, "query_vec": held.column("query_vec"), **lists})
 
 
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, start: DataFrame | None = None, width: int = 400, expand: int = 400, block: int = 4096, seed: int = 7) -> DataFrame:
@@ -227,52 +348,38 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, start: Dat
 
     Lists only get better and a node is expanded once, so the search ends. Vectors and lists of
     neighbours are dealt out once, into bucketed tables; a hop moves the queries to places where
-    unseen candidates lie, which are few, as near vectors share a place. ``start`` is the result of a
-    narrower search to go on from; without it a query begins with the neighbours of its own node.
+    unseen candidates lie, which are few, as near vectors share a place and places grow with the table,
+    from ``block`` nodes to 16 times as many. Lists are kept in shards of queries, as arrays.
+    ``start`` is the result of a narrower search to go on from; without it a query begins with the
+    neighbours of its own node.
     """
-    placed = _placed(nodes, nodes.count(), {"area": block}, seed + 2)
+    n = nodes.count()
+    placed = _placed(nodes, n, {"area": min(max(block, n // 32), 16 * block)}, seed + 2)
     # a row a node, wherever its neighbours lie: else a hop would make a row for each place of each open node
     links = graph.join(placed.select(F.col("node").alias("nbr"), "area"), "nbr").groupBy("node").agg(F.collect_list(F.struct("area", "nbr")).alias("ends")).select("node", F.col("ends.area").alias("areas"), F.col("ends.nbr").alias("nbrs"))
     begun = start if start is not None else graph.select(F.col("node").alias("query"), F.col("nbr").alias("node"), "score")
-    listed = lambda rows, done: F.transform(rows, lambda x: F.struct(x["away"].alias("away"), x["node"].alias("node"), F.lit(done).alias("done")))
-    best = lambda rows: F.slice(F.sort_array(rows), 1, width)
-    asked = queries.select(F.col("rep").alias("query"), F.col("vec").alias("query_vec"))
-    state = asked.join(_lists(begun, "query", "node", "begun"), "query").select("query", "query_vec", best(listed("begun", False)).alias("list"))
-    state = written(state, "search")
-
-    def score(rows: pa.Table, vectors: pa.Table) -> pa.Table:
-        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        if rows.num_rows and vectors.num_rows:
-            ids = vectors.column("node").to_numpy()
-            order = np.argsort(ids)
-            ids, x, q = ids[order], _matrix(vectors.column("vec")), _matrix(rows.column("query_vec"))
-            for query, vec, least, near in zip(rows.column("query").to_pylist(), q, rows.column("least").to_pylist(), rows.column("nodes")):
-                names = near.values.to_numpy()
-                got = x[order[np.searchsorted(ids, names)]] @ vec
-                good = np.flatnonzero(got > least)
-                good = good[np.lexsort((names[good], -got[good]))[:width]]
-                out.append((np.full(len(good), query), names[good], got[good]))
-        query, node, value = (np.concatenate(c) for c in zip(*out))
-        return pa.table({"query": query, "node": node, "score": value})
+    asked = placed.join(queries.select(F.col("rep").alias("node")).distinct(), "node").select(F.col("node").alias("query"), F.col("vec").alias("query_vec"))
+    begun = _lists(begun.join(asked.select("query"), "query", "left_semi"), "query", "node")
+    shards = max(1, math.ceil(queries.count() / QUERIES_AT_ONCE))
+    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards))
+    kept = "query long, query_vec binary, nodes array<long>, scores array<double>, done array<boolean>, open array<long>"
+
+    def merged(held: DataFrame, found: DataFrame) -> DataFrame:
+        return written(held.groupBy(shard("query")).cogroup(found.groupBy(shard("query"))).applyInArrow(lambda h, f: _better(h, f, width, expand), kept), "search", NODES_AT_ONCE)
 
+    first = asked.join(begun, "query").select("query", "query_vec", F.col("begun.node").alias("nodes"), F.transform("begun.away", lambda x: -x).alias("scores"), F.transform("begun.away", lambda x: F.lit(False)).alias("done"))
+    state = merged(first, nodes.sparkSession.range(0).select(F.col("id").alias("query"), F.array("id").alias("nodes"), F.array(F.lit(0.0)).alias("scores")))
     with bucketed(placed.select("area", "node", "vec"), "area") as stored, bucketed(links, "node") as adjacency:
-        while not state.filter(F.exists("list", lambda x: ~x["done"])).isEmpty():
-            # of the open nodes of a list the first are expanded; all before the last of them are done then
-            step = state.withColumn("open", F.slice(F.filter("list", lambda x: ~x["done"]), 1, expand))
-            least = F.when(F.size("list") < width, F.lit(-math.inf)).otherwise(-F.element_at("list", -1)["away"])
-            near = step.select(F.col("query").alias("of"), F.explode("open.node").alias("node")).join(adjacency, "node").select("of", "areas", "nbrs")
-            # a query's links meet one query at a time: collected into rows they would be large, and many of them in a batch
-            asking = step.filter(F.size("open") > 0).select("query", "query_vec", least.alias("least"), F.concat("list.node", F.array("query")).alias("known"))
-            unseen = near.groupBy("of").cogroup(asking.groupBy("query")).applyInArrow(_unseen, "area long, query long, query_vec array<double>, least double, nodes array<long>")
-            found = unseen.groupBy("area").cogroup(stored.groupBy("area")).applyInArrow(score, "query long, node long, score double")
-            last = F.when(F.size("open") > 0, F.element_at("open", -1))
-            mark = lambda x: x["done"] | F.coalesce(F.struct(x["away"], x["node"]) <= F.struct(F.col("last.away"), F.col("last.node")), F.lit(False))
-            kept = step.withColumn("last", last).select("query", "query_vec", F.transform("list", lambda x: F.struct(x["away"].alias("away"), x["node"].alias("node"), mark(x).alias("done"))).alias("list"))
-            both = kept.join(_lists(found, "query", "node", "found"), "query", "left")
-            merged = F.when(F.col("found").isNull(), F.col("list")).otherwise(best(F.concat("list", listed("found", False))))
-            before, state = state, written(both.select("query", "query_vec", merged.alias("list")), "search")
+        while not state.filter(F.size("open") > 0).isEmpty():
+            least = F.when(F.size("nodes") < width, F.lit(-math.inf)).otherwise(F.element_at("scores", -1))
+            near = state.select(F.col("query").alias("of"), F.explode("open").alias("node")).join(adjacency, "node").select("of", "areas", "nbrs")
+            # a query's links meet as rows: collected into one they would be large, and many of them in a batch
+            asking = state.filter(F.size("open") > 0).select("query", "query_vec", least.alias("least"), "nodes")
+            unseen = near.groupBy(shard("of")).cogroup(asking.groupBy(shard("query"))).applyInArrow(_unseen, "area long, query long, query_vec binary, least double, nodes array<long>")
+            found = unseen.groupBy("area").cogroup(stored.groupBy("area")).applyInArrow(lambda r, v: _scored(r, v), FOUND)
+            before, state = state, merged(state.drop("open"), found)
             forget(before)
-    return state.select("query", F.explode("list").alias("x")).select("query", F.col("x.node").alias("node"), (-F.col("x.away")).alias("score"))
+    return state.select("query", F.explode(F.arrays_zip("nodes", "scores")).alias("x")).select("query", F.col("x.nodes").alias("node"), F.col("x.scores").alias("score"))
 
 
 def _ranked(rows: DataFrame, width: int) -> DataFrame:
